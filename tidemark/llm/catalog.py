@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, license_scan, mixing, neardup, quality_rules
+from tidemark.llm import chat_format, language_id, license_scan, mixing, neardup, quality_rules, secret_scan
 from tidemark.llm.common import table
 
 
@@ -28,6 +29,26 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql(
+        "SELECT -1L AS conv_id, t AS turn, r AS role, :probe AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)",
+        args={"probe": chat_format.PROBE},
+    )
+    return chat_format.digests(chat_format.format_conversations(said.unionByName(probe)))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(spark))
+    return found.select(
+        "doc_id",
+        "n_candidates",
+        F.size("findings").cast("long").alias("n_secrets"),
+        "findings",
+        F.sha2("redacted", 256).alias("redacted_sha256"),
+    )
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,10 +58,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
     "op5_source_mixing": op5_source_mixing,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op9_secret_scan": op9_secret_scan,
     "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {
     "op3_license_scan": license_scan.ORACLE_SQL,
     "op5_source_mixing": mixing.ORACLE_SQL,
+    "op7_chat_formatting": chat_format.ORACLE_SQL,
     "op10_near_duplicates": neardup.ORACLE_SQL,
 }
