@@ -1,12 +1,66 @@
-"""A corpus pipeline out of the operators of tidemark.llm; each stage is stored and reread by the next."""
+"""A corpus pipeline out of the operators of tidemark.llm.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and all but the
+last return the columns of documents (doc_id, text, lang, source, n_chars). `run` stores what a
+stage returns and rereads it for the next one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import language_id, mixing, neardup, pieces, secret_scan
 from tidemark.llm.common import stored, table
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told (no letter, null text) go; a null lang becomes the predicted one."""
+    found = language_id.predict_languages(docs, language_id.fit(docs), keep=("text", "lang", "source", "n_chars"))
+    kept = found.filter(F.col("lang_pred") != language_id.UNKNOWN)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that with the smallest id; of rows that repeat an id and text, one.
+
+    Rows without an id belong to no group and stay.
+    """
+    found = stored(neardup.near_duplicates(docs), "near-duplicates")
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each secret in a text is replaced by a mark; n_chars follows. No document goes."""
+    found = secret_scan.scan(docs, secret_scan.train(spark), keep=("lang", "source", "n_chars"))
+    changed = F.size("findings") > 0
+    n_chars = F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))
+    return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, whole; what the mix doesn't take goes."""
+    mixed = mixing.mix_sources(docs, keep=("text", "lang", "source", "n_chars"), whole=True)
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    copies = F.explode(F.sequence(F.lit(1), times))
+    return mixed.filter(times > 0).withColumn("copy", copies).select(*COLUMNS)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, with a digest of what they decode to."""
+    return pieces.digests(pieces.encode_texts(docs))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode_pieces),
+]
 
 #: Stages fit models and run iterative joins, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
@@ -14,7 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"pipeline-{k}")

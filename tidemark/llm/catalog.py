@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, language_id, license_scan, mixing, neardup, quality_rules, secret_scan
+from tidemark.llm import chat_format, language_id, license_scan, mixing, mpeg_audio, neardup, pieces, quality_rules, secret_scan, warc
 from tidemark.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.read_records(warc.write_archives(table(spark, sf_dir, "pages"))))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.describe_media(mpeg_audio.store_media(table(spark, sf_dir, "documents")))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql(
@@ -38,6 +46,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(said.unionByName(probe)))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode_texts(table(spark, sf_dir, "documents")))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(spark))
     return found.select(
@@ -55,14 +67,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_warc": op2_warc,
     "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
     "op5_source_mixing": op5_source_mixing,
+    "op6_mpeg_audio": op6_mpeg_audio,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_secret_scan": op9_secret_scan,
     "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {
+    "op2_warc": warc.ORACLE_SQL,
     "op3_license_scan": license_scan.ORACLE_SQL,
     "op5_source_mixing": mixing.ORACLE_SQL,
     "op7_chat_formatting": chat_format.ORACLE_SQL,

@@ -173,10 +173,9 @@ def predict_languages(
                     names=["doc_id", "held_out", "lang_pred", "score", *keep],
                 )
 
-    rest = [docs[c] for c in keep]
-    rows = docs.select(
-        docs[id_col].alias("doc_id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").alias("text"), *rest
-    )
+    rest = [docs[c].alias(f"kept_{k}") for k, c in enumerate(keep)]
+    text = docs[text_col].cast("string").alias("text")
+    rows = docs.select(docs[id_col].alias("doc_id"), held_out(docs[id_col]).alias("held_out"), text, *rest)
     schema = [f"doc_id {rows.schema[0].dataType.simpleString()}", "held_out boolean", "lang_pred string", "score double"]
     schema += [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     return rows.mapInArrow(run, ", ".join(schema))
