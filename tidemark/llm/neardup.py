@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = reps.filter(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
     pairs = stored(candidate_pairs(reps), "pairs")
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    # `wanted` grows with the input, so it is merged at every size
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct().hint("merge")
     sets = stored(d.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets", "none")
     left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
