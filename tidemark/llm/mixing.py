@@ -15,7 +15,7 @@ from tidemark.llm.common import stored, word_count
 
 #: The weights that sources take in turn, the share of all words, the most epochs.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-SEED, ROWS_PER_BUCKET = "mix", 20_000
+SEED, ROWS_PER_BUCKET, LEAST_BUCKETS = "mix", 20_000, 256
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -81,10 +81,10 @@ def mix_sources(
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     narrow = rows.select("source", "size", key.alias("key"))
     total = docs.count()
-    buckets = max(16, -(-total // rows_per_bucket))
+    buckets = max(LEAST_BUCKETS, -(-total // rows_per_bucket))
     bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("int")
 
-    # one row per source and bucket: about total / rows_per_bucket of them, or 16 to a source
+    # one row per source and bucket: about total / rows_per_bucket of them, or LEAST_BUCKETS to a source
     sums = stored(
         narrow.withColumn("bucket", bucket).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")),
         "mix-buckets",
