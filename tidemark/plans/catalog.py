@@ -1,14 +1,10 @@
-"""The library's queries over the driver's tables, and their SQL."""
+"""All queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import market
+from tidemark.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+flagship = market.flagship
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+__all__ = ["ORACLES", "QUERIES", "flagship"]
