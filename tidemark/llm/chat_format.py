@@ -2,8 +2,8 @@
 
 Paths come from pointer doubling: each message holds the path from an ancestor down to itself and
 that ancestor's parent; a self-join puts the parent's own path in front. After k rounds paths have
-2^k messages, so the rounds grow with the logarithm of the depth. Only ids move in the rounds, each
-of which is stored; texts are joined to the chosen paths alone.
+2^k messages, so the rounds grow with the logarithm of the depth, and a message leaves them once its
+path has reached the root. Only ids move in the rounds, each of which is stored; texts are joined to the chosen paths alone.
 
 A turn is `<|im_start|>role\\ntext<|im_end|>\\n`. In roles and texts a backslash becomes `\\b` and `<|`
 becomes `<\\p`; in roles a line feed becomes `\\n`. So no text can hold a control string, each escape
@@ -12,6 +12,8 @@ starts with a backslash that nothing else can bring, and `unescape` restores eve
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,20 +60,21 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
         .select(F.col("tree").alias("l_tree"), F.col("node").alias("leaf")),
         "leaves",
     )
-    while not step.filter("up is not null").isEmpty():
-        above = step.select(
+    columns = ["tree", "node", "up", "path", "score"]
+    done, open_ = [step.filter("up is null")], step.filter("up is not null")
+    while not open_.isEmpty():
+        above = reduce(DataFrame.unionByName, done).unionByName(open_).select(
             F.col("tree").alias("a_tree"), F.col("node").alias("a_node"), F.col("up").alias("a_up"),
             F.col("path").alias("a_path"), F.col("score").alias("a_score"),
         )
-        joined = step.join(above, F.col("tree").eqNullSafe(F.col("a_tree")) & (F.col("up") == F.col("a_node")), "left")
-        path = F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("a_path", "path"))
-        longer = joined.select("tree", "node", F.col("a_up").alias("up"), path.alias("path"), (F.col("score") + F.coalesce("a_score", F.lit(0.0))).alias("score"))
-        # a node that meets itself is on or below a cycle
-        step = stored(longer.filter(F.col("up").isNull() | (F.size(F.array_distinct("path")) == F.size("path"))), "paths")
-        ends = step.select(F.col("tree").alias("e_tree"), F.col("node").alias("e_node"))
-        step = step.join(ends, F.col("tree").eqNullSafe(F.col("e_tree")) & (F.col("up") == F.col("e_node")), "left").filter(
-            F.col("up").isNull() | F.col("e_node").isNotNull()
-        ).drop("e_tree", "e_node")
+        # a path whose next ancestor is no longer there lies below a cycle, and one that meets itself is on it
+        joined = open_.join(above, F.col("tree").eqNullSafe(F.col("a_tree")) & (F.col("up") == F.col("a_node")))
+        path, score = F.concat("a_path", "path").alias("path"), (F.col("score") + F.col("a_score")).alias("score")
+        longer = joined.select("tree", "node", F.col("a_up").alias("up"), path, score)
+        longer = stored(longer.filter(F.size(F.array_distinct("path")) == F.size("path")).select(*columns), "paths")
+        done.append(longer.filter("up is null"))
+        open_ = longer.filter("up is not null")
+    step = reduce(DataFrame.unionByName, done)
     whole = leaves.join(step, F.col("l_tree").eqNullSafe(F.col("tree")) & (F.col("leaf") == F.col("node")))
     best = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
     return whole.select("tree", "leaf", "path", "score", best.alias("rank")).filter(F.col("rank") <= top)
