@@ -401,13 +401,13 @@ def liq_spikes(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""{HOURLY}, {_FUND}, h AS (SELECT symbol, funding_time // 3600000 * 3600000 AS open_time, arg_min(funding_rate, {{'a': funding_time, 'b': event_id}}) AS x FROM fund GROUP BY ALL),
 j AS (SELECT g.symbol, g.open_time, coalesce(x, 0) AS f FROM grid g LEFT JOIN h USING (symbol, open_time))
-SELECT symbol, open_time, round(f, 8) + 0.0 AS funding_rate, CAST(f > 0.0008 AS INTEGER) AS funding_extreme_long, CAST(f < -0.0002 AS INTEGER) AS funding_extreme_short, round(f - {lag('f', 8)}, 8) + 0.0 AS funding_8h_change, round({full('avg', 'f', 24)}, 6) + 0.0 AS funding_24h_mean FROM j"""
+SELECT symbol, open_time, round(f, 10) + 0.0 AS funding_rate, CAST(f > 0.0008 AS INTEGER) AS funding_extreme_long, CAST(f < -0.0002 AS INTEGER) AS funding_extreme_short, round(f - {lag('f', 8)}, 10) + 0.0 AS funding_8h_change, round({full('avg', 'f', 24)}, 10) + 0.0 AS funding_24h_mean FROM j"""
 )
 def funding_features(spark: SparkSession, d: str) -> DataFrame:
     f = funding(spark, d).withColumn("open_time", C.floor_ms(F.col("funding_time"), C.HOUR_MS))
     f = f.groupBy("symbol", "open_time").agg(F.min_by("funding_rate", F.struct("funding_time", "event_id")).alias("funding_rate"))
     j = X.joined(hourly(spark, d).select("symbol", "open_time"), [f], ["symbol", "open_time"])
-    return rounded(X.with_funding(j), 8).withColumn("funding_24h_mean", F.round("funding_24h_mean", 6) + 0.0)
+    return rounded(X.with_funding(j), 10)
 
 
 @query(
