@@ -219,8 +219,8 @@ def joined(klines: DataFrame, others: list[DataFrame], keys: list[str]) -> DataF
     return klines
 
 
-def wilder_rsi_latest(candles: DataFrame, period: int = 14, key: str = "symbol") -> DataFrame:
-    """Each series' latest Wilder RSI: the first means are plain, 100 without losses, null with too few closes.
+def wilder_rsi(candles: DataFrame, period: int = 14, key: str = "symbol") -> DataFrame:
+    """(key, open_time, close, rsi) with Wilder's RSI: the first means are plain, 100 without losses, null with too few closes.
 
     From the first mean on it is y = y * (n - 1) / n + x / n, a recurrence that windows solve.
     """
@@ -234,7 +234,12 @@ def wilder_rsi_latest(candles: DataFrame, period: int = 14, key: str = "symbol")
         d = d.withColumn("g_", gain).withColumn("d_", F.when(n > period + 1, 1 - 1 / period).otherwise(1.0))
         d = W.scan(d, [key], "open_time", "d_", "g_", f"avg{x}")
     rs = F.when(F.col("avgdown_") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("avgup_") / F.nullif("avgdown_", F.lit(0.0))))
-    d = d.withColumn("rsi", F.when(n >= period + 1, F.bround(rs, 2)))
+    return d.select(key, "open_time", "close", F.when(n >= period + 1, F.bround(rs, 2)).alias("rsi"))
+
+
+def wilder_rsi_latest(candles: DataFrame, period: int = 14, key: str = "symbol") -> DataFrame:
+    """Each series' number of closes and latest RSI."""
+    d = wilder_rsi(candles, period, key)
     return d.groupBy(key).agg(F.count("*").alias("n_closes"), F.max_by("rsi", "open_time").alias("rsi"))
 
 

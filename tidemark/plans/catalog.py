@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, quality
+from tidemark.plans import market, quality, trading
 from tidemark.plans.base import ORACLES, QUERIES
 
 flagship = market.flagship
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "market", "quality"]
+__all__ = ["ORACLES", "QUERIES", "flagship", "market", "quality", "trading"]
