@@ -124,6 +124,8 @@ def _p_value(r: float | None, n: int) -> float | None:
         return None
     if abs(r) >= 1:
         return 0.0
+    if r == 0:
+        return 1.0
     df = n - 2
     x, a, b = 1 - r * r, df / 2, 0.5
     front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x))

@@ -85,13 +85,15 @@ def dual_write(paths: list[str], failures: list[tuple[int, str, str]]):
 
     def write(df: DataFrame, batch_id: int) -> None:
         df.persist()
+        failed = 0
         try:
             for path in paths:
                 try:
                     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
                 except Exception as e:
                     failures.append((batch_id, path, str(e)))
-            if sum(f[0] == batch_id for f in failures) == len(paths):
+                    failed += 1
+            if failed == len(paths):
                 raise RuntimeError(f"no store took batch {batch_id}")
         finally:
             df.unpersist()
