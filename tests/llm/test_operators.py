@@ -1,0 +1,347 @@
+"""Each corpus operator on hand-made rows: nulls, empty and long texts, repeats, clashing columns, empty tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import chat_format as chat
+from tidemark.llm import language_id as lid
+from tidemark.llm import license_scan as lic
+from tidemark.llm import mixing, mpeg_audio, neardup, pieces
+from tidemark.llm import quality_rules as rules
+from tidemark.llm import secret_scan as sec
+from tidemark.llm import warc
+
+SF = "/root/testdata/sf0.01"
+LONG = "lang wort " * 60_000
+ODD = [(None, None), (None, "un deux"), (1, ""), (2, " \n\t "), (3, "ab cd ef"), (3, "ab cd ef"), (4, LONG), (5, "\U0001f642 é▁x \x00 y")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    d = spark.createDataFrame(ODD, "doc_id long, text string")
+    clash = ("n_words", "words", "size", "source", "target", "key", "bucket", "score", "hits", "bands", "found", "rep", "lang", "media", "label")
+    return d.withColumns({c: F.lit("clash") for c in clash}).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def ids(rows):
+    return sorted((r["doc_id"] for r in rows), key=lambda i: (i is not None, i))
+
+
+ALL = ids([{"doc_id": i} for i, _ in ODD])
+
+
+# 1 ------------------------------------------------------------------------------------------
+def brute_rules(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    covered = {k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(i, i + 5)}
+    lines = text.split("\n")
+    dups = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:i] for i, x in enumerate(lines))
+    return [len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dups, len(covered)]
+
+
+def test_rules_counts_equal_brute_force():
+    rng = random.Random(5)
+    texts = ["\n".join(" ".join(rng.choice(["a", "b#", "cc", "d|", "é"]) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    for t in [*texts, None, "", " \n \n", "a b c d e a b c d e"]:
+        assert rules.statistics(t)[0] == brute_rules(t)
+    many = [str(i) for i in range(9000)]
+    assert rules.repeated_words(many + many[:7]) == 14 and rules.repeated_words(many) == 0
+
+
+def test_forest_is_accurate_and_monotonic(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    forest = rules.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").select("text", "quality").collect()
+    x = np.array([rules.statistics(r["text"])[1] for r in rows])
+    y = np.array([r["quality"] for r in rows])
+    assert ((forest.score(x) >= 0.5) == y).mean() > 0.95
+    by_hand = []
+    for row in x[:50]:
+        total = forest.base
+        for at in forest.roots:
+            while forest.left[at] != at:
+                at = forest.left[at] if row[forest.feature[at]] <= forest.threshold[at] else forest.right[at]
+            total += forest.value[at]
+        by_hand.append(1 / (1 + np.exp(-total)))
+    np.testing.assert_allclose(forest.score(x[:50]), by_hand)
+    for f, (_, c) in enumerate(rules.FEATURES):
+        if c:
+            grid = np.repeat(x[:40], 30, axis=0)
+            grid[:, f] = np.tile(np.linspace(0, max(1.0, x[:, f].max()), 30), 40)
+            steps = np.diff(forest.score(grid).reshape(40, 30), axis=1) * c
+            assert steps.min() >= -1e-9
+
+
+def test_rules_on_odd_rows(spark, odd):
+    forest = rules.fit(odd, spark.createDataFrame([], "doc_id long, quality int"))
+    got = rules.apply_rules(odd, forest).collect()
+    assert ids(got) == ALL
+    assert all(r["base_failed"] and not r["kept"] for r in got)
+    assert {r["n_words"] for r in got if r["doc_id"] == 4} == {120_000}
+    assert rules.apply_rules(odd.limit(0), forest).count() == 0
+
+
+# 2 ------------------------------------------------------------------------------------------
+def test_warc_round_trip(spark):
+    big = "<p>\r\n\r\n" + "x" * 300_000
+    rows = [(1, "http://a b/\r\nX: y", big), (2, None, big), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (None, "u", big), (1, "u", big), (9, "u", "é" * 60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("payload", "digest", "first", "file", "offset")})
+    index = warc.write_archives(pages)
+    assert sorted(index.columns) == sorted(f.split()[0] for f in warc._INDEX.split(", "))
+    got = sorted(warc.read_records(index).collect(), key=lambda r: (r["page_id"] is not None, r["page_id"], r["record_type"]))
+    assert [(r["page_id"], r["record_type"], r["refers_to"]) for r in got] == [
+        (None, "revisit", 1), (1, "response", None), (1, "response", None), (2, "revisit", 1), (3, "response", None), (4, "response", None),
+        (5, "response", None), (6, "response", None), (9, "response", None),
+    ]
+    assert bytes(got[1]["payload"]).decode() == big and got[3]["payload"] is None and got[3]["payload_bytes"] == len(big)
+    assert got[1]["url"] in ("http://a%20b/%0D%0AX:%20y", "u") and got[3]["url"] is None
+    one = warc.read_records(index.filter("page_id = 9")).collect()
+    assert bytes(one[0]["payload"]).decode() == "é" * 60
+    assert warc.read_records(warc.write_archives(pages.limit(0))).count() == 0
+
+
+# 3 ------------------------------------------------------------------------------------------
+def brute_labels(text, templates=lic.TEMPLATES):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    found, best = set(), 0.0
+    places = [(i, label) for phrase, label in lic.BASE_PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    for label, t in templates:
+        t = set(t.split())
+        for b in range(0, len(words), lic.STRIDE):
+            n = len(t & set(words[b : b + lic.BLOCK]))
+            if n >= lic._needed(len(t), lic.THRESHOLD):
+                found.add(label)
+                best = max(best, n / len(t))
+    base = {x for _, x in places}
+    return len(words), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), 1.0 if places else best
+
+
+def test_license_scan_equals_brute_force(spark):
+    rng = random.Random(2)
+    vocabulary = sorted({w for _, t in lic.TEMPLATES for w in t.split()} | {"foo", "bar", "K", "CC", "BY"})
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80))) for _ in range(150)]
+    texts += [" ".join(["pad"] * rng.randint(0, 60) + t.upper().split() + ["end"] * rng.randint(0, 60)) for _, t in lic.TEMPLATES]
+    texts += ["CC-BY cc  by cc,by", "ALL RIGHTS reserved" * 2, "GKeneral public license", None, "", "mit " * 30_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: tuple(r)[1:] for r in lic.scan_licenses(d).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(brute_labels(t)), t
+
+
+def test_license_scan_on_odd_rows(odd):
+    assert ids(lic.scan_licenses(odd).collect()) == ALL
+    assert lic.scan_licenses(odd.limit(0)).count() == 0
+
+
+# 4 ------------------------------------------------------------------------------------------
+def test_languages_held_out_and_odd_rows(spark, docs, odd):
+    model = lid.fit(docs)
+    r = lid.predict_languages(docs, model, keep=("lang", "text")).filter("held_out").collect()
+    assert len(r) > 100 and np.mean([x["lang"] == x["lang_pred"] for x in r]) > 0.97
+    assert all(zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0 and 0 <= x["score"] <= 1 for x in r)
+    got = lid.predict_languages(odd, model).collect()
+    assert ids(got) == ALL
+    assert {x["lang_pred"] for x in got if x["doc_id"] in (1, 2)} == {"und"} and all(x["lang_pred"] != "und" for x in got if x["doc_id"] in (3, 4, 5))
+    assert lid.fit(odd.drop("lang").withColumn("lang", F.lit(None).cast("string"))) is None
+    assert {x["lang_pred"] for x in lid.predict_languages(odd, None).collect()} == {"und"}
+    assert lid.predict_languages(odd.limit(0), model).count() == 0
+
+
+# 5 ------------------------------------------------------------------------------------------
+def test_mix_on_odd_rows_and_bucket_counts(spark, odd, docs):
+    got = mixing.mix_sources(odd).collect()
+    assert ids(got) == ALL and sum(r["taken"] for r in got) == int(1.5 * sum(r["size"] for r in got))
+    assert all(r["taken"] <= 2 * r["size"] for r in got) and mixing.mix_sources(odd.limit(0)).count() == 0
+    blank = odd.withColumn("text", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
+    assert {(r["taken"], r["target"]) for r in mixing.mix_sources(blank).collect()} == {(0, 0.0)}
+    a, b = (sorted(map(tuple, mixing.mix_sources(docs, rows_per_bucket=n).select("doc_id", "taken").collect())) for n in (1, 20_000))
+    assert a == b
+    r = mixing.mix_sources(docs, keep=("source",)).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
+    assert all(x["t"] == int(x["g"]) for x in r)
+
+
+# 6 ------------------------------------------------------------------------------------------
+def test_media_round_trip(odd):
+    got = mpeg_audio.describe_media(mpeg_audio.store_media(odd)).collect()
+    assert ids(got) == ALL
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    for i, t in ODD:
+        data = (t or "").encode()
+        padded = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        assert (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])) in {tuple(r)[1:5] for r in by[i]}
+    assert all("failed=0;skipped=0" in r["feature"] and r["duration_ms"] == 24.0 * r["n_frames"] for r in got)
+    assert mpeg_audio.describe_media(mpeg_audio.store_media(odd.limit(0))).count() == 0
+
+
+def test_parser_resynchronises_and_checks():
+    stream = mpeg_audio.pack(b"y" * 5000)
+    s = mpeg_audio.parse(stream)
+    at = s.offsets[2]
+    assert mpeg_audio.parse(stream[:at] + b"\xff\xfbjunk\xff" + stream[at:]).skipped == 7
+    broken = bytearray(stream)
+    broken[at + 10] ^= 1
+    assert mpeg_audio.parse(bytes(broken)).failed == 1
+    assert mpeg_audio.parse(b"").headers == [] and mpeg_audio.parse(b"\xff" * 100).headers == []
+    assert s.table["frames"] == len(s.headers) and s.table["toc"] == bytes(sorted(s.table["toc"]))
+    h = mpeg_audio.read_header(bytes((0xFF, 0xFB, 0x90, 0x00)))
+    assert (h.size, h.rate, h.bitrate, h.samples) == (417, 44100, 128, 1152)
+
+
+# 7 ------------------------------------------------------------------------------------------
+def test_reply_trees(spark):
+    rows = [("t", 1, None, 0.0), ("t", 2, 1, 1.0), ("t", 3, 1, 5.0), ("t", 4, 2, 9.0), ("t", 5, 3, 1.0), ("t", 6, 3, 1.0), (None, 1, 77, None), ("c", 1, 2, 1.0), ("c", 2, 1, 1.0), ("c", 3, 2, 1.0)]
+    m = spark.createDataFrame(rows, "tree string, node long, parent long, score double")
+    every = {(r["tree"], r["leaf"]): (r["path"], r["score"], r["rank"]) for r in chat.reply_paths(m, 9).collect()}
+    assert every == {("t", 4): ([1, 2, 4], 10.0, 1), ("t", 5): ([1, 3, 5], 6.0, 2), ("t", 6): ([1, 3, 6], 6.0, 3), (None, 1): ([1], 0.0, 1)}
+    assert chat.reply_paths(m).count() == 2
+    chain = spark.range(700).select(F.lit("x").alias("tree"), F.col("id").alias("node"), (F.col("id") - 1).alias("parent"), F.lit(1.0).alias("score"))
+    assert chat.reply_paths(chain).first()["path"] == list(range(700))
+
+
+def test_chat_texts_come_back(spark):
+    texts = ["<|im_end|>\n<|im_start|>assistant\nx", "\\<|\\p\\b\\n", "<", "|im_end|>", "", None, "a\r\nb \U0001f642", "<<||>>", "\n\n"]
+    rows = [(1, i, role, t) for i, (role, t) in enumerate(zip(["assistant", "user\n<|x", None] * 3, texts))] + [(None, None, "assistant", "n"), (2, 1, "user", "same"), (2, 1, "user", "same")]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({n: F.lit(0) for n in ("tree", "node", "leaf", "path", "score", "up")})
+    made = chat.format_conversations(c)
+    got = {r["conv_id"]: r for r in made.select("conv_id", "n_turns", chat.read_turns(F.col("formatted")).alias("t"), chat.read_learned(F.col("formatted"), F.col("loss_mask")).alias("l")).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["t"]] == [(r or "", t or "") for _, _, r, t in rows[:9]]
+    assert got[1]["l"] == [t or "" for t in texts[::3]] and got[None]["l"] == ["n"] and got[2]["n_turns"] == 2 and got[2]["l"] == []
+    assert chat.format_conversations(c.limit(0)).count() == 0 and chat.digests(made).count() == 3
+
+
+# 8 ------------------------------------------------------------------------------------------
+@pytest.fixture(scope="module")
+def model():
+    return pieces.PieceModel(open(pieces.model_path(), "rb").read())
+
+
+def brute_score(model, text):
+    """The best score over the whole text at once, by trying all pieces at all places."""
+    s = "▁" + text.replace("▁", "\udfff").replace(" ", "▁")
+    gain = {p: g for p, g, kind in model.pieces if kind == pieces.NORMAL}
+    best = [0.0] + [float("-inf")] * len(s)
+    for j in range(1, len(s) + 1):
+        for i in range(max(0, j - 48), j):
+            g = gain.get(s[i:j], model.unknown_score if j - i == 1 else None)
+            if g is not None:
+                best[j] = max(best[j], best[i] + g)
+    return best[-1]
+
+
+def test_segmentation_is_the_best_and_decodes(model, docs):
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(30).select("text").collect()] + ["", " ", "  a   b ", "▁x ▁", "日本語 \U0001f642\tz", "a" * 500, "\x00", "the"]
+    for t in texts:
+        ids_, score = model.encode(t)
+        assert model.decode(ids_) == t
+        if t:
+            assert score == brute_score(model, t)
+
+
+def test_pieces_on_odd_rows(odd):
+    got = pieces.encode_texts(odd).collect()
+    assert ids(got) == ALL
+    assert sorted(str(r["decoded"]) for r in got) == sorted(str(t) for _, t in ODD)
+    assert all(r["n_tokens"] == len(r["ids"]) for r in got) and pieces.encode_texts(odd.limit(0)).count() == 0
+
+
+# 9 ------------------------------------------------------------------------------------------
+@pytest.fixture(scope="module")
+def trees(spark):
+    return sec.train(spark)
+
+
+def test_forest_as_case_expressions(spark, trees):
+    x = sec.labelled_findings(spark).select("label", sec.features(F.col("value"), F.col("left"), F.col("right")).alias("x"))
+    votes = sum((sec.vote(t, F.col("x")) for t in trees), F.lit(0.0)) / len(trees)
+    r = x.select("label", votes.alias("v"), "x").collect()
+    assert np.mean([(row["v"] >= sec.THRESHOLD) == (row["label"] == 1.0) for row in r]) > 0.97
+
+    def walk(tree, values):
+        lines = [line.strip() for line in tree.splitlines()[1:]]
+
+        def node(take):
+            line = lines.pop(0)
+            if m := re.match(r"Predict: (.+)", line):
+                return float(m[1])
+            m = re.match(r"If \(feature (\d+) <= (.+)\)", line)
+            yes = node(take)
+            lines.pop(0)
+            no = node(take)
+            return yes if values[int(m[1])] <= float(m[2]) else no
+
+        return node(True)
+
+    for row in r[:60]:
+        assert row["v"] == pytest.approx(sum(walk(t, row["x"]) for t in trees) / len(trees))
+
+
+def test_secrets_are_found_and_nothing_else(spark, trees, docs, odd):
+    planted = re.compile(r'(?i)token = "([0-9a-f]{40})"')
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in sec.scan(docs, trees).collect():
+        t = text[r["doc_id"]]
+        assert [(f["start"], f["length"]) for f in r["findings"]] == [(m.start(1), 40) for m in planted.finditer(t)]
+        assert r["redacted"] == planted.sub(lambda m: m[0].replace(m[1], sec.MARK), t)
+    rows = [(1, 'see "x" api_key: "\U0001f642"; password = "hT8-kq93Lz0Pm" and id=1234567890123456, commit 9fceb02d0ae598e95dc970b74767f19372d61af8 ok')]
+    r = sec.scan(spark.createDataFrame(rows, "doc_id long, text string"), trees).first()
+    assert r["n_candidates"] == 3 and len(r["findings"]) == 1 and "hT8" not in r["redacted"] and "9fceb02d" in r["redacted"]
+    got = sec.scan(odd, trees, keep=("score", "source")).collect()
+    assert ids(got) == ALL and sorted(str(x["redacted"]) for x in got) == sorted(str(t) for _, t in ODD)
+    assert sec.scan(odd.limit(0), trees).count() == 0
+
+
+# 10 -----------------------------------------------------------------------------------------
+def test_shingles_equal_sets_of_words():
+    for t in (None, "", "  ", "a", "a b c d", "A b c d e", "a b c d e f", "x y " * 40):
+        w = (t or "").lower().split()
+        want = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        assert len(neardup.shingle_set(t)) == len(want)
+    assert (neardup.shingle_set("A b\x0bc d e") == neardup.shingle_set("a B c d E")).all()
+    assert (neardup.shingle_set("É b c d e") != neardup.shingle_set("é b c d e")).all()
+
+
+def test_near_duplicates_miss_no_pair(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, n = [], 0
+    for _ in range(60):
+        base = [word() for _ in range(rng.choice((3, 7, 12, 40, 150)))]
+        for k in range(rng.randint(1, 6)):
+            w = list(base)
+            for _ in range(k):
+                w[rng.randrange(len(w))] = word()
+            rows.append((n, " ".join(w)))
+            n += 1
+    from test_queries import groups
+
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(d).collect()}
+    assert got == groups(dict(rows))
+
+
+def test_components_of_a_long_chain(spark):
+    e = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert {r["root"] for r in neardup.components(e).collect()} == {0} and neardup.components(e).count() == 300
+    assert neardup.components(e.limit(0)).count() == 0
+
+
+def test_near_duplicates_on_odd_rows(odd):
+    got = neardup.near_duplicates(odd).collect()
+    assert ids(got) == ALL
+    assert all(r["kept"] and (r["component_id"] == r["doc_id"]) for r in got)
+    assert [r["n_shingles"] for r in got if r["doc_id"] == 2] == [0] and neardup.near_duplicates(odd.limit(0)).count() == 0

@@ -122,10 +122,8 @@ def scan_licenses(
     order = {t: i for i, t in enumerate(rare_first, 1)}
 
     ranking = F.array(*map(F.lit, rare_first))
-    is_base = lambda h, i: F.lit(False)
     kind = lambda h, i: F.lit(None).cast("string")
     for words, label in base:
-        is_base = lambda h, i, f=is_base, w=words: f(h, i) | _phrase_at("hits", h, i, w)
         kind = lambda h, i, f=kind, w=words, x=label: F.when(_phrase_at("hits", h, i, w), x).otherwise(f(h, i))
     starts = F.filter(
         F.transform("hits", lambda h, i: F.struct(h.p.alias("p"), kind(h, i).alias("label"))),

@@ -157,6 +157,9 @@ def grow(
     """Newton boosting of the logistic loss; deterministic in its inputs."""
     share = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
     base = float(np.log(share / (1 - share)))
+    if not len(y):
+        none = np.empty(0, np.int64)
+        return Forest(none, np.empty(0), none, none, np.empty(0), none, 0, base)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
     nodes: list[list[float]] = []  # feature, threshold, left, right, value
@@ -179,7 +182,7 @@ def grow(
         nodes[at][3] = build(rows[~sides], g, h, level + 1, *bounds[1])
         return at
 
-    for _ in range(trees if len(y) else 0):
+    for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
         roots.append(build(np.arange(len(y)), p - y, np.maximum(p * (1 - p), 1e-6), 0, -np.inf, np.inf))
     flat = np.array(nodes).reshape(-1, 5)
