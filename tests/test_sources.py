@@ -86,6 +86,18 @@ def test_dual_write_survives_a_broken_store(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/a").count() == 3 and [f[0] for f in failures] == [0, 0]
 
 
+def test_messages_and_artefacts(spark, tmp_path):
+    from tidemark.operators import quality
+
+    d = spark.createDataFrame([("btc", 1.5)], "symbol string, price double")
+    assert tuple(sinks.to_messages(d).first()) == ("btc", '{"symbol":"btc","price":1.5}')
+    write(f"{tmp_path}/a", "x")
+    assert [r["present"] for r in quality.artefacts(spark, [f"{tmp_path}/a", f"{tmp_path}/b"]).collect()] == [True, False]
+    cv = spark.createDataFrame([(0.1,), (0.3,)], "edge double")
+    assert quality.edge_verdict(cv).first()["level"] == "PASS" and quality.edge_verdict(cv.limit(0)).first()["level"] == "FAIL"
+    assert quality.lookahead_columns(["ret_fwd", "close"]) == ["ret_fwd"]
+
+
 def test_text_functions(spark):
     d = spark.createDataFrame([("Funding  rate and RSI, rsi. Näive_1!",)], "t string")
     r = d.select(X.tokens(F.col("t")).alias("k"), X.entities(F.col("t")).alias("e"), X.token_estimate(F.col("t")).alias("n")).first()

@@ -189,3 +189,15 @@ def regression_metrics(df: DataFrame, truth: str, pred: str, *keys: str) -> Data
         F.avg(F.pow(t - p, F.lit(2))).alias("mse_"), F.var_pop(t).alias("var_"), F.avg((F.signum(t) == F.signum(p)).cast("double")).alias("directional_accuracy"),
     )
     return m.withColumn("r2", 1 - F.col("mse_") / F.nullif("var_", F.lit(0.0))).drop("mse_", "var_")
+
+
+def random_slippage(mean: float = SLIPPAGE, seed: int = 42) -> Column:
+    """Slippage of each trade, uniform from 0 to twice the mean; fixed by the seed and the row's place."""
+    return F.rand(seed) * (2 * mean)
+
+
+def downsample(df: DataFrame, points: int = 50, key: str = "symbol", time: str = "open_time") -> DataFrame:
+    """Every n-th row of each series, n such that about `points` are left; series that are shorter stay whole."""
+    i = F.row_number().over(Window.partitionBy(key).orderBy(time)) - 1
+    step = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy(key)) / points))
+    return df.withColumns({"i_": i, "step_": step}).filter(F.col("i_") % F.col("step_") == 0).drop("i_", "step_")

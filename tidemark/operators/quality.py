@@ -89,3 +89,17 @@ def step_rate(df: DataFrame, value: str, key: str, time: str = "open_time") -> D
     """Share of rows where a value changed from the row before; the first row counts as unchanged."""
     changed = F.coalesce(F.abs(W.diff(value, W.series(key, order=time))) > 1e-12, F.lit(False))
     return df.select(key, changed.alias("c")).groupBy(key).agg(F.avg(F.col("c").cast("double")).alias("step_rate"), F.count("*").alias("n"))
+
+
+def edge_verdict(cv: DataFrame, least: float = 0.0) -> DataFrame:
+    """Mean and population deviation of the folds' edge over the majority, and whether it is above `least`."""
+    d = cv.agg(F.count("*").alias("n_folds"), F.avg("edge").alias("mean_edge"), F.stddev_pop("edge").alias("std_edge"))
+    return d.withColumn("level", level(F.col("n_folds") == 0, F.coalesce(F.col("mean_edge") <= least, F.lit(True))))
+
+
+def artefacts(spark, paths: list[str]) -> DataFrame:
+    """Which files or folders are there, in any store Spark reads."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = [(p, path(p).getFileSystem(conf).exists(path(p))) for p in paths]
+    return spark.createDataFrame(found, "path string, present boolean")

@@ -15,7 +15,7 @@ from tidemark.operators import features as X
 from tidemark.operators import positions as P
 from tidemark.plans.base import HOURLY, TICKS, W, candles_cte, full, lag, query, rounded
 from tidemark.plans.market import hourly
-from tidemark.sources.tables import ticks
+from tidemark.sources.tables import table, ticks
 
 UP, DOWN = 1.0, 0.5  # hourly prices here move by more than their level
 SIDES = {"upper": UP, "lower": DOWN}
@@ -278,6 +278,34 @@ def trade_log_totals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    f"""{HOURLY}, s AS (SELECT symbol, open_time, close, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM grid)
+SELECT symbol, open_time, close FROM s WHERE i % greatest(1, n // 50) = 0"""
+)
+def downsampled_curve(spark: SparkSession, d: str) -> DataFrame:
+    return B.downsample(hourly(spark, d).select("symbol", "open_time", "close"))
+
+
+@query()
+def random_slippage_returns(spark: SparkSession, d: str) -> DataFrame:
+    t = B.trades(signals(spark, d), 0.5, slippage=B.random_slippage(), **SIDES)
+    return t.select("symbol", "open_time", "win", "ret")
+
+
+@query(
+    """WITH r AS (SELECT r_name, n_name, CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4)) AS x FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+  JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT coalesce(r_name, 'ALL') AS region, coalesce(n_name, 'ALL') AS nation, count(*) AS n_lines, CAST(sum(x) AS DOUBLE) AS revenue FROM r GROUP BY ROLLUP (r_name, n_name)"""
+)
+def dimension_rollup(spark: SparkSession, d: str) -> DataFrame:
+    t = {n: table(spark, d, n) for n in ("lineitem", "orders", "customer", "nation", "region")}
+    money = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
+    j = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    j = j.join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    g = j.select("r_name", "n_name", money.alias("x")).rollup("r_name", "n_name").agg(F.count("*").alias("n_lines"), F.sum("x").cast("double").alias("revenue"))
+    return g.select(F.coalesce("r_name", F.lit("ALL")).alias("region"), F.coalesce("n_name", F.lit("ALL")).alias("nation"), "n_lines", "revenue")
+
+
 @query()
 def risk_fold(spark: SparkSession, d: str) -> DataFrame:
     return P.risk_fold(X.wilder_rsi(C.candles(ticks(spark, d))), 45, 55)

@@ -99,3 +99,14 @@ def dual_write(paths: list[str], failures: list[tuple[int, str, str]]):
             df.unpersist()
 
     return write
+
+
+def to_messages(df: DataFrame, key: str = "symbol") -> DataFrame:
+    """Rows as Kafka messages: the key as text, the row as JSON."""
+    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def write_kafka(df: DataFrame, servers: str, topic: str, key: str = "symbol", retries: int = 10) -> None:
+    """Sends rows as JSON; the client goes on trying until the broker is there."""
+    out = to_messages(df, key).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+    out.option("kafka.retries", str(retries)).option("kafka.reconnect.backoff.ms", "2000").save()
