@@ -44,7 +44,8 @@ def bm25(queries: DataFrame, post: DataFrame, lengths: DataFrame, weights: DataF
     """
     asked = queries.select("query_id", F.explode(tokens(F.col(query_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     average = lengths.agg(F.avg("dl").alias("avgdl"))  # one row
-    hits = post.join(weights, "term").join(asked, "term").join(lengths, "id").join(F.broadcast(average))
+    # the queries' terms come first, so that postings of other terms are dropped before anything is moved
+    hits = post.join(asked.join(weights, "term"), "term").join(lengths, "id").join(F.broadcast(average))
     tf, norm = F.col("tf"), 1 - B + B * F.col("dl") / F.col("avgdl")
     gain = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * norm)
     scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(gain), 6).alias("score"))
