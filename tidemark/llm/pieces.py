@@ -25,7 +25,7 @@ SPACE = "\u2581"
 _LITERAL = "\udfff"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 250_000
+REMEMBERED, REMEMBERED_LENGTH = 150_000, 14
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _SLICE = 256
 
@@ -149,7 +149,7 @@ class PieceModel:
             got = known.get(word)
             if got is None:
                 got = self.segment(word)
-                if len(word) <= 40:
+                if len(word) <= REMEMBERED_LENGTH:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known[word] = got
