@@ -77,56 +77,62 @@ def running(agg: Callable[[Column], Column], x: str | Column, w: WindowSpec) ->
     return agg(col(x)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def scan(df: DataFrame, keys: list[str], order: str, decay: str, gain: str, out: str) -> DataFrame:
-    """Adds y of the recurrence y = decay * y_before + gain along each series, by windows alone.
+def scan(df: DataFrame, keys: list[str], order: str, decay: Column, gains: dict[str, Column]) -> DataFrame:
+    """Adds, for each name in `gains`, y of the recurrence y = decay * y_before + gain along each series.
 
-    `decay` is in (0, 1], `gain` isn't null. With L the running sum of -ln(decay), a block is a
-    span of 40 in L: inside it y is a prefix sum of gain * exp(L) times exp(-L), both relative to the
+    `decay` is in (0, 1], gains aren't null. With L the running sum of -ln(decay), a block is a span
+    of 40 in L: inside it y is a prefix sum of gain * exp(L) times exp(-L), both relative to the
     block's start so that nothing overflows, and the block before hands on its last value. What
-    lies further back has decayed by more than exp(-40), below the precision of a double.
+    lies further back has decayed by more than exp(-40), below the precision of a double. All
+    recurrences of one decay share their windows.
     """
-    span = 40.0
+    span, names, own = 40.0, list(gains), df.columns
     w = Window.partitionBy(*keys).orderBy(order)
-    d = df.withColumn("l_", F.sum(-F.ln(decay)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    d = d.withColumn("b_", F.floor(F.col("l_") / span)).withColumn("l_", F.col("l_") - F.col("b_") * span)
-    inside = Window.partitionBy(*keys, "b_").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("y_", F.sum(F.col(gain) * F.exp("l_")).over(inside) * F.exp(-F.col("l_")))
-    end = Window.partitionBy(*keys, "b_").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = d.withColumn("e_", F.last(F.struct("b_", "l_", "y_")).over(end))
+    running_ = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    block = Window.partitionBy(*keys, "b_").orderBy(order)
+    inside = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     earlier = Window.partitionBy(*keys).orderBy("b_").rangeBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("c_", F.last("e_").over(earlier))
+    g, y = [F.col(f"g{i}_") for i in range(len(names))], [F.col(f"y{i}_") for i in range(len(names))]
+    d = df.select("*", F.sum(-F.ln(decay)).over(running_).alias("t_"), *(gains[n].alias(f"g{i}_") for i, n in enumerate(names)))
+    d = d.select(*own, *g, F.floor(F.col("t_") / span).alias("b_"), (F.col("t_") - F.floor(F.col("t_") / span) * span).alias("l_"))
+    d = d.select(*own, "b_", "l_", *((F.sum(x * F.exp("l_")).over(inside) * F.exp(-F.col("l_"))).alias(f"y{i}_") for i, x in enumerate(g)))
+    d = d.select("*", F.last(F.struct("b_", "l_", *y)).over(whole).alias("e_"))
+    d = d.select("*", F.last("e_").over(earlier).alias("c_"))
     passed = (F.col("b_") - F.col("c_.b_")) * span + F.col("l_") - F.col("c_.l_")
-    carried = F.coalesce(F.col("c_.y_") * F.exp(-passed), F.lit(0.0))
-    return d.withColumn(out, F.col("y_") + carried).drop("l_", "b_", "y_", "e_", "c_")
+    carried = [F.coalesce(F.col(f"c_.y{i}_") * F.exp(-passed), F.lit(0.0)) for i in range(len(names))]
+    return d.select(*own, *((a + b).alias(n) for a, b, n in zip(y, carried, names)))
 
 
 def ewm(
-    df: DataFrame, keys: list[str], order: str, x: str, alpha: float, out: str, adjust: bool = False, min_periods: int = 1
+    df: DataFrame, keys: list[str], order: str, x: str | list[str], alpha: float, out: str | list[str], adjust: bool = False, min_periods: int = 1
 ) -> DataFrame:
     """Adds the exponentially weighted mean of x; weights go on decaying over nulls, where the mean is carried.
 
-    adjust=True divides the weighted sum by the sum of weights. adjust=False mixes each value into
-    the mean with alpha, against a weight that has decayed once for each row since the last value.
+    adjust=True divides the weighted sum by the sum of weights; several columns then share one
+    scan. adjust=False mixes each value into the mean with alpha, against a weight that has decayed
+    once for each row since the last value.
     """
+    xs, outs = ([x], [out]) if isinstance(x, str) else (x, out)
     w = Window.partitionBy(*keys).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    keep = 1.0 - alpha
-    has = F.col(x).isNotNull()
-    d = df.withColumn("n_", F.count(x).over(upto))
+    own, keep = df.columns, 1.0 - alpha
+    enough = lambda i, y: F.when(F.col(f"n{i}_") >= min_periods, y)
     if adjust:
-        d = d.withColumn("d_", F.lit(keep)).withColumn("g1_", F.coalesce(F.col(x).cast("double"), F.lit(0.0)))
-        d = d.withColumn("g2_", F.when(has, 1.0).otherwise(0.0))
-        d = scan(scan(d, keys, order, "d_", "g1_", "s1_"), keys, order, "d_", "g2_", "s2_")
-        y = F.col("s1_") / F.nullif("s2_", F.lit(0.0))
-        spare = ["d_", "g1_", "g2_", "s1_", "s2_", "n_"]
-    else:
-        d = d.withColumn("p_", F.row_number().over(w))
-        d = d.withColumn("q_", F.last(F.when(has, F.col("p_")), ignorenulls=True).over(before))
+        gains = {f"s{i}_": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(xs)}
+        gains |= {f"w{i}_": F.when(F.col(c).isNotNull(), 1.0).otherwise(0.0) for i, c in enumerate(xs)}
+        d = df.select("*", *(F.count(c).over(upto).alias(f"n{i}_") for i, c in enumerate(xs)))
+        d = scan(d, keys, order, F.lit(keep), gains)
+        return d.select(*own, *(enough(i, F.col(f"s{i}_") / F.nullif(f"w{i}_", F.lit(0.0))).alias(o) for i, o in enumerate(outs)))
+    d = df
+    for c, o in zip(xs, outs):
+        has, kept = F.col(c).isNotNull(), d.columns
+        d = d.select("*", F.count(c).over(upto).alias("n0_"), F.row_number().over(w).alias("p_"))
+        d = d.select("*", F.last(F.when(has, F.col("p_")), ignorenulls=True).over(before).alias("q_"))
         old = F.pow(F.lit(keep), F.col("p_") - F.col("q_"))
-        d = d.withColumn("d_", F.when(has & F.col("q_").isNotNull(), old / (old + alpha)).otherwise(1.0))
-        gain = F.when(has, F.when(F.col("q_").isNull(), F.col(x)).otherwise(F.col(x) * alpha / (old + alpha))).otherwise(0.0)
-        d = scan(d.withColumn("g1_", gain.cast("double")), keys, order, "d_", "g1_", "s1_")
-        y = F.col("s1_")
-        spare = ["d_", "g1_", "s1_", "n_", "p_", "q_"]
-    return d.withColumn(out, F.when(F.col("n_") >= min_periods, y)).drop(*spare)
+        decay = F.when(has & F.col("q_").isNotNull(), old / (old + alpha)).otherwise(1.0)
+        gain = F.when(has, F.when(F.col("q_").isNull(), F.col(c)).otherwise(F.col(c) * alpha / (old + alpha))).otherwise(0.0)
+        d = scan(d, keys, order, decay, {"s0_": gain.cast("double")})
+        d = d.select(*kept, enough(0, F.col("s0_")).alias(o))
+    return d

@@ -60,8 +60,7 @@ def with_rsi(df: DataFrame, period: int, key: str = "symbol", out: str | None =
     up = F.when(F.col("step_").isNotNull(), F.greatest("step_", F.lit(0.0)))
     down = F.when(F.col("step_").isNotNull(), F.greatest(-F.col("step_"), F.lit(0.0)))
     d = d.withColumns({"up_": up, "down_": down})
-    for x in ("up_", "down_"):
-        d = W.ewm(d, [key], "open_time", x, 1 / period, f"avg_{x}", adjust=True, min_periods=period)
+    d = W.ewm(d, [key], "open_time", ["up_", "down_"], 1 / period, ["avg_up_", "avg_down_"], adjust=True, min_periods=period)
     rsi = 100 - 100 / (1 + W.ratio("avg_up_", "avg_down_"))
     return d.withColumn(out or f"rsi_{period}", rsi).drop("step_", "up_", "down_", "avg_up_", "avg_down_")
 
@@ -229,10 +228,11 @@ def wilder_rsi(candles: DataFrame, period: int = 14, key: str = "symbol") -> Dat
     d = d.withColumns({"up_": F.greatest("step_", F.lit(0.0)), "down_": F.greatest(-F.col("step_"), F.lit(0.0))})
     first = w.rowsBetween(-(period - 1), 0)
     n = F.col("n_")
-    for x in ("up_", "down_"):
-        gain = F.when(n == period + 1, F.avg(x).over(first)).when(n > period + 1, F.col(x) / period).otherwise(0.0)
-        d = d.withColumn("g_", gain).withColumn("d_", F.when(n > period + 1, 1 - 1 / period).otherwise(1.0))
-        d = W.scan(d, [key], "open_time", "d_", "g_", f"avg{x}")
+    d = d.withColumns({f"first_{x}": F.avg(x).over(first) for x in ("up_", "down_")})
+    gains = {
+        f"avg{x}": F.when(n == period + 1, F.col(f"first_{x}")).when(n > period + 1, F.col(x) / period).otherwise(0.0) for x in ("up_", "down_")
+    }
+    d = W.scan(d, [key], "open_time", F.when(n > period + 1, 1 - 1 / period).otherwise(1.0), gains)
     rs = F.when(F.col("avgdown_") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("avgup_") / F.nullif("avgdown_", F.lit(0.0))))
     return d.select(key, "open_time", "close", F.when(n >= period + 1, F.bround(rs, 2)).alias("rsi"))
 
