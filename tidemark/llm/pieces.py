@@ -25,7 +25,7 @@ SPACE = "\u2581"
 _LITERAL = "\udfff"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-REMEMBERED, REMEMBERED_LENGTH = 150_000, 14
+REMEMBERED, REMEMBERED_LENGTH = 250_000, 40
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _SLICE = 256
 
