@@ -27,10 +27,14 @@ def document_lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.size(tokens(F.col(text_col))).alias("dl"))
 
 
-def term_weights(post: DataFrame, lengths: DataFrame) -> DataFrame:
+def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, df): in how many documents a term stands, summed where the documents are before it is moved."""
+    return docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def term_weights(df: DataFrame, docs: DataFrame) -> DataFrame:
     """(term, df, idf): ln(N - df + .5) - ln(df + .5), and for negative ones `EPSILON` of the mean over all terms."""
-    n = lengths.agg(F.count("*").alias("n_docs"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    n = docs.agg(F.count("*").alias("n_docs"))
     raw = df.join(F.broadcast(n)).withColumn("raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.agg((F.avg("raw") * EPSILON).alias("floor_"))  # one row
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor_")).otherwise(F.col("raw")).alias("idf"))
@@ -45,7 +49,9 @@ def bm25(queries: DataFrame, post: DataFrame, lengths: DataFrame, weights: DataF
     asked = queries.select("query_id", F.explode(tokens(F.col(query_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     average = lengths.agg(F.avg("dl").alias("avgdl"))  # one row
     # the queries' terms come first, so that postings of other terms are dropped before anything is moved
-    hits = post.join(asked.join(weights, "term"), "term").join(lengths, "id").join(F.broadcast(average))
+    # (a semi-join on the grouping key moves below the postings' aggregation)
+    wanted = post.join(asked.select("term").distinct(), "term", "left_semi")
+    hits = wanted.join(asked.join(weights, "term"), "term").join(lengths, "id").join(F.broadcast(average))
     tf, norm = F.col("tf"), 1 - B + B * F.col("dl") / F.col("avgdl")
     gain = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * norm)
     scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(gain), 6).alias("score"))

@@ -36,13 +36,13 @@ def _bm25(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     post, lengths = R.postings(docs, "doc_id", "text"), R.document_lengths(docs, "doc_id", "text")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.bm25(asked, post, lengths, R.term_weights(post, lengths), N)
+    return R.bm25(asked, post, lengths, R.term_weights(R.document_frequencies(docs, "text"), docs), N)
 
 
 @query(f"{BM} SELECT term, df, round(idf, 6) + 0.0 AS idf FROM idf")
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return rounded(R.term_weights(R.postings(docs, "doc_id", "text"), R.document_lengths(docs, "doc_id", "text")))
+    return rounded(R.term_weights(R.document_frequencies(docs, "text"), docs))
 
 
 @query(f"{BM} SELECT query_id, id, round(score, 4) + 0.0 AS score, rank FROM sparse")
