@@ -334,6 +334,26 @@ def test_near_duplicates_miss_no_pair(spark):
     assert got == groups(dict(rows))
 
 
+def test_near_duplicates_around_the_threshold_miss_no_pair(spark):
+    """Large families whose members are mostly just below the threshold from each bucket's centres."""
+    from test_queries import groups
+
+    rng = random.Random(20)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for size, edits in ((300, 10), (300, 9), (300, 11)):
+        base = [word() for _ in range(600)]
+        for _ in range(size):
+            w = list(base)
+            for at in rng.sample(range(600), edits):
+                w[at] = word()
+            rows.append((len(rows), " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(d).collect()}
+    want = groups(dict(rows))
+    assert 3 < len(set(want.values())) < len(rows) and got == want
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r["root"] for r in neardup.components(e).collect()} == {0} and neardup.components(e).count() == 300

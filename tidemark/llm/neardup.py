@@ -7,11 +7,14 @@
    probability (1 - 0.75^4)^32, about 5 in a million.
 2. Equal sets form a class at once, by a 128-bit digest; only its representative goes on.
 3. A bucket (the representatives that share a band) gives edges from its smallest and from its
-   largest id to every other member: two a member at most, however large the bucket. All bands do
-   so, and members that only meet away from both centres still meet in the many other bands.
+   largest id to every other member: two a member at most, however large the bucket.
 4. Candidate pairs are confirmed on the whole shingle sets, which are computed again for the
-   documents in some pair only.
+   documents in some pair or crowded bucket only.
 5. Components come from alternating large-star and small-star steps, each stored as a table.
+6. A bucket of four or more whose other members are still in several components gets further
+   centres, drawn from all but its most frequent component and `GROWTH` times as many each round,
+   which are compared with every member of another component. Rounds go on until no bucket has
+   members of different components that were not compared, so no pair that shares a band is lost.
 
 Nothing is capped or sampled, and no bucket, class or component is gathered in one task.
 """
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import narrowed, stored
 
 SHINGLE, BINS, ROWS, SIMILARITY = 5, 128, 4, 75
+GROWTH = 4
 _SLICE = 512
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,23 +130,65 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (u < v) out of `reps` (doc_id, n_shingles, bands): star edges of each bucket."""
-    member = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    mark = F.struct("doc_id", "n_shingles")
-    buckets = member.groupBy("key").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"))
-    buckets = buckets.filter(F.col("lo.doc_id") < F.col("hi.doc_id"))
-    edges = member.join(buckets, "key").select(
-        "doc_id", "n_shingles", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("c")
-    )
+def _near(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (u < v) of (doc_id, n_shingles, c) whose sizes allow the similarity."""
     small, large = F.least("n_shingles", "c.n_shingles"), F.greatest("n_shingles", "c.n_shingles")
     return (
-        edges.filter((F.col("doc_id") != F.col("c.doc_id")) & (100 * small >= SIMILARITY * large))
+        pairs.filter((F.col("doc_id") != F.col("c.doc_id")) & (100 * small >= SIMILARITY * large))
         .select(F.least("doc_id", "c.doc_id").alias("u"), F.greatest("doc_id", "c.doc_id").alias("v"))
         .distinct()
     )
 
 
+def bucket_members(reps: DataFrame) -> DataFrame:
+    """Members (key, doc_id, n_shingles) of each bucket of two ids or more, with its centres lo and hi and its size n."""
+    member = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
+    mark = F.struct("doc_id", "n_shingles")
+    buckets = member.groupBy("key").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.count("*").alias("n"))
+    return member.join(buckets.filter(F.col("lo.doc_id") < F.col("hi.doc_id")), "key")
+
+
+def candidate_pairs(members: DataFrame) -> DataFrame:
+    """Star edges of each bucket out of `bucket_members`."""
+    return _near(members.select("doc_id", "n_shingles", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("c")))
+
+
+def confirmed_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) that are similar on their whole sets (doc_id, shingles)."""
+    left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
+    right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
+    return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(_confirmed, "u long, v long")
+
+
+def joined_up(members: DataFrame, compared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """`roots` after all pairs of different components that share a bucket of `members` were compared.
+
+    `members` (key, doc_id, n_shingles) leaves out those that were centres; `compared` has the pairs done.
+    """
+    centres = 1
+    while True:
+        centres *= GROWTH
+        m = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        m = m.withColumn("root", F.coalesce("root", "doc_id"))
+        sizes = m.groupBy("key", "root").agg(F.count("*").alias("n"))
+        split = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+        split = split.filter("n > top.n").select("key", "top.root", (F.col("n") - F.col("top.n")).alias("others"))
+        split = split.withColumnRenamed("root", "most")
+        drawn = F.pmod(F.xxhash64("doc_id", "key"), F.col("others")) < centres
+        m = m.join(split, "key").withColumn("centre", (F.col("root") != F.col("most")) & drawn).drop("most", "others")
+        m = stored(m, "open")
+        if m.isEmpty():
+            return roots
+        c = m.filter("centre").select("key", F.struct("doc_id", "n_shingles", "root").alias("c"))
+        pairs = _near(m.join(c, "key").filter(F.col("root") != F.col("c.root")))
+        pairs = stored(pairs.join(compared, ["u", "v"], "left_anti"), "pairs")
+        links = stored(confirmed_links(pairs, sets), "links")
+        if not links.isEmpty():
+            roots = components(links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        compared = compared.unionByName(pairs)
+        members = m.filter(~F.col("centre")).select("key", "doc_id", "n_shingles")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node that isn't the least of its component, out of edges (u, v)."""
     edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -179,16 +225,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = stored(copies, "copies")
     reps = sketches.filter("set_key is not null").join(copies, "set_key", "left")
     reps = reps.filter(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
-    pairs = stored(candidate_pairs(reps), "pairs")
+    members = stored(bucket_members(reps), "buckets")
+    pairs = stored(candidate_pairs(members), "pairs")
+    # in buckets of up to three, the centres' edges are all pairs
+    inner = members.filter((F.col("n") > 3) & (F.col("doc_id") != F.col("lo.doc_id")) & (F.col("doc_id") != F.col("hi.doc_id")))
+    inner = inner.select("key", "doc_id", "n_shingles")
 
     # `wanted` grows with the input, so it is merged at every size
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct().hint("merge")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).unionByName(inner.select("doc_id"))
+    wanted = wanted.distinct().hint("merge")
     sets = stored(d.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets", "none")
-    left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b")
-    links = both.mapInArrow(_confirmed, "u long, v long")
-    roots = components(links)
+    roots = joined_up(inner, pairs, sets, components(confirmed_links(pairs, sets)))
 
     out = sketches.drop("bands").join(copies, "set_key", "left")
     out = out.withColumn("rep", F.coalesce("rep", "doc_id")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
