@@ -77,7 +77,7 @@ def with_norm(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 def dense(queries: DataFrame, vectors: DataFrame, n: int, vector: str = "embedding") -> DataFrame:
     """(query_id, id, sim, rank): the `n` nearest vectors of each query by exact cosine.
 
-    All vectors are scanned against the table of queries, which is what has to be small.
+    All vectors are scanned against all queries: a broadcast where Spark finds one side small, else block by block.
     """
     q = with_norm(queries, vector).select("query_id", F.col(vector).alias("q_"), F.col("norm").alias("qn_"))
     v = with_norm(vectors, vector)
