@@ -1,6 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, within each row.
 
-Candidates are long runs of token characters with a digit, and quoted values after `=` or `:`. The
+Candidates are long runs of token characters with a digit, quoted values after `=` or `:`, unquoted
+values of 8 characters or more assigned to a secret word, keys with a known prefix, and the passwords
+of URLs. The
 forest is trained from labelled findings (a generated set with the usual shapes of secrets and of
 what only looks like them, or the caller's own) on length, character transitions, dictionary
 coverage, path and neighbouring words. Its trees are then written as nested CASE expressions, so
@@ -19,8 +21,19 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 
+#: How keys of known services begin, with what follows.
+PREFIXED = (
+    r"(?:A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[opsur]_[A-Za-z0-9]{16,}+|github_pat_\w{16,}+|glpat-[\w-]{16,}+|xox[abeoprs]-[\w-]{8,}+"
+    r"|sk-[\w-]{16,}+|[prs]k_(?:live|test)_[A-Za-z0-9]{8,}+|AIza[\w-]{30,}+|npm_[A-Za-z0-9]{30,}+|hf_[A-Za-z0-9]{20,}+)"
+)
+#: A URL up to its password.
+USER = r"""://[^\s:/@"']{0,40}:"""
 CANDIDATE = (
-    r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}"
+    r"(?<=[=:] ?)(?<=(?i:token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private)[A-Za-z0-9_.-]{0,16}[\"']? ?[=:] ?)"
+    r"""(?![A-Za-z][A-Za-z0-9+.-]*+://)[^\s"']{8,}(?<![.,;:!?)\]}>])"""
+    rf"""|(?<=:)(?<={USER})[^\s/"']+(?=@)"""
+    rf"|(?<![A-Za-z0-9]){PREFIXED}"
+    r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}"
     r"""|(?<=[=:] ?["'])[^\s"']{8,}+(?=["'])"""
 )
 LEFT, RIGHT = 48, 16
@@ -41,7 +54,7 @@ SECRET_WORDS = r"(?i)token|secret|passw|pwd|api.?key|access.?key|auth|bearer|cre
 PLAIN_WORDS = r"(?i)commit|sha\d|md5|checksum|digest|hash|uuid|guid|isbn|phone|tel|card|order|invoice|ticket|revision|rev\b|blob|tree|build"
 FEATURES = (
     "length", "transitions", "digits", "distinct", "hex", "letter_pairs", "dictionary", "path", "secret_word", "assigned",
-    "plain_word", "quoted", "repeat_char",
+    "plain_word", "quoted", "repeat_char", "prefix", "url_password",
 )
 
 
@@ -66,6 +79,8 @@ def features(value: Column, left: Column, right: Column) -> Column:
         flag(left.rlike(PLAIN_WORDS) | right.rlike(PLAIN_WORDS)),
         flag(left.rlike("[\"']$")),
         flag(value.rlike(r"(?i)(.)\1{4}|0123|1234|abcd")),
+        flag(value.rlike(f"^{PREFIXED}")),
+        flag(left.rlike(f"{USER}$")),
     )
 
 
@@ -86,6 +101,16 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     uuid = F.concat_ws("-", *(F.substring(sha, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     hexes = F.when(number("up", 0, 3) == 0, F.upper(F.substring(sha, 1, 40))).otherwise(F.substring(F.concat(sha, F.md5(sha)), F.lit(1), pick("hl", 32, 40, 40, 64)))
     empty = F.lit("")
+    letters = lambda c: F.translate(c, "0123456789", "ghijkmnpqr")
+    stem = pick("st", "hunter", "Tr0ub4dor", "dragon", "S3cr3t", "Winter", "monkey", "sunshine", "correct", "Pa55w0rd", "blueberry")
+    human = F.concat(stem, pick("sy", "", "&", "!", "#", "", "-", "@"), number("hu", 1, 99).cast("string"), pick("en", "x", "!", "Pw", "hunter2", "Rain", "$9"))
+    human = F.when(F.length(human) < 8, F.concat(human, F.lit("Kq7"))).otherwise(human)
+    secret_name = F.concat(pick("sn", "", "db_", "my_", "DB_"), name)
+    site = F.concat(pick("sch", "postgres://", "https://", "mysql://", "redis://", "amqp://"), pick("us", "u", "admin", "user", "app", ""), F.lit(":"))
+    keys = F.concat(pick("px", "ghp_", "sk-", "xoxb-", "glpat-", "npm_", "hf_"), letters(F.substring(plain, 1, 40)))
+    plain_text = pick("pt", "required", "everything", "available", "following", "necessary", "something", "mandatory", "undefined", "optional", "generated", "forgotten", "therefore")
+    reference = pick("rf", "settings.", "config.", "os.environ.", "self.", "process.env.", "${", "<your_", "{{")
+    reference = F.concat(reference, pick("r1", "get_token()", "DB_PASSWORD", "api_key", "secret_key", "password", "access_token", "token_value"))
     shapes = [
         (1.0, hexes, F.concat(prose, name, join, quote), quote),
         (1.0, F.substring(plain, F.lit(1), number("n", 20, 43)), F.concat(prose, name, join, quote), quote),
@@ -93,6 +118,16 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (1.0, hexes, F.concat(F.upper(name), F.lit(" = "), quote), quote),
         (1.0, F.substring(plain, F.lit(1), number("n", 9, 18)), F.concat(pick("pw", "password", "passwd", "pwd"), join, quote), quote),
         (1.0, F.substring(plain, F.lit(1), number("n", 28, 43)), pick("be", "Authorization: Bearer ", "auth: Bearer ", "bearer "), empty),
+        (1.0, human, F.concat(pick("pr", "", "and the ", "export "), secret_name, join), empty),
+        (1.0, letters(F.substring(plain, F.lit(1), number("n", 12, 30))), F.concat(secret_name, join), empty),
+        (1.0, F.concat(F.lit("AKIA"), F.upper(letters(F.substring(sha, 1, 16)))), pick("ak", "", "key ", "aws_key=", "id: ", "the ", "access_key_id = "), empty),
+        (1.0, keys, pick("kl", "", "key ", "use ", "the ", "curl -H ", "x="), empty),
+        (1.0, human, F.concat(pick("db", "", "DATABASE_URL=", "at ", "url: "), site), F.lit("@db.example/main")),
+        (0.0, plain_text, F.concat(prose, secret_name, pick("j2", ": ", "=", " = ", ":")), pick("e2", "", " by the", ".")),
+        (0.0, reference, F.concat(pick("pr", "", "and the ", "export "), secret_name, join), pick("e3", "", ",", ")")),
+        (0.0, pick("up", "${DB_PASSWORD}", "<password>", "{password}", "PASSWORD", "password", "your_password"), F.concat(pick("db", "", "DATABASE_URL=", "at ", "url: "), site), F.lit("@db.example/main")),
+        (0.0, F.concat(pick("px", "sk-", "hf_", "npm_"), F.array_join(F.array(*(pick(f"w{k}", *WORDS.split()) for k in range(4))), "-")), prose, empty),
+        (0.0, F.concat(pick("vn", "AWS_S3_", "DB2_", "APP_V2_", "OAUTH2_", "K8S_", "S3_"), F.upper(name), pick("ve", "_ACCESS_KEY", "_NAME", "_VALUE", "")), pick("vl", "", "export ", "set ", "the "), pick("vr", '="', " = ", "=", ": ")),
         (0.0, sha, F.concat(prose, pick("vc", "commit ", "sha1 ", "revision ", "tree ", "blob ", "checksum: ", "md5: ")), pick("e", "", " on main", ".")),
         (0.0, number_text, F.concat(prose, pick("nn", "", "order ", "card ", "ticket ", "invoice: ")), empty),
         (0.0, words, F.concat(prose, pick("ur", "https://host.example/docs/", "/usr/share/", "see ", "the file ", "call ")), empty),
