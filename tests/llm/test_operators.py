@@ -317,6 +317,15 @@ def test_short_prefixed_and_url_secrets_are_candidates_and_found(spark, trees):
     assert [got[i]["redacted"] for i in range(4, len(texts))] == plain
 
 
+def test_context_reaches_over_other_candidates(spark):
+    """A tree that asks only for a secret word to the left finds what stands after other candidates."""
+    k = sec.FEATURES.index("secret_word")
+    tree = f"tree\n If (feature {k} <= 0.5)\n  Predict: 0.0\n Else (feature {k} > 0.5)\n  Predict: 1.0"
+    texts = ['AWS_S3_SECRET_ACCESS_KEY="wJalrXUtnFEMI7K7MDENGbPxRfiCY"', 'tokens = ["a9f3c1d27b0451ef", "b07e5d91ac3321ff"]']
+    got = sec.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [tree]).collect()
+    assert {r["doc_id"]: r["redacted"] for r in got} == {0: 'AWS_S3_SECRET_ACCESS_KEY="[secret]"', 1: 'tokens = ["[secret]", "[secret]"]'}
+
+
 # 10 -----------------------------------------------------------------------------------------
 def test_shingles_equal_sets_of_words():
     for t in (None, "", "  ", "a", "a b c d", "A b c d e", "a b c d e f", "x y " * 40):

@@ -33,7 +33,8 @@ CANDIDATE = (
     r"""(?![A-Za-z][A-Za-z0-9+.-]*+://)[^\s"']{8,}(?<![.,;:!?)\]}>])"""
     rf"""|(?<=:)(?<={USER})[^\s/"']+(?=@)"""
     rf"|(?<![A-Za-z0-9]){PREFIXED}"
-    r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}"
+    r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+"
+    r"""(?:={1,2}(?![A-Za-z0-9_+/=$-]|["'][^\s"',;:)\]}>.]))?"""  # padding, not an assignment
     r"""|(?<=[=:] ?["'])[^\s"']{8,}+(?=["'])"""
 )
 LEFT, RIGHT = 48, 16
@@ -184,12 +185,21 @@ def scan(docs: DataFrame, trees: list[str], id_col: str = "doc_id", text_col: st
     )
     between = F.when(F.size("found") > 0, F.split("text", CANDIDATE, -1)).otherwise(F.array(F.coalesce("text", F.lit(""))))
     d = d.withColumn("between", between)
-    seen = F.transform(
-        "found",
-        lambda v, i: F.struct(
-            v.alias("value"), F.right(F.get("between", i), F.lit(LEFT)).alias("left"), F.left(F.get("between", i + 1), F.lit(RIGHT)).alias("right")
-        ),
-    )
+    # a candidate and what is needed around it have 6 characters or more: so many pieces hold the context
+    before, after = LEFT // 6, RIGHT // 6 + 1
+
+    def pieces(at: Column, n: Column, size: int, cut) -> Column:
+        """Texts between candidates with the candidate that follows each, joined from piece `at`."""
+        joined = F.zip_with(F.slice("between", at + 1, n), F.slice("found", at + 1, n), lambda b, v: F.concat(cut(b, F.lit(size)), cut(F.coalesce(v, F.lit("")), F.lit(size))))
+        return F.array_join(joined, "")
+
+    def around(v: Column, i: Column) -> Column:
+        first = F.greatest(i - before, F.lit(0))
+        left = F.concat(pieces(first, i - first, LEFT, F.right), F.right(F.get("between", i), F.lit(LEFT)))
+        right = pieces(i + 1, F.lit(after + 1), RIGHT, F.left)
+        return F.struct(v.alias("value"), F.right(left, F.lit(LEFT)).alias("left"), F.left(right, F.lit(RIGHT)).alias("right"))
+
+    seen = F.transform("found", around)
     d = d.withColumn("x", F.transform(seen, lambda c: features(c.value, c.left, c.right)))
 
     def share(x: Column) -> Column:
