@@ -4,19 +4,21 @@ Features are hashed character 1- to 3-grams of the text's letters (other runs co
 square roots of their counts, scaled to unit length. A squared-hinge linear SVM per pair of
 families votes for the family; inside it one per pair of languages votes for the language. The
 models are fitted on the driver from at most `per_language` labelled documents of each language,
-those with the least hash of their id; all documents are predicted from their whole texts.
+those with the least hash of their id and text; all documents are predicted from their whole texts.
+
+A letter is a code point of a Unicode category L* (`_letters`), in training, prediction and `und`
+alike: numerals such as \u00b2, \u00bd or \u2167, marks and symbols are none.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
+from itertools import combinations, groupby, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import narrowed
@@ -32,20 +34,25 @@ DIMS = 4096
 PER_LANGUAGE = 400
 UNKNOWN = "und"
 _SLICE = 256
-_LETTER = re.compile(r"[^\W\d_]")
+#: How many times `per_language` rows are asked for, as counts of distinct rows are off by some percent.
+_SPARE = 1.25
 
 
 @cache
 def _letters() -> np.ndarray:
-    """For each code point whether it is a letter."""
+    """For each code point whether it is a letter (str.isalpha: the categories Lu, Ll, Lt, Lm and Lo)."""
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
 def features(text: str | None) -> np.ndarray | None:
     """Unit vector of a text, None if it has no letter."""
-    if not text or not _LETTER.search(text):
+    if not text or not _letters()[_points(text)].any():
         return None
-    c = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+    c = _points(text.lower())
     c = np.where(_letters()[c], c, np.uint32(32))
     blank = c == 32
     c = c[~(blank & np.append(True, blank[:-1]))]
@@ -125,28 +132,40 @@ def held_out(doc_id: Column) -> Column:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for lang, h, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             if (v := features(text)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([v.tobytes()])], names=["lang", "v"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang]), pa.array([h]), pa.array([v.tobytes()])], names=["lang", "h", "v"]
+                )
 
 
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE
 ) -> HierarchicalModel | None:
-    """Fitted from the `per_language` documents of each language whose ids hash least; None without any."""
+    """Fitted from the `per_language` documents of each language whose ids and texts hash least; None without any.
+
+    Of repeated rows one counts. Documents without a letter teach nothing. The driver gets some
+    `per_language` vectors of each language, however large the table: a first pass counts the
+    distinct rows of each language, the second keeps rows whose hash lies below the share wanted.
+    """
     known = narrowed(docs, id_col, text_col, lang_col).withColumnRenamed(lang_col, "lang")
-    known = known.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = F.xxhash64(F.lit("lid"), F.col("doc_id"))
-    ranked = known.select("doc_id", "lang", order.alias("h")).withColumn(
-        "r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    )
-    chosen = ranked.filter(F.col("r") <= per_language).select("doc_id", "lang").distinct()
-    # at most `per_language` rows a language
-    sample = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
-    rows = sorted((r["lang"], bytes(r["v"])) for r in sample.mapInArrow(_vectors, "lang string, v binary").collect())
+    known = known.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    h = F.shiftrightunsigned(F.xxhash64(F.lit("lid"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 2)
+    known = known.select("lang", h.alias("h"), "text")
+    # one row a language
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h", 0.03).alias("n")).collect()}
+    if not sizes:
+        return None
+    limit = F.coalesce(*(
+        F.when(F.col("lang") == lang, F.lit(int(min(1.0, (_SPARE * per_language + 50) / max(1, n)) * 2**62)))
+        for lang, n in sorted(sizes.items())
+    ))
+    vectors = known.filter(F.col("h") <= limit).mapInArrow(_vectors, "lang string, h long, v binary")
+    rows = sorted((r["lang"], r["h"], bytes(r["v"])) for r in vectors.dropDuplicates(["lang", "h"]).collect())
+    rows = [r for _, same in groupby(rows, lambda r: r[0]) for r in islice(same, per_language)]
     if not rows:
         return None
-    return HierarchicalModel(np.stack([np.frombuffer(v, np.float32) for _, v in rows]), [lang for lang, _ in rows])
+    return HierarchicalModel(np.stack([np.frombuffer(v, np.float32) for *_, v in rows]), [lang for lang, *_ in rows])
 
 
 def predict_languages(
