@@ -4,17 +4,19 @@
    `BINS` bins and each bin keeps its least hash. An empty bin copies the bin that a random order of
    its own reaches first among the filled ones, so small sets keep independent bins. `BINS` values
    are cut into bands of `ROWS`; a pair at the threshold of 0.75 shares no band of the 32 with
-   probability (1 - 0.75^4)^32, about 5 in a million.
+   probability (1 - 0.75^4)^32, about 5 in a million. Each row gets a number, so that rows which
+   repeat an id are nodes of their own.
 2. Equal sets form a class at once, by a 128-bit digest; only its representative goes on.
 3. A bucket (the representatives that share a band) gives edges from its smallest and from its
-   largest id to every other member: two a member at most, however large the bucket.
+   largest row to every other member: two a member at most, however large the bucket.
 4. Candidate pairs are confirmed on the whole shingle sets, which are computed again for the
    documents in some pair or crowded bucket only.
 5. Components come from alternating large-star and small-star steps, each stored as a table.
-6. A bucket of four or more whose other members are still in several components gets further
-   centres, drawn from all but its most frequent component and `GROWTH` times as many each round,
-   which are compared with every member of another component. Rounds go on until no bucket has
-   members of different components that were not compared, so no pair that shares a band is lost.
+6. What the stars leave open is settled exactly: a bucket whose other members are still in several
+   components is cut into blocks of bounded size, those of its most frequent component apart from
+   the rest. Each block of the rest meets each other block in a task of its own, which counts all
+   intersections by matrix products and returns no pair but a spanning forest of the new links. So
+   no pair that shares a band is lost, and no pair is a row of a table.
 
 Nothing is capped or sampled, and no bucket, class or component is gathered in one task.
 """
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import narrowed, stored
 
 SHINGLE, BINS, ROWS, SIMILARITY = 5, 128, 4, 75
-GROWTH = 4
-_SLICE = 512
+#: What a block holds: shingles and members, in expectation.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 17, 512
+_SLICE, _COLUMNS = 512, 4096
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,22 +92,19 @@ def band_keys(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     orders = _orders(BINS)
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))]
-    )
     for batch in batches:
         for at in range(0, batch.num_rows, _SLICE):
             part = batch.slice(at, _SLICE)
             ids, sizes, keys, bands = part.column(0), [], [], []
-            for doc_id, text in zip(ids.to_pylist(), part.column(1).to_pylist()):
+            for known, text in zip(ids.is_valid().to_pylist(), part.column(2).to_pylist()):
                 s = shingle_set(text)
                 sizes.append(len(s))
-                linked = len(s) and doc_id is not None
+                linked = known and len(s) > 0
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if linked else None)
                 bands.append(band_keys(signature(s, orders)) if linked else None)
+            columns = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                schema=schema,
+                [ids, part.column(1), *columns], names=["doc_id", "text_hash", "n_shingles", "set_key", "bands"]
             )
 
 
@@ -113,7 +113,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, _SLICE):
             part = batch.slice(at, _SLICE)
             sets = [shingle_set(t).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["row", "shingles"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,63 +130,120 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
 
-def _near(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs (u < v) of (doc_id, n_shingles, c) whose sizes allow the similarity."""
-    small, large = F.least("n_shingles", "c.n_shingles"), F.greatest("n_shingles", "c.n_shingles")
-    return (
-        pairs.filter((F.col("doc_id") != F.col("c.doc_id")) & (100 * small >= SIMILARITY * large))
-        .select(F.least("doc_id", "c.doc_id").alias("u"), F.greatest("doc_id", "c.doc_id").alias("v"))
-        .distinct()
-    )
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets in `a` with all in `b`, by products of 0-1 matrices some columns at a time."""
+    token, column, times = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    name = np.cumsum(times > 1) - 1  # a shingle that only one set has adds to no intersection
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    of = times[column] > 1
+    row, column = row[of], name[column[of]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, int(name[-1]) + 1, _COLUMNS):
+        here = slice(*np.searchsorted(column, (low, low + _COLUMNS)))
+        grid = np.zeros((len(a) + len(b), min(_COLUMNS, int(name[-1]) + 1 - low)), np.float32)
+        grid[row[here], column[here] - low] = 1
+        out += grid[: len(a)] @ grid[len(a) :].T
+    return out.astype(np.int64)
+
+
+def forest(roots_a: np.ndarray, roots_b: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links between different roots that join all that `linked` joins, without a cycle."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := top.get(x, x)) != x:
+            top[x] = top.get(y, y)
+            x = y
+        return x
+
+    out = []
+    at = np.nonzero(linked & (roots_a[:, None] != roots_b))
+    edges = np.stack([np.minimum(roots_a[at[0]], roots_b[at[1]]), np.maximum(roots_a[at[0]], roots_b[at[1]])], axis=1)
+    for u, v in np.unique(edges, axis=0).tolist():
+        x, y = find(u), find(v)
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append((u, v))
+    return out
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one or two blocks (lists of root and shingles): links between the members' roots."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            blocks = batch.column(0)[k].values
+            parts = []
+            for n in range(len(blocks)):
+                members = blocks[n].values
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in members.field("shingles")]
+                parts.append((members.field("root").to_numpy(), sets, np.array([len(x) for x in sets])))
+            (ra, a, na), (rb, b, nb) = parts[0], parts[-1]
+            common = overlaps(a, b)
+            links = forest(ra, rb, 100 * common >= SIMILARITY * (na[:, None] + nb - common))
+            if links:
+                u, v = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
-    """Members (key, doc_id, n_shingles) of each bucket of two ids or more, with its centres lo and hi and its size n."""
-    member = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    mark = F.struct("doc_id", "n_shingles")
-    buckets = member.groupBy("key").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.count("*").alias("n"))
-    return member.join(buckets.filter(F.col("lo.doc_id") < F.col("hi.doc_id")), "key")
+    """Members (key, row, n_shingles) of each bucket of two rows or more, with its centres lo and hi and its size n."""
+    member = reps.select("row", "n_shingles", F.explode("bands").alias("key"))
+    end = lambda of, by: F.struct(of("row").alias("row"), by("n_shingles", "row").alias("n_shingles"))
+    buckets = member.groupBy("key").agg(end(F.min, F.min_by).alias("lo"), end(F.max, F.max_by).alias("hi"), F.count("*").alias("n"))
+    return member.join(buckets.filter(F.col("n") > 1), "key")
 
 
 def candidate_pairs(members: DataFrame) -> DataFrame:
-    """Star edges of each bucket out of `bucket_members`."""
-    return _near(members.select("doc_id", "n_shingles", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("c")))
+    """Star edges (u < v) of each bucket out of `bucket_members` whose sizes allow the similarity, each once."""
+    pairs = members.select("row", "n_shingles", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("c"))
+    small, large = F.least("n_shingles", "c.n_shingles"), F.greatest("n_shingles", "c.n_shingles")
+    return (
+        pairs.filter((F.col("row") != F.col("c.row")) & (100 * small >= SIMILARITY * large))
+        .select(F.least("row", "c.row").alias("u"), F.greatest("row", "c.row").alias("v"))
+        .distinct()
+    )
 
 
 def confirmed_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are similar on their whole sets (doc_id, shingles)."""
-    left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
+    """The pairs (u, v) that are similar on their whole sets (row, shingles)."""
+    left = sets.select(F.col("row").alias("u"), F.col("shingles").alias("a"))
+    right = sets.select(F.col("row").alias("v"), F.col("shingles").alias("b"))
     return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(_confirmed, "u long, v long")
 
 
-def joined_up(members: DataFrame, compared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """`roots` after all pairs of different components that share a bucket of `members` were compared.
+def remaining_links(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links (u, v) between roots that join all similar members of different components in a bucket.
 
-    `members` (key, doc_id, n_shingles) leaves out those that were centres; `compared` has the pairs done.
+    `members` (key, row, n_shingles) leaves out those that were compared with all others.
     """
-    centres = 1
-    while True:
-        centres *= GROWTH
-        m = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        m = m.withColumn("root", F.coalesce("root", "doc_id"))
-        sizes = m.groupBy("key", "root").agg(F.count("*").alias("n"))
-        split = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
-        split = split.filter("n > top.n").select("key", "top.root", (F.col("n") - F.col("top.n")).alias("others"))
-        split = split.withColumnRenamed("root", "most")
-        drawn = F.pmod(F.xxhash64("doc_id", "key"), F.col("others")) < centres
-        m = m.join(split, "key").withColumn("centre", (F.col("root") != F.col("most")) & drawn).drop("most", "others")
-        m = stored(m, "open")
-        if m.isEmpty():
-            return roots
-        c = m.filter("centre").select("key", F.struct("doc_id", "n_shingles", "root").alias("c"))
-        pairs = _near(m.join(c, "key").filter(F.col("root") != F.col("c.root")))
-        pairs = stored(pairs.join(compared, ["u", "v"], "left_anti"), "pairs")
-        links = stored(confirmed_links(pairs, sets), "links")
-        if not links.isEmpty():
-            roots = components(links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-        compared = compared.unionByName(pairs)
-        members = m.filter(~F.col("centre")).select("key", "doc_id", "n_shingles")
+    m = members.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    sizes = m.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    split = sizes.groupBy("key").agg(
+        F.max(F.struct("n", "root", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")
+    ).filter("n > top.n")
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK_MEMBERS, s / BLOCK_SHINGLES)).cast("int")
+    split = split.select(
+        "key", F.col("top.root").alias("most"), blocks(F.col("top.n"), F.col("top.s")).alias("n_most"),
+        blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("n_rest"),
+    )
+    draw = lambda n: F.pmod(F.xxhash64("row", "key"), F.col(n)).cast("int")
+    # blocks of the rest are numbered from 0, those of the most frequent component after them
+    block = F.when(F.col("root") == F.col("most"), F.col("n_rest") + draw("n_most")).otherwise(draw("n_rest"))
+    open_ = stored(m.join(split, "key").select("key", "row", "root", "n_rest", "n_most", block.alias("block")), "open")
+    whole = open_.join(sets, "row").groupBy("key", "block").agg(
+        F.collect_list(F.struct("root", "shingles")).alias("members"), F.first("n_rest").alias("n_rest"), F.first("n_most").alias("n_most")
+    )
+    others = F.when(F.col("block") < F.col("n_rest"), F.sequence(F.lit(0), F.col("n_rest") + F.col("n_most") - 1)).otherwise(
+        F.sequence(F.lit(0), F.col("n_rest") - 1)
+    )
+    met = whole.select("key", "block", "members", F.explode(others).alias("other"))
+    met = met.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    met = met.agg(F.collect_list("members").alias("blocks"))
+    # a block drawn by no member has no row
+    met = met.filter((F.size("blocks") == 2) | (F.col("i") == F.col("j"))).select("blocks")
+    return met.mapInArrow(_compared, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,42 +266,57 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, text_hash, chosen.
 
     Null, empty and blank texts have no shingles and are linked with nothing; so is a row without
-    an id, whose component is null and which is kept. Rows that repeat an id and its text share a
-    component, and each is kept if that id is; if they differ in text, each row goes by its own.
+    an id, whose component is null and which is kept. Ids are of any type with an order. Rows that
+    repeat an id go each by its own text: with equal texts they share a component, with different
+    ones only if those are similar, and two components may then have one component_id. `kept` says
+    whether the row's id is the component's least; `chosen` holds for one text of each component
+    (its least id's, ties to the least `text_hash`, xxhash64 of the text) and rows that repeat it.
     An empty table gives an empty one; other columns are ignored.
     """
-    d = narrowed(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketches = stored(
-        d.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches"
-    )
-    classes = sketches.filter("set_key is not null").groupBy("set_key")
-    copies = classes.agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").drop("last")
-    copies = stored(copies, "copies")
-    reps = sketches.filter("set_key is not null").join(copies, "set_key", "left")
-    reps = reps.filter(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
+    d = narrowed(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    kind = d.schema["doc_id"].dataType.simpleString()
+    sketches = d.mapInArrow(_sketch, f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, bands array<long>")
+    sketches = stored(sketches.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    linked = sketches.filter("set_key is not null")
+    name = F.struct("doc_id", "text_hash")
+    copies = linked.groupBy("set_key").agg(F.min("row").alias("rep"), F.max("row").alias("last"), F.min(name).alias("least"))
+    copies = stored(copies.filter("rep < last").drop("last"), "copies")
+    reps = linked.join(copies, "set_key", "left").filter(F.col("rep").isNull() | (F.col("rep") == F.col("row")))
     members = stored(bucket_members(reps), "buckets")
     pairs = stored(candidate_pairs(members), "pairs")
     # in buckets of up to three, the centres' edges are all pairs
-    inner = members.filter((F.col("n") > 3) & (F.col("doc_id") != F.col("lo.doc_id")) & (F.col("doc_id") != F.col("hi.doc_id")))
-    inner = inner.select("key", "doc_id", "n_shingles")
+    inner = members.filter((F.col("n") > 3) & (F.col("row") != F.col("lo.row")) & (F.col("row") != F.col("hi.row")))
+    inner = inner.select("key", "row", "n_shingles")
 
     # `wanted` grows with the input, so it is merged at every size
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).unionByName(inner.select("doc_id"))
-    wanted = wanted.distinct().hint("merge")
-    sets = stored(d.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets", "none")
-    roots = joined_up(inner, pairs, sets, components(confirmed_links(pairs, sets)))
-
-    out = sketches.drop("bands").join(copies, "set_key", "left")
-    out = out.withColumn("rep", F.coalesce("rep", "doc_id")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("root", "rep")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("row")).unionByName(inner.select("row")).distinct().hint("merge")
+    wanted = sketches.select("row", "doc_id", "text_hash").join(wanted, "row", "left_semi").hint("merge")
+    sets = d.join(wanted, ["doc_id", "text_hash"]).select("row", "text").mapInArrow(_sets, "row long, shingles binary")
+    repeats = linked.join(copies.select("set_key"), "set_key", "left_semi").groupBy("doc_id", "text_hash").count().filter("count > 1")
+    if not repeats.isEmpty():
+        sets = sets.dropDuplicates(["row"])
+    sets = stored(sets, "sets", "none")
+    roots = components(confirmed_links(pairs, sets))
+    more = stored(remaining_links(inner, sets, roots), "links")
+    if not more.isEmpty():
+        roots = components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+
+    nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    names = reps.select(F.col("row").alias("node"), F.coalesce("least", name).alias("least"))
+    first = nodes.join(names, "node").groupBy("root").agg(F.min("least").alias("first"))
+    nodes = stored(nodes.join(first, "root").select(F.col("node").alias("rep"), "first"), "components")
+    out = sketches.drop("bands").join(copies, "set_key", "left").withColumn("rep", F.coalesce("rep", "row"))
+    out = out.join(nodes, "rep", "left").withColumn("first", F.coalesce("first", "least", name))
     return out.select(
         "doc_id",
         "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.col("first.doc_id").alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.col("first.doc_id"), F.lit(True)).alias("kept"),
+        "text_hash",
+        (F.col("doc_id").isNull() | (name == F.col("first"))).alias("chosen"),
     )
 
 
