@@ -16,21 +16,36 @@ from tidemark.llm.common import stored, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: From this score on, the predicted language replaces another one that the row says.
+SURE = 0.9
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no letter, null text) go; a null lang becomes the predicted one."""
+    """Documents whose language can't be told (no letter, null text) go; the prediction corrects lang.
+
+    A null lang becomes the predicted one; another lang does where the score is `SURE` or more.
+    """
     found = language_id.predict_languages(docs, language_id.fit(docs), keep=("text", "lang", "source", "n_chars"))
     kept = found.filter(F.col("lang_pred") != language_id.UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    lang = F.when(F.col("lang").isNull() | (F.col("score") >= SURE), F.col("lang_pred")).otherwise(F.col("lang"))
+    return kept.withColumn("lang", lang).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id; of rows that repeat an id and text, one.
 
-    Rows without an id belong to no group and stay.
+    Rows go by id and text: another text under the same id is judged on its own. Rows without an id
+    belong to no group and stay, all of them.
     """
     found = stored(neardup.near_duplicates(docs), "near-duplicates")
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    key = ["doc_id", "text_hash"]
+    gone = found.filter(~F.col("chosen")).select(*key).distinct()
+    rows = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("text_hash")).join(gone, key, "left_anti")
+    again = found.filter(F.col("chosen") & F.col("doc_id").isNotNull()).groupBy(*key).count().filter("count > 1").select(*key)
+    if not again.isEmpty():  # rows that repeat an id and text
+        once = rows.join(again, key, "left_semi").dropDuplicates(key)
+        rows = rows.join(again, key, "left_anti").unionByName(once)
+    return rows.select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
