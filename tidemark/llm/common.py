@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set, as in tests."""
+    """The shared folder of the cluster; a temporary one only where none is set and all runs on this machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
     return root.rstrip("/")
 

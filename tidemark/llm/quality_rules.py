@@ -192,19 +192,28 @@ def grow(
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [statistics(t)[1] for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
+        rows = [statistics(t)[1] for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "label", "x"]
+        )
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS
 ) -> Forest:
-    """Trees from the `max_rows` labelled documents whose ids hash least; without any, every score is 0.5."""
+    """Trees from the `max_rows` labelled documents whose ids hash least; without any, every score is 0.5.
+
+    Of rows that repeat a labelled id, one teaches, so the driver gets `max_rows` rows of numbers at most.
+    """
     known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("label")).dropna()
     chosen = known.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id", "label").limit(max_rows)
+    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"))
     # at most `max_rows` ids
-    rows = narrowed(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("label", "text")
-    got = sorted((r["label"], r["x"]) for r in rows.mapInArrow(_features, "label int, x array<double>").collect())
+    rows = narrowed(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    made = rows.mapInArrow(_features, f"doc_id {kind}, label int, x array<double>")
+    made = made.groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("r")).select("r.label", "r.x")
+    got = sorted((r["label"], r["x"]) for r in made.collect())
     x = np.array([v for _, v in got]).reshape(-1, len(FEATURES))
     y = np.array([float(label > 0) for label, _ in got])
     return grow(x, y, [c for _, c in FEATURES])
