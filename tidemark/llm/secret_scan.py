@@ -1,18 +1,21 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, within each row.
 
-Candidates are long runs of token characters with a digit, quoted values after `=` or `:`, unquoted
-values of 8 characters or more assigned to a secret word, keys with a known prefix, and the passwords
-of URLs. The
-forest is trained from labelled findings (a generated set with the usual shapes of secrets and of
+Candidates are private key blocks, long runs of token characters with a digit, quoted values after
+`=` or `:`, unquoted values of 8 characters or more assigned to a secret word, keys with a known
+prefix, signed web tokens, and the passwords of URLs. The forest is trained from labelled findings (a generated set with the usual shapes of secrets and of
 what only looks like them, or the caller's own) on length, character transitions, dictionary
 coverage, path and neighbouring words. Its trees are then written as nested CASE expressions, so
 that all candidates of a text are scored inside its row by native expressions and nothing is
 shuffled, however many secrets one text or source has.
+
+The neighbouring words of a candidate are those that begin within `LEFT` characters before it or
+`RIGHT` after it, other candidates included; text farther away says nothing about it.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
@@ -24,11 +27,19 @@ from tidemark.llm.common import stored
 #: How keys of known services begin, with what follows.
 PREFIXED = (
     r"(?:A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[opsur]_[A-Za-z0-9]{16,}+|github_pat_\w{16,}+|glpat-[\w-]{16,}+|xox[abeoprs]-[\w-]{8,}+"
-    r"|sk-[\w-]{16,}+|[prs]k_(?:live|test)_[A-Za-z0-9]{8,}+|AIza[\w-]{30,}+|npm_[A-Za-z0-9]{30,}+|hf_[A-Za-z0-9]{20,}+)"
+    r"|sk-[\w-]{16,}+|[prs]k_(?:live|test)_[A-Za-z0-9]{8,}+|AIza[\w-]{30,}+|npm_[A-Za-z0-9]{30,}+|hf_[A-Za-z0-9]{20,}+"
+    r"|SG\.[\w-]{16,}+\.[\w-]{16,}+|eyJ[\w-]{8,}+\.[\w-]{4,}+\.[\w-]{8,}+)"
+)
+#: A private key with its lines, also where its end is missing or line feeds are escaped.
+_GAP = r"(?:\s|\\[nr])*+"
+KEY_BLOCK = (
+    rf"-----BEGIN (?:[A-Z0-9]{{2,12}} )?PRIVATE KEY(?: BLOCK)?-----(?:{_GAP}(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*+)*+"
+    rf"(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)*+(?:{_GAP}[A-Za-z0-9+/=]*+{_GAP}-----END [A-Z0-9 ]{{0,30}}-----)?+"
 )
 #: A URL up to its password.
 USER = r"""://[^\s:/@"']{0,40}:"""
 CANDIDATE = (
+    rf"{KEY_BLOCK}|"
     r"(?<=[=:] ?)(?<=(?i:token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private)[A-Za-z0-9_.-]{0,16}[\"']? ?[=:] ?)"
     r"""(?![A-Za-z][A-Za-z0-9+.-]*+://)[^\s"']{8,}(?<![.,;:!?)\]}>])"""
     rf"""|(?<=:)(?<={USER})[^\s/"']+(?=@)"""
@@ -38,7 +49,7 @@ CANDIDATE = (
     r"""|(?<=[=:] ?["'])[^\s"']{8,}+(?=["'])"""
 )
 LEFT, RIGHT = 48, 16
-TREES, DEPTH, SEED, LABELLED, THRESHOLD = 15, 5, 11, 4_000, 0.5
+TREES, DEPTH, SEED, LABELLED, THRESHOLD = 15, 6, 11, 6_000, 0.5
 MARK = "[secret]"
 
 #: Words that make up ordinary identifiers, frequent letter pairs, neighbouring words.
@@ -48,14 +59,14 @@ WORDS = (
     "here hidden image index input insert item label last layout level list load local main message method model module name "
     "node number object option order output page parse path placeholder print process project query record release report "
     "request result row sample schema screen search select server session set size sort source start state status string "
-    "table target template test text time title token type update upload user utils value version view width word write your"
+    "table target template test text time title token type update upload user utils value version view width word write your replace with key"
 )
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch"
 SECRET_WORDS = r"(?i)token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private"
-PLAIN_WORDS = r"(?i)commit|sha\d|md5|checksum|digest|hash|uuid|guid|isbn|phone|tel|card|order|invoice|ticket|revision|rev\b|blob|tree|build"
+PLAIN_WORDS = r"(?i)base64,|integrity|commit|sha\d|md5|checksum|digest|hash|uuid|guid|isbn|phone|tel|card|order|invoice|ticket|revision|rev\b|blob|tree|build"
 FEATURES = (
     "length", "transitions", "digits", "distinct", "hex", "letter_pairs", "dictionary", "path", "secret_word", "assigned",
-    "plain_word", "quoted", "repeat_char", "prefix", "url_password",
+    "plain_word", "quoted", "repeat_char", "prefix", "url_password", "key_block", "code",
 )
 
 
@@ -77,11 +88,13 @@ def features(value: Column, left: Column, right: Column) -> Column:
         flag(F.concat(left, value).rlike(r"(?i)(?:://|www\.|/)[^\s\"']*$") & ~left.rlike(r"[=:]\s?[\"']?$")),
         flag(left.rlike(SECRET_WORDS)),
         flag(left.rlike(r"[=:]\s?[\"']?$|(?i)bearer $")),
-        flag(left.rlike(PLAIN_WORDS) | right.rlike(PLAIN_WORDS)),
+        flag(left.rlike(PLAIN_WORDS) | right.rlike(PLAIN_WORDS) | value.rlike(r"^(?:sha|md)\d+[-:_]")),
         flag(left.rlike("[\"']$")),
         flag(value.rlike(r"(?i)(.)\1{4}|0123|1234|abcd")),
         flag(value.rlike(f"^{PREFIXED}")),
         flag(left.rlike(f"{USER}$")),
+        flag(value.rlike("^-----BEGIN")),
+        flag(value.rlike(r"^[\[({<$%]|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+|\w\(")),
     )
 
 
@@ -108,7 +121,20 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     human = F.when(F.length(human) < 8, F.concat(human, F.lit("Kq7"))).otherwise(human)
     secret_name = F.concat(pick("sn", "", "db_", "my_", "DB_"), name)
     site = F.concat(pick("sch", "postgres://", "https://", "mysql://", "redis://", "amqp://"), pick("us", "u", "admin", "user", "app", ""), F.lit(":"))
-    keys = F.concat(pick("px", "ghp_", "sk-", "xoxb-", "glpat-", "npm_", "hf_"), letters(F.substring(plain, 1, 40)))
+    part = lambda a, n: F.substring(plain, a, n)
+    keys = F.concat(
+        pick("px", "ghp_", "sk-", "xoxb-", "glpat-", "npm_", "hf_", "sk_live_", "rk_live_", "AIza", "github_pat_"),
+        F.when(number("kd", 0, 2) == 0, letters(part(1, 40))).otherwise(part(1, 40)),
+    )
+    slack = F.concat(pick("xo", "xoxb-", "xoxp-", "xoxa-"), F.lpad(F.abs(F.xxhash64(F.lit("s1"), i)).cast("string"), 12, "7"), F.lit("-"), F.lpad(F.abs(F.xxhash64(F.lit("s2"), i)).cast("string"), 12, "3"), F.lit("-"), part(1, 24))
+    web = F.concat(F.lit("eyJhbGciOiJ"), part(3, 12), F.lit("."), pick("wb", "eyJzdWIiOiI", "eyJpc3MiOiJ", "eyJ1c2VyIjoi"), part(9, 18), F.lit("."), part(1, 43))
+    mail = F.concat(F.lit("SG."), part(1, 22), F.lit("."), part(1, 43))
+    block = F.concat(F.lit("-----BEGIN "), pick("pk", "RSA ", "EC ", ""), F.lit("PRIVATE KEY-----\n"), F.repeat(F.concat(mixed, F.lit("\n")), number("bl", 1, 9)), F.lit("-----END PRIVATE KEY-----"))
+    capital = F.upper(F.translate(part(1, 16), "0189", "BCDE"))
+    lead = lambda salt: pick(salt, "", "", "key ", "use ", "the ", "    ", "  - ", "// ", "# note ", "id ", "curl -H ", "x=")
+    syllables = F.transform(F.sequence(F.lit(1), number("sl", 5, 8)), lambda k: F.element_at(F.array(*map(F.lit, "ba co du fi gra hel jan ko lu mer no pra qui ro sto tun vel wa xi zen".split())), (F.pmod(F.xxhash64(F.lit("sy"), i, k), F.lit(20)) + 1).cast("int")))
+    strange = F.call_function("array_join", syllables, pick("sj", "", "_", "/", "-"))
+    strange = F.concat(F.when(F.length(strange) < 15, F.concat(strange, F.lit("manurestovelu"))).otherwise(strange), number("sd", 1, 99).cast("string"))
     plain_text = pick("pt", "required", "everything", "available", "following", "necessary", "something", "mandatory", "undefined", "optional", "generated", "forgotten", "therefore")
     reference = pick("rf", "settings.", "config.", "os.environ.", "self.", "process.env.", "${", "<your_", "{{")
     reference = F.concat(reference, pick("r1", "get_token()", "DB_PASSWORD", "api_key", "secret_key", "password", "access_token", "token_value"))
@@ -121,8 +147,20 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (1.0, F.substring(plain, F.lit(1), number("n", 28, 43)), pick("be", "Authorization: Bearer ", "auth: Bearer ", "bearer "), empty),
         (1.0, human, F.concat(pick("pr", "", "and the ", "export "), secret_name, join), empty),
         (1.0, letters(F.substring(plain, F.lit(1), number("n", 12, 30))), F.concat(secret_name, join), empty),
-        (1.0, F.concat(F.lit("AKIA"), F.upper(letters(F.substring(sha, 1, 16)))), pick("ak", "", "key ", "aws_key=", "id: ", "the ", "access_key_id = "), empty),
-        (1.0, keys, pick("kl", "", "key ", "use ", "the ", "curl -H ", "x="), empty),
+        (1.0, F.concat(F.lit("AKIA"), F.when(number("ad", 0, 1) == 0, capital).otherwise(F.upper(letters(F.substring(sha, 1, 16))))), F.when(number("al", 0, 1) == 0, lead("kl")).otherwise(pick("ak", "", "aws_key=", "id: ", "access_key_id = ")), empty),
+        (1.0, keys, lead("kl"), empty),
+        (1.0, slack, lead("kl"), empty),
+        (1.0, web, F.when(number("wl", 0, 1) == 0, lead("kl")).otherwise(pick("be", "Authorization: Bearer ", "auth: Bearer ", "session=")), empty),
+        (1.0, mail, lead("kl"), empty),
+        (1.0, block, lead("kl"), empty),
+        (1.0, F.concat(mixed, F.substring(mixed, 1, 40), F.lit("==")), pick("ac", "AccountKey=", "SharedAccessKey=", "secret_key: ", "PRIVATE_KEY="), empty),
+        (1.0, F.concat(F.initcap(pick("p1", "bacon", "dufi", "gralon", "helio", "janko")), pick("p2", "!", "-", "_", "#", "", "."), pick("p3", "lumer", "Pravel", "quist", "rostov", "Tunwel"), number("p4", 1, 9999).cast("string")), F.concat(pick("pr", "", "and the ", "export "), secret_name, join), empty),
+        (0.0, strange, F.concat(prose, pick("ur", "https://host.example/docs/", "/usr/share/", "see ", "the file ", "call ", "import ", "")), empty),
+        (0.0, F.concat(F.replace(F.initcap(F.call_function("array_join", F.array(*(pick(f"c{k}", "bacon", "dufi", "gral", "helio", "janko", "lumer", "pravel", "quist", "rostov", "tunwel") for k in range(3))), F.lit(" "))), F.lit(" "), F.lit("")), number("sd", 1, 99).cast("string")), F.concat(prose, pick("ci", "the class ", "import ", "call ", "see ", "new ", "")), pick("ce", "", "()", ".")),
+        (0.0, sha, F.concat(prose, pick("cm", "see ", "merged in ", "at ", "")), pick("cn", "", " on the branch", ".", " in the log")),
+        (0.0, F.concat(mixed, mixed), pick("da", "url(data:image/png;base64,", "src=data:font/woff2;base64,", "data:image/jpeg;base64,"), pick("de", ")", "", '"')),
+        (0.0, F.concat(pick("ig", "sha512-", "sha256-", "sha384-"), mixed, F.substring(mixed, 1, 20), F.lit("==")), pick("il", '"integrity": "', "integrity ", "integrity='"), pick("ie", '"', "", "'")),
+        (0.0, F.concat(pick("gv", "os.getenv(", "System.getenv(", "getpass.getpass(", "vault.read(", "env(", "config.get("), empty), F.concat(pick("pr", "", "and the ", "export "), secret_name, join), pick("gq", "'", '"')),
         (1.0, human, F.concat(pick("db", "", "DATABASE_URL=", "at ", "url: "), site), F.lit("@db.example/main")),
         (0.0, plain_text, F.concat(prose, secret_name, pick("j2", ": ", "=", " = ", ":")), pick("e2", "", " by the", ".")),
         (0.0, reference, F.concat(pick("pr", "", "and the ", "export "), secret_name, join), pick("e3", "", ",", ")")),
@@ -138,18 +176,30 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (0.0, F.concat(F.repeat(pick("x", "x", "0", "*", "a"), number("rl", 14, 30)), number("z", 1, 9).cast("string")), F.concat(name, join, quote), quote),
         (0.0, number_text, F.concat(pick("k", "id", "count", "phone", "number"), join), empty),
     ]
-    kind = F.pmod(i, F.lit(len(shapes)))
-    choose = lambda k: F.coalesce(*(F.when(kind == j, s[k] if k else F.lit(s[0])) for j, s in enumerate(shapes)))
-    return spark.range(0, n, 1, 1).select(
-        choose(1).alias("value"), choose(2).alias("left"), choose(3).alias("right"), choose(0).alias("label")
-    )
+    size = len(shapes)
+
+    def some_shapes(first: int, last: int) -> DataFrame:
+        """The findings of a part of the shapes, as all of them in one projection are too much code to compile."""
+        kind = F.pmod(i, F.lit(size))
+        of = lambda k: F.coalesce(*(F.when(kind == j, s[k] if k else F.lit(s[0])) for j, s in enumerate(shapes) if first <= j < last))
+        rows = spark.range(0, n, 1, 1).filter((kind >= first) & (kind < last))
+        return rows.select(of(1).alias("value"), of(2).alias("left"), of(3).alias("right"), of(0).alias("label"))
+
+    return reduce(DataFrame.unionByName, (some_shapes(a, min(a + 4, size)) for a in range(0, size, 4)))
 
 
 def train(spark: SparkSession, findings: DataFrame | None = None) -> list[str]:
-    """The trees of a forest fitted on labelled findings, as Spark describes them."""
+    """The trees of a forest fitted on labelled findings (value, left, right, label), as Spark describes them.
+
+    Null values and neighbours count as empty and rows without a label are left out; without any row
+    there is no tree, and every candidate scores 0. Repeated rows weigh as often as they stand.
+    """
     rows = labelled_findings(spark) if findings is None else findings
-    x = rows.select("label", array_to_vector(features(F.col("value"), F.col("left"), F.col("right"))).alias("features"))
-    x = stored(x.coalesce(1), "findings")
+    value, left, right = (F.coalesce(rows[c].cast("string"), F.lit("")) for c in ("value", "left", "right"))
+    x = rows.select(rows["label"].cast("double").alias("label"), array_to_vector(features(value, left, right)).alias("features"))
+    x = stored(x.filter("label is not null").coalesce(1), "findings")
+    if x.isEmpty():
+        return []
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(x)
     return [t.toDebugString for t in model.trees]
 
@@ -210,21 +260,25 @@ def scan(docs: DataFrame, trees: list[str], id_col: str = "doc_id", text_col: st
 
     d = d.withColumn("scores", F.transform("x", share))
     is_secret = lambda i: F.get("scores", i) >= THRESHOLD
-    placed = F.aggregate(
-        F.sequence(F.lit(0), F.size("found") - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:bigint,length:bigint,score:double>>").alias("out")),
-        lambda s, i: F.struct(
-            (s.at + F.length(F.get("between", i)) + F.length(F.get("found", i))).alias("at"),
-            F.when(
-                is_secret(i),
-                F.concat(s.out, F.array(F.struct(
-                    (s.at + F.length(F.get("between", i))).cast("bigint").alias("start"),
-                    F.length(F.get("found", i)).cast("bigint").alias("length"),
-                    F.get("scores", i).alias("score"),
-                ))),
-            ).otherwise(s.out).alias("out"),
-        ),
-    ).out
+    # offsets by sums inside runs of about sqrt(n) pieces and over whole runs before them
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    n = F.size("found")
+    d = d.withColumn("lengths", F.zip_with("between", "found", lambda b, v: (F.length(b) + F.coalesce(F.length(v), F.lit(0))).cast("long")))
+    d = d.withColumn("run", F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("int"))
+    runs = F.sequence(F.lit(0), F.floor(n / F.col("run")).cast("int"))
+    d = d.withColumn("sums", F.transform(runs, lambda r: total(F.slice("lengths", r * F.col("run") + 1, F.col("run")))))
+    d = d.withColumn("before", F.transform(runs, lambda r: total(F.slice("sums", F.lit(1), r))))
+
+    def placed(v: Column, i: Column) -> Column:
+        r = F.floor(i / F.col("run")).cast("int")
+        inside = total(F.slice("lengths", r * F.col("run") + 1, i - r * F.col("run")))
+        start = F.get("before", r) + inside + F.length(F.get("between", i))
+        return F.when(
+            is_secret(i),
+            F.struct(start.cast("bigint").alias("start"), F.length(v).cast("bigint").alias("length"), F.get("scores", i).alias("score")),
+        )
+
+    marks = F.filter(F.transform("found", placed), lambda m: m.isNotNull())
     none = F.array().cast("array<struct<start:bigint,length:bigint,score:double>>")
     shown = F.transform("found", lambda v, i: F.when(is_secret(i), F.lit(MARK)).otherwise(v))
     rebuilt = F.array_join(F.transform("between", lambda b, i: F.concat(b, F.coalesce(F.get(shown, i), F.lit("")))), "")
@@ -232,7 +286,7 @@ def scan(docs: DataFrame, trees: list[str], id_col: str = "doc_id", text_col: st
     return d.select(
         "doc_id",
         F.size("found").cast("long").alias("n_candidates"),
-        F.when(any_secret, placed).otherwise(none).alias("findings"),
+        F.when(any_secret, marks).otherwise(none).alias("findings"),
         F.when(any_secret, rebuilt).otherwise(F.col("text")).alias("redacted"),
         *(F.col(f"kept.{c}").alias(c) for c in keep if c != "doc_id"),
     )
