@@ -116,29 +116,54 @@ def test_warc_round_trip(spark):
 # 3 ------------------------------------------------------------------------------------------
 def brute_labels(text, templates=lic.TEMPLATES):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
-    found, best = set(), 0.0
+    found, best, matches = set(), 0.0, []
     places = [(i, label) for phrase, label in lic.BASE_PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     for label, t in templates:
-        t = set(t.split())
-        for b in range(0, len(words), lic.STRIDE):
-            n = len(t & set(words[b : b + lic.BLOCK]))
-            if n >= lic._needed(len(t), lic.THRESHOLD):
-                found.add(label)
-                best = max(best, n / len(t))
+        t = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        width, share, own = max(32, -(-5 * len(t) // 4)), 0.8 if len(t) > 32 else 0.9, set(t)
+        counts = [len(own & set(words[b : b + width])) for b in range(len(words))] if own & set(words) else []
+        if counts and max(counts) >= share * len(own) - 1e-9:
+            found.add(label)
+            best = max(best, max(counts) / len(own))
+            matches.append((label, counts.index(max(counts)), width, max(counts), len(own)))
     base = {x for _, x in places}
-    return len(words), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), 1.0 if places else best
+    return len(words), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), 1.0 if places else best, sorted(matches)
 
 
 def test_license_scan_equals_brute_force(spark):
     rng = random.Random(2)
-    vocabulary = sorted({w for _, t in lic.TEMPLATES for w in t.split()} | {"foo", "bar", "K", "CC", "BY"})
-    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80))) for _ in range(150)]
-    texts += [" ".join(["pad"] * rng.randint(0, 60) + t.upper().split() + ["end"] * rng.randint(0, 60)) for _, t in lic.TEMPLATES]
-    texts += ["CC-BY cc  by cc,by", "ALL RIGHTS reserved" * 2, "GKeneral public license", None, "", "mit " * 30_000]
+    short = [t for _, t in lic.TEMPLATES if len(t) < 100]
+    vocabulary = sorted({w for t in short for w in t.split()} | {"foo", "bar", "\u212a", "CC", "BY"})
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80))) for _ in range(100)]
+    for _, t in lic.TEMPLATES:
+        for _ in range(3):
+            w = [rng.choice(["pad", "the", "software"]) if rng.random() < 0.1 else x for x in t.split()]
+            texts.append(" ".join(["pad"] * rng.randint(0, 60) + w + ["end"] * rng.randint(0, 60)))
+    texts += ["CC-BY cc  by cc,by", "ALL RIGHTS reserved" * 2, "G\u212aeneral public license", None, "", "mit " * 3_000]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: tuple(r)[1:] for r in lic.scan_licenses(d).collect()}
+    got = {r["doc_id"]: r for r in lic.scan_licenses(d).collect()}
     for i, t in enumerate(texts):
-        assert got[i] == pytest.approx(brute_labels(t)), t
+        want = brute_labels(t)
+        assert tuple(got[i])[1:8] == pytest.approx(want[:-1]), t
+        assert [tuple(m) for m in got[i]["matches"]] == want[-1], t
+
+
+def test_a_whole_license_is_found_wherever_it_starts(spark):
+    rng = random.Random(6)
+    whole = next(t for label, t in lic.TEMPLATES if label == "mit" and len(t) > 500).split()
+    phrase = "permission is hereby granted free of charge to any person obtaining a copy of this software".split()
+    rows = []
+    for at in range(0, 70):
+        w = list(whole)
+        for k in rng.sample(range(len(w)), len(w) // 10):
+            w[k] = "".join(rng.choice("abcdefgh") for _ in range(6))
+        spread = list(phrase)
+        for k in rng.sample(range(1, len(phrase)), 6):
+            spread.insert(k, "filler")
+        rows += [(2 * at, " ".join(["pad"] * at + w + ["end"] * 90)), (2 * at + 1, " ".join(["pad"] * at + spread + ["end"] * 90))]
+    got = lic.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r["labels"] == "mit" for r in got)
+    assert lic.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=(("none", "--"),)).filter("labels <> ''").count() == 0
 
 
 def test_license_scan_on_odd_rows(odd):
