@@ -3,7 +3,8 @@
 Each task writes gzip members, one a record, into files of its own in the shared folder, and
 returns an index row per record: file, offset, length, URL and digest. The index is a table, so a
 task that is run again leaves at most a file that nothing refers to. To read, index rows are dealt
-out by ranges of (file, offset) and sorted; ranges that lie near each other become one read.
+out by ranges of (file, offset), as many as the archives' bytes ask for, and sorted; ranges that lie
+near each other become one read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tidemark.llm.common import scratch, stored
 
 LEAST_BYTES = 100  # a smaller payload is never a revisit
 FILE_BYTES, READ_BYTES, GAP_BYTES = 128 << 20, 8 << 20, 64 << 10
+#: Compressed bytes that a reading task gets, and up to how many shared digests (some 100 bytes each) are broadcast.
+TASK_BYTES, FEW_DIGESTS = 8 << 20, 200_000
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("b7a1f6f2-5d0e-5c53-9d4e-3f5f6c1f4a10")
@@ -106,14 +109,24 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Of equal payloads of at least `LEAST_BYTES` bytes the row with the smallest id is the response
     and the others revisit it; rows that repeat that id are responses too, and a row without an id
     is a revisit if any equal one has an id. A null payload is empty; a null URL has no header.
-    An empty table gives an empty index; other columns are ignored.
+    Ids are whole numbers (another type is cast and has to fit). An empty table gives an empty
+    index; other columns are ignored.
+
+    Digests that pages share are found from narrow rows. Few are broadcast, so that no payload is
+    shuffled; many are joined by digest, past which payloads too short for a revisit go unshuffled.
     """
     spark = pages.sparkSession
     payload = F.coalesce(pages[payload_col].cast("string"), F.lit("")).cast("binary")
     p = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
     p = p.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    same = p.filter(F.col("size") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    p = p.join(same.filter("n > 1").drop("n"), "digest", "left")
+    long_enough = F.col("size") >= LEAST_BYTES
+    same = p.filter(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    same = stored(same.filter("n > 1").select("digest", "first"), "warc-digests")
+    if same.count() <= FEW_DIGESTS:
+        p = p.join(F.broadcast(same), "digest", "left").withColumn("first", F.when(long_enough, F.col("first")))
+    else:
+        short = p.filter(~long_enough).withColumn("first", F.lit(None).cast("long"))
+        p = p.filter(long_enough).join(same.hint("merge"), "digest", "left").unionByName(short)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     p = p.withColumn("revisit", revisit).withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
     rows = p.select("page_id", "url", "payload", "size", "digest", "first", "revisit")
@@ -159,9 +172,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_records(index: DataFrame) -> DataFrame:
     """The records that the rows of `index` point to: page_id, url, record_type, payload_bytes, payload, digest, refers_to.
 
-    payload is null for a revisit; the URL is as in the header, with unsafe characters escaped.
+    payload is null for a revisit; the URL is as in the header, with unsafe characters escaped. An
+    index row whose archive is missing, or whose range isn't one record, raises an error.
     """
-    ranges = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    n = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    ranges = index.select("file", "offset", "length").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(_read, _RECORD)
 
 
