@@ -95,13 +95,21 @@ def test_rules_on_odd_rows(spark, odd):
 
 
 # 2 ------------------------------------------------------------------------------------------
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, monkeypatch):
     big = "<p>\r\n\r\n" + "x" * 300_000
     rows = [(1, "http://a b/\r\nX: y", big), (2, None, big), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (None, "u", big), (1, "u", big), (9, "u", "é" * 60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("payload", "digest", "first", "file", "offset")})
     index = warc.write_archives(pages)
     assert sorted(index.columns) == sorted(f.split()[0] for f in warc._INDEX.split(", "))
     got = sorted(warc.read_records(index).collect(), key=lambda r: (r["page_id"] is not None, r["page_id"], r["record_type"]))
+    monkeypatch.setattr(warc, "FEW_DIGESTS", 0)
+    again = warc.write_archives(pages)
+    kinds = lambda x: sorted(map(tuple, x.select("page_id", "digest", "record_type").collect()), key=str)
+    assert kinds(again) == kinds(index)
+    monkeypatch.setattr(warc, "TASK_BYTES", 100)
+    assert warc.read_records(index).rdd.getNumPartitions() > 8
+    with pytest.raises(Exception, match="no-such"):
+        warc.read_records(index.withColumn("file", F.concat("file", F.lit("no-such")))).collect()
     assert [(r["page_id"], r["record_type"], r["refers_to"]) for r in got] == [
         (None, "revisit", 1), (1, "response", None), (1, "response", None), (2, "revisit", 1), (3, "response", None), (4, "response", None),
         (5, "response", None), (6, "response", None), (9, "response", None),
@@ -231,11 +239,49 @@ def test_parser_resynchronises_and_checks():
 def test_reply_trees(spark):
     rows = [("t", 1, None, 0.0), ("t", 2, 1, 1.0), ("t", 3, 1, 5.0), ("t", 4, 2, 9.0), ("t", 5, 3, 1.0), ("t", 6, 3, 1.0), (None, 1, 77, None), ("c", 1, 2, 1.0), ("c", 2, 1, 1.0), ("c", 3, 2, 1.0)]
     m = spark.createDataFrame(rows, "tree string, node long, parent long, score double")
-    every = {(r["tree"], r["leaf"]): (r["path"], r["score"], r["rank"]) for r in chat.reply_paths(m, 9).collect()}
+    every = paths_of(chat.reply_paths(m, 9))
     assert every == {("t", 4): ([1, 2, 4], 10.0, 1), ("t", 5): ([1, 3, 5], 6.0, 2), ("t", 6): ([1, 3, 6], 6.0, 3), (None, 1): ([1], 0.0, 1)}
-    assert chat.reply_paths(m).count() == 2
-    chain = spark.range(700).select(F.lit("x").alias("tree"), F.col("id").alias("node"), (F.col("id") - 1).alias("parent"), F.lit(1.0).alias("score"))
-    assert chat.reply_paths(chain).first()["path"] == list(range(700))
+    assert {k[0] for k in paths_of(chat.reply_paths(m))} == {"t", None} and chat.reply_paths(m.limit(0)).count() == 0
+
+
+def paths_of(rows):
+    out = {}
+    for r in sorted(rows.collect(), key=lambda r: r["pos"]):
+        nodes, *_ = out.setdefault((r["tree"], r["leaf"]), ([], r["score"], r["rank"]))
+        assert r["pos"] == len(nodes)
+        nodes.append(r["node"])
+    return out
+
+
+def test_reply_trees_equal_a_walk(spark):
+    rng = random.Random(9)
+    rows = []
+    for tree in range(12):
+        n = rng.choice((1, 2, 40, 90))
+        rows += [(tree, i, rng.randrange(i) if i and rng.random() < 0.95 else None, float(rng.randint(0, 3))) for i in range(n)]
+    want = {}
+    for tree in range(12):
+        up, score = ({i: x for t, i, *x in rows if t == tree}, {})
+        leaves = set(up) - {p for p, _ in up.values()}
+        paths = {}
+        for leaf in leaves:
+            path = [leaf]
+            while up[path[-1]][0] is not None:
+                path.append(up[path[-1]][0])
+            paths[leaf] = (path[::-1], sum(up[i][1] for i in path))
+        ranked = sorted(paths, key=lambda x: (-paths[x][1], x))[:3]
+        want |= {(tree, x): (*paths[x], k) for k, x in enumerate(ranked, 1)}
+    m = spark.createDataFrame(rows, "tree long, node long, parent long, score double").repartition(5)
+    assert paths_of(chat.reply_paths(m, 3)) == want
+
+
+def test_a_long_chain_stores_no_path_for_each_node(spark, monkeypatch):
+    n, rows = 20_000, []
+    monkeypatch.setattr(chat, "stored", lambda df, name, f=chat.stored: (out := f(df, name), rows.append((name, out.count(), len(out.columns))))[0])
+    chain = spark.range(n).select(F.lit("x").alias("tree"), F.col("id").alias("node"), (F.col("id") - 1).alias("parent"), F.lit(1.0).alias("score"))
+    got = chat.reply_paths(chain).select("pos", "node").collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(n)]
+    assert sum(r for name, r, _ in rows if name == "jumps") <= 16 * n and sum(r for name, r, _ in rows if name == "paths") <= 3 * n
 
 
 def test_chat_texts_come_back(spark):

@@ -1,9 +1,11 @@
 """Chat formatting of reply trees: root-to-leaf paths by self-joins, branches ranked, one text a path.
 
-Paths come from pointer doubling: each message holds the path from an ancestor down to itself and
-that ancestor's parent; a self-join puts the parent's own path in front. After k rounds paths have
-2^k messages, so the rounds grow with the logarithm of the depth, and a message leaves them once its
-path has reached the root. Only ids move in the rounds, each of which is stored; texts are joined to the chosen paths alone.
+Scores come from pointer doubling: each message knows its ancestor 2^k levels up and the score of the
+messages below it; a self-join doubles k, so the rounds grow with the logarithm of the depth. A
+message leaves them once it has reached the root. The stored rounds are jumps by powers of two: with
+them the best leaves alone are followed up, largest jump first, and each join adds the other half
+of a path's messages, one row a message. A tree of n messages and depth d stores n log d rows, no path
+is held for a message that isn't a chosen leaf, and texts are joined to the chosen paths alone.
 
 A turn is `<|im_start|>role\\ntext<|im_end|>\\n`. In roles and texts a backslash becomes `\\b` and `<|`
 becomes `<\\p`; in roles a line feed becomes `\\n`. So no text can hold a control string, each escape
@@ -41,52 +43,64 @@ def unescape(x: Column) -> Column:
     return _swap(x, ("\\n", "\n"), ("\\p", "|"), ("\\b", "\\"))
 
 
-def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
-    """The `top` best root-to-leaf paths of each tree: (tree, leaf, path, score), path an array of nodes.
+def _jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (tree, node, up) of ancestors 1, 2, 4, ... levels up, and (tree, node, score) of whole paths.
 
-    `messages` has tree, node (not null, unique in its tree), parent and score. A parent that is
-    null or isn't in the tree makes a root. A path's score is the sum of its messages' (null: 0);
-    ties go to the smaller leaf. Messages in or below a cycle have no root and are in no path.
+    Messages in or below a cycle never reach a root; they stay open until jumps are longer than any tree.
     """
     m = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = m.select(F.col("tree").alias("k_tree"), F.col("node").alias("k_node"))
     has_parent = m.join(known, F.col("tree").eqNullSafe(F.col("k_tree")) & (F.col("parent") == F.col("k_node")), "left")
-    step = stored(
-        has_parent.select("tree", "node", F.col("k_node").alias("up"), F.array("node").alias("path"), "score"), "paths"
-    )
-    parents = step.select(F.col("tree").alias("p_tree"), F.col("up").alias("p_node")).filter("p_node is not null").distinct()
-    leaves = stored(
-        step.join(parents, F.col("tree").eqNullSafe(F.col("p_tree")) & (F.col("node") == F.col("p_node")), "left_anti")
-        .select(F.col("tree").alias("l_tree"), F.col("node").alias("leaf")),
-        "leaves",
-    )
-    columns = ["tree", "node", "up", "path", "score"]
-    done, open_ = [step.filter("up is null")], step.filter("up is not null")
-    while not open_.isEmpty():
+    step = stored(has_parent.select("tree", "node", F.col("k_node").alias("up"), "score"), "jumps")
+    largest = step.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    jumps, done, open_ = [], [step.filter("up is null")], step.filter("up is not null")
+    while 2 ** len(jumps) <= largest and not open_.isEmpty():
+        jumps.append(open_.select("tree", "node", "up"))
         above = reduce(DataFrame.unionByName, done).unionByName(open_).select(
-            F.col("tree").alias("a_tree"), F.col("node").alias("a_node"), F.col("up").alias("a_up"),
-            F.col("path").alias("a_path"), F.col("score").alias("a_score"),
+            F.col("tree").alias("a_tree"), F.col("node").alias("a_node"), F.col("up").alias("a_up"), F.col("score").alias("a_score")
         )
-        # a path whose next ancestor is no longer there lies below a cycle, and one that meets itself is on it
         joined = open_.join(above, F.col("tree").eqNullSafe(F.col("a_tree")) & (F.col("up") == F.col("a_node")))
-        path, score = F.concat("a_path", "path").alias("path"), (F.col("score") + F.col("a_score")).alias("score")
-        longer = joined.select("tree", "node", F.col("a_up").alias("up"), path, score)
-        longer = stored(longer.filter(F.size(F.array_distinct("path")) == F.size("path")).select(*columns), "paths")
-        done.append(longer.filter("up is null"))
-        open_ = longer.filter("up is not null")
-    step = reduce(DataFrame.unionByName, done)
-    whole = leaves.join(step, F.col("l_tree").eqNullSafe(F.col("tree")) & (F.col("leaf") == F.col("node")))
-    best = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
-    return whole.select("tree", "leaf", "path", "score", best.alias("rank")).filter(F.col("rank") <= top)
+        step = stored(joined.select("tree", "node", F.col("a_up").alias("up"), (F.col("score") + F.col("a_score")).alias("score")), "jumps")
+        done.append(step.filter("up is null"))
+        open_ = step.filter("up is not null")
+    return jumps, reduce(DataFrame.unionByName, done).select("tree", "node", "score")
+
+
+def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
+    """The `top` best root-to-leaf paths of each tree, a row a message: tree, leaf, node, pos, score, rank.
+
+    pos counts from 0 at the root. `messages` has tree, node, parent and score. A parent that is
+    null or isn't in the tree makes a root. A path's score is the sum of its messages' (null: 0);
+    ties go to the smaller leaf. Messages in or below a cycle have no root and are in no path. A
+    null tree is a tree of its own. Nodes are neither null nor repeated in a tree: `chains` numbers
+    rows so; a repeated node would stand in a path as often as it is given.
+    """
+    jumps, whole = _jumps(messages)
+    known = messages.select("tree", "parent").filter("parent is not null").distinct()
+    parents = known.select(F.col("tree").alias("p_tree"), F.col("parent").alias("p_node"))
+    leaf = F.col("tree").eqNullSafe(F.col("p_tree")) & (F.col("node") == F.col("p_node"))
+    leaves = whole.join(parents, leaf, "left_anti")
+    best = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
+    chosen = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"), "score", best.alias("rank"))
+    path = stored(chosen.filter(F.col("rank") <= top), "paths")
+    columns = path.columns
+    for k in reversed(range(len(jumps))):
+        jump = jumps[k].select(F.col("tree").alias("j_tree"), F.col("node").alias("j_node"), F.col("up").alias("j_up"))
+        higher = path.join(jump, F.col("tree").eqNullSafe(F.col("j_tree")) & (F.col("node") == F.col("j_node")))
+        higher = higher.withColumn("node", F.col("j_up")).withColumn("back", F.col("back") + 2**k).select(*columns)
+        path = stored(path.unionByName(higher), "paths")
+    depth = path.groupBy("tree", "leaf").agg(F.max("back").alias("depth")).select(F.col("tree").alias("d_tree"), F.col("leaf").alias("d_leaf"), "depth")
+    placed = path.join(depth, F.col("tree").eqNullSafe(F.col("d_tree")) & (F.col("leaf") == F.col("d_leaf")))
+    return placed.select("tree", "leaf", "node", (F.col("depth") - F.col("back")).alias("pos"), "score", "rank")
 
 
 def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
-    """One row per path: tree, leaf, n_turns, formatted, loss_mask.
+    """One row per path of `reply_paths`: tree, leaf, n_turns, formatted, loss_mask.
 
     `messages` has tree, node, role and text (null: empty). loss_mask lists the code-point ranges
     (start from 0, length) of `formatted` that hold the assistant's texts, as escaped there.
     """
-    turns = paths.select("tree", "leaf", F.posexplode("path").alias("pos", "node"))
+    turns = paths.select("tree", "leaf", "pos", "node")
     said = messages.select(
         F.col("tree").alias("m_tree"), F.col("node").alias("m_node"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
