@@ -206,6 +206,24 @@ def test_mix_on_odd_rows_and_bucket_counts(spark, odd, docs):
     assert all(x["t"] == int(x["g"]) for x in r)
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(1)
+    sizes = {f"host{rng.random():.6f}": rng.choice((0, 1, rng.randint(1, 10), rng.randint(1, 10**6))) for _ in range(500)} | {None: 7}
+    d = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(6)
+    assert [r["source"] for r in mixing.numbered(d, 7).orderBy("place").collect()] == [*sorted(k for k in sizes if k), None]
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    got = {r["source"]: r["target"] for r in mixing.source_targets(d).collect()}
+    level = max(got[s] / weight[s] for s in sizes if got[s] < 2 * sizes[s])
+    assert sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    assert all(got[s] == pytest.approx(min(2 * sizes[s], weight[s] * level)) for s in sizes)
+
+
+def test_a_repeated_id_is_dealt_out_by_its_texts(spark):
+    d = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix_sources(d).collect()
+    assert sum(r["taken"] for r in got) == 15_000 and {r["taken"] for r in got} <= {2, 3, 4}
+
+
 # 6 ------------------------------------------------------------------------------------------
 def test_media_round_trip(odd):
     got = mpeg_audio.describe_media(mpeg_audio.store_media(odd)).collect()

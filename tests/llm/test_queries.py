@@ -49,9 +49,9 @@ def groups(docs):
 
 
 def whole_mix(rows):
-    """(id, copies) of whole documents out of (id, source, size)."""
+    """(id, copies) of whole documents out of (id, source, size, text)."""
     sizes = defaultdict(int)
-    for _, s, n in rows:
+    for _, s, n, _ in rows:
         sizes[s] += n
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
@@ -71,7 +71,7 @@ def whole_mix(rows):
         if not sizes[s]:
             continue
         epochs, rest, at = floor(target[s]) // sizes[s], floor(target[s]) % sizes[s], 0
-        for key, i, n in sorted((md5(f"mix:{i}".encode()).hexdigest(), i, n) for i, t, n in rows if t == s):
+        for key, i, n in sorted((md5(f"mix:{i}:{md5(text.encode()).hexdigest()}".encode()).hexdigest(), i, n) for i, t, n, text in rows if t == s):
             part = min(max(rest - at, 0), n)
             out[i] = epochs + (n > 0 and 2 * part >= n)
             at += n
@@ -85,7 +85,7 @@ def test_pipeline_by_brute_force(spark):
     texts = {i: r["text"] for i, r in rows.items() if (v := language_id.features(r["text"])) is not None and model.predict(v)}
     texts = {i: texts[i] for i, root in groups(texts).items() if i == root}
     texts = {i: re.sub(r'(?i)(token = ")[0-9a-f]{40}(?=")', r"\1[secret]", t) for i, t in texts.items()}
-    copies = whole_mix([(i, rows[i]["source"], len(re.findall(WORD, t))) for i, t in texts.items()])
+    copies = whole_mix([(i, rows[i]["source"], len(re.findall(WORD, t)), t) for i, t in texts.items()])
     m = pieces.PieceModel(open(pieces.model_path(), "rb").read())
     want = Counter()
     for i, t in texts.items():
