@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
 
+#: Barriers, costs, and the levels of the sweeps. The number of bars is a choice of ours.
 UPPER, LOWER, FEE, SLIPPAGE = 0.004, 0.002, 0.001, 0.0003
 MAX_BARS = 4
 THRESHOLDS = (0.48, 0.50, 0.52, 0.55, 0.58, 0.60, 0.65)
@@ -108,11 +109,27 @@ def trades(
     return t.withColumn("win", win).withColumn("ret", F.when(win, gain).otherwise(loss) - cost)
 
 
-def equity(df: DataFrame, keys: list[str], order: list[str], ret: str = "ret") -> DataFrame:
-    """Adds log_equity, the running sum of ln(1 + ret), and drawdown, equity over its running maximum less 1."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = df.withColumn("log_equity", F.sum(F.ln(1 + F.col(ret))).over(w))
-    return d.withColumn("drawdown", F.exp(F.col("log_equity") - F.max("log_equity").over(w)) - 1)
+#: Width of a block of equity: what one task sums in order.
+BLOCK_MS = 30 * 86_400_000
+
+
+def equity(df: DataFrame, keys: list[str], order: list[str], ret: str = "ret", block_ms: int = BLOCK_MS) -> DataFrame:
+    """Adds log_equity, the running sum of ln(1 + ret), and drawdown, equity over its running maximum less 1.
+
+    Sums and maxima run inside blocks of time; a block's sum and highest point, of which there is a
+    row a block, are carried to the blocks after it. `order` begins with the time.
+    """
+    d = df.withColumn("block_", F.floor(F.col(order[0]) / block_ms))
+    w = Window.partitionBy(*keys, "block_").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("sum_", F.sum(F.ln(1 + F.col(ret))).over(w)).withColumn("top_", F.max("sum_").over(w))
+    blocks = d.groupBy(*keys, "block_").agg(F.sum(F.ln(1 + F.col(ret))).alias("all_"), F.max("sum_").alias("high_"))
+    past = Window.partitionBy(*keys).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("base_", F.coalesce(F.sum("all_").over(past), F.lit(0.0)))
+    blocks = blocks.select(*keys, "block_", "base_", F.max(F.col("base_") + F.col("high_")).over(past).alias("peak_"))
+    d = d.join(blocks, [*keys, "block_"]).withColumn("log_equity", F.col("base_") + F.col("sum_"))
+    highest = F.greatest(F.col("base_") + F.col("top_"), "peak_")
+    d = d.withColumn("drawdown", F.exp(F.col("log_equity") - highest) - 1)
+    return d.select(*df.columns, "log_equity", "drawdown")
 
 
 def metric_columns(ret: str = "ret") -> list[Column]:
@@ -191,9 +208,10 @@ def regression_metrics(df: DataFrame, truth: str, pred: str, *keys: str) -> Data
     return m.withColumn("r2", 1 - F.col("mse_") / F.nullif("var_", F.lit(0.0))).drop("mse_", "var_")
 
 
-def random_slippage(mean: float = SLIPPAGE, seed: int = 42) -> Column:
-    """Slippage of each trade, uniform from 0 to twice the mean; fixed by the seed and the row's place."""
-    return F.rand(seed) * (2 * mean)
+def random_slippage(*keys: str, mean: float = SLIPPAGE, seed: int = 42) -> Column:
+    """Slippage of each trade, uniform from 0 to twice the mean by a hash of the seed and the row's keys."""
+    word = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)).cast("binary")), 1, 8)
+    return F.conv(word, 16, 10).cast("double") / 2**32 * (2 * mean)
 
 
 def downsample(df: DataFrame, points: int = 50, key: str = "symbol", time: str = "open_time") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
 
+#: Parts of names that tell of the future.
 LOOKAHEAD = ("future", "fwd", "ahead", "next_")
 HOUR_MS = 3_600_000
 
@@ -91,6 +92,53 @@ def step_rate(df: DataFrame, value: str, key: str, time: str = "open_time") -> D
     return df.select(key, changed.alias("c")).groupBy(key).agg(F.avg(F.col("c").cast("double")).alias("step_rate"), F.count("*").alias("n"))
 
 
+def step_coverage(df: DataFrame, value: str, key: str, time: str = "open_time", most: float = 0.30, least: float = 0.50) -> DataFrame:
+    """`step_rate` with the share of rows that have the value: changes in more than `most` of rows fail, a thin column warns."""
+    known = df.groupBy(key).agg(F.avg(F.col(value).isNotNull().cast("double")).alias("coverage"))
+    d = step_rate(df, value, key, time).join(known, key)
+    return d.withColumn("level", level(F.col("step_rate") > most, F.col("coverage") < least))
+
+
+def validations(candles: DataFrame, features: DataFrame, columns: list[str], key: str = "symbol", horizon: int = 4, tail: int = 6) -> DataFrame:
+    """The nine checks of a feature table; `columns` are those a model would see.
+
+    V7 holds by construction (bounds are fitted on training rows, see `cleaning.fit`) and V8 can't be
+    told from features alone, so that one always warns.
+    """
+    w = W.series(key)
+    o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
+    step = F.col("step")
+    gap = step > 1.5 * HOUR_MS
+    bad = F.count_if((h < o) | (h < c) | (h < l)) + F.count_if((l > o) | (l > c) | (l > h)) + F.count_if(F.col("volume") < 0)
+    a = candles.withColumn("step", W.diff("open_time", w)).agg(
+        F.count_if(step == 0).alias("dups"), F.count_if(gap).alias("gaps"), F.coalesce(F.sum(F.when(gap, F.floor(step / HOUR_MS - 1))), F.lit(0)).alias("hours"),
+        bad.alias("bad"), (F.count_if(step != HOUR_MS) - F.count_if(gap)).alias("uneven"),
+    )
+    t = F.col(f"target_return_{horizon}h")
+    back = F.row_number().over(W.series(key).orderBy(F.desc("open_time")))
+    b = features.select(key, t.isNull().alias("none"), back.alias("back")).agg(
+        F.count_if(F.col("none") & (F.col("back") <= tail)).alias("tail"), F.count_distinct(key).alias("series"), F.count_if("none").alias("none")
+    )
+    early, leaked = lookahead_columns(columns), [x for x in columns if x.startswith("target_")]
+    number = lambda n: F.lit(float(n))
+    return graded(
+        a.join(F.broadcast(b)),  # one row each
+        [
+            ("V1", level(F.col("dups") > 0), F.col("dups"), "duplicate times"),
+            ("V2", level(F.lit(False), F.col("gaps") > 0), F.col("gaps"), "gaps between hours"),
+            ("V2 hours", F.lit("PASS"), F.col("hours"), "missing hours"),
+            ("V3", level(F.col("bad") > 0), F.col("bad"), "candles that break an invariant"),
+            ("V4", level(F.lit(False), F.col("uneven") > 0), F.col("uneven"), "steps that are neither an hour nor a gap"),
+            ("V5", F.lit("FAIL" if early else "PASS"), number(len(early)), ": ".join(["columns named after the future", *early])),
+            ("V6", F.lit("FAIL" if leaked else "PASS"), number(len(leaked)), ": ".join(["targets among the features", *leaked])),
+            ("V6 tail", level(F.lit(False), F.col("tail") < horizon * F.col("series")), F.col("tail"), f"missing targets in the last {'six' if tail == 6 else tail} rows of a series"),
+            ("V7", F.lit("PASS"), number(0), "statistics come from training rows only"),
+            ("V8", F.lit("WARN"), number(1), "alignment of funding needs its own table"),
+            ("V9", level(F.lit(False), F.col("none") == 0), F.col("none"), "rows without a target"),
+        ],
+    )
+
+
 def edge_verdict(cv: DataFrame, least: float = 0.0) -> DataFrame:
     """Mean and population deviation of the folds' edge over the majority, and whether it is above `least`."""
     d = cv.agg(F.count("*").alias("n_folds"), F.avg("edge").alias("mean_edge"), F.stddev_pop("edge").alias("std_edge"))

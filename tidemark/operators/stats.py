@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import exp, lgamma, log
+from collections.abc import Iterator
+from itertools import accumulate, combinations
+from math import ceil, exp, floor, lgamma, log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,52 @@ def melted(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -> Dat
     return df.select(*keep, F.inline(cells))
 
 
+#: Rows of a column that one task may sort.
+ROWS_PER_TASK = 1_000_000
+
+
+def bucketed(m: DataFrame, group: str, value: str, rows_per_task: int | None = None) -> tuple[DataFrame, dict[str, list[int]]]:
+    """`m` with bucket_, a range of values of at most about `rows_per_task` rows, and each group's rows by bucket.
+
+    Equal values share a bucket. The driver gets a few numbers per group and bucket.
+    """
+    sizes = {r[0]: r[1] for r in m.groupBy(group).count().collect()}
+    parts = max((ceil(n / (rows_per_task or ROWS_PER_TASK)) for n in sizes.values()), default=1)
+    if parts == 1:
+        return m.withColumn("bucket_", F.lit(0)), {g: [n] for g, n in sizes.items()}
+    at = [i / parts for i in range(1, parts)]
+    cuts = [(r[0], sorted(set(r[1]))) for r in m.groupBy(group).agg(F.percentile_approx(value, at, 20 * parts)).collect()]
+    cuts = m.sparkSession.createDataFrame(cuts, f"{group} string, cuts_ array<double>")
+    b = m.join(F.broadcast(cuts), group)  # a row per group
+    b = b.withColumn("bucket_", F.size(F.filter("cuts_", lambda c: c < F.col(value)))).drop("cuts_")
+    rows = {g: [0] * parts for g in sizes}
+    for g, k, n in b.groupBy(group, "bucket_").count().collect():
+        rows[g][k] = n
+    return b, rows
+
+
+def quantiles(m: DataFrame, group: str, value: str, shares: tuple[float, ...], rows_per_task: int | None = None) -> DataFrame:
+    """(group, q): exact interpolated quantiles of each group, of which only the buckets that hold one are sorted."""
+    b, rows = bucketed(m, group, value, rows_per_task)
+    if all(len(n) == 1 for n in rows.values()):
+        return b.groupBy(group).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("q"))
+    wanted = []
+    for g, sizes in rows.items():
+        ends = list(accumulate(sizes))
+        for k, share in enumerate(shares):
+            at = (ends[-1] - 1) * share
+            for place, weight in ((floor(at), 1 - at + floor(at)), (floor(at) + 1, at - floor(at))):
+                if weight:
+                    bucket = next(i for i, e in enumerate(ends) if place < e)
+                    wanted.append((g, bucket, place - ends[bucket] + sizes[bucket] + 1, k, weight))
+    places = m.sparkSession.createDataFrame(wanted, f"{group} string, bucket_ int, n_ int, k_ int, weight_ double")
+    inside = b.join(F.broadcast(places.select(group, "bucket_").distinct()), [group, "bucket_"], "left_semi")
+    n = F.row_number().over(Window.partitionBy(group, "bucket_").orderBy(value))
+    found = inside.select(group, "bucket_", F.col(value).alias("v_"), n.alias("n_")).join(F.broadcast(places), [group, "bucket_", "n_"])
+    one = found.groupBy(group, "k_").agg(F.sum(F.col("v_") * F.col("weight_")).alias("x_"))
+    return one.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k_", "x_"))), lambda s: s.x_).alias("q"))
+
+
 def null_share(df: DataFrame, columns: list[str]) -> DataFrame:
     """Share of nulls of each column, and its class, in one pass over the table."""
     one = df.agg(F.count("*").alias("n"), *(F.count(F.col(c)).alias(c) for c in columns))
@@ -30,9 +79,9 @@ def distribution(df: DataFrame, columns: list[str], least: int = 100) -> DataFra
     m = melted(df, columns).filter(F.col("value").isNotNull())
     s = m.groupBy("feature").agg(
         F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("p"), F.max("value").alias("max"),
+        F.max("value").alias("max"),
         F.stddev_pop("value").alias("sp"), F.avg("value").alias("mu"),
-    ).filter(F.col("n") >= least)
+    ).filter(F.col("n") >= least).join(quantiles(m, "feature", "value", (0.01, 0.99)).withColumnRenamed("q", "p"), "feature")
     # one row per column, so the second pass joins a table of known width
     u = m.join(F.broadcast(s), "feature")
     dev = F.col("value") - F.col("mu")
@@ -94,12 +143,39 @@ def _safe_corr(x: Column, y: Column) -> Column:
     return F.when((n > 1) & (sa > 0) & (sb > 0), F.covar_pop(a, b) / F.nullif(sa * sb, F.lit(0.0)))
 
 
+def _cross_sums(columns: int, centre: list[float]):
+    """Sums over pairs of columns, on rows where both are known: n, x, y, xx, yy, xy, as one array a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, columns, columns))
+        for batch in batches:
+            x = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) - centre
+            known = np.isfinite(x)
+            x, k = np.where(known, x, 0.0), known.astype(float)
+            total += np.stack([k.T @ k, x.T @ k, k.T @ x, (x * x).T @ k, k.T @ (x * x), x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    return run
+
+
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, corr) of each pair in column order, all in one aggregation."""
-    pairs = list(combinations(columns, 2))
-    one = df.agg(*(_safe_corr(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)))
-    cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)))
-    return one.select(F.inline(cells))
+    """(a, b, corr) of each pair in column order over rows where both are known; null where one is constant.
+
+    Each task sums the pairs' products as one matrix product over its rows; values are taken from
+    their column's mean, so that the sums keep their digits.
+    """
+    x = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
+    centre = [m or 0.0 for m in x.agg(*(F.avg(c) for c in x.columns)).first()]
+    parts = x.mapInArrow(_cross_sums(len(columns), centre), "sums array<double>").select(F.posexplode("sums").alias("i", "s"))
+    n = len(columns) ** 2
+    pair = parts.groupBy((F.col("i") % n).alias("p"), F.floor(F.col("i") / n).cast("int").alias("k")).agg(F.sum("s").alias("s"))
+    of = lambda k: F.sum(F.when(F.col("k") == k, F.col("s")))
+    pair = pair.groupBy("p").agg(*(of(k).alias(c) for k, c in enumerate(("n", "sx", "sy", "xx", "yy", "xy"))))
+    vx, vy, xy = (F.col(a) - F.col(b) * F.col(c) / F.nullif("n", F.lit(0.0)) for a, b, c in (("xx", "sx", "sx"), ("yy", "sy", "sy"), ("xy", "sx", "sy")))
+    tiny = 1e-12  # of the sum of squares: what rounding leaves of a constant column
+    corr = F.when((F.col("n") > 1) & (vx > tiny * F.col("xx")) & (vy > tiny * F.col("yy")), xy / F.nullif(F.sqrt(vx * vy), F.lit(0.0)))
+    names, a, b = F.array(*map(F.lit, columns)), F.floor(F.col("p") / len(columns)).cast("int"), (F.col("p") % len(columns)).cast("int")
+    return pair.filter(a < b).select(F.get(names, a).alias("a"), F.get(names, b).alias("b"), corr.alias("corr"))
 
 
 def to_drop(pairs: DataFrame, columns: list[str], limit: float = 0.95) -> list[str]:
@@ -112,10 +188,16 @@ def to_drop(pairs: DataFrame, columns: list[str], limit: float = 0.95) -> list[s
     return gone
 
 
-def average_ranks(m: DataFrame, group: str, value: str, out: str) -> DataFrame:
-    """Ranks with ties at their mean."""
-    w = Window.partitionBy(group)
-    return m.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(group, value)) - 1) / 2)
+def average_ranks(m: DataFrame, group: str, value: str, out: str, rows_per_task: int | None = None) -> DataFrame:
+    """Ranks with ties at their mean: the place inside a range of values, after the rows of lower ranges."""
+    b, rows = bucketed(m, group, value, rows_per_task)
+    w = Window.partitionBy(group, "bucket_")
+    rank = F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(group, "bucket_", value)) - 1) / 2
+    if any(len(n) > 1 for n in rows.values()):
+        before = [(g, k, end - n) for g, sizes in rows.items() for k, (n, end) in enumerate(zip(sizes, accumulate(sizes)))]
+        b = b.join(F.broadcast(m.sparkSession.createDataFrame(before, f"{group} string, bucket_ int, before_ long")), [group, "bucket_"])
+        return b.withColumn(out, F.col("before_") + rank).drop("bucket_", "before_")
+    return b.withColumn(out, rank).drop("bucket_")
 
 
 def _p_value(r: float | None, n: int) -> float | None:

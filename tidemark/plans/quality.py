@@ -113,34 +113,61 @@ def corr_group_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FIT = f"""{FEAT}, {MELT}, fit AS (SELECT feature, quantile_cont(x, 0.5) AS train_median, CASE WHEN count(x) >= 50 AND quantile_cont(x, 0.99) > quantile_cont(x, 0.01) THEN quantile_cont(x, 0.01) END AS clip_lo,
-  CASE WHEN count(x) >= 50 AND quantile_cont(x, 0.99) > quantile_cont(x, 0.01) THEN quantile_cont(x, 0.99) END AS clip_hi, CASE WHEN feature = 'volume' THEN arg_max(x, {{'a': open_time, 'b': symbol}}) FILTER (x IS NOT NULL) END AS ffill_anchor
-  FROM melt WHERE open_time <= {TRAIN_UNTIL} AND symbol = 'click' GROUP BY 1)"""
+  CASE WHEN count(x) >= 50 AND quantile_cont(x, 0.99) > quantile_cont(x, 0.01) THEN quantile_cont(x, 0.99) END AS clip_hi FROM melt WHERE open_time <= {TRAIN_UNTIL} GROUP BY 1)"""
 
 
 def _fit(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = frame(spark, d).filter("symbol = 'click'")
-    return f, K.fit(f.filter(F.col("open_time") <= TRAIN_UNTIL), COLUMNS, anchors=("volume",))
+    f = frame(spark, d)
+    return f, K.fit(f.filter(F.col("open_time") <= TRAIN_UNTIL), COLUMNS)
 
 
-@query(f"{_FIT} SELECT feature, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('train_median', 'clip_lo', 'clip_hi', 'ffill_anchor'))} FROM fit")
+@query(f"{_FIT} SELECT feature, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('train_median', 'clip_lo', 'clip_hi'))} FROM fit")
 def winsor_bounds(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_fit(spark, d)[1])
 
 
-def _cleaned_sql(c: str) -> str:
-    s = f"(SELECT {{}} FROM fit WHERE feature = '{c}')"
-    lo, hi = s.format("clip_lo"), s.format("clip_hi")
-    x = f"CASE WHEN {c} IS NULL THEN NULL WHEN {lo} IS NULL THEN {c} ELSE least(greatest({c}, {lo}), {hi}) END"
-    if c == "volume":
-        x = f"coalesce(last_value({x} IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), {s.format('ffill_anchor')})"
-    fill = next((str(v) for p, v in K.FILLS if p in c), None) or f"coalesce({s.format('train_median')}, 0.0)"
-    return f"round(coalesce({x}, {fill}), 6) + 0.0 AS {c}"
+def _clip_sql(c: str) -> str:
+    lo, hi = (f"(SELECT {x} FROM fit WHERE feature = '{c}')" for x in ("clip_lo", "clip_hi"))
+    return f"CASE WHEN {c} IS NULL THEN NULL WHEN {lo} IS NULL THEN {c} ELSE least(greatest({c}, {lo}), {hi}) END"
 
 
-@query(f"{_FIT} SELECT symbol, open_time, {', '.join(map(_cleaned_sql, COLUMNS))} FROM feat WHERE symbol = 'click'")
+def _median_sql(c: str) -> str:
+    return f"coalesce((SELECT train_median FROM fit WHERE feature = '{c}'), 0.0)"
+
+
+# the fills as the rule says them: changes, volume scores and bodies 0, what is left the training median
+_CLEANED = f"""cl AS (SELECT symbol, open_time, coalesce({_clip_sql('return_1h')}, 0.0) AS return_1h, coalesce({_clip_sql('return_4h')}, 0.0) AS return_4h, coalesce({_clip_sql('return_24h')}, 0.0) AS return_24h,
+  coalesce({_clip_sql('volatility_24h')}, {_median_sql('volatility_24h')}) AS volatility_24h, coalesce({_clip_sql('vol_zscore')}, 0.0) AS vol_zscore, coalesce({_clip_sql('candle_body')}, 0.0) AS candle_body,
+  coalesce({_clip_sql('volume')}, {_median_sql('volume')}) AS volume FROM feat)"""
+
+
+@query(f"{_FIT}, {_CLEANED} SELECT symbol, open_time, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in COLUMNS)} FROM cl")
 def winsor_impute(spark: SparkSession, d: str) -> DataFrame:
     f, stats = _fit(spark, d)
-    return rounded(K.apply(f.select("symbol", "open_time", *COLUMNS), K.fitted(stats), COLUMNS, carried=("volume",)))
+    return rounded(K.apply(f.select("symbol", "open_time", *COLUMNS), K.fitted(stats), COLUMNS))
+
+
+_EFFECTS = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) FILTER ({c} < (SELECT clip_lo FROM fit WHERE feature = '{c}') OR {c} > (SELECT clip_hi FROM fit WHERE feature = '{c}')) AS n_clipped, count(*) - count({c}) AS n_filled, 0::BIGINT AS n_infinite FROM feat"
+    for c in COLUMNS
+)
+
+
+@query(f"{_FIT} {_EFFECTS}")
+def cleaning_effects(spark: SparkSession, d: str) -> DataFrame:
+    f, stats = _fit(spark, d)
+    return K.effects(f, K.fitted(stats), COLUMNS)
+
+
+@query(f"{_FIT}, {_CLEANED} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) FILTER ({c} NOT BETWEEN (SELECT clip_lo FROM fit WHERE feature = '{c}') - 1e-9 AND (SELECT clip_hi FROM fit WHERE feature = '{c}') + 1e-9 AND {c} <> {'0.0' if c.startswith(('return', 'vol_z', 'candle')) else _median_sql(c)}) AS n_outside, count(*) - count({c}) AS n_null FROM cl"
+    for c in COLUMNS
+))
+def clean_within_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The proof that a cleaned table keeps to the bounds of the training rows."""
+    f, stats = _fit(spark, d)
+    s = K.fitted(stats)
+    return K.within_bounds(K.apply(f.select("symbol", "open_time", *COLUMNS), s, COLUMNS), s)
 
 
 @query(
@@ -160,18 +187,80 @@ def dup_audit(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+#: Candles with faults: some twice, some with a high below their low; a grid with wrong targets and prices in gaps.
+_FAULTY = f"""{HOURLY}, sp AS (SELECT symbol, open_time, open, CASE WHEN trade_count = 4 THEN low - 1 ELSE high END AS high, low, close, volume, trade_count FROM candles),
+dd AS (SELECT * FROM sp UNION ALL SELECT * FROM sp WHERE trade_count = 5),
+ft AS (SELECT symbol, open_time, is_real, CASE WHEN NOT is_real AND open_time % 86400000 = 0 THEN 1.0 ELSE close END AS close, lead(close, 4) OVER ({W}) / nullif(close, 0) - 1 + CASE WHEN trade_count = 6 THEN 0.001 ELSE 0 END AS y FROM grid),
+c AS (SELECT *, open_time - {lag('open_time')} AS step, abs(close / nullif({lag('close')}, 0) - 1) AS move FROM dd),
+a AS (SELECT count(*) FILTER (step = 0) AS dups, count(*) FILTER (step > 3600000) AS gaps, count(*) FILTER (NOT (high >= greatest(open, close, low) AND low <= least(open, close, high) AND low > 0 AND volume >= 0)) AS insane, count(*) FILTER (move > 0.3) AS moves FROM c),
+pr AS (SELECT f.*, g.close / nullif(f.close, 0) - 1 AS proof FROM ft f LEFT JOIN ft g ON g.symbol = f.symbol AND g.open_time = f.open_time + 14400000),
+b AS (SELECT count(*) FILTER (coalesce(abs(y - proof) > 1e-6, (y IS NULL) <> (proof IS NULL))) AS wrong, count(*) FILTER (NOT is_real AND close IS NOT NULL) AS invented, avg(CAST(y IS NULL AS DOUBLE)) AS no_target FROM pr),
+rep AS (SELECT 'duplicates' AS "check", CASE WHEN dups > 0 THEN 'FAIL' ELSE 'PASS' END AS level, 'rows that repeat a key' AS message, CAST(dups AS DOUBLE) AS value FROM a
+UNION ALL SELECT 'gaps', CASE WHEN gaps > 0 THEN 'WARN' ELSE 'PASS' END, 'steps longer than an hour', gaps FROM a UNION ALL SELECT 'ohlc', CASE WHEN insane > 0 THEN 'FAIL' ELSE 'PASS' END, 'candles that break an invariant', insane FROM a
+UNION ALL SELECT 'moves', CASE WHEN moves > 0 THEN 'WARN' ELSE 'PASS' END, 'hourly moves above 30 percent', moves FROM a
+UNION ALL SELECT 'target', CASE WHEN wrong > 0 THEN 'FAIL' ELSE 'PASS' END, 'targets that differ from the close four hours on', wrong FROM b UNION ALL SELECT 'gap_rows', CASE WHEN invented > 0 THEN 'FAIL' ELSE 'PASS' END, 'added rows with a price', invented FROM b
+UNION ALL SELECT 'target_share', CASE WHEN no_target > 0.5 THEN 'WARN' ELSE 'PASS' END, 'share of rows without a target', round(no_target, 6) FROM b)"""
+
+
+def _faulty_audit(spark: SparkSession, d: str) -> DataFrame:
+    c, n = C.candles(ticks(spark, d)), F.col("trade_count")
+    spoilt = c.withColumn("high", F.when(n == 4, F.col("low") - 1).otherwise(F.col("high")))
+    f = X.with_target(C.on_grid(c)).withColumn("target_return_4h", F.col("target_return_4h") + F.when(n == 6, 0.001).otherwise(0.0))
+    f = f.withColumn("close", F.when(~F.col("is_real") & (F.col("open_time") % C.DAY_MS == 0), 1.0).otherwise(F.col("close")))
+    return Q.audit(spoilt.unionByName(spoilt.filter("trade_count = 5")), f)
+
+
+@query(f"{_FAULTY} SELECT * FROM rep")
+def audit_report(spark: SparkSession, d: str) -> DataFrame:
+    return _faulty_audit(spark, d)
+
+
 @query(
-    f"""{HOURLY}, c AS (SELECT *, open_time - {lag('open_time')} AS step, abs(close / nullif({lag('close')}, 0) - 1) AS move FROM candles),
-a AS (SELECT count(*) FILTER (step > 3600000) AS gaps, count(*) FILTER (NOT (high >= greatest(open, close, low) AND low <= least(open, close, high) AND low > 0 AND volume >= 0)) AS insane, count(*) FILTER (move > 0.3) AS moves FROM c),
-b AS (SELECT avg(CAST(lead IS NULL OR close IS NULL AS DOUBLE)) AS no_target FROM (SELECT close, lead(close, 4) OVER ({W}) AS lead FROM grid))
-SELECT 'duplicates' AS "check", 'PASS' AS level, 'rows that repeat a key' AS message, 0.0::DOUBLE AS value UNION ALL
-SELECT 'gaps', CASE WHEN gaps > 0 THEN 'WARN' ELSE 'PASS' END, 'steps longer than an hour', gaps FROM a UNION ALL SELECT 'ohlc', CASE WHEN insane > 0 THEN 'FAIL' ELSE 'PASS' END, 'candles that break an invariant', insane FROM a UNION ALL
-SELECT 'moves', CASE WHEN moves > 0 THEN 'WARN' ELSE 'PASS' END, 'hourly moves above 30 percent', moves FROM a UNION ALL SELECT 'target', 'PASS', 'targets that differ from the close four hours on', 0 UNION ALL
-SELECT 'gap_rows', 'PASS', 'added rows with a price', 0 UNION ALL SELECT 'target_share', CASE WHEN no_target > 0.5 THEN 'WARN' ELSE 'PASS' END, 'share of rows without a target', round(no_target, 6) FROM b"""
+    f"""{_FAULTY} SELECT count(*) FILTER (level = 'PASS') AS n_pass, count(*) FILTER (level = 'WARN') AS n_warn, count(*) FILTER (level = 'FAIL') AS n_fail, CAST(count(*) FILTER (level = 'FAIL') > 0 AS INTEGER) AS exit_code FROM rep"""
 )
-def audit_report(spark: SparkSession, d: str) -> DataFrame:
-    c = C.candles(ticks(spark, d))
-    return Q.audit(c, X.with_target(C.on_grid(c)))
+def audit_tally(spark: SparkSession, d: str) -> DataFrame:
+    return Q.tally(_faulty_audit(spark, d))
+
+
+@query(
+    f"""{_FAULTY}, st AS (SELECT count(*) FILTER (step = 0) AS v1, count(*) FILTER (step > 5400000) AS v2, coalesce(sum(floor(step / 3600000.0 - 1)) FILTER (step > 5400000), 0) AS hours, count(*) FILTER (step <> 3600000) - count(*) FILTER (step > 5400000) AS v4,
+  count(*) FILTER (high < open OR high < close OR high < low) AS bad_high, count(*) FILTER (low > open OR low > close OR low > high) AS bad_low, count(*) FILTER (volume < 0) AS neg FROM c),
+tl AS (SELECT count(*) FILTER (y IS NULL AND back <= 6) AS tail, count(DISTINCT symbol) AS n FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS back FROM ft)), nn AS (SELECT count(*) FILTER (y IS NULL) AS v9 FROM ft)
+SELECT 'V1' AS "check", CASE WHEN v1 > 0 THEN 'FAIL' ELSE 'PASS' END AS level, 'duplicate times' AS message, CAST(v1 AS DOUBLE) AS value FROM st
+UNION ALL SELECT 'V2', CASE WHEN v2 > 0 THEN 'WARN' ELSE 'PASS' END, 'gaps between hours', v2 FROM st UNION ALL SELECT 'V2 hours', 'PASS', 'missing hours', hours FROM st
+UNION ALL SELECT 'V3', CASE WHEN bad_high + bad_low + neg > 0 THEN 'FAIL' ELSE 'PASS' END, 'candles that break an invariant', bad_high + bad_low + neg FROM st
+UNION ALL SELECT 'V4', CASE WHEN v4 > 0 THEN 'WARN' ELSE 'PASS' END, 'steps that are neither an hour nor a gap', v4 FROM st
+UNION ALL SELECT 'V5', 'FAIL', 'columns named after the future: next_open', 1 UNION ALL SELECT 'V6', 'PASS', 'targets among the features', 0
+UNION ALL SELECT 'V6 tail', CASE WHEN tail < 4 * n THEN 'WARN' ELSE 'PASS' END, 'missing targets in the last six rows of a series', tail FROM tl
+UNION ALL SELECT 'V7', 'PASS', 'statistics come from training rows only', 0 UNION ALL SELECT 'V8', 'WARN', 'alignment of funding needs its own table', 1
+UNION ALL SELECT 'V9', CASE WHEN v9 = 0 THEN 'WARN' ELSE 'PASS' END, 'rows without a target', v9 FROM nn"""
+)
+def validation_suite(spark: SparkSession, d: str) -> DataFrame:
+    """The nine checks of a feature table, over faulty candles and a column with a name from the future."""
+    c, n = C.candles(ticks(spark, d)), F.col("trade_count")
+    spoilt = c.withColumn("high", F.when(n == 4, F.col("low") - 1).otherwise(F.col("high"))).withColumn("next_open", F.lit(0.0))
+    return Q.validations(spoilt.unionByName(spoilt.filter("trade_count = 5")), X.with_target(C.on_grid(c)), [*COLUMNS, "next_open"])
+
+
+@query(
+    f"""{HOURLY}, e AS (SELECT symbol, close / nullif({lag('close', 4)}, 0) - 1 + CASE WHEN trade_count = 6 THEN 0.01 ELSE 0 END AS given, CASE WHEN trade_count <> 5 OR trade_count IS NULL THEN close / nullif({lag('close', 4)}, 0) - 1 END AS formula FROM grid)
+SELECT symbol, round(coalesce(max(abs(given - formula)), 0), 6) + 0.0 AS max_error, count(*) FILTER ((given IS NULL) <> (formula IS NULL)) AS n_one_sided FROM e GROUP BY 1"""
+)
+def causality_proof(spark: SparkSession, d: str) -> DataFrame:
+    """A stored column against its formula, where some rows were changed and some lost."""
+    n = F.col("trade_count")
+    f = X.with_returns(hourly(spark, d)).withColumn("formula", F.when(F.coalesce(n != 5, F.lit(True)), F.col("return_4h")))
+    f = f.withColumn("given", F.col("return_4h") + F.when(n == 6, 0.01).otherwise(0.0))
+    return rounded(Q.max_error(f, "given", F.col("formula"), "symbol"))
+
+
+@query(
+    f"""{HOURLY}, s AS (SELECT symbol, coalesce(abs(volume - {lag('volume')}) > 1e-12, false) AS ch, volume FROM grid),
+t AS (SELECT symbol, avg(CAST(ch AS DOUBLE)) AS rate, count(*) AS n, avg(CAST(volume IS NOT NULL AS DOUBLE)) AS cover FROM s GROUP BY 1)
+SELECT symbol, round(rate, 6) + 0.0 AS step_rate, n, round(cover, 6) + 0.0 AS coverage, CASE WHEN rate > 0.3 THEN 'FAIL' WHEN cover < 0.5 THEN 'WARN' ELSE 'PASS' END AS level FROM t"""
+)
+def step_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(Q.step_coverage(hourly(spark, d), "volume", "symbol"))
 
 
 @query(f"WITH {TICKS}, {candles_cte()}, s AS (SELECT symbol, open_time, open_time - {lag('open_time')} AS step_ms FROM candles) SELECT * FROM s WHERE step_ms IS NOT NULL ORDER BY step_ms DESC, symbol, open_time LIMIT 5")
