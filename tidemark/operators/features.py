@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
+from tidemark.operators.candles import on_grid, quarantined
 
 SPANS = (8, 21, 50, 200)
 #: Session hours in UTC (from, to), funding limits.
@@ -149,18 +150,23 @@ def with_funding(df: DataFrame, key: str = "symbol") -> DataFrame:
 
 
 def with_open_interest(df: DataFrame, key: str = "symbol") -> DataFrame:
-    """Needs sum_open_interest and close; the change is from the row before."""
+    """Needs sum_open_interest, its change oi_delta, and close; an unknown change counts as none."""
     w = W.series(key)
-    d = df.withColumn("oi_delta", F.coalesce(W.diff("sum_open_interest", w), F.lit(0.0)))
+    d = df.withColumn("oi_delta", F.coalesce(F.col("oi_delta").cast("double"), F.lit(0.0)))
     return d.withColumns(
         {
             "oi_zscore": W.zscore("sum_open_interest", w, 24),
             "oi_delta_norm": W.ratio("oi_delta", "sum_open_interest"),
-            "oi_price_divergence": divergence("sum_open_interest", "close", w),
+            "oi_price_divergence": W.differs(F.signum(W.diff("close", w, 4)), F.signum(W.total("oi_delta", w, 4))),
         }
     )
 
 
+def open_interest_changes(oi: DataFrame, key: str = "symbol") -> DataFrame:
+    """Open interest (sum_open_interest) with oi_delta, the change from the row before; unknown on the first."""
+    return oi.withColumn("oi_delta", W.diff("sum_open_interest", W.series(key)))
+
+
 def with_liquidation_proxies(df: DataFrame, key: str = "symbol") -> DataFrame:
     """Falls in open interest that come with large returns; needs oi_delta and log_return_1h."""
     w = W.series(key)
@@ -197,14 +203,44 @@ def with_target(df: DataFrame, n: int = HORIZON, key: str = "symbol") -> DataFra
 
 
 def price_features(grid: DataFrame, key: str = "symbol") -> DataFrame:
-    """All features that candles alone give, on a complete grid."""
+    """All features that candles alone give, on a complete grid; an unknown share of taker buys counts as half."""
     d = with_candle_shape(with_returns(with_time(grid), key))
     d = with_bollinger(with_volume(with_volatility(d, key), key=key), key=key)
     d = with_rsi(with_rsi(d, 14, key), 7, key)
     d = with_atr(with_ema_flags(with_ema(with_macd(d, key=key), key=key)), key=key)
+    if "taker_buy_ratio" in d.columns:
+        d = d.withColumn("taker_buy_ratio", F.coalesce("taker_buy_ratio", F.lit(0.5)))
     return with_target(d, key=key)
 
 
+def feature_table(
+    klines: DataFrame, footprint: DataFrame | None = None, open_interest: DataFrame | None = None, liquidations: DataFrame | None = None,
+    funding: DataFrame | None = None, key: str = "symbol", warm_up: int = 200,
+) -> DataFrame:
+    """The joined table of all families: sane candles on a complete grid, with what the other tables have for the hour.
+
+    The funding rate of an hour is carried forward. Families whose table is missing are left out;
+    real liquidations make features only where there is no open interest.
+    """
+    grid = on_grid(quarantined(klines).drop("is_bad"), key=key)
+    # a quarantined candle is a gap like any other
+    grid = grid.withColumn("is_real", F.col("is_real") & F.col("close").isNotNull())
+    at = [key, "open_time"]
+    d = joined(grid, [x for x in (footprint, open_interest, liquidations) if x is not None], at)
+    if funding is not None:
+        d = d.join(funding, at, "left").withColumn("funding_rate", W.ffill("funding_rate", W.series(key)))
+    d = price_features(d, key).drop("bb_mid", "true_range")
+    if footprint is not None:
+        d = with_order_flow(d, key)
+    if funding is not None:
+        d = with_funding(d, key)
+    if open_interest is not None:
+        d = with_liquidation_proxies(with_open_interest(d, key), key)
+    elif liquidations is not None:
+        d = with_liquidations(d, key)
+    return finished(d, warm_up, key)
+
+
 def finished(features: DataFrame, warm_up: int = 200, key: str = "symbol") -> DataFrame:
     """Without a series' first rows, whose windows aren't full, and without rows the grid added."""
     d = features.withColumn("n_", F.row_number().over(W.series(key)))

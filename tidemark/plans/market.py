@@ -27,7 +27,8 @@ def tick_trades(spark: SparkSession, d: str) -> DataFrame:
 
 
 def funding(spark: SparkSession, d: str) -> DataFrame:
-    t = ticks(spark, d).filter("event_id % 8 = 0")
+    """Funding is settled by the ticks of the smallest quantity."""
+    t = ticks(spark, d).filter("quantity = 1")
     return t.select("symbol", "event_id", F.unix_millis("time").alias("funding_time"), ((F.col("price") - 10) / 10_000).alias("funding_rate"))
 
 
@@ -250,7 +251,7 @@ def _flow_cte(width: int = 3_600_000) -> str:
   sum(quantity) AS total_vol FROM ticks GROUP BY ALL)"""
 
 
-_FUND = "fund AS (SELECT symbol, event_id, t AS funding_time, (price - 10) / 10000 AS funding_rate FROM ticks WHERE event_id % 8 = 0)"
+_FUND = "fund AS (SELECT symbol, event_id, t AS funding_time, (price - 10) / 10000 AS funding_rate FROM ticks WHERE quantity = 1)"
 _LIQ = """liq AS (SELECT symbol, t // 3600000 * 3600000 AS open_time, sum(CASE WHEN quantity % 3 = 0 THEN price ELSE 0 END) AS liq_buy_vol, sum(CASE WHEN quantity % 3 = 0 THEN 0 ELSE price END) AS liq_sell_vol, count(*) AS liq_count FROM ticks GROUP BY ALL)"""
 
 
@@ -363,11 +364,18 @@ def liq_buckets(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.liquidation_buckets(liquidations(spark, d), keys=("symbol",)))
 
 
-_OI = f"o AS (SELECT symbol, open_time, close, volume AS oi, coalesce(volume - {lag('volume')}, 0) AS oi_delta, ln(close / {lag('close')}) AS lr FROM grid)"
+#: Open interest: the users' ids of an hour, summed. Its change is from the hour before that has any.
+_OPEN = f"oi AS (SELECT symbol, open_time, oi, oi - {lag('oi')} AS ch FROM (SELECT symbol, t // 3600000 * 3600000 AS open_time, CAST(sum(user_id) AS DOUBLE) AS oi FROM ticks GROUP BY ALL))"
+_OI = f"{_OPEN}, o AS (SELECT g.symbol, g.open_time, g.close, oi, coalesce(ch, 0) AS oi_delta, ln(close / {lag('close').replace('symbol', 'g.symbol').replace('open_time', 'g.open_time')}) AS lr FROM grid g LEFT JOIN oi USING (symbol, open_time))"
+
+
+def open_interest(spark: SparkSession, d: str) -> DataFrame:
+    t = ticks(spark, d).groupBy("symbol", C.floor_ms(F.unix_millis("time"), C.HOUR_MS).alias("open_time"))
+    return X.open_interest_changes(t.agg(F.sum("user_id").cast("double").alias("sum_open_interest")))
 
 
 def _with_oi(spark: SparkSession, d: str) -> DataFrame:
-    return X.with_open_interest(hourly(spark, d).withColumn("sum_open_interest", F.col("volume")))
+    return X.with_open_interest(X.joined(hourly(spark, d), [open_interest(spark, d)], ["symbol", "open_time"]))
 
 
 @query(
@@ -382,7 +390,7 @@ def cascade_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""{HOURLY}, {_OI}, q AS (SELECT symbol, open_time, oi_delta, {z('oi', 24)} AS oi_zscore, oi_delta / nullif(oi, 0) AS oi_delta_norm,
-  CAST(coalesce(sign(oi - {lag('oi', 4)}) <> sign(close - {lag('close', 4)}), true) AS INTEGER) AS oi_price_divergence FROM o) SELECT symbol, open_time, {r('oi_delta', 'oi_zscore', 'oi_delta_norm')}, oi_price_divergence FROM q"""
+  CAST(coalesce(sign({full('sum', 'oi_delta', 4)}) <> sign(close - {lag('close', 4)}), true) AS INTEGER) AS oi_price_divergence FROM o) SELECT symbol, open_time, {r('oi_delta', 'oi_zscore', 'oi_delta_norm')}, oi_price_divergence FROM q"""
 )
 def oi_delta(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_with_oi(spark, d).select("symbol", "open_time", "oi_delta", "oi_zscore", "oi_delta_norm", "oi_price_divergence"))
@@ -411,17 +419,117 @@ def funding_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TICKS}, i AS (SELECT symbol, t // 3600000 * 3600000 AS open_time, min(event_id) AS event_id FROM ticks GROUP BY ALL), x AS (SELECT DISTINCT symbol, t // 3600000 * 3600000 AS open_time FROM ticks WHERE event_id % 3 = 0)
+    f"""WITH {TICKS}, i AS (SELECT symbol, t // 3600000 * 3600000 AS open_time, min(event_id) AS event_id FROM ticks GROUP BY ALL), x AS (SELECT DISTINCT symbol, t // 3600000 * 3600000 AS open_time FROM ticks WHERE quantity <= 2)
 SELECT i.symbol, i.open_time, i.event_id FROM i ANTI JOIN x ON x.symbol = i.symbol AND x.open_time = i.open_time"""
 )
 def incremental_append(spark: SparkSession, d: str) -> DataFrame:
-    t = ticks(spark, d).select("symbol", C.floor_ms(F.unix_millis("time"), C.HOUR_MS).alias("open_time"), "event_id")
-    return sinks.new_rows(t, t.filter("event_id % 3 = 0").select("symbol", "open_time").distinct(), ["symbol", "open_time"], ["event_id"])
+    t = ticks(spark, d).select("symbol", C.floor_ms(F.unix_millis("time"), C.HOUR_MS).alias("open_time"), "event_id", "quantity")
+    there = t.filter("quantity <= 2").select("symbol", "open_time").distinct()
+    return sinks.new_rows(t.drop("quantity"), there, ["symbol", "open_time"], ["event_id"])
+
+
+def klines(spark: SparkSession, d: str) -> DataFrame:
+    """Candles by symbol with the share that takers bought."""
+    t = ticks(spark, d)
+    bought = F.sum(F.when(F.col("quantity") % 2 == 1, 0.0).otherwise(F.col("quantity")))
+    share = t.groupBy("symbol", C.floor_ms(F.unix_millis("time"), C.HOUR_MS).alias("open_time")).agg((bought / F.sum("quantity")).alias("taker_buy_ratio"))
+    return C.candles(t).join(share, ["symbol", "open_time"])
+
+
+def footprint(spark: SparkSession, d: str) -> DataFrame:
+    """Order flow, cumulative delta, value area and imbalance of each symbol's hours."""
+    t, on = tick_trades(spark, d), ["symbol", "open_time"]
+    profile = C.volume_profile(t, C.HOUR_MS, 1.0)
+    flow = C.daily_cvd(C.order_flow(t, C.HOUR_MS, large=3.0))
+    return X.joined(flow, [C.value_area(profile), C.max_imbalance(profile)], on)
+
+
+_EWMS = ", ".join(
+    [
+        *(ewm_cte("grid", "close", 2 / (n + 1), f"e{n}") for n in (*X.SPANS, 12, 26)),
+        *(ewm_cte("ud", c, 1 / n, f"{c}{n}", True) for n in (7, 14) for c in ("up", "down")),
+        ewm_cte("ud", "tr", 1 / 14, "tr14", True),
+        f"mc AS (SELECT u.symbol, u.open_time, e12.y - e26.y AS macd FROM ud u JOIN e12 ON e12.symbol = u.symbol AND e12.rn = u.rn JOIN e26 ON e26.symbol = u.symbol AND e26.rn = u.rn)",
+        ewm_cte("mc", "macd", 2 / 10, "e9"),
+    ]
+)
+_SIDES = f"""fl AS (SELECT symbol, t // 3600000 * 3600000 AS open_time, sum(CASE WHEN quantity % 2 = 1 THEN 0 ELSE quantity END) AS buy_vol, sum(CASE WHEN quantity % 2 = 1 THEN quantity ELSE 0 END) AS sell_vol, sum(quantity) AS total_vol,
+  count(*) FILTER (quantity % 2 <> 1) AS buy_trade_count, count(*) FILTER (quantity % 2 = 1) AS sell_trade_count, count(*) FILTER (quantity >= 3) AS large_trade_count, sum(CASE WHEN quantity >= 3 THEN quantity ELSE 0 END) AS large_trade_vol FROM ticks GROUP BY ALL),
+pf AS (SELECT symbol, t // 3600000 * 3600000 AS open_time, round(round_even(price / 1.0, 0) * 1.0, 2) AS level, sum(quantity) AS vol, sum(CASE WHEN quantity % 2 <> 1 THEN quantity ELSE 0 END) AS buy, sum(CASE WHEN quantity % 2 = 1 THEN quantity ELSE 0 END) AS sell FROM ticks GROUP BY ALL),
+pn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol, open_time ORDER BY level) AS i, sum(vol) OVER (PARTITION BY symbol, open_time) AS tot FROM pf),
+ps AS (SELECT symbol, open_time, arg_max(i, {{'a': vol, 'b': -level}}) AS lo, max(vol) AS acc, max(tot) AS tot FROM pn GROUP BY ALL),
+pe AS (SELECT symbol, open_time, lo, lo AS hi, acc, tot FROM ps UNION ALL SELECT e.symbol, e.open_time, CASE WHEN coalesce(u.vol, -1) >= coalesce(w.vol, -1) THEN e.lo ELSE e.lo - 1 END, CASE WHEN coalesce(u.vol, -1) >= coalesce(w.vol, -1) THEN e.hi + 1 ELSE e.hi END,
+  e.acc + greatest(coalesce(u.vol, -1), coalesce(w.vol, -1)), e.tot FROM pe e LEFT JOIN pn u ON u.symbol = e.symbol AND u.open_time = e.open_time AND u.i = e.hi + 1 LEFT JOIN pn w ON w.symbol = e.symbol AND w.open_time = e.open_time AND w.i = e.lo - 1
+  WHERE e.acc < e.tot * 0.70 AND (u.vol IS NOT NULL OR w.vol IS NOT NULL)),
+pa AS (SELECT symbol, open_time, min(lo) AS lo, max(hi) AS hi, arg_min(lo, hi - lo) AS poc FROM pe GROUP BY ALL),
+va AS (SELECT f.symbol, f.open_time, c.level AS poc_price, b.level AS vah, a.level AS val FROM pa f JOIN pn a ON a.symbol = f.symbol AND a.open_time = f.open_time AND a.i = f.lo
+  JOIN pn b ON b.symbol = f.symbol AND b.open_time = f.open_time AND b.i = f.hi JOIN pn c ON c.symbol = f.symbol AND c.open_time = f.open_time AND c.i = f.poc),
+im AS (SELECT symbol, open_time, coalesce(max(abs(buy - sell) / nullif(buy + sell, 0)), 0) AS max_imbalance FROM pf GROUP BY ALL),
+fp AS (SELECT fl.*, buy_vol - sell_vol AS delta, sum(buy_vol - sell_vol) OVER (PARTITION BY symbol, open_time // 86400000 ORDER BY open_time ROWS UNBOUNDED PRECEDING) AS cvd, poc_price, vah, val, max_imbalance FROM fl JOIN va USING (symbol, open_time) JOIN im USING (symbol, open_time)),
+fh AS (SELECT symbol, funding_time // 3600000 * 3600000 AS open_time, arg_min(funding_rate, {{'a': funding_time, 'b': event_id}}) AS x FROM fund GROUP BY ALL)"""
+_PLAIN = {  # columns that are taken or derived without a recursion, over the joined rows
+    "hour_of_day": "CAST(hour(make_timestamp(open_time * 1000)) AS INTEGER)", "day_of_week": "CAST(isodow(make_timestamp(open_time * 1000)) - 1 AS INTEGER)",
+    "is_weekend": "CAST(isodow(make_timestamp(open_time * 1000)) >= 6 AS INTEGER)",
+    **{f"{k}_{f}": f"{f}({x} * 2 * pi() / {n})" for k, x, n in (("hour", "hour(make_timestamp(open_time * 1000))", 24), ("dow", "(isodow(make_timestamp(open_time * 1000)) - 1)", 7)) for f in ("sin", "cos")},
+    **{k: f"CAST(hour(make_timestamp(open_time * 1000)) >= {a} AND hour(make_timestamp(open_time * 1000)) < {b} AS INTEGER)" for k, (a, b) in X.SESSIONS.items()},
+    **{f"log_return_{n}h": f"ln(close / {lag('close', n)})" for n in (1, 4, 24)}, **{f"return_{n}h": f"close / nullif({lag('close', n)}, 0) - 1" for n in (1, 4, 24)},
+    "candle_body": "abs(close - open) / nullif(open, 0)", "upper_wick": "(high - greatest(open, close)) / nullif(open, 0)", "lower_wick": "(least(open, close) - low) / nullif(open, 0)",
+    "is_bullish": "CAST(coalesce(close > open, false) AS INTEGER)", "vol_sma_24": full("avg", "volume", 24), "vol_zscore": z("volume", 24), "vol_ratio_24h": f"volume / nullif({full('avg', 'volume', 24)}, 0)",
+    "bb_upper": f"{full('avg', 'close', 20)} + 2 * {full('stddev_samp', 'close', 20)}", "bb_lower": f"{full('avg', 'close', 20)} - 2 * {full('stddev_samp', 'close', 20)}",
+    "bb_width": f"4 * {full('stddev_samp', 'close', 20)} / nullif({full('avg', 'close', 20)}, 0)", "bb_pct_b": f"(close - ({full('avg', 'close', 20)} - 2 * {full('stddev_samp', 'close', 20)})) / nullif(4 * {full('stddev_samp', 'close', 20)}, 0)",
+    "delta_norm": "delta / nullif(total_vol, 0)", "poc_distance": "(close - poc_price) / nullif(close, 0)", "va_range": "(vah - val) / nullif(close, 0)", "large_trade_ratio": "large_trade_vol / nullif(total_vol, 0)",
+    "buy_sell_cnt_ratio": "buy_trade_count / nullif(buy_trade_count + sell_trade_count, 0)", "cvd_divergence": f"CAST(coalesce(sign(cvd - {lag('cvd', 4)}) <> sign(close - {lag('close', 4)}), true) AS INTEGER)",
+    "cvd_norm": f"cvd / nullif({full('sum', 'total_vol', 24)}, 0)", "funding_extreme_long": "CAST(funding_rate > 0.0008 AS INTEGER)", "funding_extreme_short": "CAST(funding_rate < -0.0002 AS INTEGER)",
+    "funding_8h_change": f"funding_rate - {lag('funding_rate', 8)}", "funding_24h_mean": full("avg", "funding_rate", 24), "oi_zscore": z("sum_open_interest", 24), "oi_delta_norm": "oi_delta / nullif(sum_open_interest, 0)",
+    "oi_price_divergence": f"CAST(coalesce(sign({full('sum', 'oi_delta', 4)}) <> sign(close - {lag('close', 4)}), true) AS INTEGER)",
+    "target_return_4h": f"lead(close, 4) OVER ({W}) / nullif(close, 0) - 1", "target_direction_4h": f"CAST(sign(lead(close, 4) OVER ({W}) / nullif(close, 0) - 1) AS INTEGER)",
+}
+_LATER = {  # columns over those
+    "volatility_24h": full("stddev_samp", "log_return_1h", 24), "volatility_7d": full("stddev_samp", "log_return_1h", 168), "vol_ratio": f"({full('stddev_samp', 'log_return_1h', 24)}) / nullif({full('stddev_samp', 'log_return_1h', 168)}, 0)",
+    "liq_long_proxy": f"CAST(coalesce({z('oi_delta', 24)} < -1.5 AND log_return_1h < -0.01, false) AS INTEGER)", "liq_short_proxy": f"CAST(coalesce({z('oi_delta', 24)} < -1.5 AND log_return_1h > 0.01, false) AS INTEGER)",
+    "cascade_flag": f"CAST(coalesce({z('oi_delta', 24)} < -2 AND abs(log_return_1h) > 0.015, false) AS INTEGER)",
+    "macd_hist": "macd - macd_signal", "macd_cross": f"CASE WHEN macd > macd_signal AND {lag('macd')} <= {lag('macd_signal')} THEN 1 WHEN macd < macd_signal AND {lag('macd')} >= {lag('macd_signal')} THEN -1 ELSE 0 END",
+    "atr_ratio": "atr_14 / nullif(close, 0)", "ema_8_21_cross": "CAST(coalesce(ema_8 > ema_21, false) AS INTEGER)", **{f"price_vs_ema_{n}": f"(close - ema_{n}) / nullif(ema_{n}, 0)" for n in (50, 200)},
+}
+_GIVEN = (
+    "open high low close volume trade_count taker_buy_ratio buy_vol sell_vol total_vol delta cvd buy_trade_count sell_trade_count large_trade_count large_trade_vol poc_price vah val max_imbalance "
+    "sum_open_interest oi_delta liq_buy_vol liq_sell_vol liq_net_vol liq_count funding_rate"
+).split()
+_STEADY = [f"ema_{n}" for n in X.SPANS] + ["rsi_7", "rsi_14", "atr_14", "macd", "macd_signal"]
+_WHOLE = {"trade_count", "buy_trade_count", "sell_trade_count", "large_trade_count", "liq_count"}
+_EVERY = [*_GIVEN, *_PLAIN, *_STEADY, *_LATER, "liq_direction", "cascade_4h", "cascade_24h"]
+
+
+def _digits(c: str) -> int:
+    return 10 if c.startswith("funding") else 6
+
+
+_FEATURE_SQL = f"""{HOURLY}, {_FUND}, {_LIQ}, {_OPEN}, {_SIDES},
+tk AS (SELECT symbol, t // 3600000 * 3600000 AS open_time, sum(CASE WHEN quantity % 2 = 1 THEN 0 ELSE quantity END) / sum(quantity) AS tb FROM ticks GROUP BY ALL),
+ud AS (SELECT symbol, open_time, rn, CASE WHEN x IS NOT NULL THEN greatest(x, 0) END AS up, CASE WHEN x IS NOT NULL THEN greatest(-x, 0) END AS down, tr FROM (SELECT symbol, open_time, row_number() OVER ({W}) AS rn, close - {lag('close')} AS x,
+  greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) AS tr FROM grid)),
+{_EWMS},
+jn AS (SELECT g.symbol, g.open_time, g.is_real, open, high, low, close, volume, trade_count, coalesce(tb, 0.5) AS taker_buy_ratio, fp.* EXCLUDE (symbol, open_time), oi AS sum_open_interest, coalesce(ch, 0) AS oi_delta, liq_buy_vol, liq_sell_vol, liq_buy_vol - liq_sell_vol AS liq_net_vol, liq_count,
+  coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.open_time ROWS UNBOUNDED PRECEDING), 0) AS funding_rate
+  FROM grid g LEFT JOIN tk USING (symbol, open_time) LEFT JOIN fp USING (symbol, open_time) LEFT JOIN oi USING (symbol, open_time) LEFT JOIN liq USING (symbol, open_time) LEFT JOIN fh USING (symbol, open_time)),
+k1 AS (SELECT *, row_number() OVER ({W}) AS rn, {', '.join(f'{x} AS {c}' for c, x in _PLAIN.items())} FROM jn),
+k2 AS (SELECT k1.*, {', '.join(f'e{n}.y AS ema_{n}' for n in X.SPANS)}, {', '.join(f'CASE WHEN up{n}.nobs >= {n} THEN 100 - 100 / (1 + up{n}.y / nullif(down{n}.y, 0)) END AS rsi_{n}' for n in (7, 14))},
+  CASE WHEN tr14.nobs >= 14 THEN tr14.y END AS atr_14, e12.y - e26.y AS macd, e9.y AS macd_signal FROM k1 {' '.join(f'JOIN {t} ON {t}.symbol = k1.symbol AND {t}.rn = k1.rn' for t in (*(f'e{n}' for n in X.SPANS), 'up7', 'down7', 'up14', 'down14', 'tr14', 'e12', 'e26', 'e9'))}),
+k3 AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in _LATER.items())} FROM k2),
+k4 AS (SELECT *, liq_short_proxy - liq_long_proxy AS liq_direction, CAST({full('sum', 'cascade_flag', 4)} AS BIGINT) AS cascade_4h, CAST({full('sum', 'cascade_flag', 24)} AS BIGINT) AS cascade_24h FROM k3)"""
 
 
-@query()
+@query(
+    f"""{_FEATURE_SQL} SELECT symbol, open_time, {', '.join(c if c in _WHOLE or 'CAST(' in {**_PLAIN, **_LATER}.get(c, '') or c in ('macd_cross', 'liq_direction', 'cascade_4h', 'cascade_24h') else f'round({c}, {_digits(c)}) + 0.0 AS {c}' for c in _EVERY)}
+FROM k4 WHERE rn > 200 AND is_real"""
+)
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    return X.finished(X.price_features(hourly(spark, d)))
+    """All families joined: candles, order flow, open interest, liquidations, funding, and the targets."""
+    f = funding(spark, d).withColumn("open_time", C.floor_ms(F.col("funding_time"), C.HOUR_MS))
+    f = f.groupBy("symbol", "open_time").agg(F.min_by("funding_rate", F.struct("funding_time", "event_id")).alias("funding_rate"))
+    liq = C.liquidation_buckets(liquidations(spark, d), keys=("symbol",))
+    t = X.feature_table(klines(spark, d), footprint(spark, d), open_interest(spark, d), liq, f)
+    return t.select("symbol", "open_time", *((F.round(c, _digits(c)) + 0.0).alias(c) if dict(t.dtypes)[c] == "double" else c for c in _EVERY))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -237,13 +237,13 @@ def regression_report(spark: SparkSession, d: str) -> DataFrame:
     return rounded(B.regression_metrics(f, "target_return_4h", "return_1h", "symbol"), 4)
 
 
-_ASKED = "asked AS (SELECT DISTINCT symbol, (t // 3600000 + 1) * 3600000 AS open_time FROM ticks WHERE event_id % 5 = 0)"
+_ASKED = "asked AS (SELECT DISTINCT symbol, (t // 3600000 + 1) * 3600000 AS open_time FROM ticks WHERE quantity >= 3)"
 
 
 def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = ticks(spark, d)
     at = C.floor_ms(F.unix_millis("time"), C.HOUR_MS) + C.HOUR_MS
-    return t.filter("event_id % 5 = 0").select("symbol", at.alias("open_time")).distinct(), C.candles(t).select("symbol", "open_time")
+    return t.filter("quantity >= 3").select("symbol", at.alias("open_time")).distinct(), C.candles(t).select("symbol", "open_time")
 
 
 @query(f"WITH {TICKS}, {candles_cte()}, {_ASKED} SELECT asked.* FROM asked SEMI JOIN candles USING (symbol, open_time)")
