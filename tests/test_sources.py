@@ -42,7 +42,7 @@ def test_papers_and_markdown(spark, tmp_path):
     assert [(r["text"], r["authors"], r["trust_tier"]) for r in got] == [("s", "a, b, c, d, e", 3)]
     write(f"{tmp_path}/m/x/note.md", "# hi")
     write(f"{tmp_path}/m/empty.md", "  ")
-    assert [(r["title"], r["trust_tier"]) for r in files.read_markdown(spark, f"{tmp_path}/m", "notes").collect()] == [("note", 2)]
+    assert [(r["title"], r["trust_tier"]) for r in files.read_markdown(spark, f"{tmp_path}/m", "strategy_notes").collect()] == [("note", 2)]
 
 
 def test_feed(spark, tmp_path):
@@ -128,10 +128,10 @@ def test_attention_order(spark):
 
 
 def test_context_skips_what_does_not_fit(spark):
-    rows = [(1, i, i, "notes", 2, 0.5, "t", t) for i, t in enumerate(("a" * 100, "b" * 300, "c" * 20))]
+    rows = [(1, i, i, "strategy_notes", 2, 0.5, "t", t) for i, t in enumerate(("a" * 100, "b" * 300, "c" * 20))]
     d = spark.createDataFrame(rows, "query_id int, id int, place long, source_type string, trust_tier int, sim double, title string, text string")
     r = R.contexts(d, 60).first()
-    assert (r["n_included"], r["n_dropped"]) == (2, 1) and r["context"].startswith("## notes\n- [trust=2, sim=0.50] \"t\"") and "ccc" in r["context"]
+    assert (r["n_included"], r["n_dropped"]) == (2, 1) and r["context"].startswith("## Your own strategy notes\n- [trust=2, sim=0.50] \"t\"") and "ccc" in r["context"]
     assert R.contexts(d, 1).first()["n_included"] == 1
 
 
@@ -146,12 +146,12 @@ def test_streamed_candles_and_positions(spark, tmp_path):
     for i in range(3):
         e.filter(F.col("event_id") % 3 == i).write.parquet(f"{tmp_path}/in/events{i}.parquet")
     stream = live.tick_stream(spark, f"{tmp_path}/in/*", "*.parquet")
-    got = live.run_to_table(live.candle_stream(stream), "test_candles", "complete", f"{tmp_path}/c1")
+    got = live.run_to_table(live.candle_stream(stream), "complete", f"{tmp_path}/c1")
     assert got.agg(F.sum("trade_count")).first()[0] == 1000
     steps = spark.createDataFrame([("a", i, float(p), float(r)) for i, (p, r) in enumerate(((100, 20), (97, 50), (95, 20), (99, 80)))], "symbol string, open_time long, close double, rsi double")
     steps.write.parquet(f"{tmp_path}/steps")
     live_steps = spark.readStream.schema(steps.schema).parquet(f"{tmp_path}/steps")
-    log = live.run_to_table(live.risk_stream(live_steps), "test_log", "append", f"{tmp_path}/c2")
+    log = live.run_to_table(live.risk_stream(live_steps), "append", f"{tmp_path}/c2")
     assert [r["reason"] for r in log.orderBy("time_ms", "side").collect()] == ["RSI_SIGNAL", "STOP_LOSS", "RSI_SIGNAL", "TAKE_PROFIT"]
     out = []
     live.signal_batches(lambda df, i: out.extend(df.collect()))(spark.createDataFrame([("a", i, 5.0) for i in range(3)], "symbol string, open_time long, close double"), 0)

@@ -42,6 +42,16 @@ def preview(text: Column, n: int, mark: str = " […]") -> Column:
     return F.when(F.length(text) > n, F.concat(F.rtrim(F.substring(text, 1, n)), F.lit(mark))).otherwise(text)
 
 
+def server_preview(text: Column, n: int = 500) -> Column:
+    """The other form of a preview: cut where it is, with another mark."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(" [...]"))).otherwise(text)
+
+
+def date_prefix(moment: Column) -> Column:
+    """The day of an ISO time: its first ten characters."""
+    return F.substring(moment, 1, 10)
+
+
 def sentence_trim(text: Column, most: int = 500) -> Column:
     """Whole sentences up to `most` characters; a longer first sentence is cut there."""
     flat = squeezed(text)

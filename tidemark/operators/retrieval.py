@@ -6,53 +6,70 @@ Searches take a table of queries (query_id, ...) and answer all of them in one p
 
 from __future__ import annotations
 
+from functools import reduce
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import sentence_trim, tokens
+from tidemark.functions.text import date_prefix, entities, preview, sentence_trim, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, OVER_FETCH, TRUST_WEIGHT = 60, 4, 0.25
 BUDGET_TOKENS, CHARS_PER_TOKEN, BUFFER_TURNS = 3000, 4, 4
-SECTIONS = ("arxiv_paper", "onchain", "notes", "blog_or_news")
+#: Kinds of documents in the order of a context's sections, with their headings.
+SECTIONS = {
+    "arxiv_paper": "Quant research (peer-reviewed / pre-print)",
+    "onchain_reference": "On-chain & quant reference material",
+    "strategy_notes": "Your own strategy notes",
+    "blog_or_news": "Blog / news / sentiment (lower trust — treat as narrative, not fact)",
+}
+
 
+def token_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, dl, tokens) of each document: what the sparse index is made of. Written once, no query tokenises again."""
+    t = tokens(F.col(text_col))
+    return docs.select(F.col(id_col).alias("id"), t.alias("tokens")).select("id", F.size("tokens").alias("dl"), "tokens")
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, id, tf) of each document's tokens."""
-    t = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term"))
-    return t.groupBy("term", "id").agg(F.count("*").alias("tf"))
 
+def document_frequencies(table: DataFrame) -> DataFrame:
+    """(term, df): in how many documents a term stands, summed where the documents are before it is moved."""
+    return table.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
-def document_lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.size(tokens(F.col(text_col))).alias("dl"))
 
+def _raw_weight(n: Column) -> Column:
+    return F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
 
-def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
-    """(term, df): in how many documents a term stands, summed where the documents are before it is moved."""
-    return docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
+def index_totals(table: DataFrame, df: DataFrame) -> tuple[int, float, float]:
+    """Documents, their mean length, and the weight of terms that more than half of them have: `EPSILON` of the mean over all."""
+    n, length = table.agg(F.count("*"), F.avg("dl")).first()
+    mean = df.agg(F.avg(_raw_weight(F.lit(n)))).first()[0]
+    return n, length or 0.0, EPSILON * (mean or 0.0)
 
-def term_weights(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """(term, df, idf): ln(N - df + .5) - ln(df + .5), and for negative ones `EPSILON` of the mean over all terms."""
-    n = docs.agg(F.count("*").alias("n_docs"))
-    raw = df.join(F.broadcast(n)).withColumn("raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = raw.agg((F.avg("raw") * EPSILON).alias("floor_"))  # one row
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor_")).otherwise(F.col("raw")).alias("idf"))
 
+def term_weights(df: DataFrame, n_docs: int, least: float) -> DataFrame:
+    """(term, df, idf): ln(N - df + .5) - ln(df + .5), and `least` in place of negative ones."""
+    raw = _raw_weight(F.lit(n_docs))
+    return df.select("term", "df", F.when(raw < 0, F.lit(least)).otherwise(raw).alias("idf"))
 
-def bm25(queries: DataFrame, post: DataFrame, lengths: DataFrame, weights: DataFrame, n: int, query_col: str = "text") -> DataFrame:
-    """(query_id, id, score, rank): the `n` best documents of each query with a positive score.
 
-    A token that a query repeats counts as often. Only the query's terms are looked up in the
-    postings; document lengths are joined to what they match.
+def bm25(queries: DataFrame, table: DataFrame, n: int, query_col: str = "text") -> DataFrame:
+    """(query_id, id, score, rank): the `n` best documents of each query with a positive score, out of `token_table`.
+
+    A token that a query repeats counts as often. Of the documents' tokens only those that some query
+    asks for are counted and moved.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col(query_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    average = lengths.agg(F.avg("dl").alias("avgdl"))  # one row
-    # the queries' terms come first, so that postings of other terms are dropped before anything is moved
-    # (a semi-join on the grouping key moves below the postings' aggregation)
-    wanted = post.join(asked.select("term").distinct(), "term", "left_semi")
-    hits = wanted.join(asked.join(weights, "term"), "term").join(lengths, "id").join(F.broadcast(average))
-    tf, norm = F.col("tf"), 1 - B + B * F.col("dl") / F.col("avgdl")
+    df = document_frequencies(table)
+    n_docs, average, least = index_totals(table, df)
+    terms = asked.select("term").distinct()
+    hits = table.select("id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    weights = term_weights(df.join(terms, "term", "left_semi"), n_docs, least)
+    hits = hits.join(asked.join(weights, "term"), "term")
+    tf, norm = F.col("tf"), 1 - B + B * F.col("dl") / F.lit(average or 1.0)
     gain = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * norm)
     scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(gain), 6).alias("score"))
     return best(scores.filter("score > 0"), n)
@@ -74,15 +91,49 @@ def with_norm(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.withColumn("norm", F.sqrt(_dot(F.col(vector), F.col(vector))))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, n: int, vector: str = "embedding") -> DataFrame:
+#: Queries of a block: with their vectors some tens of MB, which each task gets.
+BLOCK = 50_000
+
+
+def dense(queries: DataFrame, vectors: DataFrame, n: int, vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query_id, id, sim, rank): the `n` nearest vectors of each query by exact cosine.
 
-    All vectors are scanned against all queries: a broadcast where Spark finds one side small, else block by block.
+    All vectors are scanned against all queries, block by block: queries are counted first, and no
+    more than about `block` of them are broadcast at once.
     """
     q = with_norm(queries, vector).select("query_id", F.col(vector).alias("q_"), F.col("norm").alias("qn_"))
     v = with_norm(vectors, vector)
     sim = F.round(_dot(F.col(vector), F.col("q_")) / F.nullif(F.col("norm") * F.col("qn_"), F.lit(0.0)), 6)
-    return best(v.join(q, F.col("norm") > 0).select("query_id", "id", sim.alias("sim")), n, "sim")
+    blocks = max(1, -(-queries.count() // block))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [v.join(F.broadcast(q.filter(part == b)), F.col("norm") > 0).select("query_id", "id", sim.alias("sim")) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, (best(x, n, "sim") for x in found))
+
+
+@F.pandas_udf("array<double>")
+def _hashed(tokens_: pd.Series, dims: pd.Series) -> pd.Series:
+    slots: dict[str, tuple[int, int]] = {}
+
+    def vector(words: list[str], n: int) -> list[float]:
+        out = np.zeros(n)
+        for w in words:
+            if w not in slots:
+                digest = md5(w.encode()).hexdigest()
+                slots[w] = int(digest[:6], 16), 1 if digest[6] < "8" else -1
+            k, sign = slots[w]
+            out[k % n] += sign
+        size = np.sqrt((out**2).sum())
+        return (np.round(out / size, 6) if size else out).tolist()
+
+    return pd.Series([vector(t, int(n)) for t, n in zip(tokens_, dims)])
+
+
+def embedded(docs: DataFrame, text_col: str = "text", dims: int = 64) -> DataFrame:
+    """Documents with `embedding`, a vector without a model: signed counts of hashed tokens at length 1, zeros without tokens.
+
+    A model's vectors can take its place.
+    """
+    return docs.withColumn("embedding", _hashed(tokens(F.col(text_col)), F.lit(dims)))
 
 
 def rrf(dense_hits: DataFrame, sparse_hits: DataFrame, n: int, k: int = RRF_K) -> DataFrame:
@@ -125,16 +176,18 @@ def attention_order(hits: DataFrame) -> DataFrame:
     return hits.withColumn("place", place.cast("long"))
 
 
-def entry(text: str = "text") -> Column:
-    """A hit as a line of context: trust, similarity, title and a snippet of whole sentences."""
+def entry(text: str = "text", paper: str | None = None, published: str | None = None) -> Column:
+    """A hit as a line of context: trust, similarity, title, a paper's id and day, and a snippet of whole sentences."""
     snippet = sentence_trim(F.col(text), 600)
+    known = lambda c: F.lit("") if c is None else F.coalesce(F.col(c).cast("string"), F.lit(""))
+    extra = F.concat(F.lit(" (arXiv:"), known(paper), F.lit(", "), date_prefix(known(published)), F.lit(")"))
     return F.concat(
-        F.lit("- [trust="), F.coalesce(F.col("trust_tier").cast("string"), F.lit("?")), F.lit(", sim="), F.format_number("sim", 2), F.lit('] "'),
-        F.coalesce("title", F.lit("untitled")), F.lit('"\n  '), snippet,
+        F.lit("- [trust="), F.coalesce(F.col("trust_tier").cast("string"), F.lit("?")), F.lit(", sim="), F.format_string("%.2f", "sim"), F.lit('] "'),
+        F.coalesce("title", F.lit("untitled")), F.lit('"'), F.when(F.col("source_type") == "arxiv_paper", extra).otherwise(""), F.lit("\n  "), snippet,
     )
 
 
-def contexts(hits: DataFrame, budget_tokens: int = BUDGET_TOKENS) -> DataFrame:
+def contexts(hits: DataFrame, budget_tokens: int = BUDGET_TOKENS, paper: str | None = None, published: str | None = None) -> DataFrame:
     """One context per query: sections in their order, entries by place, as many as the budget holds.
 
     An entry that doesn't fit is passed over and later ones are still tried; the first always goes
@@ -142,7 +195,7 @@ def contexts(hits: DataFrame, budget_tokens: int = BUDGET_TOKENS) -> DataFrame:
     """
     budget = budget_tokens * CHARS_PER_TOKEN
     section = F.coalesce(F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("source_type")), F.lit(len(SECTIONS)))
-    item = F.struct(section.alias("s"), "place", "id", "source_type", entry().alias("line"))
+    item = F.struct(section.alias("s"), "place", "id", "source_type", entry("text", paper, published).alias("line"))
     g = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     none = F.filter("items", lambda x: F.lit(False))
     start = F.struct(F.lit(0).alias("used"), none.alias("taken"))
@@ -157,7 +210,7 @@ def contexts(hits: DataFrame, budget_tokens: int = BUDGET_TOKENS) -> DataFrame:
 
     def section_text(name: str) -> Column:
         of = F.filter("a.taken", lambda x: x.source_type == name)
-        return F.when(F.size(of) > 0, F.concat(F.lit(f"## {name}\n"), F.array_join(F.transform(of, lambda x: x.line), "\n")))
+        return F.when(F.size(of) > 0, F.concat(F.lit(f"## {SECTIONS[name]}\n"), F.array_join(F.transform(of, lambda x: x.line), "\n")))
 
     parts = [section_text(name) for name in SECTIONS]
     return g.select(
@@ -183,3 +236,36 @@ def overflow(turns: DataFrame, key: str, turn: str, n: int = BUFFER_TURNS) -> Da
     """The turns before the buffer, which a summary should cover."""
     newest = Window.partitionBy(key).orderBy(F.desc(turn), F.desc("text"))
     return turns.withColumn("back_", F.row_number().over(newest)).filter(F.col("back_") > n).drop("back_")
+
+
+def focus(turns: DataFrame, key: str) -> DataFrame:
+    """(key, entities): the distinct mentions in all turns of a conversation, sorted."""
+    one = turns.select(key, F.explode(entities(F.col("text"))).alias("e")).distinct()
+    return one.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("entities"))
+
+
+def memory_block(turns: DataFrame, summaries: DataFrame, key: str, turn: str, n: int = BUFFER_TURNS, most: int = 600, mark: str = " […]") -> DataFrame:
+    """(key, block): what a chat is told of itself: the summary (key, summary) of older turns, the last `n`
+    turns with long answers cut, and the mentions so far; parts that are empty are left out.
+
+    A user's turn is a question, another's an answer.
+    """
+    newest = Window.partitionBy(key).orderBy(F.desc(turn), F.desc("text"))
+    d = turns.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= n)
+    text = F.coalesce("text", F.lit(""))
+    line = F.when(F.col("role") == "user", F.concat(F.lit("**Q:** "), text)).otherwise(F.concat(F.lit("**A:** "), preview(text, most, mark)))
+    lines = d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("o"), line.alias("line")))).alias("lines"))
+    j = lines.join(summaries.select(key, "summary"), key, "left").join(focus(turns, key), key, "left")
+    part = lambda head, body: F.when(F.coalesce(F.length(body), F.lit(0)) > 0, F.concat(F.lit(f"## {head}\n"), body))
+    return j.select(
+        key,
+        F.concat_ws(
+            "\n\n", part("Prior conversation (summary)", F.col("summary")), part("Recent conversation (verbatim)", F.array_join(F.transform("lines", lambda x: x.line), "\n")),
+            part("Session focus (signals / topics mentioned so far)", F.array_join("entities", ", ")),
+        ).alias("block"),
+    )
+
+
+def corpus(*sources: DataFrame) -> DataFrame:
+    """All document sources as one corpus; columns that a source lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)

@@ -9,7 +9,7 @@ from tidemark.functions import text as X
 from tidemark.operators import chunks as C
 from tidemark.operators import retrieval as R
 from tidemark.plans.base import query, rounded
-from tidemark.sources import files
+from tidemark.sources import files, scratch
 from tidemark.sources.tables import table
 
 TOK = r"[\p{L}\p{N}_]+"
@@ -32,17 +32,24 @@ sc AS (SELECT query_id, doc_id AS id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.
 sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {N})"""
 
 
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return scratch.stored(R.token_table(table(spark, d, "documents"), "doc_id", "text"), "tokens")
+
+
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    post, lengths = R.postings(docs, "doc_id", "text"), R.document_lengths(docs, "doc_id", "text")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.bm25(asked, post, lengths, R.term_weights(R.document_frequencies(docs, "text"), docs), N)
+    return R.bm25(asked, _index(spark, d), N)
 
 
-@query(f"{BM} SELECT term, df, round(idf, 6) + 0.0 AS idf FROM idf")
+@query(
+    f"""WITH {TOKENS}, df AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1), raw AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM df)
+SELECT term, df, round(CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END, 6) + 0.0 AS idf FROM raw"""
+)
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return rounded(R.term_weights(R.document_frequencies(docs, "text"), docs))
+    index = _index(spark, d)
+    df = R.document_frequencies(index)
+    n, _, least = R.index_totals(index, df)
+    return rounded(R.term_weights(df, n, least))
 
 
 @query(f"{BM} SELECT query_id, id, round(score, 4) + 0.0 AS score, rank FROM sparse")
@@ -50,29 +57,36 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_bm25(spark, d), 4)
 
 
-#: Vectors stand for the documents of their ids; those of all benchmark items are the queries. The SQL asks for the
-#: vectors 0 to 39 only, which are all of them as long as the benchmark has 40 items (up to sf0.01).
-DENSE = f"""v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), vq AS (SELECT id AS query_id, e AS qe FROM v WHERE id < 40),
+def dense_sql(asked: str) -> str:
+    """CTEs of the dense search for the vectors that `asked` holds for, each standing for the document of its id."""
+    return f"""v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), vq AS (SELECT id AS query_id, e AS qe FROM v WHERE {asked}),
 ds AS (SELECT query_id, id, round(list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe))), 6) AS sim FROM v, vq),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) - 1 AS rank FROM ds QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) <= {N})"""
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
 def _dense(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    """The nearest vectors of every benchmark item's."""
+    v = _vectors(spark, d)
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("id")).distinct()
     asked = v.join(items, "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
     return R.dense(asked, v, N)
 
 
-@query(f"WITH {DENSE} SELECT query_id, id, sim, rank FROM dense")
+@query(f"WITH {dense_sql('id % 100 = 0')} SELECT query_id, id, sim, rank FROM dense")
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _dense(spark, d)
+    """The stated queries of a search: every vector whose id is divisible by 100, against all."""
+    v = _vectors(spark, d)
+    return R.dense(v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), v, N)
 
 
-FUSED = f"""{BM}, {DENSE}, fu AS (SELECT query_id, id, coalesce(d.sim, 0.0) AS sim, d.rank AS dense_rank, s.rank AS sparse_rank, round(coalesce(1 / (60.0::DOUBLE + d.rank + 1), 0) + coalesce(1 / (60.0::DOUBLE + s.rank + 1), 0), 9) AS rrf
+FUSED = f"""{BM}, {dense_sql('id IN (SELECT item_id FROM benchmark)')}, fu AS (SELECT query_id, id, coalesce(d.sim, 0.0) AS sim, d.rank AS dense_rank, s.rank AS sparse_rank, round(coalesce(1 / (60.0::DOUBLE + d.rank + 1), 0) + coalesce(1 / (60.0::DOUBLE + s.rank + 1), 0), 9) AS rrf
   FROM dense d FULL JOIN sparse s USING (query_id, id)),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) - 1 AS rank FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) <= {N}),
-meta AS (SELECT d.doc_id AS id, any_value(d.source) AS doc, CASE WHEN max(quality) = 1 THEN 3 WHEN max(quality) = 0 THEN 1 END AS trust_tier, CASE WHEN any_value(lang) = 'en' THEN 'arxiv_paper' WHEN any_value(lang) = 'de' THEN 'onchain' WHEN any_value(lang) = 'fr' THEN 'notes' ELSE 'blog_or_news' END AS source_type FROM documents d LEFT JOIN labels USING (doc_id) GROUP BY 1),
+meta AS (SELECT d.doc_id AS id, any_value(d.source) AS doc, CASE WHEN max(quality) = 1 THEN 3 WHEN max(quality) = 0 THEN 1 END AS trust_tier, CASE WHEN any_value(lang) = 'en' THEN 'arxiv_paper' WHEN any_value(lang) = 'de' THEN 'onchain_reference' WHEN any_value(lang) = 'fr' THEN 'strategy_notes' ELSE 'blog_or_news' END AS source_type FROM documents d LEFT JOIN labels USING (doc_id) GROUP BY 1),
 tr AS (SELECT f.*, m.doc, m.trust_tier, m.source_type, round(0.75::DOUBLE * sim + 0.25::DOUBLE * coalesce(nullif(trust_tier, 0), 1) / 3.0::DOUBLE, 6) AS combined FROM fused f JOIN meta m USING (id)),
 ag AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, doc ORDER BY combined DESC, id) > 1 AS INTEGER) AS again FROM tr),
 dv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY again, combined DESC, id) - 1 AS slot FROM ag QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY again, combined DESC, id) <= {TOP})"""
@@ -85,7 +99,7 @@ def _fused(spark: SparkSession, d: str) -> DataFrame:
 def _meta(spark: SparkSession, d: str) -> DataFrame:
     quality = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
     lang = F.col("lang")
-    kind = F.when(lang == "en", "arxiv_paper").when(lang == "de", "onchain").when(lang == "fr", "notes").otherwise("blog_or_news")
+    kind = F.when(lang == "en", "arxiv_paper").when(lang == "de", "onchain_reference").when(lang == "fr", "strategy_notes").otherwise("blog_or_news")
     docs = table(spark, d, "documents").join(quality, "doc_id", "left")
     trust = F.when(F.col("q") == 1, 3).when(F.col("q") == 0, 1)
     return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("doc"), trust.alias("trust_tier"), kind.alias("source_type"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), "text")
@@ -118,12 +132,33 @@ def attention_order(spark: SparkSession, d: str) -> DataFrame:
     return R.attention_order(_diverse(spark, d)).select("query_id", "id", "combined", "place")
 
 
-@query()
+def trim_sql(text: str, most: int) -> str:
+    """Whole sentences of a text: what stands before the last end of a sentence that fits."""
+    flat = f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+    kept = f"regexp_extract(left({flat}, {most + 1}), '(?s)^(.*[.!?]) ', 1)"
+    return f"CASE WHEN length({flat}) <= {most} THEN {flat} ELSE CASE WHEN {kept} <> '' THEN {kept} ELSE rtrim(left({flat}, {most})) END || ' […]' END"
+
+
+_PLACED = f"""{FUSED}, rr AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, id) AS r FROM dv),
+pl AS (SELECT rr.*, CAST(CASE WHEN n <= 2 THEN r - 1 WHEN r % 2 = 1 THEN (r - 1) // 2 ELSE n - r // 2 END AS BIGINT) AS place, 'Document ' || rr.id AS title, d.text FROM rr JOIN documents d ON d.doc_id = rr.id)"""
+_BUDGET = 400 * R.CHARS_PER_TOKEN
+
+
+@query(
+    f"""{_PLACED.replace('WITH', 'WITH RECURSIVE', 1)}, sec(s, source_type, label) AS (VALUES {', '.join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(R.SECTIONS.items(), 1))}),
+it AS MATERIALIZED (SELECT query_id, s, source_type, label, row_number() OVER (PARTITION BY query_id ORDER BY s, place, id) AS k,
+  '- [trust=' || coalesce(CAST(trust_tier AS VARCHAR), '?') || ', sim=' || printf('%.2f', sim) || '] "' || title || '"' || CASE WHEN source_type = 'arxiv_paper' THEN ' (arXiv:' || id || ', )' ELSE '' END || chr(10) || '  ' || {trim_sql('text', 600)} AS line FROM pl JOIN sec USING (source_type)),
+f AS (SELECT query_id, k, length(line) AS used, true AS in_ FROM it WHERE k = 1 UNION ALL
+  SELECT f.query_id, it.k, CASE WHEN used + length(line) <= {_BUDGET} THEN used + length(line) ELSE used END, used + length(line) <= {_BUDGET} FROM f JOIN it ON it.query_id = f.query_id AND it.k = f.k + 1),
+part AS (SELECT query_id, s, '## ' || any_value(label) || chr(10) || string_agg(line, chr(10) ORDER BY k) AS txt, count(*) AS n FROM it JOIN f USING (query_id, k) WHERE in_ GROUP BY 1, 2),
+al AS (SELECT query_id, count(*) AS every FROM it GROUP BY 1)
+SELECT query_id, string_agg(txt, chr(10) || chr(10) ORDER BY s) AS context, CAST(sum(n) AS INTEGER) AS n_included, CAST(any_value(every) - sum(n) AS INTEGER) AS n_dropped FROM part JOIN al USING (query_id) GROUP BY 1"""
+)
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
-    return R.contexts(R.attention_order(_diverse(spark, d)), 400)
+    return R.contexts(R.attention_order(_diverse(spark, d)), 400, paper="id")
 
 
-@query()
+@query(f"{_PLACED} SELECT query_id, place, id, title, source_type, trust_tier, round(sim, 3) + 0.0 AS sim, {trim_sql('text', 400)} AS snippet FROM pl")
 def source_cards(spark: SparkSession, d: str) -> DataFrame:
     return R.sources(R.attention_order(_diverse(spark, d)))
 
@@ -135,7 +170,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return cut.select(name.alias("chunk_id"), "doc_id", "chunk_index", "chunk_text")
 
 
-@query()
+@query(f"SELECT doc_id, {trim_sql('text', 500)} AS trimmed, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens FROM documents")
 def sentence_trim(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.sentence_trim(F.col("text"), 500).alias("trimmed"), X.token_estimate(F.col("text")).alias("tokens"))
 
@@ -153,22 +188,59 @@ def memory_overflow(spark: SparkSession, d: str) -> DataFrame:
     return R.overflow(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role")
 
 
-_WORDS = ("the", "token", "and", "for", r"of\s+the")
+_MENTION = rf"(?i)\b(?:{'|'.join(X.ENTITIES)})\b"
 
 
 @query(
-    rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '\b(?:{'|'.join(_WORDS)})\b'))), '|') AS entities FROM documents"""
+    f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS back FROM conversations),
+ln AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '**Q:** ' || coalesce(text, '') ELSE '**A:** ' || CASE WHEN length(text) > 60 THEN rtrim(left(text, 60)) || ' […]' ELSE coalesce(text, '') END END, chr(10) ORDER BY back DESC) AS l FROM b WHERE back <= 4 GROUP BY 1),
+sm AS (SELECT conv_id, string_agg(left(text, 40), ' ' ORDER BY turn, text) AS s FROM b WHERE back > 4 GROUP BY 1),
+en AS (SELECT conv_id, array_to_string(list_sort(list(DISTINCT e)), ', ') AS e FROM (SELECT conv_id, lower(unnest(regexp_extract_all(text, '{_MENTION}'))) AS e FROM conversations) GROUP BY 1)
+SELECT conv_id, concat_ws(chr(10) || chr(10), CASE WHEN s <> '' THEN '## Prior conversation (summary)' || chr(10) || s END, '## Recent conversation (verbatim)' || chr(10) || l, CASE WHEN e <> '' THEN '## Session focus (signals / topics mentioned so far)' || chr(10) || e END) AS block FROM ln LEFT JOIN sm USING (conv_id) LEFT JOIN en USING (conv_id)"""
 )
+def memory_block(spark: SparkSession, d: str) -> DataFrame:
+    """What each chat is told of itself; the beginnings of older turns stand for their summary."""
+    c = table(spark, d, "conversations")
+    older = R.overflow(c, "conv_id", "turn").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("o"))
+    s = older.select("conv_id", F.array_join(F.transform("o", lambda x: F.substring(x.text, 1, 40)), " ").alias("summary"))
+    return R.memory_block(c, s, "conv_id", "turn", most=60)
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{_MENTION}'), lambda x: lower(x)))), '|') AS entities FROM documents")
 def entity_extract(spark: SparkSession, d: str) -> DataFrame:
-    found = X.entities(F.col("text"), _WORDS)
-    return table(spark, d, "documents").select("doc_id", F.array_join(found, "|").alias("entities"))
+    """Mentions of the followed vocabulary in every document."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.entities(F.col("text")), "|").alias("entities"))
 
 
-@query()
+@query(
+    r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM a)
+SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM b"""
+)
 def page_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", files.page_text(F.col("html")).alias("text"))
 
 
+@query(
+    f"""WITH {TOKENS}, s AS (SELECT doc_id, CAST('0x' || md5(term)[1:6] AS BIGINT) % 64 AS k, sum(CASE WHEN md5(term)[7] < '8' THEN 1 ELSE -1 END) AS x FROM tok GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(x * x)) AS size FROM s GROUP BY 1), g AS (SELECT doc_id, k FROM documents, range(64) r(k))
+SELECT g.doc_id, list(coalesce(round(x / nullif(size, 0), 6), 0.0)::DOUBLE + 0.0 ORDER BY g.k) AS embedding FROM g LEFT JOIN s USING (doc_id, k) LEFT JOIN n USING (doc_id) GROUP BY 1"""
+)
+def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
+    return R.embedded(table(spark, d, "documents")).select("doc_id", F.transform("embedding", lambda x: x + 0.0).alias("embedding"))
+
+
+@query(
+    """SELECT 'paper' AS kind, CAST(doc_id AS VARCHAR) AS id, length(text) AS n, lang AS title FROM documents WHERE trim(text) <> '' UNION ALL
+SELECT 'page', CAST(page_id AS VARCHAR), length(html), NULL FROM pages WHERE trim(html) <> ''"""
+)
+def corpus_union(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of two sources as one corpus; one of them has no title."""
+    a = table(spark, d, "documents").select(F.lit("paper").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text", F.col("lang").alias("title"))
+    b = table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("id"), F.col("html").alias("text"))
+    return R.corpus(a, b).filter(F.trim("text") != "").select("kind", "id", F.length("text").cast("long").alias("n"), "title")
+
+
 @query("SELECT source, lang, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY ALL")
 def corpus_health(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))

@@ -2,29 +2,54 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans.base import TICKS, candles_cte, query
+from tidemark.sources import scratch
 from tidemark.streaming import live
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/tidemark-checkpoints"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {TICKS}, {candles_cte()} SELECT symbol, open_time, open, high, low, close, volume, trade_count FROM candles")
 def stream_candles_complete(spark: SparkSession, d: str) -> DataFrame:
     """The candles of a stream in complete mode, which equal the batch's."""
-    c = live.candle_stream(live.tick_stream(spark, d))
-    return live.run_to_table(c, f"candles_{uuid.uuid4().hex}", "complete", _checkpoint(spark))
+    return live.run_to_table(live.candle_stream(live.tick_stream(spark, d)), "complete", scratch.path(spark, "stream"))
 
 
-@query()
+@query(
+    f"""WITH {TICKS}, {candles_cte()} SELECT symbol, open_time, open, high, low, close, volume, trade_count FROM candles
+WHERE open_time + 3600000 <= (SELECT max(t) FROM ticks) - 600000"""
+)
 def stream_candles_closed(spark: SparkSession, d: str) -> DataFrame:
-    """Candles in append mode: those whose end the watermark has passed."""
+    """Candles in append mode: those whose end the watermark, ten minutes behind the latest tick, has passed."""
     c = live.closed_candles(live.deduplicated(live.tick_stream(spark, d)), late=None)
-    return live.run_to_table(c, f"closed_{uuid.uuid4().hex}", "append", _checkpoint(spark))
+    return live.run_to_table(c, "append", scratch.path(spark, "stream"))
+
+
+@query(
+    f"""WITH {TICKS}, s AS (SELECT symbol, quantity, unnest([t // 1800000 * 1800000, t // 1800000 * 1800000 - 1800000]) AS open_time FROM ticks)
+SELECT symbol, open_time, sum(quantity) AS volume, count(*) AS trade_count FROM s GROUP BY ALL"""
+)
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Hours that begin every half hour, as a stream."""
+    return live.run_to_table(live.sliding_volumes(live.tick_stream(spark, d)), "complete", scratch.path(spark, "stream"))
+
+
+@query(
+    f"""WITH {TICKS}, n AS (SELECT user_id, ts, t, quantity, CAST(coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOURS, true) AS INTEGER) AS new FROM ticks),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM n)
+SELECT user_id, min(t) AS first_ms, max(t) AS last_ms, count(*) AS n_ticks, sum(quantity) AS volume FROM s GROUP BY user_id, k"""
+)
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of users, two hours apart at least, as a stream."""
+    return live.run_to_table(live.sessions(live.tick_stream(spark, d)), "complete", scratch.path(spark, "stream"))
+
+
+@query(
+    f"""WITH {TICKS} SELECT a.user_id, a.event_id AS first_id, a.ts AS first_time, b.event_id AS next_id, b.ts AS next_time FROM ticks a
+JOIN ticks b ON b.user_id = a.user_id AND b.symbol = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.symbol = 'click'"""
+)
+def stream_followed(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases within an hour after a click of the same user, as a join of two streams."""
+    t = live.tick_stream(spark, d)
+    j = live.run_to_table(live.followed(t.filter("symbol = 'click'"), t.filter("symbol = 'purchase'")), "append", scratch.path(spark, "stream"))
+    return j.withColumns({c: j[c].cast("timestamp_ntz") for c in ("first_time", "next_time")})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MICROSECONDS_FROM = 10**15
-TRUST = {"arxiv_paper": 3, "onchain": 3, "notes": 2, "blog_or_news": 1}
+TRUST = {"arxiv_paper": 3, "onchain_reference": 3, "strategy_notes": 2, "blog_or_news": 1}
 
 
 def millis(t: Column) -> Column:

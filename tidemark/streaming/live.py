@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.operators.candles import HOUR_MS, candles
 from tidemark.operators.features import signal, wilder_rsi_latest
 from tidemark.operators.positions import QUANTITY, Position
+from tidemark.operators.quality import artefacts
 
 EVENTS = T.StructType(
     [
@@ -95,8 +96,44 @@ def risk_stream(steps: DataFrame, oversold: float = 30, overbought: float = 70)
     return steps.groupBy("symbol").applyInPandasWithState(step, TRADES, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there and returns the rows of its in-memory result table."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def sliding_volumes(ticks: DataFrame, width: str = "1 hour", slide: str = "30 minutes") -> DataFrame:
+    """Volume and trades of overlapping windows; each tick counts in each window that holds it."""
+    g = ticks.groupBy(F.window("time", width, slide), "symbol").agg(F.sum("quantity").alias("volume"), F.count("*").alias("trade_count"))
+    return g.select("symbol", F.unix_millis("window.start").alias("open_time"), "volume", "trade_count")
+
+
+def sessions(ticks: DataFrame, gap: str = "2 hours", key: str = "user_id") -> DataFrame:
+    """Each key's runs of ticks less than `gap` apart: first and last time, ticks and volume."""
+    g = ticks.groupBy(F.session_window("time", gap), key).agg(
+        F.count("*").alias("n_ticks"), F.sum("quantity").alias("volume"), F.max("time").alias("last"), F.min("time").alias("first")
+    )
+    return g.select(key, F.unix_millis("first").alias("first_ms"), F.unix_millis("last").alias("last_ms"), "n_ticks", "volume")
+
+
+def followed(left: DataFrame, right: DataFrame, key: str = "user_id", within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Pairs of a left tick and a right tick of its key not later than `within` after it; both may be streams.
+
+    Watermarks on both sides and the bound on times let the state of old ticks go.
+    """
+    a = left.withWatermark("time", late).select(F.col(key), F.col("event_id").alias("first_id"), F.col("time").alias("first_time"))
+    b = right.withWatermark("time", late).select(F.col(key).alias("key_"), F.col("event_id").alias("next_id"), F.col("time").alias("next_time"))
+    near = (F.col("next_time") >= F.col("first_time")) & (F.col("next_time") <= F.col("first_time") + F.expr(f"interval {within}"))
+    return a.join(b, (F.col(key) == F.col("key_")) & near).drop("key_")
+
+
+def run_to_table(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Runs a stream over what is there and returns its rows, which stay in Parquet files below `folder`.
+
+    A batch is written to its own subfolder, again if it is tried again; in complete mode the last one holds all.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        part = "all" if mode == "complete" else str(batch_id)
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={part}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    if not any(r["present"] for r in artefacts(spark, [f"{folder}/rows"]).collect()):
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows").select(*df.columns)
