@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +60,25 @@ def two_stage(first: PipelineModel, second: PipelineModel, df: DataFrame) -> Dat
     return with_probability(second, d, "proba").drop("prediction")
 
 
+def fit_early(split: DataFrame, columns: list[str], iterations: int = 20) -> tuple[PipelineModel, int]:
+    """A classifier that stops adding trees once the validation rows no longer gain, and its number of trees."""
+    d = filled(split.filter("split <> 'test'"), columns).withColumn("held", F.col("split") == "validation")
+    model = gbt_classifier(columns, iterations, "held").fit(d)
+    return model, model.stages[-1].getNumTrees
+
+
+def fit_two_stage(split: DataFrame, columns: list[str], iterations: int = 5) -> tuple[PipelineModel, PipelineModel, list[str]]:
+    """A model of the direction from the training rows, and one that tells from validation rows when the first is right.
+
+    The second sees the first's probability besides the features, and rows the first hasn't learned from.
+    """
+    d = filled(split, columns)
+    first = gbt_classifier(columns, iterations).fit(d.filter("split = 'train'"))
+    seen = with_probability(first, d.filter("split = 'validation'"), "model1_prob_up")
+    right = seen.withColumn("label", (F.col("prediction") == F.col("label")).cast("int")).drop("prediction")
+    return first, gbt_classifier([*columns, "model1_prob_up"], iterations).fit(right), columns
+
+
 def baselines(split: DataFrame, key: str = "symbol") -> DataFrame:
     """Accuracy on the test rows of the training rows' majority class and of the momentum column."""
     major = split.filter("split <> 'test'").groupBy(key).agg((F.avg("label") >= 0.5).cast("int").alias("major"))
@@ -68,6 +87,17 @@ def baselines(split: DataFrame, key: str = "symbol") -> DataFrame:
     return t.groupBy(key).agg(F.count("*").alias("n_test"), same("major").alias("majority_accuracy"), same("momentum").alias("momentum_accuracy"))
 
 
+def with_summary(cv: DataFrame) -> DataFrame:
+    """The folds' rows with a row of their means (fold -1) and one of their population deviations (fold -2)."""
+    names = ("accuracy", "majority", "edge")
+
+    def row(fold: int, of) -> DataFrame:
+        n = F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test")
+        return cv.agg(*n, *(of(c).alias(c) for c in names)).select(F.lit(fold).alias("fold"), "n_train", "n_test", *names)
+
+    return cv.unionByName(row(-1, F.avg)).unionByName(row(-2, F.stddev_pop))
+
+
 RESULT = "fold int, n_train long, n_test long, accuracy double, majority double, edge double"
 
 
@@ -111,8 +141,15 @@ def metadata(model: PipelineModel, columns: list[str], df: DataFrame, time: str
     return {"features": columns, "params": params, "first": span[0], "last": span[1], "rows": span[2], "spark": df.sparkSession.version}
 
 
-def latest(paths: list[str]) -> PipelineModel:
-    """The model stored under the last path in order of names, which hold their times."""
-    if not paths:
-        raise FileNotFoundError("no stored model")
-    return PipelineModel.load(max(paths))
+def latest_path(spark: SparkSession, pattern: str) -> str:
+    """The last path that fits a glob, in order of names, which hold their times; in any store Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    names = [f.getPath().toString() for f in found or []]
+    if not names:
+        raise FileNotFoundError(pattern)
+    return max(names)
+
+
+def latest(spark: SparkSession, pattern: str) -> PipelineModel:
+    return PipelineModel.load(latest_path(spark, pattern))

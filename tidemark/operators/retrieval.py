@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import date_prefix, entities, preview, sentence_trim, tokens
 
@@ -99,9 +100,9 @@ def dense(queries: DataFrame, vectors: DataFrame, n: int, vector: str = "embeddi
     """(query_id, id, sim, rank): the `n` nearest vectors of each query by exact cosine.
 
     All vectors are scanned against all queries, block by block: queries are counted first, and no
-    more than about `block` of them are broadcast at once.
+    more than about `block` of them are broadcast at once. Vectors of length 0 are near to nothing.
     """
-    q = with_norm(queries, vector).select("query_id", F.col(vector).alias("q_"), F.col("norm").alias("qn_"))
+    q = with_norm(queries, vector).select("query_id", F.col(vector).alias("q_"), F.col("norm").alias("qn_")).filter("qn_ > 0")
     v = with_norm(vectors, vector)
     sim = F.round(_dot(F.col(vector), F.col("q_")) / F.nullif(F.col("norm") * F.col("qn_"), F.lit(0.0)), 6)
     blocks = max(1, -(-queries.count() // block))
@@ -110,7 +111,6 @@ def dense(queries: DataFrame, vectors: DataFrame, n: int, vector: str = "embeddi
     return reduce(DataFrame.unionByName, (best(x, n, "sim") for x in found))
 
 
-@F.pandas_udf("array<double>")
 def _hashed(tokens_: pd.Series, dims: pd.Series) -> pd.Series:
     slots: dict[str, tuple[int, int]] = {}
 
@@ -133,7 +133,8 @@ def embedded(docs: DataFrame, text_col: str = "text", dims: int = 64) -> DataFra
 
     A model's vectors can take its place.
     """
-    return docs.withColumn("embedding", _hashed(tokens(F.col(text_col)), F.lit(dims)))
+    hashed = F.pandas_udf(_hashed, T.ArrayType(T.DoubleType()))
+    return docs.withColumn("embedding", hashed(tokens(F.col(text_col)), F.lit(dims)))
 
 
 def rrf(dense_hits: DataFrame, sparse_hits: DataFrame, n: int, k: int = RRF_K) -> DataFrame:

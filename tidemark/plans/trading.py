@@ -286,10 +286,13 @@ def downsampled_curve(spark: SparkSession, d: str) -> DataFrame:
     return B.downsample(hourly(spark, d).select("symbol", "open_time", "close"))
 
 
-@query()
+_SLIP = f"CAST('0x' || md5('42:' || symbol || ':' || open_time)[1:8] AS BIGINT) / 4294967296.0 * {2 * B.SLIPPAGE!r}"
+
+
+@query(f"{SIG}, {taken_cte(cost=f'0.001 + {_SLIP}')} SELECT symbol, open_time, win, round(ret, 8) + 0.0 AS ret FROM t")
 def random_slippage_returns(spark: SparkSession, d: str) -> DataFrame:
-    t = B.trades(signals(spark, d), 0.5, slippage=B.random_slippage(), **SIDES)
-    return t.select("symbol", "open_time", "win", "ret")
+    t = B.trades(signals(spark, d), 0.5, slippage=B.random_slippage("symbol", "open_time"), **SIDES)
+    return rounded(t.select("symbol", "open_time", "win", "ret"), 8)
 
 
 @query(
@@ -306,21 +309,87 @@ def dimension_rollup(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.coalesce("r_name", F.lit("ALL")).alias("region"), F.coalesce("n_name", F.lit("ALL")).alias("nation"), "n_lines", "revenue")
 
 
-@query()
+_RSI = f"""WITH RECURSIVE {TICKS}, {candles_cte()}, s AS MATERIALIZED (SELECT symbol, open_time, close, row_number() OVER ({W}) AS rn, close - {lag('close')} AS x FROM candles),
+f AS (SELECT symbol, avg(greatest(x, 0)) AS up, avg(greatest(-x, 0)) AS down FROM s WHERE rn BETWEEN 2 AND 15 GROUP BY symbol HAVING count(*) = 14),
+w AS (SELECT symbol, CAST(15 AS BIGINT) AS rn, up, down FROM f UNION ALL SELECT s.symbol, s.rn, (w.up * 13 + greatest(s.x, 0)) / 14, (w.down * 13 + greatest(-s.x, 0)) / 14 FROM w JOIN s ON s.symbol = w.symbol AND s.rn = w.rn + 1),
+st AS MATERIALIZED (SELECT s.symbol, s.rn, s.open_time, s.close, round_even(CASE WHEN w.down = 0 THEN 100.0 ELSE 100 - 100 / (1 + w.up / nullif(w.down, 0)) END, 2) AS rsi FROM s LEFT JOIN w ON w.symbol = s.symbol AND w.rn = s.rn)"""
+
+
+@query(
+    f"""{_RSI}, z AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS rn, NULL::DOUBLE AS held, NULL::DOUBLE AS kept, CAST(-1 AS BIGINT) AS day, 0 AS buys, false AS risk, NULL::DOUBLE AS moved, false AS buy, false AS sell FROM st
+  UNION ALL SELECT symbol, rn, held, CASE WHEN buy THEN close WHEN sell THEN NULL ELSE e END, day, b + CAST(buy AS INTEGER), risk, moved, buy, sell FROM (
+  SELECT *, coalesce(rsi < 45 AND e IS NULL AND b < 5, false) AS buy, coalesce(rsi > 55 AND e IS NOT NULL AND NOT coalesce(rsi < 45 AND e IS NULL AND b < 5, false), false) AS sell FROM (
+  SELECT st.symbol, st.rn, st.close, st.rsi, z.kept AS held, st.open_time // 86400000 AS day, CASE WHEN z.day = st.open_time // 86400000 THEN z.buys ELSE 0 END AS b, (st.close - z.kept) / z.kept AS moved,
+  coalesce((st.close - z.kept) / z.kept <= -0.02 OR (st.close - z.kept) / z.kept >= 0.03, false) AS risk,
+  CASE WHEN coalesce((st.close - z.kept) / z.kept <= -0.02 OR (st.close - z.kept) / z.kept >= 0.03, false) THEN NULL ELSE z.kept END AS e FROM z JOIN st ON st.symbol = z.symbol AND st.rn = z.rn + 1)))
+SELECT z.symbol, st.open_time, 'SELL' AS side, 0.001 AS quantity, st.close AS price, NULL::DOUBLE AS rsi, round((st.close - held) * 0.001, 3) + 0.0 AS pnl, CASE WHEN moved <= -0.02 THEN 'STOP_LOSS' ELSE 'TAKE_PROFIT' END AS reason FROM z JOIN st USING (symbol, rn) WHERE risk
+UNION ALL SELECT z.symbol, st.open_time, 'BUY', 0.001, st.close, st.rsi, 0.0, 'RSI_SIGNAL' FROM z JOIN st USING (symbol, rn) WHERE buy
+UNION ALL SELECT z.symbol, st.open_time, 'SELL', 0.001, st.close, st.rsi, round((st.close - held) * 0.001, 3) + 0.0, 'RSI_SIGNAL' FROM z JOIN st USING (symbol, rn) WHERE sell"""
+)
 def risk_fold(spark: SparkSession, d: str) -> DataFrame:
-    return P.risk_fold(X.wilder_rsi(C.candles(ticks(spark, d))), 45, 55)
+    log = P.risk_fold(X.wilder_rsi(C.candles(ticks(spark, d))), 45, 55)
+    return log.withColumn("pnl", F.round("pnl", 3) + 0.0)
 
 
-@query()
+_COST = "(1 - 0.0003) * (1 - 0.001 / 2) / ({paid} * (1 + 0.0003) * (1 + 0.001 / 2)) - 1"
+
+
+@query(
+    f"""{SIG}, n AS MATERIALIZED (SELECT symbol, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY symbol) AS last, close, high, low, coalesce(pred = 1 AND proba >= 0.5, false) AND close IS NOT NULL AS entry FROM sig),
+z AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS i, NULL::DOUBLE AS paid, CAST(0 AS BIGINT) AS age, NULL::DOUBLE AS got, NULL::DOUBLE AS was, CAST(0 AS BIGINT) AS bars FROM n
+  UNION ALL SELECT symbol, i, CASE WHEN (p IS NULL OR got IS NOT NULL) AND entry AND i < last THEN close WHEN got IS NULL THEN p END, CASE WHEN p IS NOT NULL AND got IS NULL THEN age ELSE 0 END, got, p, age FROM (
+  SELECT n.*, z.paid AS p, z.age + 1 AS age, CASE WHEN z.paid IS NULL THEN NULL WHEN n.low <= z.paid * {1 - DOWN} THEN z.paid * {1 - DOWN} WHEN n.high >= z.paid * {1 + UP} THEN z.paid * {1 + UP}
+    WHEN z.age + 1 >= {B.MAX_BARS} OR n.i = n.last THEN coalesce(n.close, z.paid) END AS got FROM z JOIN n ON n.symbol = z.symbol AND n.i = z.i + 1)),
+r AS (SELECT symbol, i, got, bars, CASE WHEN got IS NULL THEN 0.0 ELSE got * {_COST.format(paid='was')} END AS ret FROM z WHERE i > 0),
+c AS (SELECT *, sum(ln(1 + ret)) OVER (PARTITION BY symbol ORDER BY i) AS lc FROM r), c2 AS (SELECT *, exp(lc - max(lc) OVER (PARTITION BY symbol ORDER BY i)) - 1 AS fall FROM c),
+a AS (SELECT symbol, count(got) AS n_trades, count(*) FILTER (got IS NOT NULL AND ret > 0) AS n_wins, exp(sum(ln(1 + ret))) - 1 AS total, min(fall) AS fall, avg(ret) AS mean, stddev_samp(ret) AS sd, sqrt(avg(pow(least(ret, 0), 2))) AS down,
+  avg(bars) FILTER (got IS NOT NULL) AS avg_bars, max(ret) FILTER (got IS NOT NULL) AS best, min(ret) FILTER (got IS NOT NULL) AS worst FROM c2 GROUP BY 1)
+SELECT symbol, n_trades, n_wins, round(n_wins / nullif(n_trades, 0), 6) + 0.0 AS win_rate, round(total, 6) + 0.0 AS total_return, round(fall, 6) + 0.0 AS max_drawdown, round(mean / nullif(sd, 0) * sqrt(8760), 6) + 0.0 AS sharpe,
+  round(mean / nullif(down, 0) * sqrt(8760), 6) + 0.0 AS sortino, round(total / nullif(-fall, 0), 6) + 0.0 AS calmar, round(avg_bars, 6) + 0.0 AS avg_bars, round(best, 6) + 0.0 AS best, round(worst, 6) + 0.0 AS worst FROM a"""
+)
 def portfolio_sim(spark: SparkSession, d: str) -> DataFrame:
     s = signals(spark, d).withColumn("entry", (F.col("pred") == 1) & (F.col("proba") >= 0.5))
-    return P.portfolio(s, UP, DOWN, B.MAX_BARS)
+    return rounded(P.portfolio(s, UP, DOWN, B.MAX_BARS))
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    f = X.with_target(X.with_volume(X.with_volatility(X.with_returns(X.with_candle_shape(X.with_time(hourly(spark, d)))))))
+    return f.filter("target_direction_4h <> 0").withColumn("label", (F.col("target_direction_4h") == 1).cast("int"))
 
 
 @query()
 def gbt_walkforward(spark: SparkSession, d: str) -> DataFrame:
     from tidemark.operators.ml import FEATURES, gbt_classifier, walk_forward_cv
 
-    f = X.with_target(X.with_volume(X.with_volatility(X.with_returns(X.with_candle_shape(X.with_time(hourly(spark, d)))))))
-    f = f.filter("target_direction_4h <> 0").withColumn("label", (F.col("target_direction_4h") == 1).cast("int"))
-    return walk_forward_cv(f, list(FEATURES), gbt_classifier, k=2, time="open_time")
+    return walk_forward_cv(_labelled(spark, d), list(FEATURES), gbt_classifier, k=2, time="open_time")
+
+
+@query()
+def gbt_two_stage(spark: SparkSession, d: str) -> DataFrame:
+    """Test rows with the first model's side and probability and the probability of the second, which sees the first's."""
+    from tidemark.operators import ml
+
+    s = B.time_split(_labelled(spark, d))
+    first, second, columns = ml.fit_two_stage(s, list(ml.FEATURES))
+    return ml.two_stage(first, second, ml.filled(s.filter("split = 'test'"), columns)).select("symbol", "open_time", "pred", "model1_prob_up", "proba")
+
+
+@query()
+def gbt_regression(spark: SparkSession, d: str) -> DataFrame:
+    """The regressor's errors on test rows."""
+    from tidemark.operators import ml
+
+    s = ml.filled(B.time_split(_labelled(spark, d)), list(ml.FEATURES))
+    model = ml.gbt_regressor(list(ml.FEATURES), iterations=5).fit(s.filter("split = 'train'"))
+    return B.regression_metrics(model.transform(s.filter("split = 'test'")), "target_return_4h", "prediction")
+
+
+@query()
+def gbt_importances(spark: SparkSession, d: str) -> DataFrame:
+    """Importances of the features of a classifier that stops early on validation rows."""
+    from tidemark.operators import ml
+
+    s = B.time_split(_labelled(spark, d)).filter("split <> 'test'")
+    columns = ml.feature_columns(s.select(*ml.FEATURES, "label", "close", "target_return_4h"))
+    model, _ = ml.fit_early(s, columns)
+    return ml.importances(model, columns, s)

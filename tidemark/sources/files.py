@@ -140,6 +140,12 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def replayed(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    """Recorded stream messages (a JSON envelope a line) as a stream of ticks, file by file; broken lines are left out."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
+    return parse_envelopes(lines).filter(F.col("price").isNotNull() & F.col("trade_time").isNotNull())
+
+
 def feed_query(keywords: list[str], categories: list[str]) -> str:
     """The search expression of a feed: any keyword, and any of the categories."""
     quoted = " OR ".join(f'all:"{k}"' for k in keywords)

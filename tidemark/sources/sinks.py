@@ -77,6 +77,23 @@ def manifest(papers: DataFrame) -> DataFrame:
     return papers.select("arxiv_id", "title", "published", (F.trim(F.coalesce("text", F.lit(""))) != "").alias("has_text"))
 
 
+def append_manifest(papers: DataFrame, path: str) -> None:
+    """Adds the papers' lines to a manifest of JSON lines."""
+    manifest(papers).write.mode("append").json(path)
+
+
+def stream_to_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str, key: str = "symbol"):
+    """Starts sending a stream's rows as JSON; offsets are kept in `checkpoint`, so each row is sent at least once."""
+    out = to_messages(df, key).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+    return out.option("checkpointLocation", checkpoint).start()
+
+
+def store_index(table: DataFrame, path: str) -> DataFrame:
+    """Writes the token table of a corpus, from which sparse searches are answered, and reads it again."""
+    table.write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.parquet(path)
+
+
 def dual_write(paths: list[str], failures: list[tuple[int, str, str]]):
     """A foreachBatch function that writes a batch to each path; one that fails doesn't stop the others.
 

@@ -32,3 +32,8 @@ def agg_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") == "R").alias("is_buyer_maker"),
         F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("time_ms"),
     )
+
+
+def between(df: DataFrame, first, last, time: str = "open_time") -> DataFrame:
+    """Rows of a time slice, both ends included; the bounds reach the scan."""
+    return df.filter(F.col(time).between(first, last))
