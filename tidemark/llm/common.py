@@ -48,5 +48,6 @@ def narrowed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFra
 
 
 def word_count(text: Column) -> Column:
-    """Words of a text by `WORD`; null counts as empty."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Words of a text by `WORD`; null counts as empty. Cutting at white space costs a fraction of collecting matches."""
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")
+    return F.coalesce(F.size(words), F.lit(0)).cast("long")

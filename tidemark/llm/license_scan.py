@@ -28,6 +28,8 @@ from tidemark.llm.common import narrowed, stored
 #: The pattern of a word after A-Z are lower-cased, and the base phrases.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+#: What stands between words; cutting there costs a fraction of collecting the words one by one.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Labels and license texts or notices.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
@@ -114,10 +116,15 @@ def _small(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
+def once(x: Column) -> Column:
+    """`x` by way of a generator, past which the optimiser neither repeats nor moves it."""
+    return F.explode(F.array(x))
+
+
 def _hits(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     # lower() maps one other character, the Kelvin sign, to an ASCII letter
     low = F.lower(F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\u212a"), F.lit("\u00df")))
-    words = docs.select("doc_id", F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)).alias("words"))
+    words = docs.select("doc_id", once(F.array_remove(F.split(low, GAP, -1), "")).alias("words"))
     placed = F.transform("words", lambda w, i: F.struct(i.cast("int").alias("p"), w.alias("t")))
     return words.select(
         "doc_id",
@@ -141,14 +148,12 @@ def candidates(found: DataFrame, prefixes: DataFrame, vocabulary: list[str]) ->
     `prefixes` has a row per template and prefix token: t, its place i in the template's order from 0,
     and the template's k, tokens (in that order), need and width.
     """
-    own = F.array_distinct(F.filter(F.col("hits.t"), lambda t: t.isin(vocabulary)))
-    rows = found.select("rid", "n_words", "hits", own.alias("own")).filter(F.size("own") > 0)
-    rows = rows.select("*", F.explode("own").alias("t")).join(prefixes, "t")
-    # one row a template: that of the rarest prefix token in the text
-    rows = rows.filter((F.col("i") == 0) | ~F.arrays_overlap(F.slice("tokens", F.lit(1), F.greatest(F.col("i"), F.lit(1))), "own"))
-    of = F.filter("hits", lambda h: F.array_contains("tokens", h.t))
-    rows = rows.filter(F.col("n_words") >= F.col("need")).withColumn("of", of)
-    rows = rows.filter(F.size(F.array_distinct(F.col("of.t"))) >= F.col("need"))
+    rows = found.select("rid", "n_words", "hits", once(F.array_distinct("hits.t")).alias("own"))
+    rows = rows.select("*", F.explode(F.filter("own", lambda t: t.isin(vocabulary))).alias("t")).join(prefixes, "t")
+    # one row a template: that of the rarest prefix token in the text; then the length filter on all its tokens
+    rarest = (F.col("i") == 0) | ~F.arrays_overlap(F.slice("tokens", F.lit(1), F.greatest(F.col("i"), F.lit(1))), "own")
+    rows = rows.filter((F.col("n_words") >= F.col("need")) & rarest & (F.size(F.array_intersect("tokens", "own")) >= F.col("need")))
+    rows = rows.select("rid", "k", "need", "width", "tokens", once(F.filter("hits", lambda h: F.array_contains("tokens", h.t))).alias("of"))
     cell = lambda h: F.floor(h.p / F.col("width")).cast("int")
     prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.col("need") + 1)
     cells = F.array_distinct(F.transform(F.filter("of", lambda h: F.array_contains(prefix, h.t)), cell))
@@ -159,7 +164,7 @@ def candidates(found: DataFrame, prefixes: DataFrame, vocabulary: list[str]) ->
         later = F.slice("tokens", first.cast("int"), F.size("tokens"))
         return F.size(F.array_intersect(later, around)) >= F.col("need")
 
-    rows = rows.withColumn("cells", F.filter(cells, possible)).filter(F.size("cells") > 0)
+    rows = rows.select("*", once(F.filter(cells, possible)).alias("cells")).filter(F.size("cells") > 0)
     near = F.filter("of", lambda h: F.exists("cells", lambda c: F.abs(cell(h) - c) <= 1))
     return rows.select("rid", "k", "need", "width", near.alias("near"))
 
