@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: A token: a run of Unicode letters, digits and underscores.
 TOKEN = r"[\p{L}\p{N}_]+"
+GAP = r"[^\p{L}\p{N}_]+"
 #: The vocabulary that retrieval follows through a chat.
 ENTITIES = (
     r"exchange\s+(?:net)?flow", "SOPR", "MVRV", "NUPL", r"funding\s+rate", "whale?", r"open\s+interest", "RSI", "Bollinger", "MACD",
@@ -16,7 +17,8 @@ ENTITIES = (
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    """The tokens of a text in lower case; it is cut at what is none, which costs a fraction of collecting matches."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAP, -1), "")
 
 
 def squeezed(text: Column) -> Column:
