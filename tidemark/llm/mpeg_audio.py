@@ -5,9 +5,12 @@ once, and what is left of a frame is free for data), each with its checksum, beh
 a variable-bitrate table and before an ID3v1 tag. A frame lasts 24 ms exactly. The last data frame
 takes the least bitrate that holds what remains, so streams vary in bitrate.
 
-`parse` reads any stream of MPEG 1, 2 or 2.5 and layers I to III: it skips tags, resynchronises on
-a header that another header or the end follows, verifies checksums where they are (layer III), and
-lists frame offsets and exact durations.
+`parse` reads any stream of MPEG 1, 2 or 2.5 and layers I to III: it reads ID3v2 tags of versions 2 to
+4 (unsynchronised ones and extended headers too), APE tags at either end and ID3v1, resynchronises on
+a header that another header or the end follows, verifies the checksums of layers I and III, reads
+Xing, Info and VBRI tables with an encoder's delay and padding, and lists frame offsets and exact
+durations. A free-format frame is as long as the way to the next header of its kind. What layer II
+covers with its checksum depends on allocation tables that aren't read, so those aren't verified.
 """
 
 from __future__ import annotations
@@ -51,6 +54,8 @@ class Header:
     size: int
     samples: int
     mono: bool
+    covered: int = 0  # bytes behind the checksum that it covers, 0 where they aren't known
+    padding: int = 0  # bytes that a free-format frame has besides its usual size
 
     @property
     def side(self) -> int:
@@ -64,19 +69,23 @@ class Header:
 
 @lru_cache(4096)
 def read_header(four: bytes) -> Header | None:
-    """A frame header; None if the four bytes aren't one (free-format frames aren't supported)."""
+    """A frame header; None if the four bytes aren't one. A free-format frame has bitrate and size 0."""
     if len(four) < 4 or four[0] != 0xFF or four[1] & 0xE0 != 0xE0:
         return None
     version, layer = (four[1] >> 3) & 3, 4 - ((four[1] >> 1) & 3)
     kbps, hertz = four[2] >> 4, (four[2] >> 2) & 3
-    if version == 1 or layer == 4 or kbps in (0, 15) or hertz == 3 or four[3] & 3 == 2:
+    if version == 1 or layer == 4 or kbps == 15 or hertz == 3 or four[3] & 3 == 2:
         return None
     mpeg1 = version == 3
     bitrate = BITRATES[mpeg1, layer][kbps]
     rate = RATES[hertz] // {3: 1, 2: 2, 0: 4}[version]
     samples, padding = SAMPLES[mpeg1, layer], (four[2] >> 1) & 1
     size = (12 * bitrate * 1000 // rate + padding) * 4 if layer == 1 else samples * bitrate * 125 // rate + padding
-    return Header(mpeg1, layer, not four[1] & 1, bitrate, rate, size, samples, four[3] >> 6 == 3)
+    mode, bound = four[3] >> 6, 4 * ((four[3] >> 4 & 3) + 1)
+    mono = mode == 3
+    allocation = 16 if mono else 32 if mode != 1 else 16 + bound // 2  # four bits a subband and channel, shared from the bound on
+    covered = {1: allocation, 3: (17 if mono else 32) if mpeg1 else (9 if mono else 17)}.get(layer, 0)
+    return Header(mpeg1, layer, not four[1] & 1, bitrate, rate, size if bitrate else 0, samples, mono, covered, padding * (4 if layer == 1 else 1))
 
 
 @lru_cache(4096)
@@ -142,44 +151,111 @@ class Stream:
     skipped: int = 0
     checked: int = 0
     failed: int = 0
+    sizes: list[int] = field(default_factory=list)
 
     @property
     def seconds(self) -> Fraction:
-        return sum((Fraction(h.samples, h.rate) for h in self.headers), Fraction(0))
+        """Exact, without what the encoder says it put before and behind the sound."""
+        spare = sum(map((self.table or {}).get, ("delay", "padding"), (0, 0)))
+        whole = sum((Fraction(h.samples, h.rate) for h in self.headers), Fraction(0))
+        return max(Fraction(0), whole - Fraction(spare, self.headers[0].rate)) if self.headers else whole
+
+
+def _number(b: bytes) -> int:
+    """A syncsafe number."""
+    return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
 
 def _read_tag(data: bytes, tags: dict[str, str]) -> int:
-    """Reads the ID3v2 tag at the start; returns where it ends."""
+    """Reads the ID3v2 tag at the start; returns where it ends. Names of version 2 have three letters."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
-    number = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-    end, at = min(len(data), 10 + number(data[6:10]) + 10 * bool(data[5] & 16)), 10
-    while at + 10 <= end and data[at] != 0:
-        size = number(data[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        name, body = data[at : at + 4].decode("latin-1"), data[at + 10 : min(end, at + 10 + size)]
-        if name[0] == "T" and body:
-            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace")
-            key, _, value = text.rstrip("\0").partition("\0")
-            tags[key if name == "TXXX" else name] = value if name == "TXXX" else text.rstrip("\0")
-        at += 10 + size
+    version, flags = data[3], data[5]
+    size = _number(data[6:10])
+    end = min(len(data), 10 + size + 10 * bool(flags & 16))
+    body = data[10 : min(len(data), 10 + size)]
+    if flags & 128 and version < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    at = 0
+    if flags & 64 and len(body) >= 4 and version > 2:
+        at = _number(body) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    letters, width, head = (3, 3, 6) if version == 2 else (4, 4, 10)
+    while at + head <= len(body) and body[at] != 0:
+        raw = body[at + letters : at + letters + width]
+        n = _number(raw) if version == 4 else int.from_bytes(raw, "big")
+        name, value = body[at : at + letters].decode("latin-1"), body[at + head : at + head + n]
+        how = body[at + 9] if version == 4 else 0
+        if how & 2 or version == 4 and flags & 128:
+            value = value.replace(b"\xff\x00", b"\xff")
+        if how & 1:
+            value = value[4:]  # its length without these marks
+        if name[0] == "T" and value:
+            text = value[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(value[0], "utf-8"), "replace")
+            key, _, rest = text.rstrip("\0").partition("\0")
+            own = name in ("TXXX", "TXX")
+            tags[key if own else name] = rest.lstrip("\ufeff") if own else text.rstrip("\0")
+        at += head + n
     return end
 
 
+def _read_items(data: bytes, at: int, items: int, tags: dict[str, str]) -> None:
+    """Reads an APE tag's text items."""
+    for _ in range(items):
+        n, kind = int.from_bytes(data[at : at + 4], "little"), data[at + 4 : at + 8]
+        stop = data.find(b"\0", at + 8)
+        if len(kind) < 4 or stop < 0:
+            return
+        if kind[0] & 6 == 0:
+            tags[data[at + 8 : stop].decode("latin-1")] = data[stop + 1 : stop + 1 + n].decode("utf-8", "replace")
+        at = stop + 1 + n
+
+
+def _read_ape(data: bytes, low: int, high: int, tags: dict[str, str]) -> tuple[int, int]:
+    """Reads APE tags at either end of a range; returns the range without them."""
+    if data[high - 32 : high - 24] == b"APETAGEX" and high - 32 >= low:
+        size, items, flags = (int.from_bytes(data[high - k : high - k + 4], "little") for k in (20, 16, 12))
+        _read_items(data, high - size, items, tags)
+        high = max(low, high - size - 32 * (flags >> 31))
+    if data[low : low + 8] == b"APETAGEX":
+        size, items = (int.from_bytes(data[low + k : low + k + 4], "little") for k in (12, 16))
+        _read_items(data, low + 32, items, tags)
+        low = min(high, low + 32 + size)
+    return low, high
+
+
 def _read_table(frame: bytes, h: Header) -> dict | None:
     for at in (4 + h.side, h.body):
         if frame[at : at + 4] in (b"Xing", b"Info"):
             flags, at = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8
             out = {}
-            for bit, name, size in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100)):
+            for bit, name, size in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100), (8, "quality", 4)):
                 if flags & bit:
                     out[name] = frame[at : at + size] if name == "toc" else int.from_bytes(frame[at : at + size], "big")
                     at += size
+            if frame[at : at + 4] in (b"LAME", b"Lavf", b"Lavc") and len(frame) >= at + 24:
+                both = int.from_bytes(frame[at + 21 : at + 24], "big")
+                out |= {"encoder": frame[at : at + 9].rstrip(b"\0 ").decode("latin-1"), "delay": both >> 12, "padding": both & 0xFFF}
             return out
     if frame[36:40] == b"VBRI":
         return {"bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big")}
     return None
 
 
+def _free_size(data: bytes, at: int, end: int, h: Header) -> int:
+    """Bytes of a free-format frame without padding: the way to the next header of its kind that another such way follows."""
+    kind, there = (h.mpeg1, h.layer, h.rate, 0), at + 24
+    while 0 <= (there := data.find(data[at : at + 2], there, min(end, at + 8192))):
+        g = read_header(data[there : there + 4])
+        if g and (g.mpeg1, g.layer, g.rate, g.bitrate) == kind:
+            size = there - at - h.padding
+            third = there + size + g.padding
+            f = read_header(data[third : third + 4])
+            if third == end or f and (f.mpeg1, f.layer, f.rate, f.bitrate) == kind:
+                return size
+        there += 1
+    return 0
+
+
 def parse(data: bytes) -> Stream:
     """Tags, table and frames of a stream; bytes that belong to none count as skipped."""
     s = Stream()
@@ -187,12 +263,17 @@ def parse(data: bytes) -> Stream:
     if data[end - 128 : end - 125] == b"TAG" and end - 128 >= at:
         end -= 128
         s.tags["id3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
+    at, end = _read_ape(data, at, end, s.tags)
+    free = 0
     synced, stream = False, None  # stream: version, layer and rate, which all frames share
     kind = lambda h: h and (h.mpeg1, h.layer, h.rate)
     while at + 4 <= end:
         h = read_header(data[at : at + 4])
-        after = at + h.size if h else 0
-        sure = h and after <= end and stream in (None, kind(h))
+        if h and not h.size:
+            free = free or _free_size(data, at, end, h)
+        size = h.size or free + h.padding if h else 0
+        after = at + size
+        sure = h and size >= 24 and after <= end and stream in (None, kind(h))
         sure = sure and (synced or after == end or kind(read_header(data[after : after + 4])) == kind(h))
         if not sure:
             synced = False
@@ -207,9 +288,10 @@ def parse(data: bytes) -> Stream:
         else:
             s.offsets.append(at)
             s.headers.append(h)
-            if h.checked and h.layer == 3:
+            s.sizes.append(size)
+            if h.checked and h.covered:
                 s.checked += 1
-                covered = data[at + 2 : at + 4] + data[at + 6 : at + h.body]
+                covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.covered]
                 s.failed += checksum(covered) != int.from_bytes(data[at + 4 : at + 6], "big")
         at = after
     s.skipped += max(0, end - at)
