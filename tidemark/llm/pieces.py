@@ -4,7 +4,8 @@ The automaton reads a text once; at each position its output links give all piec
 longest first, and each relaxes the best score there by the best score where it starts. A single
 character without a piece of its own costs the least score less 10 and is written as byte pieces.
 No piece of a usable model goes on past the end of a word, so words are segmented apart and frequent
-ones are remembered; the result is the same as over the whole text. A literal U+2581 goes through
+ones are remembered: ids, score and the choice among equal scores are those of one pass over the
+whole text, as no piece, and so no comparison, spans two words. A literal U+2581 goes through
 byte pieces, so decoding gives back every text exactly. The model is only read, never trained.
 """
 
@@ -28,6 +29,7 @@ UNKNOWN_PENALTY = 10.0
 REMEMBERED, REMEMBERED_LENGTH = 250_000, 40
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _SLICE = 256
+_WORST = float("-inf")
 
 
 def model_path() -> str:
@@ -107,37 +109,38 @@ class PieceModel:
     def segment(self, s: str) -> tuple[tuple[int, ...], float]:
         """Ids and score of the best segmentation; of equal ones, that with the longest piece at each end."""
         n = len(s)
-        best = [0.0] + [float("-inf")] * n
-        back = [(-1, 1)] * (n + 1)
-        done = 0  # positions up to here have their final score
-        gaps = not self.singles.issuperset(s)
-        for end, (k, gain, i) in self.automaton.iter(s):
+        best = [0.0] + [_WORST] * n
+        back: list[tuple[int, float, int] | None] = [None] * (n + 1)  # the piece that ends here: length, gain, id
+        gaps = () if self.singles.issuperset(s) else iter([k for k, c in enumerate(s, 1) if c not in self.singles])
+        gap = next(gaps, 0) if gaps else 0  # the next character without a piece of its own
+        for end, hit in self.automaton.iter(s):
+            while 0 < gap <= end:
+                self._unknown_at(gap, best, back)
+                gap = next(gaps, 0)
             end += 1
-            if gaps:
-                while done < end - 1:
-                    done += 1
-                    self._unknown_at(s, done, best, back)
+            k, gain, _ = hit
             score = best[end - k] + gain
             if score > best[end]:
-                best[end], back[end] = score, (i, k)
-        while gaps and done < n:
-            done += 1
-            self._unknown_at(s, done, best, back)
+                best[end], back[end] = score, hit
+        while gap:
+            self._unknown_at(gap, best, back)
+            gap = next(gaps, 0)
         ids: list[int] = []
         at = n
         while at:
-            i, k = back[at]
+            k, _, i = back[at]
             if i < 0:
                 c = s[at - 1]
                 ids += [self.byte_ids[b] for b in reversed((SPACE if c == _LITERAL else c).encode())]
             else:
                 ids.append(i)
             at -= k
-        return tuple(reversed(ids)), best[n]
+        ids.reverse()
+        return tuple(ids), best[n]
 
-    def _unknown_at(self, s: str, end: int, best: list[float], back: list[tuple[int, int]]) -> None:
-        if s[end - 1] not in self.singles and (score := best[end - 1] + self.unknown_score) > best[end]:
-            best[end], back[end] = score, (-1, 1)
+    def _unknown_at(self, end: int, best: list[float], back: list) -> None:
+        if (score := best[end - 1] + self.unknown_score) > best[end]:
+            best[end], back[end] = score, (1, self.unknown_score, -1)
 
     def encode(self, text: str) -> tuple[list[int], float]:
         if not text:
