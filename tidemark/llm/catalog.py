@@ -1,4 +1,8 @@
-"""The corpus operators' queries, each over its whole table, and their SQL where SQL can express them."""
+"""The corpus operators' queries, each over its whole table, and their SQL where SQL can express them.
+
+Where it can't because of a fitted model or a format, further queries give the columns of the same
+operator that it can.
+"""
 
 from __future__ import annotations
 
@@ -66,6 +70,39 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the base rules of op1 count, without the model's columns."""
+    found = op1_quality_rules(spark, sf_dir)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+_QUALITY_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+twice AS (SELECT doc_id, s FROM win GROUP BY 1, 2 HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM win JOIN twice USING (doc_id, s)) GROUP BY 1),
+dup AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, l, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1, 2) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(ws) AS base_failed
+FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)"""
+
+
+def undetermined_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts op4 calls undetermined."""
+    found = op4_language_id(spark, sf_dir)
+    return found.select("doc_id", (F.col("lang_pred") == language_id.UNKNOWN).alias("undetermined"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payloads that op6 reads back."""
+    return op6_mpeg_audio(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 decodes its ids to."""
+    return op8_sentencepiece(spark, sf_dir).select("doc_id", "decoded_sha256", "decoded_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -77,6 +114,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_secret_scan": op9_secret_scan,
     "op10_near_duplicates": op10_near_duplicates,
+    "quality_counts": quality_counts,
+    "undetermined_language": undetermined_language,
+    "media_payloads": media_payloads,
+    "piece_round_trip": piece_round_trip,
 }
 ORACLES: dict[str, str] = {
     "op2_warc": warc.ORACLE_SQL,
@@ -84,4 +125,10 @@ ORACLES: dict[str, str] = {
     "op5_source_mixing": mixing.ORACLE_SQL,
     "op7_chat_formatting": chat_format.ORACLE_SQL,
     "op10_near_duplicates": neardup.ORACLE_SQL,
+    "quality_counts": _QUALITY_SQL,
+    "undetermined_language": r"SELECT doc_id, NOT coalesce(regexp_matches(text, '\p{L}'), false) AS undetermined FROM documents",
+    "media_payloads": """
+WITH b AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents), p AS (SELECT *, greatest(64, (n + 63) // 64 * 64) AS m FROM b)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(m AS BIGINT) AS payload_bytes, sha256(t || repeat(chr(0), CAST(m - n AS BIGINT))) AS payload_sha256 FROM p""",
+    "piece_round_trip": "SELECT doc_id, sha256(text) AS decoded_sha256, CAST(length(text) AS BIGINT) AS decoded_chars FROM documents",
 }
