@@ -170,8 +170,40 @@ def test_risk_rules():
 
 
 def test_portfolio_walk():
-    trades = list(P.walk_trades([100, 100, 100, 100], [100, 100.5, 100, 100], [100, 99.9, 100, 100], [True, True, True, True], 0.004, 0.002, 2))
-    assert trades[0] == (0, 1, 100, pytest.approx(100.4), "target") and trades[1] == (1, 3, 100, 100, "time")
+    bars = [(100.0, 100.0, 100.0), (100.0, 100.5, 99.9), (100.0, 100.0, 100.0), (100.0, 100.0, 100.0)]
+    w = P.Walk(0.004, 0.002, 2)
+    got = [w.bar(*b, True, i == 3) for i, b in enumerate(bars)]
+    assert got == [None, (100.0, pytest.approx(100.4), 1, "target"), None, (100.0, 100.0, 2, "time")]
+    w = P.Walk(0.004, 0.002, 9)
+    assert [w.bar(c, c, low, e, False) for c, low, e in ((math.nan, 1.0, True), (100.0, 100.0, True), (math.nan, math.nan, False), (99.0, 99.0, False))] == [None, None, None, (100.0, pytest.approx(99.8), 2, "stop")]
+
+
+def test_folds_carry_their_state_over_batches(spark):
+    rows = [(s, t * H, 100.0 + (t * 7 + k) % 11, 20.0 if t % 3 else 80.0) for k, s in enumerate(("a", "b", "c")) for t in range(300)]
+    d = spark.createDataFrame(rows, "symbol string, open_time long, close double, rsi double").repartition(7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = []
+    for n in ("7", before):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        got.append(sorted(map(str, P.risk_fold(d).collect())))
+        p = P.portfolio(d.selectExpr("symbol", "open_time", "close", "close + 1 AS high", "close - 1 AS low", "rsi < 50 AS entry"), 0.02, 0.02, 4)
+        got.append(sorted(map(str, p.collect())))
+    assert got[0] == got[2] and got[1] == got[3] and len(got[1]) == 3 and len(got[0]) > 100
+    assert P.risk_fold(d.limit(0)).count() == 0
+
+
+def test_days_of_a_zone(spark):
+    d = spark.createDataFrame([(0,), (4 * H,), (5 * H,), (24 * H,)], "t long")
+    assert [r[0] for r in d.select(P.local_day("t")).collect()] == [0, 0, 0, 1]
+    assert [r[0] for r in d.select(P.local_day("t", "America/New_York")).collect()] == [-1, -1, 0, 0]
+
+
+def test_asof_by_blocks_gives_the_same(spark):
+    rng = np.random.default_rng(4)
+    a = spark.createDataFrame([(int(k) or None, int(t)) for k, t in rng.integers(0, [3, 500], (300, 2))], "k int, t int")
+    b = spark.createDataFrame([(int(k) or None, int(t), i) for i, (k, t) in enumerate(rng.integers(0, [2, 500], (60, 2)))], "k int, s int, n int")
+    whole, cut = (sorted(map(str, J.asof_join(a, b, ["k"], "t", "s", ["n"], "n", block=w).collect())) for w in (None, 40))
+    assert whole == cut and len(cut) == 300
 
 
 def test_threshold_sweep_stops_at_too_few(spark):

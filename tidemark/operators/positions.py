@@ -1,23 +1,58 @@
 """Stateful trading rules: the live risk rules and the portfolio, each a fold along a series.
 
-Their state depends on every step before, so they run as one Python fold per series
-(`applyInPandas`); a series is a symbol's candles, not its ticks.
+Their state depends on every step before, so each series is folded in order: rows are dealt out by
+symbol, sorted, and read batch by batch with the state carried along. No series has to fit in memory.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 STOP_LOSS, TAKE_PROFIT, DAILY_BUYS, QUANTITY = 0.02, 0.03, 5, 0.001
 DAY_MS = 86_400_000
 TRADE = "symbol string, open_time long, side string, quantity double, price double, rsi double, pnl double, reason string"
 
 
+def folded(df: DataFrame, columns: list[str], start: Callable, schema: str, types: list[pa.DataType]) -> DataFrame:
+    """The rows that a fold of each symbol's rows gives, in order of open_time.
+
+    `start` makes the fold of a symbol: an object with step(*values of `columns`) and end(), both
+    giving rows. A batch at a time is in memory, and one fold.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, fold = None, None
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                if fold is None or key != symbol:
+                    rows += fold.end() if fold else []
+                    symbol, fold = key, start(key)
+                rows += fold.step(*values)
+            if rows:
+                yield made(rows)
+        if fold and (rows := list(fold.end())):
+            yield made(rows)
+
+    dealt = df.select("symbol", *columns).repartition("symbol").sortWithinPartitions("symbol", "open_time")
+    return dealt.mapInArrow(run, schema)
+
+
+def local_day(time_ms: str, zone: str = "UTC"):
+    """The number of the calendar day of a time in `zone`, on which daily counters start anew."""
+    return F.unix_date(F.to_date(F.from_utc_timestamp(F.timestamp_millis(time_ms), zone)))
+
+
 @dataclass
 class Position:
     """One symbol's position: what it paid, and the buys of the day."""
@@ -26,14 +61,15 @@ class Position:
     day: int = -1
     buys: int = 0
 
-    def step(self, time_ms: int, price: float | None, rsi: float | None, oversold: float = 30, overbought: float = 70) -> list[tuple]:
-        """Trades (side, price, rsi, pnl, reason) of a step: risk comes first, then the signal."""
+    def step(self, time_ms: int, price: float | None, rsi: float | None, oversold: float = 30, overbought: float = 70, day: int | None = None) -> list[tuple]:
+        """Trades (side, price, rsi, pnl, reason) of a step: risk comes first, then the signal. `day` is UTC's if not given."""
         out: list[tuple] = []
         if price is None or math.isnan(price):
             return out
         if rsi is not None and math.isnan(rsi):
             rsi = None
-        if (day := time_ms // DAY_MS) != self.day:
+        day = time_ms // DAY_MS if day is None else day
+        if day != self.day:
             self.day, self.buys = day, 0
         if self.entry is not None:
             moved = (price - self.entry) / self.entry
@@ -51,47 +87,102 @@ class Position:
         return ("SELL", price, rsi, pnl, reason)
 
 
-def risk_fold(steps: DataFrame, oversold: float = 30, overbought: float = 70) -> DataFrame:
-    """The trade log of each symbol's steps (symbol, open_time, close, rsi) in order of time."""
+TRADE_TYPES = [pa.string(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
+
+
+def risk_fold(steps: DataFrame, oversold: float = 30, overbought: float = 70, zone: str = "UTC") -> DataFrame:
+    """The trade log of each symbol's steps (symbol, open_time, close, rsi) in order of time; days are those of `zone`."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, rows = Position(), []
-        for t in pdf.sort_values("open_time").itertuples(index=False):
-            rows += [(t.symbol, t.open_time, side, QUANTITY, price, rsi, pnl, reason) for side, price, rsi, pnl, reason in p.step(t.open_time, t.close, t.rsi, oversold, overbought)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in TRADE.split(", ")])
+    class Fold:
+        def __init__(self, symbol: str):
+            self.symbol, self.position = symbol, Position()
 
-    return steps.select("symbol", "open_time", "close", "rsi").groupBy("symbol").applyInPandas(fold, TRADE)
+        def step(self, time_ms: int, price: float | None, rsi: float | None, day: int) -> list[tuple]:
+            done = self.position.step(time_ms, price, rsi, oversold, overbought, day)
+            return [(self.symbol, time_ms, side, QUANTITY, p, r, pnl, reason) for side, p, r, pnl, reason in done]
 
+        def end(self) -> list[tuple]:
+            return []
 
-def walk_trades(close: list, high: list, low: list, entries: list, upper: float, lower: float, max_bars: int) -> Iterator[tuple[int, int, float, float, str]]:
-    """(entry row, exit row, entry price, exit price, reason) of one position at a time.
+    d = steps.withColumn("day", local_day("open_time", zone))
+    return folded(d, ["open_time", "close", "rsi", "day"], Fold, TRADE, TRADE_TYPES)
+
+
+@dataclass
+class Walk:
+    """One position at a time along a series of bars.
 
     Entry is at the signal's close; from the next bar on the stop comes before the target, and
-    `max_bars` later, or at the last row, the close ends it.
+    `max_bars` later, or at the last bar, the close ends it. A bar that ends a trade can begin another.
     """
-    i, n = 0, len(close)
-    while i < n - 1:
-        if not entries[i] or math.isnan(close[i]):
-            i += 1
-            continue
-        paid, last = close[i], min(i + max_bars, n - 1)
-        for j in range(i + 1, last + 1):
-            if low[j] <= paid * (1 - lower):
-                yield i, j, paid, paid * (1 - lower), "stop"
-                break
-            if high[j] >= paid * (1 + upper):
-                yield i, j, paid, paid * (1 + upper), "target"
-                break
-        else:
-            j = last
-            yield i, j, paid, paid if math.isnan(close[j]) else close[j], "time"
-        i = j
+
+    upper: float
+    lower: float
+    max_bars: int
+    paid: float | None = None
+    age: int = 0
+
+    def bar(self, close: float, high: float, low: float, entry: bool, last: bool) -> tuple[float, float, int, str] | None:
+        """What the bar ends: price paid, price got, bars held, reason."""
+        done = None
+        if self.paid is not None:
+            self.age += 1
+            if low <= self.paid * (1 - self.lower):
+                done = (self.paid * (1 - self.lower), "stop")
+            elif high >= self.paid * (1 + self.upper):
+                done = (self.paid * (1 + self.upper), "target")
+            elif self.age >= self.max_bars or last:
+                done = (self.paid if math.isnan(close) else close, "time")
+        out = done and (self.paid, done[0], self.age, done[1])
+        if done:
+            self.paid, self.age = None, 0
+        if self.paid is None and entry and not last and not math.isnan(close):
+            self.paid, self.age = close, 0
+        return out
 
 
 PORTFOLIO = (
     "symbol string, n_trades long, n_wins long, win_rate double, total_return double, max_drawdown double, sharpe double, "
     "sortino double, calmar double, avg_bars double, best double, worst double"
 )
+PORTFOLIO_TYPES = [pa.string(), pa.int64(), pa.int64()] + [pa.float64()] * 9
+
+
+@dataclass
+class Account:
+    """Running figures of a portfolio's returns, bar by bar."""
+
+    bars: int = 0
+    level: float = 0.0  # logarithm of the equity
+    peak: float = -math.inf
+    fall: float = 0.0
+    mean: float = 0.0
+    spread: float = 0.0  # sum of squared distances from the mean
+    below: float = 0.0  # sum of squared losses
+    trades: list[float] = field(default_factory=lambda: [0, 0, 0, -math.inf, math.inf])  # number, wins, bars, best, worst
+
+    def add(self, ret: float, held: int | None) -> None:
+        self.bars += 1
+        self.level += math.log1p(ret)
+        self.peak = max(self.peak, self.level)
+        self.fall = min(self.fall, math.expm1(self.level - self.peak))
+        step = ret - self.mean
+        self.mean += step / self.bars
+        self.spread += step * (ret - self.mean)
+        self.below += min(ret, 0.0) ** 2
+        if held is not None:
+            n, wins, bars, best, worst = self.trades
+            self.trades = [n + 1, wins + (ret > 0), bars + held, max(best, ret), min(worst, ret)]
+
+    def row(self, symbol: str, bars_a_year: int) -> tuple:
+        n, wins, bars, best, worst = self.trades
+        total, year = math.expm1(self.level), bars_a_year**0.5
+        sd = (self.spread / (self.bars - 1)) ** 0.5 if self.bars > 1 else 0.0
+        down = (self.below / self.bars) ** 0.5
+        return (
+            symbol, n, wins, wins / n if n else None, total, self.fall, self.mean / sd * year if sd else None, self.mean / down * year if down else None,
+            total / -self.fall if self.fall else None, bars / n if n else None, best if n else None, worst if n else None,
+        )
 
 
 def portfolio(
@@ -103,27 +194,26 @@ def portfolio(
     and Sortino are over all bars' returns, a year's worth; null where undefined.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("open_time")
-        lists = [pdf[c].astype(float).tolist() for c in ("close", "high", "low")]
-        per_bar, done = [0.0] * len(pdf), []
-        for i, j, paid, got, _ in walk_trades(*lists, pdf["entry"].fillna(False).astype(bool).tolist(), upper, lower, max_bars):
-            ret = got * (1 - slippage) * (1 - fee / 2) / (paid * (1 + slippage) * (1 + fee / 2)) - 1
-            per_bar[j] = ret
-            done.append((ret, j - i))
-        r = pd.Series(per_bar, dtype=float)
-        curve = (1 + r).cumprod()
-        n, fall = len(done), float((curve / curve.cummax() - 1).min()) if len(r) else None
-        total = float(curve.iloc[-1] - 1) if len(r) else None
-        down = float((r.clip(upper=0) ** 2).mean() ** 0.5) if len(r) else 0.0
-        spread = float(r.std()) if len(r) > 1 else 0.0
-        year = bars_a_year**0.5
-        row = (
-            pdf["symbol"].iloc[0], n, sum(x > 0 for x, _ in done), sum(x > 0 for x, _ in done) / n if n else None, total, fall,
-            float(r.mean()) / spread * year if spread else None, float(r.mean()) / down * year if down else None,
-            total / -fall if fall else None, sum(b for _, b in done) / n if n else None,
-            max((x for x, _ in done), default=None), min((x for x, _ in done), default=None),
-        )
-        return pd.DataFrame([row], columns=[c.split()[0] for c in PORTFOLIO.split(", ")]).astype({"n_trades": "int64", "n_wins": "int64"})
-
-    return df.select("symbol", "open_time", "close", "high", "low", "entry").groupBy("symbol").applyInPandas(run, PORTFOLIO)
+    class Fold:
+        def __init__(self, symbol: str):
+            self.symbol, self.walk, self.account, self.bar = symbol, Walk(upper, lower, max_bars), Account(), None
+
+        def _take(self, last: bool) -> None:
+            done = self.walk.bar(*self.bar, last)
+            if done is None:
+                return self.account.add(0.0, None)
+            paid, got, held, _ = done
+            self.account.add(got * (1 - slippage) * (1 - fee / 2) / (paid * (1 + slippage) * (1 + fee / 2)) - 1, held)
+
+        def step(self, time_ms: int, *bar) -> list[tuple]:
+            if self.bar is not None:
+                self._take(False)  # now it is known that it wasn't the last
+            *prices, entry = bar
+            self.bar = (*(math.nan if p is None else p for p in prices), bool(entry))
+            return []
+
+        def end(self) -> list[tuple]:
+            self._take(True)
+            return [self.account.row(self.symbol, bars_a_year)]
+
+    return folded(df, ["open_time", "close", "high", "low", "entry"], Fold, PORTFOLIO, PORTFOLIO_TYPES)

@@ -228,7 +228,7 @@ def _p_value(r: float | None, n: int) -> float | None:
     return 1 - front * fraction(1 - x, b, a) / b
 
 
-p_value = F.udf(_p_value, T.DoubleType())  # called once per feature
+p_value = F.udf(lambda r, n: _p_value(r, n), T.DoubleType())  # called once per feature
 
 
 def target_correlations(df: DataFrame, columns: list[str], target: str, least: int = 100) -> DataFrame:
