@@ -123,3 +123,30 @@ def verdict(rows, findings):
         right += sum(inside(s, n) > 0 for s, n in marks)
         wrong += sum(inside(s, n) == 0 for s, n in marks)
     return {k: sum(v) / len(v) for k, v in found.items()}, right / max(1, right + wrong)
+
+
+#: Shapes that were written down after the trainer's were settled, and after which it wasn't changed.
+LATER_SECRETS = {
+    "twilio": given(("TWILIO_AUTH_TOKEN={}", "twilio {}"), lambda r: "SK" + some(r, 32, HEX)),
+    "mailgun": whole(lambda r: "key-" + some(r, 32, HEX)),
+    "uuid key": given(("HEROKU_API_KEY={}", "api_key: {}"), lambda r: "-".join(some(r, k, HEX) for k in (8, 4, 4, 4, 12))),
+    "npmrc": given(("//registry.example/:_authToken={}",), lambda r: some(r, 36)),
+    "basic auth": given(("Authorization: Basic {}", "curl -H 'Authorization: Basic {}'"), lambda r: base64.b64encode(f"{r.choice(NOUNS)}:{password(r, 12)}".encode()).decode()),
+    "docker auth": given(('"auth": "{}"',), lambda r: base64.b64encode(f"{r.choice(NOUNS)}:{password(r, 14)}".encode()).decode()),
+    "oauth client": given(("client_secret: {}", '"client_secret":"{}"'), lambda r: "GOCSPX-" + some(r, 28, URLSAFE)),
+    "shell password": given(("PGPASSWORD='{}' psql", "mysql --password={}", "sshpass -p {} ssh host"), lambda r: password(r, 12)),
+    "key base": given(("SECRET_KEY_BASE={}",), lambda r: some(r, 128, HEX)),
+    "webhook": given(("https://hooks.chat.example/services/{}",), lambda r: f"T{some(r, 8, UPPER)}/B{some(r, 8, UPPER)}/{some(r, 24)}"),
+    "signature": given(("https://x.blob.example/c?sv=2022&sig={}",), lambda r: some(r, 43, LETTERS + DIGITS) + "%3D"),
+}
+LATER_PLAIN = {
+    "etag": looks(('ETag: "{}"', 'etag="{}"'), lambda r: some(r, 32, HEX)),
+    "image digest": looks(("image@sha256:{}", "pulled sha256:{}"), lambda r: some(r, 64, HEX)),
+    "trace": looks(("trace_id={}", "span {}"), lambda r: some(r, 32, HEX)),
+    "photo": looks(("file {}", "src={}"), lambda r: f"IMG_2024{some(r, 4, DIGITS)}_{some(r, 6, DIGITS)}.jpg"),
+    "pod": looks(("pod {}", "kubectl logs {}"), lambda r: f"{r.choice(NOUNS)}-{some(r, 10, HEX)}-{some(r, 5, string.ascii_lowercase)}"),
+    "resource name": looks(("{}",), lambda r: f"arn:aws:iam::{some(r, 12, DIGITS)}:role/{r.choice(NOUNS)}-{r.choice(NOUNS)}"),
+    "style": looks(('class="{}"',), lambda r: "css-" + some(r, 10, string.ascii_lowercase + DIGITS)),
+    "bucket": looks(("s3://{}",), lambda r: f"{r.choice(NOUNS)}-{r.choice(NOUNS)}-2024/part-{some(r, 5, DIGITS)}.parquet"),
+    "question": looks(("how do I reset my password {}", "the token {} is unknown"), lambda r: r.choice(("please?", "when locked out", "parameter here", "expired yesterday"))),
+}
