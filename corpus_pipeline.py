@@ -16,8 +16,8 @@ from tidemark.llm.common import stored, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-#: From this score on, the predicted language replaces another one that the row says.
-SURE = 0.9
+#: From this score on (0.5 is a tie), the predicted language replaces another one that the row says.
+SURE = 0.7
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
