@@ -8,6 +8,7 @@ from math import floor
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import catalog, language_id, mixing, pieces
@@ -98,19 +99,39 @@ def test_pipeline_by_brute_force(spark):
 def test_pipeline_stages(spark):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
     empty = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    key = 'token = "9fceb02d0ae598e95dc970b74767f19372d61af8"'
     odd = spark.createDataFrame(
-        [(None, None, None, None, None), (1, "", "en", None, 0), (2, "a b c", None, "s", 5), (2, "a b c", None, "s", 5), (3, "x " * 50_000, "fr", "s", 9), (4, "🙂 42", "en", None, 3)],
+        [
+            (None, None, None, None, None), (1, "", "en", None, 0), (2, "a b c", None, "s", 5), (2, "a b c", None, "s", 5), (3, "x " * 50_000, "fr", "s", 9), (4, "\U0001f642 42", "en", None, 3),
+            (None, "un deux", "fr", "s", 7), (None, "un deux", "fr", "s", 7), (2, "quite another text", "en", None, 18), (5, "a b c", "en", "t", 5), (6, "² ½ Ⅷ ٣", "en", "s", 7), (7, key, "en", "s", 52),
+        ],
         empty.schema,
     )
     for start in (empty, odd):
         d = start
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            d = spark.createDataFrame(stage(spark, d, SMALL).collect(), stage(spark, d, SMALL).schema)
+            d = stage(spark, d, SMALL)
+            d = spark.createDataFrame(d.collect(), d.schema)
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert d.columns == list(corpus_pipeline.COLUMNS)
+            texts = sorted((r["doc_id"] or -1, r["text"][:20]) for r in d.collect()) if k < 3 else []
+            if k == 1 and start is odd:
+                assert texts == [(-1, "un deux"), (-1, "un deux"), (2, "a b c"), (2, "quite another text"), (3, "x " * 10), (7, 'token = "9fceb02d0ae')]
+            if k == 2 and start is odd:
+                assert (7, 'token = "[secret]"') in texts
         assert (d.count() > 0) == (start is odd)
 
 
+def test_a_sure_prediction_corrects_the_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") % 50 == 7, F.lit("fr")).otherwise(F.col("lang")))
+    true = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, wrong, SF).collect()}
+    changed = [i for i in got if i % 50 == 7 and true[i] not in ("fr", None)]
+    assert len(changed) > 8 and sum(got[i] == true[i] for i in changed) >= 0.25 * len(changed)  # French texts that aren't
+    assert all(got[i] == true[i] for i in got if i % 50 != 7 and true[i])  # and no other is touched
+
+
 def test_nothing_else_imports_the_subpackage():
     import pathlib
 
