@@ -108,9 +108,9 @@ def test_stored_index_answers_searches(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red fox"), (2, "blue fox fox"), (3, None), (4, "green")], "id int, text string")
     t = sinks.store_index(R.token_table(docs, "id", "text"), f"{tmp_path}/index")
     asked = spark.createDataFrame([(7, "fox blue"), (8, "nothing")], "query_id int, text string")
-    got = R.bm25(asked, t, 5).orderBy("rank").collect()
+    got = R.bm25(asked, t, R.document_frequencies(t), 5).orderBy("rank").collect()
     assert [(r["query_id"], r["id"], r["rank"]) for r in got] == [(7, 2, 0), (7, 1, 1)] or [(r["query_id"], r["id"]) for r in got] == [(7, 2)]
-    assert R.bm25(asked, t.limit(0), 5).count() == 0
+    assert R.bm25(asked, t.limit(0), R.document_frequencies(t.limit(0)), 5).count() == 0
 
 
 def test_dense_search_in_blocks(spark):

@@ -57,19 +57,29 @@ def term_weights(df: DataFrame, n_docs: int, least: float) -> DataFrame:
     return df.select("term", "df", F.when(raw < 0, F.lit(least)).otherwise(raw).alias("idf"))
 
 
-def bm25(queries: DataFrame, table: DataFrame, n: int, query_col: str = "text") -> DataFrame:
-    """(query_id, id, score, rank): the `n` best documents of each query with a positive score, out of `token_table`.
+#: Up to so many terms of queries (some 50 bytes each) are broadcast.
+FEW_TERMS = 500_000
+
+
+def bm25(queries: DataFrame, table: DataFrame, df: DataFrame, n: int, query_col: str = "text") -> DataFrame:
+    """(query_id, id, score, rank): the `n` best documents of each query with a positive score.
+
+    `table` is a `token_table` and `df` its `document_frequencies`, both best stored.
 
     A token that a query repeats counts as often. Of the documents' tokens only those that some query
     asks for are counted and moved.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col(query_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    df = document_frequencies(table)
     n_docs, average, least = index_totals(table, df)
     terms = asked.select("term").distinct()
-    hits = table.select("id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    # dealt out by document once: frequencies and scores are then both summed where the document is
+    hits = table.select("id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").repartition("id")
+    hits = hits.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
     weights = term_weights(df.join(terms, "term", "left_semi"), n_docs, least)
-    hits = hits.join(asked.join(weights, "term"), "term")
+    weighed = asked.join(weights, "term")
+    if weighed.count() <= FEW_TERMS:
+        weighed = F.broadcast(weighed)  # documents stay where they are, and a frequent term is no task of its own
+    hits = hits.join(weighed, "term")
     tf, norm = F.col("tf"), 1 - B + B * F.col("dl") / F.lit(average or 1.0)
     gain = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * norm)
     scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(gain), 6).alias("score"))

@@ -10,7 +10,7 @@ from tidemark.operators import chunks as C
 from tidemark.operators import retrieval as R
 from tidemark.plans.base import query, rounded
 from tidemark.sources import files, scratch
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 TOK = r"[\p{L}\p{N}_]+"
 #: CTEs of tokens: (doc_id, term).
@@ -32,13 +32,15 @@ sc AS (SELECT query_id, doc_id AS id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.
 sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {N})"""
 
 
-def _index(spark: SparkSession, d: str) -> DataFrame:
-    return scratch.stored(R.token_table(table(spark, d, "documents"), "doc_id", "text"), "tokens")
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The stored tokens of all documents and their frequencies."""
+    tokens = scratch.stored(R.token_table(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text"), "tokens")
+    return tokens, scratch.stored(R.document_frequencies(tokens), "tokens")
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.bm25(asked, _index(spark, d), N)
+    return R.bm25(asked, *_index(spark, d), N)
 
 
 @query(
@@ -46,8 +48,7 @@ def _bm25(spark: SparkSession, d: str) -> DataFrame:
 SELECT term, df, round(CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END, 6) + 0.0 AS idf FROM raw"""
 )
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    index = _index(spark, d)
-    df = R.document_frequencies(index)
+    index, df = _index(spark, d)
     n, _, least = R.index_totals(index, df)
     return rounded(R.term_weights(df, n, least))
 
@@ -165,7 +166,7 @@ def source_cards(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    cut = C.chunked(table(spark, d, "documents").select("doc_id", "source", "text"))
+    cut = C.chunked(spread(table(spark, d, "documents").select("doc_id", "source", "text")))
     name = X.identifier(F.lit("document"), F.col("source"), F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
     return cut.select(name.alias("chunk_id"), "doc_id", "chunk_index", "chunk_text")
 
@@ -227,7 +228,7 @@ n AS (SELECT doc_id, sqrt(sum(x * x)) AS size FROM s GROUP BY 1), g AS (SELECT d
 SELECT g.doc_id, list(coalesce(round(x / nullif(size, 0), 6), 0.0)::DOUBLE + 0.0 ORDER BY g.k) AS embedding FROM g LEFT JOIN s USING (doc_id, k) LEFT JOIN n USING (doc_id) GROUP BY 1"""
 )
 def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
-    return R.embedded(table(spark, d, "documents")).select("doc_id", F.transform("embedding", lambda x: x + 0.0).alias("embedding"))
+    return R.embedded(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", F.transform("embedding", lambda x: x + 0.0).alias("embedding"))
 
 
 @query(

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt out to all cores if its files give fewer tasks than that, for costly work on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as ticks: (event_id, symbol, price, quantity, time, user_id)."""
     k = F.get_json_object("props", "$.k").cast("int")
