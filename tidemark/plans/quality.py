@@ -96,9 +96,21 @@ def spearman_rank(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.target_correlations(frame(spark, d), COLUMNS, "target_return_4h").drop("p_value"))
 
 
-@query()
+#: Student's two-sided p by the continued fraction of the incomplete beta function.
+_P = f"""{_RHO}, pv AS (SELECT *, CAST((n - 2) / 2.0 AS DOUBLE) AS a, CAST(0.5 AS DOUBLE) AS b, 1 - spearman * spearman AS x FROM rho),
+ch AS (SELECT *, x < (a + 1) / (a + b + 2) AS direct, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) AS front FROM pv),
+ar AS (SELECT feature, CASE WHEN direct THEN a ELSE b END AS p, CASE WHEN direct THEN b ELSE a END AS q, CASE WHEN direct THEN x ELSE 1 - x END AS z FROM ch),
+it AS (SELECT feature, p, q, z, 0 AS k, CAST(1 AS DOUBLE) AS c, 1 / (1 - (p + q) * z / (p + 1)) AS d, 1 / (1 - (p + q) * z / (p + 1)) AS h FROM ar
+  UNION ALL SELECT feature, p, q, z, k, c2, d2, h * c1 * d1 * c2 * d2 FROM (SELECT *, 1 / (1 + n2 * d1) AS d2, 1 + n2 / c1 AS c2 FROM (
+  SELECT feature, p, q, z, k + 1 AS k, h, 1 / (1 + (k + 1) * (q - k - 1) * z / ((p + 2 * k + 1) * (p + 2 * k + 2)) * d) AS d1, 1 + (k + 1) * (q - k - 1) * z / ((p + 2 * k + 1) * (p + 2 * k + 2)) / c AS c1,
+    -(p + k + 1) * (p + q + k + 1) * z / ((p + 2 * k + 2) * (p + 2 * k + 3)) AS n2 FROM it WHERE k < 200)))"""
+
+
+@query(
+    f"{_P} SELECT feature, n, round(pearson, 6) + 0.0 AS pearson, round(spearman, 6) + 0.0 AS spearman, round(CASE WHEN direct THEN front * h / p ELSE 1 - front * h / p END, 6) + 0.0 AS p_value FROM ch JOIN it USING (feature) WHERE k = 200"
+)
 def spearman_p_values(spark: SparkSession, d: str) -> DataFrame:
-    return S.target_correlations(frame(spark, d), COLUMNS, "target_return_4h")
+    return rounded(S.target_correlations(frame(spark, d), COLUMNS, "target_return_4h"))
 
 
 GROUPS = {"momentum": ["return"], "risk": ["volatility", "body"], "activity": ["vol"]}
