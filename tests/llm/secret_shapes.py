@@ -125,7 +125,7 @@ def verdict(rows, findings):
     return {k: sum(v) / len(v) for k, v in found.items()}, right / max(1, right + wrong)
 
 
-#: Shapes that were written down after the trainer's were settled, and after which it wasn't changed.
+#: Shapes that were written down and measured before the trainer knew them; it has been widened since.
 LATER_SECRETS = {
     "twilio": given(("TWILIO_AUTH_TOKEN={}", "twilio {}"), lambda r: "SK" + some(r, 32, HEX)),
     "mailgun": whole(lambda r: "key-" + some(r, 32, HEX)),
@@ -150,3 +150,32 @@ LATER_PLAIN = {
     "bucket": looks(("s3://{}",), lambda r: f"{r.choice(NOUNS)}-{r.choice(NOUNS)}-2024/part-{some(r, 5, DIGITS)}.parquet"),
     "question": looks(("how do I reset my password {}", "the token {} is unknown"), lambda r: r.choice(("please?", "when locked out", "parameter here", "expired yesterday"))),
 }
+
+
+#: Shapes that were written down last of all; nothing was changed after they were measured.
+LAST_SECRETS = {
+    "xml": given(("<password>{}</password>", "<add key='ApiKey' value='{}'/>"), lambda r: password(r, 12)),
+    "ini": given(("db.password = {}", "smtp_pass: {}", "secret_token={}"), lambda r: some(r, 14)),
+    "encoded yaml": given(("  password: {}", "  apiToken: {}"), lambda r: base64.b64encode(password(r, 14).encode()).decode()),
+    "json token": given(('"accessToken":"{}"', '{{"refresh_token": "{}"}}'), lambda r: some(r, 40, URLSAFE)),
+    "bot": given(("bot {}", "BOT_TOKEN={}"), lambda r: f"{some(r, 9, DIGITS)}:AA{some(r, 33, URLSAFE)}"),
+    "cloud": whole(lambda r: "dop_v1_" + some(r, 64, HEX)),
+    "project key": given(("{}", "OPENAI_KEY={}"), lambda r: "sk-proj-" + some(r, 48, URLSAFE)),
+    "payment": given(("{}", "SQUARE_SECRET={}"), lambda r: "sq0csp-" + some(r, 43, URLSAFE)),
+    "ftp": given(("ftp://deploy:{}@files.example/", "amqps://svc:{}@mq/%2f"), phrase),
+    "cloud client": given(("AZURE_CLIENT_SECRET={}", "client_secret: {}"), lambda r: some(r, 3) + "8Q~" + some(r, 34, URLSAFE)),
+    "header": given(("X-Auth-Token: {}", "api-key: {}"), lambda r: some(r, 32, HEX)),
+}
+LAST_PLAIN = {
+    "describe": looks(("version {}", "tag {}"), lambda r: f"v1.{some(r, 1, DIGITS)}.{some(r, 1, DIGITS)}-{some(r, 2, DIGITS)}-g{some(r, 7, HEX)}"),
+    "object id": looks(('"_id": "{}"', "id={}"), lambda r: some(r, 24, HEX)),
+    "account number": looks(("IBAN {}", "pay to {}"), lambda r: "DE" + some(r, 20, DIGITS)),
+    "hardware": looks(("mac {}", "ether {}"), lambda r: ":".join(some(r, 2, HEX) for _ in range(6))),
+    "bundle": looks(('src="/static/{}"', "loaded {}"), lambda r: f"main.{some(r, 20, HEX)}.js"),
+    "module": looks(("from {} import x", "package {}"), lambda r: ".".join(r.sample(NOUNS, 3))),
+    "constant": looks(("set {} to 5", "{}=true", "export {}=1"), lambda r: "_".join(r.sample(NOUNS, 3)).upper() + "_2"),
+    "form": looks(('<input name="{}">', 'label="{}"'), lambda r: "_".join(r.sample(NOUNS, 2)) + "_field"),
+    "setting": looks(("password_min_length: {}", "token_expiry={}"), lambda r: r.choice(("12", "3600", "30 days"))),
+    "advice": looks(("never share your password: {}", "store the api_key = {}"), lambda r: r.choice(("anyone could read it", "somewhere safe", "outside the repository"))),
+    "query": looks(("https://shop.example/?{}",), lambda r: f"q={r.choice(NOUNS)}&page={some(r, 2, DIGITS)}&session={some(r, 8, DIGITS)}"),
+}

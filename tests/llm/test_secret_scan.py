@@ -6,7 +6,7 @@ import re
 import pytest
 import regex
 from pyspark.sql import functions as F
-from secret_shapes import LATER_PLAIN, LATER_SECRETS, PLAIN, SECRETS, draw, verdict
+from secret_shapes import LAST_PLAIN, LAST_SECRETS, LATER_PLAIN, LATER_SECRETS, PLAIN, SECRETS, draw, verdict
 
 from tidemark.llm import secret_scan as sec
 
@@ -23,21 +23,21 @@ def scanned(spark, trees, texts):
 
 
 def test_recall_and_precision_on_other_shapes(spark, trees):
-    rows = draw(SECRETS, 40, 101) + draw(PLAIN, 40, 202)
+    secrets, plain = SECRETS | LATER_SECRETS, PLAIN | LATER_PLAIN
+    rows = draw(secrets, 40, 101) + draw(plain, 40, 202)
     got = scanned(spark, trees, [t for _, t, _ in rows])
     share, precision = verdict(rows, [[(f["start"], f["length"]) for f in r["findings"]] for r in got])
-    print(share, precision)
-    assert {k: share[k] for k in SECRETS if share[k] < 0.9} == {} and {k: share[k] for k in PLAIN if share[k] > 0.1} == {}
+    assert {k: share[k] for k in secrets if share[k] < 0.9} == {} and {k: share[k] for k in plain if share[k] > 0.1} == {}
     assert precision >= 0.95
 
 
 def test_shapes_that_the_trainer_never_saw(spark, trees):
     """What the README says of them: some are missed as a whole, and little is marked wrongly."""
-    rows = draw(LATER_SECRETS, 40, 303) + draw(LATER_PLAIN, 40, 404)
+    rows = draw(LAST_SECRETS, 40, 505) + draw(LAST_PLAIN, 40, 606)
     got = scanned(spark, trees, [t for _, t, _ in rows])
     share, precision = verdict(rows, [[(f["start"], f["length"]) for f in r["findings"]] for r in got])
     print(share, precision)
-    assert sum(share[k] for k in LATER_SECRETS) / len(LATER_SECRETS) >= 0.6 and precision >= 0.9
+    assert sum(share[k] for k in LAST_SECRETS) / len(LAST_SECRETS) >= 0.65 and precision >= 0.95
 
 
 def plain_features(value, left, right):
@@ -50,7 +50,7 @@ def plain_features(value, left, right):
         float(n), changes / n, sum(kind(c) == "0" for c in value) / n, len(set(value)) / min(n, 16),
         has(r"\A(?:[0-9a-f]+|[0-9A-F]+)\Z", value), sum(low[i : i + 2] in sec.PAIRS.split() for i in range(len(low))) / n,
         1 - len(known) / n, float(has(r"(?i)(?:://|www\.|/)[^\s\"']*$", left + value) and not has(r"[=:]\s?[\"']?$", left)),
-        has(sec.SECRET_WORDS, left), has(r"[=:]\s?[\"']?$|(?i)bearer $", left),
+        has(sec.SECRET_WORDS, left), has(r"[=:]\s?[\"']?$|(?i)bearer $|\s-p $", left),
         max(has(sec.PLAIN_WORDS, left), has(sec.PLAIN_WORDS, right), has(r"^(?:sha|md)\d+[-:_]", value)), has("[\"']$", left),
         has(r"(?i)(.)\1{4}|0123|1234|abcd", value), has(f"^{sec.PREFIXED}", value), has(f"{sec.USER}$", left),
         has("^-----BEGIN", value), has(r"^[\[({<$%]|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+|\w\(", value),

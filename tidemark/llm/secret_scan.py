@@ -28,6 +28,7 @@ from tidemark.llm.common import stored
 PREFIXED = (
     r"(?:A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[opsur]_[A-Za-z0-9]{16,}+|github_pat_\w{16,}+|glpat-[\w-]{16,}+|xox[abeoprs]-[\w-]{8,}+"
     r"|sk-[\w-]{16,}+|[prs]k_(?:live|test)_[A-Za-z0-9]{8,}+|AIza[\w-]{30,}+|npm_[A-Za-z0-9]{30,}+|hf_[A-Za-z0-9]{20,}+"
+    r"|key-[0-9a-f]{32}(?![0-9a-f])|[AS][CK][0-9a-f]{32}(?![0-9a-f])"
     r"|SG\.[\w-]{16,}+\.[\w-]{16,}+|eyJ[\w-]{8,}+\.[\w-]{4,}+\.[\w-]{8,}+)"
 )
 #: A private key with its lines, also where its end is missing or line feeds are escaped.
@@ -42,6 +43,7 @@ CANDIDATE = (
     rf"{KEY_BLOCK}|"
     r"(?<=[=:] ?)(?<=(?i:token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private)[A-Za-z0-9_.-]{0,16}[\"']? ?[=:] ?)"
     r"""(?![A-Za-z][A-Za-z0-9+.-]*+://)[^\s"']{8,}(?<![.,;:!?)\]}>])"""
+    r"""|(?<=\s-{1,2}p(?:ass(?:word|wd)?)?[ =])(?!-)[^\s"'=]{8,}"""
     rf"""|(?<=:)(?<={USER})[^\s/"']+(?=@)"""
     rf"|(?<![A-Za-z0-9]){PREFIXED}"
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+"
@@ -49,7 +51,7 @@ CANDIDATE = (
     r"""|(?<=[=:] ?["'])[^\s"']{8,}+(?=["'])"""
 )
 LEFT, RIGHT = 48, 16
-TREES, DEPTH, SEED, LABELLED, THRESHOLD = 15, 6, 11, 6_000, 0.5
+TREES, DEPTH, SEED, LABELLED, THRESHOLD = 15, 6, 11, 7_000, 0.5
 MARK = "[secret]"
 
 #: Words that make up ordinary identifiers, frequent letter pairs, neighbouring words.
@@ -62,8 +64,8 @@ WORDS = (
     "table target template test text time title token type update upload user utils value version view width word write your replace with key"
 )
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch"
-SECRET_WORDS = r"(?i)token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private"
-PLAIN_WORDS = r"(?i)base64,|integrity|commit|sha\d|md5|checksum|digest|hash|uuid|guid|isbn|phone|tel|card|order|invoice|ticket|revision|rev\b|blob|tree|build"
+SECRET_WORDS = r"(?i)token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private|signature|\bsig=|hooks?[./]|\s-p $"
+PLAIN_WORDS = r"(?i)base64,|integrity|commit|sha\d|md5|checksum|digest|hash|uuid|guid|isbn|phone|tel|card|order|invoice|ticket|revision|rev\b|blob\s|tree|build|etag|trace|span|class=|style"
 FEATURES = (
     "length", "transitions", "digits", "distinct", "hex", "letter_pairs", "dictionary", "path", "secret_word", "assigned",
     "plain_word", "quoted", "repeat_char", "prefix", "url_password", "key_block", "code",
@@ -87,7 +89,7 @@ def features(value: Column, left: Column, right: Column) -> Column:
         1.0 - F.length(known) / size,
         flag(F.concat(left, value).rlike(r"(?i)(?:://|www\.|/)[^\s\"']*$") & ~left.rlike(r"[=:]\s?[\"']?$")),
         flag(left.rlike(SECRET_WORDS)),
-        flag(left.rlike(r"[=:]\s?[\"']?$|(?i)bearer $")),
+        flag(left.rlike(r"[=:]\s?[\"']?$|(?i)bearer $|\s-p $")),
         flag(left.rlike(PLAIN_WORDS) | right.rlike(PLAIN_WORDS) | value.rlike(r"^(?:sha|md)\d+[-:_]")),
         flag(left.rlike("[\"']$")),
         flag(value.rlike(r"(?i)(.)\1{4}|0123|1234|abcd")),
@@ -153,6 +155,14 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (1.0, web, F.when(number("wl", 0, 1) == 0, lead("kl")).otherwise(pick("be", "Authorization: Bearer ", "auth: Bearer ", "session=")), empty),
         (1.0, mail, lead("kl"), empty),
         (1.0, block, lead("kl"), empty),
+        (1.0, F.concat(pick("ky", "key-", "SK", "AC"), F.substring(sha, 1, 32)), lead("kl"), empty),
+        (1.0, F.concat(F.upper(F.substring(plain, 1, 9)), F.lit("/"), pick("wh", "B", "C", "D"), F.upper(F.substring(plain, 10, 8)), F.lit("/"), F.substring(plain, 18, 24)), pick("wu", "https://hooks.host.example/services/", "post to https://hooks.host.example/", "url: https://host.example/api/webhooks/"), empty),
+        (1.0, F.substring(plain, F.lit(1), number("n", 28, 43)), pick("sg", "https://host.example/c?sv=20&sig=", "?expires=17&signature=", "&X-Signature="), pick("se", "", "%3D", "&x=1")),
+        (1.0, F.when(number("hq", 0, 1) == 0, human).otherwise(F.substring(plain, F.lit(1), number("n", 9, 18))), pick("cl", "mysql -u root -p ", "tool --password ", "sshpass -p ", "run --pass ", "cli --password="), pick("ce2", " db", "", " host")),
+        (0.0, F.concat(pick("w0", *WORDS.split()), F.lit("/"), pick("w1", *WORDS.split()), F.lit("-"), number("y", 1, 2030).cast("string"), F.lit("/part-"), F.substring(number_text, 1, 5)), pick("bu", "s3://", "gs://bucket/", "hdfs://host/", "see "), pick("bx", ".parquet", ".gz", "")),
+        (0.0, F.concat(pick("cs", "css-", "sc-", "jss", "mui-", "v-"), F.lower(F.substring(plain, 1, 10))), pick("ct", 'class="', "className='", 'id="', 'data-v="'), pick("cq", '"', "' ")),
+        (0.0, F.substring(sha, F.lit(1), pick("hl", 32, 40, 40, 32)), pick("et", 'ETag: "', 'etag="', "trace_id=", "span ", 'version="', "?v=", 'x-request-id: "', "@sha256:"), pick("eq", '"', "", " ")),
+        (0.0, F.concat(pick("w0", *WORDS.split()), F.lit("-"), F.substring(sha, 1, 10), F.lit("-"), F.substring(letters(sha), 1, 5)), pick("po", "pod ", "logs ", "container ", "job "), empty),
         (1.0, F.concat(mixed, F.substring(mixed, 1, 40), F.lit("==")), pick("ac", "AccountKey=", "SharedAccessKey=", "secret_key: ", "PRIVATE_KEY="), empty),
         (1.0, F.concat(F.initcap(pick("p1", "bacon", "dufi", "gralon", "helio", "janko")), pick("p2", "!", "-", "_", "#", "", "."), pick("p3", "lumer", "Pravel", "quist", "rostov", "Tunwel"), number("p4", 1, 9999).cast("string")), F.concat(pick("pr", "", "and the ", "export "), secret_name, join), empty),
         (0.0, strange, F.concat(prose, pick("ur", "https://host.example/docs/", "/usr/share/", "see ", "the file ", "call ", "import ", "")), empty),
