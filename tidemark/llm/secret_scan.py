@@ -43,7 +43,7 @@ CANDIDATE = (
     rf"{KEY_BLOCK}|"
     r"(?<=[=:] ?)(?<=(?i:token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private)[A-Za-z0-9_.-]{0,16}[\"']? ?[=:] ?)"
     r"""(?![A-Za-z][A-Za-z0-9+.-]*+://)[^\s"']{8,}(?<![.,;:!?)\]}>])"""
-    r"""|(?<=\s-{1,2}p(?:ass(?:word|wd)?)?[ =])(?!-)[^\s"'=]{8,}"""
+    r"""|(?<=[psd][ =])(?<=\s-{1,2}p(?:ass(?:word|wd)?)?[ =])(?!-)[^\s"'=]{8,}"""
     rf"""|(?<=:)(?<={USER})[^\s/"']+(?=@)"""
     rf"|(?<![A-Za-z0-9]){PREFIXED}"
     r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+"
