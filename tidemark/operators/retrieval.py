@@ -255,6 +255,10 @@ def focus(turns: DataFrame, key: str) -> DataFrame:
     return one.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("entities"))
 
 
+#: The headings of a memory block's parts.
+SUMMARY, RECENT, FOCUS = "Prior conversation (summary)", "Recent conversation (verbatim)", "Session focus (signals / topics mentioned so far)"
+
+
 def memory_block(turns: DataFrame, summaries: DataFrame, key: str, turn: str, n: int = BUFFER_TURNS, most: int = 600, mark: str = " […]") -> DataFrame:
     """(key, block): what a chat is told of itself: the summary (key, summary) of older turns, the last `n`
     turns with long answers cut, and the mentions so far; parts that are empty are left out.
@@ -271,8 +275,8 @@ def memory_block(turns: DataFrame, summaries: DataFrame, key: str, turn: str, n:
     return j.select(
         key,
         F.concat_ws(
-            "\n\n", part("Prior conversation (summary)", F.col("summary")), part("Recent conversation (verbatim)", F.array_join(F.transform("lines", lambda x: x.line), "\n")),
-            part("Session focus (signals / topics mentioned so far)", F.array_join("entities", ", ")),
+            "\n\n", part(SUMMARY, F.col("summary")), part(RECENT, F.array_join(F.transform("lines", lambda x: x.line), "\n")),
+            part(FOCUS, F.array_join("entities", ", ")),
         ).alias("block"),
     )
 
