@@ -225,10 +225,12 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {TOKENS}, s AS (SELECT doc_id, CAST('0x' || md5(term)[1:6] AS BIGINT) % 64 AS k, sum(CASE WHEN md5(term)[7] < '8' THEN 1 ELSE -1 END) AS x FROM tok GROUP BY ALL),
 n AS (SELECT doc_id, sqrt(sum(x * x)) AS size FROM s GROUP BY 1), g AS (SELECT doc_id, k FROM documents, range(64) r(k))
-SELECT g.doc_id, list(coalesce(round(x / nullif(size, 0), 6), 0.0)::DOUBLE + 0.0 ORDER BY g.k) AS embedding FROM g LEFT JOIN s USING (doc_id, k) LEFT JOIN n USING (doc_id) GROUP BY 1"""
+SELECT g.doc_id, string_agg(CAST(CAST(round(coalesce(round(x / nullif(size, 0), 6), 0.0) * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY g.k) AS millionths FROM g LEFT JOIN s USING (doc_id, k) LEFT JOIN n USING (doc_id) GROUP BY 1"""
 )
 def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
-    return R.embedded(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", F.transform("embedding", lambda x: x + 0.0).alias("embedding"))
+    return R.embedded(spread(table(spark, d, "documents").select("doc_id", "text"))).select(
+        "doc_id", F.array_join(F.transform("embedding", lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",").alias("millionths")
+    )
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.plans.base import TICKS, candles_cte, query
 from tidemark.sources import scratch
@@ -45,11 +46,11 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TICKS} SELECT a.user_id, a.event_id AS first_id, a.ts AS first_time, b.event_id AS next_id, b.ts AS next_time FROM ticks a
+    f"""WITH {TICKS} SELECT a.user_id, a.event_id AS first_id, a.t AS first_ms, b.event_id AS next_id, b.t AS next_ms FROM ticks a
 JOIN ticks b ON b.user_id = a.user_id AND b.symbol = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.symbol = 'click'"""
 )
 def stream_followed(spark: SparkSession, d: str) -> DataFrame:
     """Purchases within an hour after a click of the same user, as a join of two streams."""
     t = live.tick_stream(spark, d)
     j = live.run_to_table(live.followed(t.filter("symbol = 'click'"), t.filter("symbol = 'purchase'")), "append", scratch.path(spark, "stream"))
-    return j.withColumns({c: j[c].cast("timestamp_ntz") for c in ("first_time", "next_time")})
+    return j.select("user_id", "first_id", F.unix_millis("first_time").alias("first_ms"), "next_id", F.unix_millis("next_time").alias("next_ms"))
