@@ -322,9 +322,9 @@ st AS MATERIALIZED (SELECT s.symbol, s.rn, s.open_time, s.close, round_even(CASE
   SELECT st.symbol, st.rn, st.close, st.rsi, z.kept AS held, st.open_time // 86400000 AS day, CASE WHEN z.day = st.open_time // 86400000 THEN z.buys ELSE 0 END AS b, (st.close - z.kept) / z.kept AS moved,
   coalesce((st.close - z.kept) / z.kept <= -0.02 OR (st.close - z.kept) / z.kept >= 0.03, false) AS risk,
   CASE WHEN coalesce((st.close - z.kept) / z.kept <= -0.02 OR (st.close - z.kept) / z.kept >= 0.03, false) THEN NULL ELSE z.kept END AS e FROM z JOIN st ON st.symbol = z.symbol AND st.rn = z.rn + 1)))
-SELECT z.symbol, st.open_time, 'SELL' AS side, 0.001 AS quantity, st.close AS price, NULL::DOUBLE AS rsi, round((st.close - held) * 0.001, 3) + 0.0 AS pnl, CASE WHEN moved <= -0.02 THEN 'STOP_LOSS' ELSE 'TAKE_PROFIT' END AS reason FROM z JOIN st USING (symbol, rn) WHERE risk
-UNION ALL SELECT z.symbol, st.open_time, 'BUY', 0.001, st.close, st.rsi, 0.0, 'RSI_SIGNAL' FROM z JOIN st USING (symbol, rn) WHERE buy
-UNION ALL SELECT z.symbol, st.open_time, 'SELL', 0.001, st.close, st.rsi, round((st.close - held) * 0.001, 3) + 0.0, 'RSI_SIGNAL' FROM z JOIN st USING (symbol, rn) WHERE sell"""
+SELECT z.symbol, st.open_time, 'SELL' AS side, CAST(0.001 AS DOUBLE) AS quantity, st.close AS price, NULL::DOUBLE AS rsi, round((st.close - held) * 0.001, 3) + 0.0 AS pnl, CASE WHEN moved <= -0.02 THEN 'STOP_LOSS' ELSE 'TAKE_PROFIT' END AS reason FROM z JOIN st USING (symbol, rn) WHERE risk
+UNION ALL SELECT z.symbol, st.open_time, 'BUY', CAST(0.001 AS DOUBLE), st.close, st.rsi, 0.0, 'RSI_SIGNAL' FROM z JOIN st USING (symbol, rn) WHERE buy
+UNION ALL SELECT z.symbol, st.open_time, 'SELL', CAST(0.001 AS DOUBLE), st.close, st.rsi, round((st.close - held) * 0.001, 3) + 0.0, 'RSI_SIGNAL' FROM z JOIN st USING (symbol, rn) WHERE sell"""
 )
 def risk_fold(spark: SparkSession, d: str) -> DataFrame:
     log = P.risk_fold(X.wilder_rsi(C.candles(ticks(spark, d))), 45, 55)
