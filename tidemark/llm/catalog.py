@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, language_id, license_scan, mixing, mpeg_audio, neardup, pieces, quality_rules, secret_scan, warc
+from tidemark.llm import chat_format, hard_negatives, language_id, license_scan, mixing, mpeg_audio, neardup, periodic_runs, piecewise_hash, pieces, quality_rules, secret_scan, warc
 from tidemark.llm.common import table
 
 
@@ -70,6 +70,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(v.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise_hash.fingerprint_texts(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.scan_runs(periodic_runs.plant_periods(table(spark, sf_dir, "documents"))))
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the base rules of op1 count, without the model's columns."""
     found = op1_quality_rules(spark, sf_dir)
@@ -98,6 +112,11 @@ def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_mpeg_audio(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts of op12."""
+    return op12_piecewise_hash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op8 decodes its ids to."""
     return op8_sentencepiece(spark, sf_dir).select("doc_id", "decoded_sha256", "decoded_chars")
@@ -114,9 +133,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_secret_scan": op9_secret_scan,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_piecewise_hash": op12_piecewise_hash,
+    "op13_periodic_runs": op13_periodic_runs,
     "quality_counts": quality_counts,
     "undetermined_language": undetermined_language,
     "media_payloads": media_payloads,
+    "edited_texts": edited_texts,
     "piece_round_trip": piece_round_trip,
 }
 ORACLES: dict[str, str] = {
@@ -125,6 +148,11 @@ ORACLES: dict[str, str] = {
     "op5_source_mixing": mixing.ORACLE_SQL,
     "op7_chat_formatting": chat_format.ORACLE_SQL,
     "op10_near_duplicates": neardup.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "edited_texts": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) // 4 AS q FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS next FROM d)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(substr(t, 1, length(t) - q) || substr(next, 1, q)) AS edited_sha256 FROM n""",
     "quality_counts": _QUALITY_SQL,
     "undetermined_language": r"SELECT doc_id, NOT coalesce(regexp_matches(text, '\p{L}'), false) AS undetermined FROM documents",
     "media_payloads": """
