@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import date_prefix, entities, preview, sentence_trim, tokens
+from tidemark.operators import nearest
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, OVER_FETCH, TRUST_WEIGHT = 60, 4, 0.25
@@ -67,13 +68,13 @@ def bm25(queries: DataFrame, table: DataFrame, df: DataFrame, n: int, query_col:
     `table` is a `token_table` and `df` its `document_frequencies`, both best stored.
 
     A token that a query repeats counts as often. Of the documents' tokens only those that some query
-    asks for are counted and moved.
+    asks for are counted and moved. Every document is scored; `sparse_index` has a search that skips.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col(query_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     n_docs, average, least = index_totals(table, df)
     terms = asked.select("term").distinct()
-    # dealt out by document once: frequencies and scores are then both summed where the document is
-    hits = table.select("id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").repartition("id")
+    # a document is one row, so that its tokens are counted before any is moved
+    hits = table.select("id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
     hits = hits.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
     weights = term_weights(df.join(terms, "term", "left_semi"), n_docs, least)
     weighed = asked.join(weights, "term")
@@ -92,33 +93,13 @@ def best(scores: DataFrame, n: int, by: str = "score") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).withColumn("rank", F.col("rank") - 1)
 
 
-def _dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
-
-
-def with_norm(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Each vector with its length, computed once."""
-    return vectors.withColumn("norm", F.sqrt(_dot(F.col(vector), F.col(vector))))
-
-
-#: Queries of a block: with their vectors some tens of MB, which each task gets.
-BLOCK = 50_000
-
-
-def dense(queries: DataFrame, vectors: DataFrame, n: int, vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, n: int, vector: str = "embedding", block: int = nearest.BLOCK) -> DataFrame:
     """(query_id, id, sim, rank): the `n` nearest vectors of each query by exact cosine.
 
-    All vectors are scanned against all queries, block by block: queries are counted first, and no
-    more than about `block` of them are broadcast at once. Vectors of length 0 are near to nothing.
+    All vectors are scanned against all queries, block by block, as matrix products (`nearest`).
+    Vectors of length 0 are near to nothing.
     """
-    q = with_norm(queries, vector).select("query_id", F.col(vector).alias("q_"), F.col("norm").alias("qn_")).filter("qn_ > 0")
-    v = with_norm(vectors, vector)
-    sim = F.round(_dot(F.col(vector), F.col("q_")) / F.nullif(F.col("norm") * F.col("qn_"), F.lit(0.0)), 6)
-    blocks = max(1, -(-queries.count() // block))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    found = [v.join(F.broadcast(q.filter(part == b)), F.col("norm") > 0).select("query_id", "id", sim.alias("sim")) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, (best(x, n, "sim") for x in found))
+    return best(nearest.nearest(queries, vectors, n, vector, block), n, "sim")
 
 
 def _hashed(tokens_: pd.Series, dims: pd.Series) -> pd.Series:

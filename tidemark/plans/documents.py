@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.operators import chunks as C
 from tidemark.operators import retrieval as R
+from tidemark.operators import sparse_index
 from tidemark.plans.base import query, rounded
 from tidemark.sources import files, scratch
 from tidemark.sources.tables import spread, table
@@ -32,25 +33,30 @@ sc AS (SELECT query_id, doc_id AS id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.
 sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {N})"""
 
 
-def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The stored tokens of all documents and their frequencies."""
-    tokens = scratch.stored(R.token_table(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text"), "tokens")
-    return tokens, scratch.stored(R.document_frequencies(tokens), "tokens")
+_INDEXES: dict[tuple[str, str], sparse_index.SparseIndex] = {}
+
+
+def _index(spark: SparkSession, d: str) -> sparse_index.SparseIndex:
+    """The stored index of all documents, built by the first query of the application that asks for this folder."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+        _INDEXES[key] = sparse_index.build(docs, scratch.path(spark, "index"), "doc_id", "text")
+    return _INDEXES[key]
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.bm25(asked, *_index(spark, d), N)
+    return sparse_index.search(asked, _index(spark, d), N)
 
 
 @query(
-    f"""WITH {TOKENS}, df AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1), raw AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM df)
-SELECT term, df, round(CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END, 6) + 0.0 AS idf FROM raw"""
+    f"""WITH {TOKENS.replace(' AS (', ' AS MATERIALIZED (', 1)}, df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, term FROM tok) GROUP BY 1), n AS MATERIALIZED (SELECT count(*) AS n FROM documents),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, n), least AS MATERIALIZED (SELECT avg(raw) * 0.25 AS least FROM raw)
+SELECT term, df, round(CASE WHEN raw < 0 THEN least ELSE raw END, 6) + 0.0 AS idf FROM raw, least"""
 )
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    index, df = _index(spark, d)
-    n, _, least = R.index_totals(index, df)
-    return rounded(R.term_weights(df, n, least))
+    return rounded(_index(spark, d).terms.select("term", "df", "idf"))
 
 
 @query(f"{BM} SELECT query_id, id, round(score, 4) + 0.0 AS score, rank FROM sparse")
