@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as B
 from tidemark.operators import cleaning as K
@@ -17,17 +18,42 @@ def values(spark):
     return rows, spark.createDataFrame(rows, "feature string, value double").repartition(5)
 
 
-def test_quantiles_by_ranges(values):
-    rows, m = values
+def test_exact_quantiles_in_two_passes(spark, values, monkeypatch):
+    rows, _ = values
     shares = (0.0, 0.01, 0.5, 0.77, 0.99, 1.0)
-    few = {r["feature"]: r["q"] for r in S.quantiles(m, "feature", "value", shares, 40).collect()}
-    whole = {r["feature"]: r["q"] for r in S.quantiles(m, "feature", "value", shares).collect()}
-    assert set(few) == set(whole) == {"a", "b", "c"}
-    for f in few:
-        x = sorted(v for g, v in rows if g == f)
-        at = [(len(x) - 1) * s for s in shares]
-        want = [x[math.floor(k)] * (1 - k % 1) + x[math.ceil(k)] * (k % 1) for k in at]
-        assert few[f] == pytest.approx(want) and whole[f] == pytest.approx(want)
+    cols = {f: [v for g, v in rows if g == f] for f in ("a", "b", "c")} | {"none": [], "nan": [math.nan, 1.0, 2.0]}
+    n = max(map(len, cols.values()))
+    d = spark.createDataFrame([tuple(c[i] if i < len(c) else None for c in cols.values()) for i in range(n)], ", ".join(f"{c} double" for c in cols)).repartition(5)
+    for accuracy in (10_000, 50):  # coarse brackets hold many values
+        monkeypatch.setattr(S, "ACCURACY", accuracy)
+        s = S.wide_stats(d, list(cols), shares)
+        got, far = S.exact_quantiles(d, list(cols), shares, s, {"a": d["a"] > 5})
+        for f, x in cols.items():
+            x = sorted(v for v in x if not math.isnan(v))
+            at = [(len(x) - 1) * p for p in shares]
+            want = [x[math.floor(k)] * (1 - k % 1) + x[math.ceil(k)] * (k % 1) for k in at] if x else [None] * 6
+            assert got[f] == pytest.approx(want) and s[f]["n"] == len(x)
+        assert far == {"a": sum(v > 5 for v in cols["a"])}
+    wrong = {c: x | {"brackets": [(1e9, 2e9)] * 6} for c, x in s.items()}  # a bracket without its quantile is widened
+    assert S.exact_quantiles(d, list(cols), shares, wrong)[0] == got
+
+
+def test_distribution_of_odd_columns(spark):
+    rows = [(float(i % 10), 7.0, None) for i in range(200)] + [(1000.0, 7.0, None)]
+    d = spark.createDataFrame(rows, "x double, same double, empty double")
+    got = {r["feature"]: r for r in S.distribution(d, ["x", "same", "empty"]).collect()}
+    assert set(got) == {"x", "same"} and got["x"]["n_outliers"] == 1 and got["same"]["n_outliers"] == 0
+    assert got["same"]["skew"] is None and got["same"]["std"] == pytest.approx(0) and got["x"]["p99"] == 9.0
+    assert S.distribution(d.limit(0), ["x"]).count() == 0
+
+
+def test_buckets_by_halving(spark):
+    rng = random.Random(1)
+    for n in (1, 2, 3, 7, 8, 40):
+        cuts = sorted(rng.sample(range(100), n))
+        d = spark.range(100).select(F.col("id").cast("double").alias("v"), F.array(*map(F.lit, map(float, cuts))).alias("c"))
+        got = [r[0] for r in d.select(S._bucket_of(F.col("v"), F.col("c"), n + 1)).collect()]
+        assert got == [sum(c < v for c in cuts) for v in range(100)]
 
 
 def test_ranks_by_ranges(values):

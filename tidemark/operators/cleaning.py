@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.stats import melted, quantiles
+from tidemark.operators.stats import exact_quantiles, wide_stats
 
 CLIP, LEAST = 0.01, 50
 #: What is never trained on, what is never clipped, and how missing entries of named columns are filled.
@@ -26,12 +26,16 @@ def fit(train: DataFrame, columns: list[str], clip: float = CLIP, time: str = "o
 
     Bounds need `LEAST` values and differ; a column without them, or one of `NOT_CLIPPED`, isn't clipped.
     """
-    m = melted(train, columns, (time,)).filter(F.col("value").isNotNull())
-    s = m.groupBy("feature").agg(F.count("*").alias("n")).join(quantiles(m, "feature", "value", (clip, 0.5, 1 - clip)), "feature")
-    usable = (F.col("n") >= LEAST) & (F.col("q")[2] > F.col("q")[0]) & ~F.col("feature").isin(*NOT_CLIPPED)
-    return s.select(
-        "feature", F.col("q")[1].alias("train_median"), F.when(usable, F.col("q")[0]).alias("clip_lo"), F.when(usable, F.col("q")[2]).alias("clip_hi")
-    )
+    shares = (clip, 0.5, 1 - clip)
+    s = wide_stats(train, columns, shares)
+    q, _ = exact_quantiles(train, columns, shares, s)
+    rows = []
+    for c in columns:
+        if s[c]["n"]:
+            lo, median, hi = q[c]
+            usable = s[c]["n"] >= LEAST and hi > lo and c not in NOT_CLIPPED
+            rows.append((c, median, lo if usable else None, hi if usable else None))
+    return train.sparkSession.createDataFrame(rows, "feature string, train_median double, clip_lo double, clip_hi double")
 
 
 def fitted(stats: DataFrame) -> dict[str, dict[str, float | None]]:

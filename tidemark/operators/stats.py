@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 from math import ceil, exp, floor, lgamma, log
 
@@ -23,12 +23,19 @@ def melted(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -> Dat
 ROWS_PER_TASK = 1_000_000
 
 
-def bucketed(m: DataFrame, group: str, value: str, rows_per_task: int | None = None) -> tuple[DataFrame, dict[str, list[int]]]:
+def _bucket_of(value: Column, cuts: Column, parts: int) -> Column:
+    """How many of the sorted cuts lie below a value, by halving."""
+    steps = F.array(*(F.lit(1 << k) for k in range((parts - 1).bit_length() - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda i, step: F.when(F.get(cuts, i + step - 1) < value, i + step).otherwise(i))
+
+
+def bucketed(m: DataFrame, group: str, value: str, rows_per_task: int | None = None, sizes: dict[str, int] | None = None) -> tuple[DataFrame, dict[str, list[int]]]:
     """`m` with bucket_, a range of values of at most about `rows_per_task` rows, and each group's rows by bucket.
 
-    Equal values share a bucket. The driver gets a few numbers per group and bucket.
+    Equal values share a bucket. The driver gets a few numbers per group and bucket; `sizes` are the
+    groups' rows if they are known.
     """
-    sizes = {r[0]: r[1] for r in m.groupBy(group).count().collect()}
+    sizes = sizes or {r[0]: r[1] for r in m.groupBy(group).count().collect()}
     parts = max((ceil(n / (rows_per_task or ROWS_PER_TASK)) for n in sizes.values()), default=1)
     if parts == 1:
         return m.withColumn("bucket_", F.lit(0)), {g: [n] for g, n in sizes.items()}
@@ -36,33 +43,81 @@ def bucketed(m: DataFrame, group: str, value: str, rows_per_task: int | None = N
     cuts = [(r[0], sorted(set(r[1]))) for r in m.groupBy(group).agg(F.percentile_approx(value, at, 20 * parts)).collect()]
     cuts = m.sparkSession.createDataFrame(cuts, f"{group} string, cuts_ array<double>")
     b = m.join(F.broadcast(cuts), group)  # a row per group
-    b = b.withColumn("bucket_", F.size(F.filter("cuts_", lambda c: c < F.col(value)))).drop("cuts_")
+    b = b.withColumn("bucket_", _bucket_of(F.col(value), F.col("cuts_"), parts)).drop("cuts_")
     rows = {g: [0] * parts for g in sizes}
     for g, k, n in b.groupBy(group, "bucket_").count().collect():
         rows[g][k] = n
     return b, rows
 
 
-def quantiles(m: DataFrame, group: str, value: str, shares: tuple[float, ...], rows_per_task: int | None = None) -> DataFrame:
-    """(group, q): exact interpolated quantiles of each group, of which only the buckets that hold one are sorted."""
-    b, rows = bucketed(m, group, value, rows_per_task)
-    if all(len(n) == 1 for n in rows.values()):
-        return b.groupBy(group).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("q"))
-    wanted = []
-    for g, sizes in rows.items():
-        ends = list(accumulate(sizes))
-        for k, share in enumerate(shares):
-            at = (ends[-1] - 1) * share
-            for place, weight in ((floor(at), 1 - at + floor(at)), (floor(at) + 1, at - floor(at))):
-                if weight:
-                    bucket = next(i for i, e in enumerate(ends) if place < e)
-                    wanted.append((g, bucket, place - ends[bucket] + sizes[bucket] + 1, k, weight))
-    places = m.sparkSession.createDataFrame(wanted, f"{group} string, bucket_ int, n_ int, k_ int, weight_ double")
-    inside = b.join(F.broadcast(places.select(group, "bucket_").distinct()), [group, "bucket_"], "left_semi")
-    n = F.row_number().over(Window.partitionBy(group, "bucket_").orderBy(value))
-    found = inside.select(group, "bucket_", F.col(value).alias("v_"), n.alias("n_")).join(F.broadcast(places), [group, "bucket_", "n_"])
-    one = found.groupBy(group, "k_").agg(F.sum(F.col("v_") * F.col("weight_")).alias("x_"))
-    return one.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k_", "x_"))), lambda s: s.x_).alias("q"))
+#: Ranks of approximate percentiles are wrong by a share of 1 / `ACCURACY` at most.
+ACCURACY = 10_000
+
+
+def wide_stats(df: DataFrame, columns: list[str], shares: tuple[float, ...], more: dict[str, Callable[[Column], Column]] | None = None) -> dict[str, dict]:
+    """Each column's n, the measures of `more`, and around each share's quantile a bracket (low, high): one pass over all columns.
+
+    All of it merges, so a task sends one row. The driver gets that of all tasks.
+    """
+    around = sorted({min(1.0, max(0.0, s + d / ACCURACY)) for s in shares for d in (-3, 3)})
+    measures = {"n": F.count, "low": F.min, "high": F.max, "cuts": lambda c: F.percentile_approx(c, around, ACCURACY)} | (more or {})
+    values = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    one = df.agg(*(f(v).alias(f"{k}:{c}") for c, v in values.items() for k, f in measures.items())).first()
+    out = {}
+    for c in columns:
+        found = {k: one[f"{k}:{c}"] for k in measures}
+        at = dict(zip(around, found.pop("cuts") or [None] * len(around)))
+        found["brackets"] = [tuple(at[min(1.0, max(0.0, s + d / ACCURACY))] for d in (-3, 3)) for s in shares]
+        out[c] = found
+    return out
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...], stats: dict[str, dict], flags: dict[str, Column] | None = None) -> tuple[dict[str, list[float]], dict[str, int]]:
+    """Interpolated quantiles of each column, exact: a second pass, in which only values inside the brackets of `wide_stats` move.
+
+    Equal values move as one row a task. Values beyond a bracket are counted on its shorter side. A
+    bracket that turns out not to hold its quantile is widened to all values. The same pass counts
+    each column's rows for which its condition in `flags` holds.
+    """
+    flags, flagged = flags or {}, {}
+    pending = {(c, k) for c in columns for k in range(len(shares)) if stats[c]["n"]}
+    found: dict[tuple[str, int], float] = {}
+    brackets = {(c, k): stats[c]["brackets"][k] for c, k in pending}
+    while pending or flags:
+        cells = [F.when(on, F.struct(F.lit(c).alias("feature"), F.lit(-1).alias("k"), F.lit(None).cast("double").alias("x"))) for c, on in flags.items()]
+        for c, k in sorted(pending):
+            x, (low, high) = F.col(c).cast("double"), brackets[c, k]
+            beyond = x < low if shares[k] <= 0.5 else x > high
+            inside = x.between(low, high) & ~F.isnan(x)
+            cells.append(F.when(inside | (beyond & ~F.isnan(x)), F.struct(F.lit(c).alias("feature"), F.lit(k).alias("k"), F.when(inside, x).alias("x"))))
+        counts = df.select(F.inline(F.filter(F.array(*cells), lambda s: s.isNotNull()))).groupBy("feature", "k", "x").agg(F.count("*").alias("rows"))
+        w = Window.partitionBy("feature", "k")
+        side = F.coalesce(F.max(F.when(F.col("x").isNull(), F.col("rows"))).over(w), F.lit(0))
+        held = F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("rows"))).over(w), F.lit(0))
+        ends = F.sum(F.when(F.col("x").isNotNull(), F.col("rows"))).over(w.orderBy(F.col("x").asc_nulls_first()))
+        places = [(c, k, stats[c]["n"], floor((stats[c]["n"] - 1) * shares[k]), shares[k] <= 0.5) for c, k in sorted(pending)]
+        places = df.sparkSession.createDataFrame(places, "feature string, k int, n long, place long, from_low boolean")
+        j = counts.withColumns({"side": side, "held": held, "ends": ends}).join(F.broadcast(places), ["feature", "k"], "left").filter("x IS NOT NULL OR k = -1")
+        start = F.when(F.col("from_low"), F.col("side")).otherwise(F.col("n") - F.col("side") - F.col("held"))
+        last = start + F.col("ends")  # places from here on belong to greater values
+        near = j.filter((F.col("k") == -1) | (last > F.col("place")) & (last - F.col("rows") <= F.col("place") + 1)).select("feature", "k", "x", (last - F.col("rows")).alias("first"), last.alias("last"), "rows")
+        values: dict[tuple[str, int], list] = {}
+        for r in near.collect():  # one or two values for each quantile
+            if r["k"] == -1:
+                flagged[r["feature"]] = r["rows"]
+            else:
+                values.setdefault((r["feature"], r["k"]), []).append((r["first"], r["last"], r["x"]))
+        for c, k in sorted(pending):
+            at = (stats[c]["n"] - 1) * shares[k]
+            pair = [next((x for a, b, x in values.get((c, k), []) if a <= p < b), None) for p in (floor(at), min(floor(at) + 1, stats[c]["n"] - 1))]
+            if None not in pair or (pair[0] is not None and at == floor(at)):
+                weight = at - floor(at)
+                found[c, k] = pair[0] if not weight else pair[0] * (1 - weight) + pair[1] * weight
+        flags = {}
+        pending -= set(found)
+        for c, k in pending:
+            brackets[c, k] = (stats[c]["low"], stats[c]["high"])
+    return {c: [found.get((c, k)) for k in range(len(shares))] for c in columns}, flagged
 
 
 def null_share(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,24 +130,19 @@ def null_share(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def distribution(df: DataFrame, columns: list[str], least: int = 100) -> DataFrame:
-    """Moments, percentiles and values beyond five deviations of each column with `least` values or more."""
-    m = melted(df, columns).filter(F.col("value").isNotNull())
-    s = m.groupBy("feature").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.stddev_pop("value").alias("sp"), F.avg("value").alias("mu"),
-    ).filter(F.col("n") >= least).join(quantiles(m, "feature", "value", (0.01, 0.99)).withColumnRenamed("q", "p"), "feature")
-    # one row per column, so the second pass joins a table of known width
-    u = m.join(F.broadcast(s), "feature")
-    dev = F.col("value") - F.col("mu")
-    shape = u.groupBy("feature").agg(
-        F.avg(F.pow(dev / F.nullif("sp", F.lit(0.0)), F.lit(3.0))).alias("skew"),
-        (F.avg(F.pow(dev / F.nullif("sp", F.lit(0.0)), F.lit(4.0))) - 3).alias("kurtosis"),
-        F.count_if(F.abs(dev) > 5 * F.col("std")).alias("n_outliers"),
-    )
-    return s.join(F.broadcast(shape), "feature").select(
-        "feature", "n", "mean", "std", "min", F.col("p")[0].alias("p1"), F.col("p")[1].alias("p99"), "max", "skew", "kurtosis", "n_outliers"
-    )
+    """Moments, percentiles and values beyond five deviations of each column with `least` values or more.
+
+    Two passes over all columns at once: what merges, then what needs the first one's results.
+    """
+    moments = {"mean": F.avg, "std": F.stddev_samp, "skew": F.skewness, "kurtosis": F.kurtosis}
+    s = wide_stats(df, columns, (0.01, 0.99), moments)
+    have = [c for c in columns if s[c]["n"] >= least]
+    beyond = {c: F.abs(F.col(c).cast("double") - s[c]["mean"]) > 5 * s[c]["std"] for c in have if s[c]["std"] is not None}
+    p, far = exact_quantiles(df, have, (0.01, 0.99), s, beyond)
+    varies = {c: (s[c]["std"] or 0.0) > 1e-12 * abs(s[c]["mean"]) for c in have}  # what rounding leaves of a constant column doesn't count
+    rows = [(c, s[c]["n"], s[c]["mean"], s[c]["std"], s[c]["low"], *p[c], s[c]["high"], *(s[c][k] if varies[c] else None for k in ("skew", "kurtosis")), far.get(c, 0)) for c in have]
+    kinds = "feature string, n long, mean double, std double, min double, p1 double, p99 double, max double, skew double, kurtosis double, n_outliers long"
+    return df.sparkSession.createDataFrame(rows, kinds)
 
 
 #: The histogram's edges, each class holding its lower one.
@@ -188,9 +238,9 @@ def to_drop(pairs: DataFrame, columns: list[str], limit: float = 0.95) -> list[s
     return gone
 
 
-def average_ranks(m: DataFrame, group: str, value: str, out: str, rows_per_task: int | None = None) -> DataFrame:
+def average_ranks(m: DataFrame, group: str, value: str, out: str, rows_per_task: int | None = None, sizes: dict[str, int] | None = None) -> DataFrame:
     """Ranks with ties at their mean: the place inside a range of values, after the rows of lower ranges."""
-    b, rows = bucketed(m, group, value, rows_per_task)
+    b, rows = bucketed(m, group, value, rows_per_task, sizes)
     w = Window.partitionBy(group, "bucket_")
     rank = F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(group, "bucket_", value)) - 1) / 2
     if any(len(n) > 1 for n in rows.values()):
@@ -234,7 +284,9 @@ p_value = F.udf(lambda r, n: _p_value(r, n), T.DoubleType())  # called once per
 def target_correlations(df: DataFrame, columns: list[str], target: str, least: int = 100) -> DataFrame:
     """Pearson and Spearman of each column with the target over known pairs, with Spearman's p."""
     m = melted(df.filter(F.col(target).isNotNull()), columns, (target,)).filter(F.col("value").isNotNull())
-    m = average_ranks(average_ranks(m, "feature", "value", "rx_"), "feature", target, "ry_")
+    both = df.agg(*(F.count_if(F.col(c).isNotNull() & F.col(target).isNotNull()).alias(c) for c in columns)).first()
+    sizes = {c: both[c] for c in columns if both[c]}
+    m = average_ranks(average_ranks(m, "feature", "value", "rx_", sizes=sizes), "feature", target, "ry_", sizes=sizes)
     s = m.groupBy("feature").agg(
         F.count("*").alias("n"), _safe_corr(F.col("value"), F.col(target)).alias("pearson"), _safe_corr(F.col("rx_"), F.col("ry_")).alias("spearman")
     )

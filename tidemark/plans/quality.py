@@ -12,6 +12,7 @@ from tidemark.operators import quality as Q
 from tidemark.operators import stats as S
 from tidemark.plans.base import HOURLY, TICKS, W, candles_cte, full, lag, query, rounded, z
 from tidemark.plans.market import hourly
+from tidemark.sources import scratch
 from tidemark.sources.tables import table, ticks
 
 COLUMNS = ["return_1h", "return_4h", "return_24h", "volatility_24h", "vol_zscore", "candle_body", "volume"]
@@ -129,7 +130,7 @@ _FIT = f"""{FEAT}, {MELT}, fit AS (SELECT feature, quantile_cont(x, 0.5) AS trai
 
 
 def _fit(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = frame(spark, d)
+    f = scratch.stored(frame(spark, d), "rows")  # fitted on and then cleaned
     return f, K.fit(f.filter(F.col("open_time") <= TRAIN_UNTIL), COLUMNS)
 
 
