@@ -141,18 +141,13 @@ def test_memory(spark):
     assert r["buffer"] == "user: m2\nuser: m3\nuser: m4\nuser: m5" and r["n_overflow"] == 2
 
 
-def test_streamed_candles_and_positions(spark, tmp_path):
+def test_streamed_candles_and_signals(spark, tmp_path):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     for i in range(3):
         e.filter(F.col("event_id") % 3 == i).write.parquet(f"{tmp_path}/in/events{i}.parquet")
     stream = live.tick_stream(spark, f"{tmp_path}/in/*", "*.parquet")
     got = live.run_to_table(live.candle_stream(stream), "complete", f"{tmp_path}/c1")
     assert got.agg(F.sum("trade_count")).first()[0] == 1000
-    steps = spark.createDataFrame([("a", i, float(p), float(r)) for i, (p, r) in enumerate(((100, 20), (97, 50), (95, 20), (99, 80)))], "symbol string, open_time long, close double, rsi double")
-    steps.write.parquet(f"{tmp_path}/steps")
-    live_steps = spark.readStream.schema(steps.schema).parquet(f"{tmp_path}/steps")
-    log = live.run_to_table(live.risk_stream(live_steps), "append", f"{tmp_path}/c2")
-    assert [r["reason"] for r in log.orderBy("time_ms", "side").collect()] == ["RSI_SIGNAL", "STOP_LOSS", "RSI_SIGNAL", "TAKE_PROFIT"]
     out = []
     live.signal_batches(lambda df, i: out.extend(df.collect()))(spark.createDataFrame([("a", i, 5.0) for i in range(3)], "symbol string, open_time long, close double"), 0)
     assert out[0]["signal"] == "WAITING"

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.base import TICKS, candles_cte, query
+from tidemark.operators.candles import candles
+from tidemark.plans import trading  # noqa: F401  its SQL is registered first
+from tidemark.plans.base import ORACLES, TICKS, candles_cte, query
 from tidemark.sources import scratch
-from tidemark.streaming import live
+from tidemark.sources.tables import ticks
+from tidemark.streaming import live, positions
 
 
 @query(f"WITH {TICKS}, {candles_cte()} SELECT symbol, open_time, open, high, low, close, volume, trade_count FROM candles")
@@ -54,3 +57,19 @@ def stream_followed(spark: SparkSession, d: str) -> DataFrame:
     t = live.tick_stream(spark, d)
     j = live.run_to_table(live.followed(t.filter("symbol = 'click'"), t.filter("symbol = 'purchase'")), "append", scratch.path(spark, "stream"))
     return j.select("user_id", "first_id", F.unix_millis("first_time").alias("first_ms"), "next_id", F.unix_millis("next_time").alias("next_ms"))
+
+
+@query(ORACLES["risk_fold"])
+def stream_risk(spark: SparkSession, d: str) -> DataFrame:
+    """The risk rules over a stream of candles in eight batches: position, daily counter and means of RSI as timed state."""
+    folder = scratch.path(spark, "stream")
+    c = candles(ticks(spark, d)).select("symbol", "open_time", "close")
+    first, last = c.agg(F.min("open_time"), F.max("open_time")).first()
+    part = F.floor((F.col("open_time") - F.lit(first)) * 8 / F.lit((last or 0) - (first or 0) + 1))
+    c.withColumn("part", part).write.partitionBy("part").parquet(f"{folder}/parts")
+    parts = spark.read.parquet(f"{folder}/parts")
+    for k in range(8):  # files come in order of time, one a batch
+        parts.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/candles")
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/candles")
+    log = live.run_to_table(positions.risk_log(stream, 45, 55), "append", folder, positions.ROCKS)
+    return log.withColumn("pnl", F.round("pnl", 3) + 0.0)

@@ -1,4 +1,4 @@
-"""Streams: incremental candles, signals by micro-batch, and the risk rules as keyed state.
+"""Streams: incremental candles, signals by micro-batch, windows and joins.
 
 Batch and stream share their operators; a stream of candles is the batch aggregation over a
 streaming source. Late ticks are bounded by a watermark, which the tick's time needs to be a
@@ -7,17 +7,14 @@ timestamp for.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.candles import HOUR_MS, candles
 from tidemark.operators.features import signal, wilder_rsi_latest
-from tidemark.operators.positions import QUANTITY, Position
 from tidemark.operators.quality import artefacts
 
 EVENTS = T.StructType(
@@ -77,25 +74,6 @@ def signal_batches(sink: Callable[[DataFrame, int], None], period: int = 14):
     return run
 
 
-TRADES = "symbol string, time_ms long, side string, quantity double, price double, rsi double, pnl double, reason string"
-STATE = "entry double, day long, buys int"
-
-
-def risk_stream(steps: DataFrame, oversold: float = 30, overbought: float = 70) -> DataFrame:
-    """The trade log of a stream of (symbol, open_time, close, rsi): the position is the state of each symbol."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        entry, day, buys = state.get if state.exists else (None, -1, 0)
-        p, rows = Position(entry, day, buys), []
-        for t in pd.concat(list(batches)).sort_values("open_time").itertuples(index=False):
-            done = p.step(t.open_time, t.close, t.rsi, oversold, overbought)
-            rows += [(key[0], t.open_time, side, QUANTITY, price, rsi, pnl, reason) for side, price, rsi, pnl, reason in done]
-        state.update((p.entry, p.day, p.buys))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRADES.split(", ")])
-
-    return steps.groupBy("symbol").applyInPandasWithState(step, TRADES, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def sliding_volumes(ticks: DataFrame, width: str = "1 hour", slide: str = "30 minutes") -> DataFrame:
     """Volume and trades of overlapping windows; each tick counts in each window that holds it."""
     g = ticks.groupBy(F.window("time", width, slide), "symbol").agg(F.sum("quantity").alias("volume"), F.count("*").alias("trade_count"))
@@ -121,19 +99,26 @@ def followed(left: DataFrame, right: DataFrame, key: str = "user_id", within: st
     return a.join(b, (F.col(key) == F.col("key_")) & near).drop("key_")
 
 
-def run_to_table(df: DataFrame, mode: str, folder: str) -> DataFrame:
+def run_to_table(df: DataFrame, mode: str, folder: str, state_store: str | None = None) -> DataFrame:
     """Runs a stream over what is there and returns its rows, which stay in Parquet files below `folder`.
 
-    A batch is written to its own subfolder, again if it is tried again; in complete mode the last one holds all.
+    A batch is written to its own subfolder, again if it is tried again; in complete mode the last
+    one holds all. `state_store` is the class that keeps the state, if not the session's.
     """
+    spark = df.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         part = "all" if mode == "complete" else str(batch_id)
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={part}")
 
-    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    spark.conf.set(key, state_store or before)
+    try:  # a stream keeps the settings that it starts with
+        q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
-    spark = df.sparkSession
     if not any(r["present"] for r in artefacts(spark, [f"{folder}/rows"]).collect()):
         return spark.createDataFrame([], df.schema)
     return spark.read.schema(df.schema).parquet(f"{folder}/rows").select(*df.columns)
