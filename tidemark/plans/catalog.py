@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import documents, live, market, quality, trading
+from tidemark.plans import documents, live, market, models, quality, trading
 from tidemark.plans.base import ORACLES, QUERIES
 
 flagship = market.flagship
 
-__all__ = ["ORACLES", "QUERIES", "documents", "flagship", "live", "market", "quality", "trading"]
+__all__ = ["ORACLES", "QUERIES", "documents", "flagship", "live", "market", "models", "quality", "trading"]

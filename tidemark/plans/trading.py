@@ -351,45 +351,3 @@ def portfolio_sim(spark: SparkSession, d: str) -> DataFrame:
     s = signals(spark, d).withColumn("entry", (F.col("pred") == 1) & (F.col("proba") >= 0.5))
     return rounded(P.portfolio(s, UP, DOWN, B.MAX_BARS))
 
-
-def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    f = X.with_target(X.with_volume(X.with_volatility(X.with_returns(X.with_candle_shape(X.with_time(hourly(spark, d)))))))
-    return f.filter("target_direction_4h <> 0").withColumn("label", (F.col("target_direction_4h") == 1).cast("int"))
-
-
-@query()
-def gbt_walkforward(spark: SparkSession, d: str) -> DataFrame:
-    from tidemark.operators.ml import FEATURES, gbt_classifier, walk_forward_cv
-
-    return walk_forward_cv(_labelled(spark, d), list(FEATURES), gbt_classifier, k=2, time="open_time")
-
-
-@query()
-def gbt_two_stage(spark: SparkSession, d: str) -> DataFrame:
-    """Test rows with the first model's side and probability and the probability of the second, which sees the first's."""
-    from tidemark.operators import ml
-
-    s = B.time_split(_labelled(spark, d))
-    first, second, columns = ml.fit_two_stage(s, list(ml.FEATURES))
-    return ml.two_stage(first, second, ml.filled(s.filter("split = 'test'"), columns)).select("symbol", "open_time", "pred", "model1_prob_up", "proba")
-
-
-@query()
-def gbt_regression(spark: SparkSession, d: str) -> DataFrame:
-    """The regressor's errors on test rows."""
-    from tidemark.operators import ml
-
-    s = ml.filled(B.time_split(_labelled(spark, d)), list(ml.FEATURES))
-    model = ml.gbt_regressor(list(ml.FEATURES), iterations=5).fit(s.filter("split = 'train'"))
-    return B.regression_metrics(model.transform(s.filter("split = 'test'")), "target_return_4h", "prediction")
-
-
-@query()
-def gbt_importances(spark: SparkSession, d: str) -> DataFrame:
-    """Importances of the features of a classifier that stops early on validation rows."""
-    from tidemark.operators import ml
-
-    s = B.time_split(_labelled(spark, d)).filter("split <> 'test'")
-    columns = ml.feature_columns(s.select(*ml.FEATURES, "label", "close", "target_return_4h"))
-    model, _ = ml.fit_early(s, columns)
-    return ml.importances(model, columns, s)
