@@ -23,8 +23,12 @@ from tidemark.llm.common import scratch, stored
 
 LEAST_BYTES = 100  # a smaller payload is never a revisit
 FILE_BYTES, READ_BYTES, GAP_BYTES = 128 << 20, 8 << 20, 64 << 10
+#: Uncompressed bytes after which the records that were read leave a task.
+SENT_BYTES = 16 << 20
 #: Compressed bytes that a reading task gets, and up to how many shared digests (some 100 bytes each) are broadcast.
 TASK_BYTES, FEW_DIGESTS = 8 << 20, 200_000
+#: Where digests are too many for that, rows of one digest are dealt to so many tasks.
+SALTS = 16
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("b7a1f6f2-5d0e-5c53-9d4e-3f5f6c1f4a10")
@@ -126,7 +130,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         p = p.join(F.broadcast(same), "digest", "left").withColumn("first", F.when(long_enough, F.col("first")))
     else:
         short = p.filter(~long_enough).withColumn("first", F.lit(None).cast("long"))
-        p = p.filter(long_enough).join(same.hint("merge"), "digest", "left").unionByName(short)
+        salted = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+        own = p.filter(long_enough).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        p = own.join(salted, ["digest", "salt"], "left").drop("salt").unionByName(short)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     p = p.withColumn("revisit", revisit).withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
     rows = p.select("page_id", "url", "payload", "size", "digest", "first", "revisit")
@@ -136,13 +142,35 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 _RECORD = "page_id long, url string, record_type string, payload_bytes long, payload binary, digest string, refers_to long"
 
 
+def _members(run: list[tuple[str, int, int]]) -> Iterator[dict]:
+    """The records of ranges that lie near each other in one file: one read, and one record unpacked at a time."""
+    file, start = run[0][0], run[0][1]
+    fs, path = _store(file)
+    with fs.open_input_file(path) as f:  # random access, never decompressed
+        data = memoryview(f.read_at(run[-1][1] + run[-1][2] - start, start))
+    for _, offset, length in run:
+        yield parse_record(zlib.decompress(data[offset - start : offset - start + length], 31))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, int, int]]]:
+    run: list[tuple[str, int, int]] = []
+    for batch in batches:
+        for file, offset, length in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if run:
+                last, end = run[-1], run[-1][1] + run[-1][2]
+                near = file == last[0] and 0 <= offset - end <= GAP_BYTES and offset + length - run[0][1] <= READ_BYTES
+                if not near:
+                    yield run
+                    run = []
+            run.append((file, offset, length))
+    if run:
+        yield run
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def made(run: list[tuple[str, int, int]]) -> pa.RecordBatch:
-        file, start = run[0][0], run[0][1]
-        fs, path = _store(file)
-        with fs.open_input_file(path) as f:  # random access, never decompressed
-            data = f.read_at(run[-1][1] + run[-1][2] - start, start)
-        rows = [parse_record(zlib.decompress(data[o - start : o - start + n], 31)) for _, o, n in run]
+    """Records in batches of `SENT_BYTES` of payload, or one record more, however far they were compressed."""
+
+    def made(rows: list[dict]) -> pa.RecordBatch:
         number = lambda x: None if x is None else int(x)
         columns = [
             (pa.int64(), [number(r.get("X-Page-ID")) for r in rows]),
@@ -155,18 +183,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for k, v in columns], names=[f.split()[0] for f in _RECORD.split(", ")])
 
-    run: list[tuple[str, int, int]] = []
-    for batch in batches:
-        for file, offset, length in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if run:
-                last, end = run[-1], run[-1][1] + run[-1][2]
-                near = file == last[0] and 0 <= offset - end <= GAP_BYTES and offset + length - run[0][1] <= READ_BYTES
-                if not near or len(run) >= 2000:
-                    yield made(run)
-                    run = []
-            run.append((file, offset, length))
-    if run:
-        yield made(run)
+    rows: list[dict] = []
+    size = 0
+    for run in _runs(batches):
+        for record in _members(run):
+            rows.append(record)
+            size += len(record["payload"] or b"") + 500
+            if size >= SENT_BYTES:
+                yield made(rows)
+                rows, size = [], 0
+    if rows:
+        yield made(rows)
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -174,6 +201,9 @@ def read_records(index: DataFrame) -> DataFrame:
 
     payload is null for a revisit; the URL is as in the header, with unsafe characters escaped. An
     index row whose archive is missing, or whose range isn't one record, raises an error.
+
+    Payloads of any length are read whole. What a task holds is a read of `READ_BYTES` (or one
+    record) and `SENT_BYTES` of payload (or one record more), even if pages compress a thousandfold.
     """
     total = index.agg(F.sum("length")).first()[0] or 0
     n = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
