@@ -484,3 +484,53 @@ def test_near_duplicates_on_odd_rows(odd):
     assert ids(got) == ALL
     assert all(r["kept"] and (r["component_id"] == r["doc_id"]) for r in got)
     assert [r["n_shingles"] for r in got if r["doc_id"] == 2] == [0] and neardup.near_duplicates(odd.limit(0)).count() == 0
+
+
+# very long texts -----------------------------------------------------------------------------
+def test_long_compressible_records_leave_in_bounded_batches(tmp_path):
+    """112 pages of 20 MB of markup are 4 MB of archive: they never meet in one batch."""
+    import pyarrow as pa
+
+    page = b"<li class='item'><a href='/x'>more</a></li>\n" * 460_000
+    names = ["page_id", "url", "payload", "size", "digest", "first", "revisit"]
+    digest = hashlib.sha256(page).hexdigest()
+
+    def pages():
+        for i in range(112):
+            columns = [pa.array([i]), pa.array([f"http://h/{i}"]), pa.array([page], pa.binary()), pa.array([len(page)]), pa.array([digest]), pa.array([None], pa.int64()), pa.array([False])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    index = [b.select(["file", "offset", "length"]) for b in warc._writer(f"file://{tmp_path}/w")(pages())]
+    assert sum(sum(b.column(2).to_pylist()) for b in index) < warc.READ_BYTES
+    seen = []
+    for batch in warc._read(iter(index)):
+        assert batch.nbytes < warc.SENT_BYTES + len(page) + 100_000
+        seen += batch.column(0).to_pylist()
+        assert batch.column(4)[0].as_py() == page
+    assert seen == list(range(112))
+
+
+def test_many_shared_digests_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FEW_DIGESTS", 1)
+    rows = [(i, f"http://h/{i}", ("a" * 150 if i % 3 else "b" * 150) if i % 5 else "short") for i in range(60)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.digests(warc.read_records(warc.write_archives(d))).collect()}
+    first = {}
+    for i, _, t in rows:
+        first.setdefault(t, i)
+    assert got == {i: ("response", None) if len(t) < 100 or first[t] == i else ("revisit", first[t]) for i, _, t in rows}
+
+
+def test_a_long_text_of_licenses_takes_time_in_proportion(spark):
+    import time
+
+    mit = dict(lic.TEMPLATES[::-1])["mit"] if len(dict(lic.TEMPLATES[::-1])["mit"].split()) > 30 else max((t for label, t in lic.TEMPLATES if label == "mit"), key=len)
+    took = []
+    for mb in (1, 1, 2, 4):
+        text = (mit + "\n\n") * (mb * 1_000_000 // len(mit))
+        d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        r = lic.scan_licenses(d).first()
+        took.append(time.perf_counter() - began)
+        assert "mit" in r["labels"].split(",") and r["score"] == 1.0 and r["n_words"] > 100_000 * mb
+    assert took[3] < 3 * max(took[2], 5)  # a square would be four times

@@ -143,35 +143,40 @@ def _phrase_at(hits: str, h: Column, i: Column, words: list[str]) -> Column:
 
 
 def candidates(found: DataFrame, prefixes: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Texts (rid) and templates (k) that pass the filters, with the hits `near` that a matching block can hold.
+    """Hits (rid, k, need, width, p, t) of texts and templates that pass the filters and that a matching block can hold.
 
     `prefixes` has a row per template and prefix token: t, its place i in the template's order from 0,
-    and the template's k, tokens (in that order), need and width.
+    and the template's k, tokens (in that order), need and width. Hits are grouped by cells of `width`
+    words; a block lies in two neighbouring ones. Each hit stands in three groups, so that the work
+    on a text grows with its length.
     """
     rows = found.select("rid", "n_words", "hits", once(F.array_distinct("hits.t")).alias("own"))
     rows = rows.select("*", F.explode(F.filter("own", lambda t: t.isin(vocabulary))).alias("t")).join(prefixes, "t")
     # one row a template: that of the rarest prefix token in the text; then the length filter on all its tokens
     rarest = (F.col("i") == 0) | ~F.arrays_overlap(F.slice("tokens", F.lit(1), F.greatest(F.col("i"), F.lit(1))), "own")
     rows = rows.filter((F.col("n_words") >= F.col("need")) & rarest & (F.size(F.array_intersect("tokens", "own")) >= F.col("need")))
-    rows = rows.select("rid", "k", "need", "width", "tokens", once(F.filter("hits", lambda h: F.array_contains("tokens", h.t))).alias("of"))
-    cell = lambda h: F.floor(h.p / F.col("width")).cast("int")
-    prefix = F.slice("tokens", F.lit(1), F.size("tokens") - F.col("need") + 1)
-    cells = F.array_distinct(F.transform(F.filter("of", lambda h: F.array_contains(prefix, h.t)), cell))
-
-    def possible(c: Column) -> Column:
-        first = F.array_min(F.transform(F.filter("of", lambda h: (cell(h) == c) & F.array_contains(prefix, h.t)), lambda h: F.array_position("tokens", h.t)))
-        around = F.transform(F.filter("of", lambda h: F.abs(cell(h) - c) <= 1), lambda h: h.t)
-        later = F.slice("tokens", first.cast("int"), F.size("tokens"))
-        return F.size(F.array_intersect(later, around)) >= F.col("need")
-
-    rows = rows.select("*", once(F.filter(cells, possible)).alias("cells")).filter(F.size("cells") > 0)
-    near = F.filter("of", lambda h: F.exists("cells", lambda c: F.abs(cell(h) - c) <= 1))
-    return rows.select("rid", "k", "need", "width", near.alias("near"))
+    rows = rows.select("rid", "k", "need", "width", "tokens", F.explode("hits").alias("h"))
+    place = F.array_position("tokens", F.col("h.t")).cast("int")
+    rows = rows.select("rid", "k", "need", "width", F.size("tokens").alias("size"), "h", place.alias("place")).filter("place > 0")
+    cell = F.floor(F.col("h.p") / F.col("width")).cast("int")
+    near = rows.withColumn("cell", cell).withColumn("c", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    mine = F.col("c") == F.col("cell")
+    cells = near.groupBy("rid", "k", "need", "width", "c").agg(
+        F.min(F.when(mine & (F.col("place") <= F.col("size") - F.col("need") + 1), F.col("place"))).alias("first"),
+        F.collect_set("place").alias("around"),
+        F.collect_list(F.when(mine, F.col("h"))).alias("hits"),
+    )
+    # the positional filter: around a prefix token, enough tokens of its place in the order or a later one
+    later = F.size(F.filter("around", lambda i: i >= F.col("first")))
+    cells = cells.withColumn("open", F.coalesce(later >= F.col("need"), F.lit(False)))
+    w = Window.partitionBy("rid", "k").orderBy("c")
+    beside = lambda f, d: F.coalesce(f("open").over(w) & (f("c").over(w) == F.col("c") + d), F.lit(False))
+    cells = cells.withColumn("near", F.col("open") | beside(F.lag, -1) | beside(F.lead, 1)).filter("near")
+    return cells.select("rid", "k", "need", "width", F.inline("hits"))
 
 
-def best_blocks(near: DataFrame) -> DataFrame:
-    """For each row (rid, k) of `candidates` with a match: the most tokens `n` in a block, and its first start."""
-    hits = near.select("rid", "k", "need", "width", F.explode("near").alias("h")).select("*", "h.p", "h.t")
+def best_blocks(hits: DataFrame) -> DataFrame:
+    """For each text and template (rid, k) of `candidates` with a match: the most tokens `n` in a block, and its first start."""
     before = F.lag("p").over(Window.partitionBy("rid", "k", "t").orderBy("p"))
     # the token's first occurrence in the blocks that start here
     low = F.greatest(before + 1, F.col("p") - F.col("width") + 1, F.lit(0))
@@ -200,7 +205,7 @@ def scan_licenses(
     score is 1 where a base phrase stands, else the best containment that reaches the threshold,
     else 0. matches lists label, start and width (in words, from 0) of the first best block of each
     template that matches, and how many of its tokens it holds of how many; a template without a
-    word matches nothing.
+    word matches nothing. Texts of any length are scanned whole, in time that grows with their words.
     """
     spark = docs.sparkSession
     base = [(phrase.split(), label) for phrase, label in BASE_PHRASES.items()]
