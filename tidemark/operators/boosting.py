@@ -270,7 +270,7 @@ def _gain(g: np.ndarray, h: np.ndarray, p: Params) -> np.ndarray:
 
 def _leaf(g: float, h: float, p: Params) -> float:
     t = max(abs(g) - p.alpha, 0.0) * (1 if g > 0 else -1)
-    return -p.rate * t / (h + p.lam)
+    return float(-p.rate * t / (h + p.lam))
 
 
 def best_split(g: np.ndarray, h: np.ndarray, p: Params, columns: list[int]) -> tuple | None:
