@@ -216,3 +216,36 @@ def test_threshold_sweep_stops_at_too_few(spark):
 def test_kelly_and_break_even():
     assert B.kelly(0.6, 2.0) == pytest.approx(0.4) and B.kelly(0.2, 2.0) == 0.0
     assert B.break_even("long", slippage=0) == pytest.approx(0.5) and B.break_even("short", slippage=0) == pytest.approx(5 / 6)
+
+
+def test_first_touch_at_any_horizon(spark):
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for s, n in (("a", 700), ("b", 90), ("c", 1)):
+        price = 100.0
+        for t in range(n):
+            price *= 1 + rng.gauss(0, 0.01)
+            gap = s == "b" and t % 17 == 3
+            rows.append((s, t * H, None if gap else price, None if gap else price * 1.003, None if gap else price * 0.997))
+    d = spark.createDataFrame(rows, "symbol string, open_time long, close double, high double, low double").repartition(3)
+    for bars, width in ((4, 0.01), (200, 0.08), (None, 0.15)):
+        got = {(r["symbol"], r["open_time"]): (r["touch_bars"], r["tb_direction"]) for r in B.first_touch(d, width, width / 2, bars).collect()}
+        for s in ("a", "b", "c"):
+            own = [r for r in rows if r[0] == s]
+            for i, r in enumerate(own):
+                ahead = own[i + 1 : len(own) if bars is None else i + 1 + bars]
+                want = (None, None)
+                if r[2] is not None and any(x[2] is not None for x in ahead):
+                    want = (None, 0)
+                    for k, x in enumerate(ahead, 1):
+                        if x[4] is not None and (x[4] <= r[2] * (1 - width / 2) or x[3] >= r[2] * (1 + width)):
+                            want = (k, -1 if x[4] <= r[2] * (1 - width / 2) else 1)
+                            break
+                assert got[s, r[1]] == want
+        if bars == 4:
+            same = {(r["symbol"], r["open_time"]): r["tb_direction"] for r in B.barrier_label(d, width, width / 2, 4).collect()}
+            assert same == {k: v[1] for k, v in got.items()}
+    plans = [B.first_touch(d, 0.1, 0.1, n)._jdf.queryExecution().optimizedPlan().toString().count("\n") for n in (500, 3000)]
+    assert plans[0] == plans[1]  # a farther horizon makes the plan no larger

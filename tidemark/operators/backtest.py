@@ -6,6 +6,8 @@ drawdown is against the running maximum, in which the starting capital isn't cou
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,56 @@ THRESHOLDS = (0.48, 0.50, 0.52, 0.55, 0.58, 0.60, 0.65)
 SLIPPAGES = (0.0, 0.0001, 0.0002, 0.0003, 0.0005, 0.0008, 0.001, 0.0015, 0.002)
 
 
+#: Children of a node in the search for touches.
+FAN = 64
+
+
+def first_touch(df: DataFrame, upper: float = UPPER, lower: float = LOWER, max_bars: int | None = None, key: str = "symbol", levels: int = 4) -> DataFrame:
+    """Adds touch_bars (bars until a barrier is reached, null if none is) and tb_direction, as `barrier_label` defines it, at any horizon.
+
+    Bars are leaves of a tree whose nodes know the least low and the greatest high of their `FAN`
+    children. Each bar looks among its later siblings, then among those of its parent and so on, and
+    walks down to the first bar that touches: a join a level, however far the horizon. With
+    `max_bars` None it is the series' end, up to `FAN` ** `levels` bars of a series.
+    """
+    w = W.series(key)
+    if max_bars is not None:
+        levels = min(levels, 1 + ceil(log(max(2, max_bars), FAN)))
+    bars = df.withColumn("i_", F.row_number().over(w) - 1)
+    node = lambda c: F.floor(F.col(c) / FAN)
+    kids = bars.select(key, F.col("i_").alias("j"), F.col("low").alias("lo"), F.col("high").alias("hi"))
+    tree = []
+    for _ in range(levels):
+        grouped = kids.groupBy(F.col(key).alias("key_"), node("j").alias("node_")).agg(F.array_sort(F.collect_list(F.struct("j", "lo", "hi"))).alias("kids_"))
+        tree.append(grouped)
+        kids = grouped.select(F.col("key_").alias(key), F.col("node_").alias("j"), F.array_min("kids_.lo").alias("lo"), F.array_max("kids_.hi").alias("hi"))
+    c = F.col("close")
+    q = bars.select(key, "i_", (c * (1 - lower)).alias("down_"), (c * (1 + upper)).alias("up_"), F.col("i_").alias("at_")).filter("down_ IS NOT NULL")
+    q = q.select("*", F.lit(None).cast("struct<j: bigint, lo: double, hi: double>").alias("hit_"), F.lit(0).alias("found_"))
+    touches = lambda k: F.coalesce(k.lo <= F.col("down_"), F.lit(False)) | F.coalesce(k.hi >= F.col("up_"), F.lit(False))
+    plain = lambda k: F.struct(k.j.cast("bigint").alias("j"), k.lo.cast("double").alias("lo"), k.hi.cast("double").alias("hi"))
+    first = lambda after: F.get(F.transform(F.filter("kids_", lambda k: touches(k) & (k.j > after)), plain), F.lit(0))
+    for k, nodes in enumerate(tree, 1):  # up, until a later sibling holds a touch
+        wanted = F.when(F.col("found_") == 0, node("at_"))
+        q = q.withColumn("want_", wanted).join(nodes, (F.col(key) == F.col("key_")) & (F.col("want_") == F.col("node_")), "left")
+        hit = first(F.col("at_"))
+        now = (F.col("found_") == 0) & hit.isNotNull()
+        # under other names first, as Spark takes an alias of the same list for the column inside a lambda
+        told = q.select(key, "i_", "down_", "up_", node("at_").alias("at2_"), F.when(now, hit).otherwise(F.col("hit_")).alias("hit2_"), F.when(now, k).otherwise(F.col("found_")).alias("found2_"))
+        q = told.toDF(key, "i_", "down_", "up_", "at_", "hit_", "found_")
+    for k in range(levels - 1, 0, -1):  # and down again to the bar
+        wanted = F.when(F.col("found_") > k, F.col("hit_.j"))
+        q = q.withColumn("want_", wanted).join(tree[k - 1], (F.col(key) == F.col("key_")) & (F.col("want_") == F.col("node_")), "left")
+        q = q.select(key, "i_", "down_", "up_", F.when(F.col("found_") > k, first(F.lit(-1))).otherwise(F.col("hit_")).alias("hit_"), "found_")
+    far = F.col("hit_.j") - F.col("i_")
+    near = far.isNotNull() if max_bars is None else far <= max_bars
+    q = q.filter(near).select(F.col(key).alias("key_"), F.col("i_").alias("bar_"), far.alias("touch_bars"), F.when(F.col("hit_.lo") <= F.col("down_"), -1).otherwise(1).alias("side_"))
+    later = F.count("close").over(w.rowsBetween(1, max_bars if max_bars is not None else Window.unboundedFollowing))
+    out = bars.withColumn("later_", later).join(q, (F.col(key) == F.col("key_")) & (F.col("i_") == F.col("bar_")), "left")
+    label = F.when(c.isNotNull() & (F.col("later_") > 0), F.coalesce("side_", F.lit(0)))
+    return out.select(*df.columns, F.when(label.isNotNull(), F.col("touch_bars")).alias("touch_bars"), label.alias("tb_direction"))
+
+
 def barrier_label(df: DataFrame, upper: float = UPPER, lower: float = LOWER, max_bars: int = MAX_BARS, key: str = "symbol") -> DataFrame:
     """Adds tb_direction: 1 if the next `max_bars` rows reach the upper barrier first, -1 the lower, 0 neither.
 

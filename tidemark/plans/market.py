@@ -45,6 +45,8 @@ def tick_parse(spark: SparkSession, d: str) -> DataFrame:
     return files.parse_envelopes(sent)
 
 
+#: A block of time in as-of joins: a series of years is as many tasks as it has months.
+MONTH_MS = 30 * 86_400_000
 CANDLE = "open_time, open, high, low, close, volume, trade_count"
 
 
@@ -264,8 +266,8 @@ def features_view_join(spark: SparkSession, d: str) -> DataFrame:
     k = C.candles(ticks(spark, d)).select("symbol", "open_time", "close")
     flow = C.order_flow(tick_trades(spark, d), C.HOUR_MS).select("symbol", "open_time", "delta", "total_vol")
     liq = C.liquidation_buckets(liquidations(spark, d), keys=("symbol",)).select("symbol", "open_time", "liq_net_vol", "liq_count")
+    k = J.asof_join(k, funding(spark, d), ["symbol"], "open_time", "funding_time", ["funding_rate"], "event_id", block=MONTH_MS)
     j = X.joined(k, [flow, liq], ["symbol", "open_time"])
-    j = J.asof_join(j, funding(spark, d), ["symbol"], "open_time", "funding_time", ["funding_rate"], "event_id")
     zero = lambda c, n: (F.round(F.coalesce(c, F.lit(0.0)), n) + 0.0).alias(c)
     return j.select("symbol", "open_time", "close", zero("delta", 6), zero("total_vol", 6), zero("liq_net_vol", 6), F.coalesce("liq_count", F.lit(0)).alias("liq_count"), zero("funding_rate", 8))
 
@@ -278,7 +280,7 @@ def asof_latest(spark: SparkSession, d: str) -> DataFrame:
     t = ticks(spark, d)
     slow = t.filter("symbol = 'signup'").select("user_id", "event_id", F.col("time").alias("signup"), F.col("price").alias("last_price"))
     fast = t.filter("symbol <> 'signup'").select("event_id", "user_id", "price", "time")
-    found = J.asof_join(fast, slow, ["user_id"], "time", "signup", ["last_price"], "event_id")
+    found = J.asof_join(fast, slow, ["user_id"], "time", "signup", ["last_price"], "event_id", block=MONTH_MS * 1000)
     return found.select("event_id", "user_id", "price", "last_price", F.unix_millis("asof_signup").alias("asof_signup_ms"))
 
 
