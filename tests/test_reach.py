@@ -128,9 +128,11 @@ def test_embedding_has_length_one(spark):
 
 def test_shared_folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scratch, "root", lambda spark: f"file://{tmp_path}/shared")
-    assert scratch.stored(spark.range(3), "rows").count() == 3 and os.listdir(f"{tmp_path}/shared")[0].startswith("rows-")
+    other = tmp_path / "shared" / "tidemark-of-another"
+    other.mkdir(parents=True)
+    assert scratch.stored(spark.range(3), "rows").count() == 3 and os.listdir(scratch.folder(spark)[7:])[0].startswith("rows-")
     scratch.clear(spark)
-    assert os.listdir(f"{tmp_path}/shared") == []
+    assert os.listdir(f"{tmp_path}/shared") == ["tidemark-of-another"]  # only its own
 
 
 def test_no_local_folder_on_a_cluster():

@@ -19,8 +19,13 @@ def root(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def folder(spark: SparkSession) -> str:
+    """The application's own folder below it; what other jobs have stored there lies elsewhere."""
+    return f"{root(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
 def path(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -32,9 +37,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes all that was stored there, by this library's names; for the end of a job."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root(spark))
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for pattern in ("tokens-*", "stream-*", "rows-*", "tidemark"):
-        for found in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/{pattern}")) or []:
-            fs.delete(found.getPath(), True)
+    """Deletes all that this application has stored there; for the end of a job."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)

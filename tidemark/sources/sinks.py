@@ -58,9 +58,12 @@ def replace_table(df: DataFrame, name: str) -> None:
 
 
 def write_ticks(df: DataFrame, path: str, time: str = "time") -> None:
-    """A tick table laid out by day and sorted by symbol and time, so that scans prune days and row groups."""
+    """A tick table laid out by day and sorted by symbol and time, so that scans prune days and row groups.
+
+    A day's ticks of a symbol are dealt out by the hour, so that the busiest symbol's day isn't one task.
+    """
     out = df.withColumn("day", F.to_date(time))
-    out.repartition("day", "symbol").sortWithinPartitions("symbol", time).write.mode("append").partitionBy("day").parquet(path)
+    out.repartition("day", "symbol", F.hour(time)).sortWithinPartitions("symbol", time).write.mode("append").partitionBy("day").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
