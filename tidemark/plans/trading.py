@@ -84,9 +84,9 @@ FAR = 500
 
 @query(
     f"""{HOURLY}, b AS MATERIALIZED (SELECT *, row_number() OVER ({W}) AS i, count(close) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND {FAR} FOLLOWING) AS later FROM grid),
-t AS (SELECT c.symbol, c.i, min(f.i) AS at, arg_min(CASE WHEN f.low <= c.close * {1 - 10 * DOWN / 11} THEN -1 ELSE 1 END, f.i) AS side FROM b c JOIN b f ON f.symbol = c.symbol AND f.i > c.i AND f.i <= c.i + {FAR}
+t AS (SELECT c.symbol, c.i, min(f.i) AS hit, arg_min(CASE WHEN f.low <= c.close * {1 - 10 * DOWN / 11} THEN -1 ELSE 1 END, f.i) AS side FROM b c JOIN b f ON f.symbol = c.symbol AND f.i > c.i AND f.i <= c.i + {FAR}
   AND (f.low <= c.close * {1 - 10 * DOWN / 11} OR f.high >= c.close * {1 + 10 * UP}) GROUP BY 1, 2)
-SELECT symbol, open_time, at - b.i AS touch_bars, CASE WHEN close IS NOT NULL AND later > 0 THEN CAST(coalesce(side, 0) AS INTEGER) END AS tb_direction FROM b LEFT JOIN t USING (symbol, i)"""
+SELECT symbol, open_time, hit - b.i AS touch_bars, CASE WHEN close IS NOT NULL AND later > 0 THEN CAST(coalesce(side, 0) AS INTEGER) END AS tb_direction FROM b LEFT JOIN t USING (symbol, i)"""
 )
 def barrier_far(spark: SparkSession, d: str) -> DataFrame:
     """Barriers so wide that days can pass before one is reached, found by a search that skips blocks of bars."""
