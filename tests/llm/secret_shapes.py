@@ -179,3 +179,26 @@ LAST_PLAIN = {
     "advice": looks(("never share your password: {}", "store the api_key = {}"), lambda r: r.choice(("anyone could read it", "somewhere safe", "outside the repository"))),
     "query": looks(("https://shop.example/?{}",), lambda r: f"q={r.choice(NOUNS)}&page={some(r, 2, DIGITS)}&session={some(r, 8, DIGITS)}"),
 }
+
+
+def public_block(rng):
+    lines = "\n".join(some(rng, 64, LETTERS + DIGITS + "+/") for _ in range(rng.randint(3, 12)))
+    kind = rng.choice(("PUBLIC KEY", "CERTIFICATE", "RSA PUBLIC KEY"))
+    return f"-----BEGIN {kind}-----\n{lines}\n{some(rng, 22)}==\n-----END {kind}-----"
+
+
+#: Shapes that a reader of the scan missed, or saw marked wrongly.
+ASKED_SECRETS = {
+    "mail pass": given(("smtp_pass: {}", "MAIL_PASS={}", "imap.pass = {}"), password),
+    "element": given(("<password>{}</password>", "<db-password>{}</db-password>", "<apiKey>{}</apiKey>"), lambda r: password(r, 12)),
+    "yaml pass": given(("  pass: {}", "pass: {}"), lambda r: r.choice((password, phrase))(r)),
+    "said": given(("the passphrase is {}", "my password is {}", "the wifi password is: {}"), lambda r: r.choice((password, phrase))(r)),
+}
+ASKED_PLAIN = {
+    "inline image": looks(('<img src="data:image/png;base64,{}">', "<img src='data:image/jpeg;base64,{}' alt='x'>"), lambda r: "iVBORw0KGgo" + some(r, 200, LETTERS + DIGITS + "+/")),
+    "ssh key": looks(("ssh-rsa {} me@host",), lambda r: "AAAAB3NzaC1yc2EAAAADAQABAAABgQ" + some(r, 340, LETTERS + DIGITS + "+/")),
+    "short ssh key": looks(("ssh-ed25519 {} me@host", "ssh-ed25519 {}"), lambda r: "AAAAC3NzaC1lZDI1NTE5AAAAI" + some(r, 43, LETTERS + DIGITS + "+/")),
+    "public block": looks(("{}",), public_block),
+    "said plainly": looks(("the password is {}", "its token is {}"), lambda r: r.choice(("mandatory", "required here", "something else", "forgotten again", "whatever you like"))),
+    "other pass": looks(("passenger: {}", "compass={}", "boarding pass: {}"), lambda r: "_".join(r.sample(NOUNS, 2))),
+}

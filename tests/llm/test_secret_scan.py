@@ -6,7 +6,7 @@ import re
 import pytest
 import regex
 from pyspark.sql import functions as F
-from secret_shapes import LAST_PLAIN, LAST_SECRETS, LATER_PLAIN, LATER_SECRETS, PLAIN, SECRETS, draw, verdict
+from secret_shapes import ASKED_PLAIN, ASKED_SECRETS, LAST_PLAIN, LAST_SECRETS, LATER_PLAIN, LATER_SECRETS, PLAIN, SECRETS, draw, verdict
 
 from tidemark.llm import secret_scan as sec
 
@@ -40,6 +40,14 @@ def test_shapes_that_the_trainer_never_saw(spark, trees):
     assert sum(share[k] for k in LAST_SECRETS) / len(LAST_SECRETS) >= 0.65 and precision >= 0.95
 
 
+def test_shapes_that_were_asked_for(spark, trees):
+    rows = draw(ASKED_SECRETS, 40, 707) + draw(ASKED_PLAIN, 40, 808)
+    got = scanned(spark, trees, [t for _, t, _ in rows])
+    share, precision = verdict(rows, [[(f["start"], f["length"]) for f in r["findings"]] for r in got])
+    print(share, precision)
+    assert {k: share[k] for k in ASKED_SECRETS if share[k] < 0.9} == {} and {k: share[k] for k in ASKED_PLAIN if share[k] > 0.02} == {}
+
+
 def plain_features(value, left, right):
     n, low = max(1, len(value)), value.lower()
     has = lambda p, x: float(bool(regex.search(p, x, regex.ASCII)))
@@ -50,10 +58,10 @@ def plain_features(value, left, right):
         float(n), changes / n, sum(kind(c) == "0" for c in value) / n, len(set(value)) / min(n, 16),
         has(r"\A(?:[0-9a-f]+|[0-9A-F]+)\Z", value), sum(low[i : i + 2] in sec.PAIRS.split() for i in range(len(low))) / n,
         1 - len(known) / n, float(has(r"(?i)(?:://|www\.|/)[^\s\"']*$", left + value) and not has(r"[=:]\s?[\"']?$", left)),
-        has(sec.SECRET_WORDS, left), has(r"[=:]\s?[\"']?$|(?i)bearer $|\s-p $", left),
-        max(has(sec.PLAIN_WORDS, left), has(sec.PLAIN_WORDS, right), has(r"^(?:sha|md)\d+[-:_]", value)), has("[\"']$", left),
+        has(sec.SECRET_WORDS, left), has(r"[=:>]\s?[\"']?$|(?i:bearer $)|\s-p $|(?i:\bis:? $)", left),
+        max(has(sec.PLAIN_WORDS, left), has(sec.PLAIN_WORDS, right), has(sec.PLAIN_VALUES, value)), has("[\"']$", left),
         has(r"(?i)(.)\1{4}|0123|1234|abcd", value), has(f"^{sec.PREFIXED}", value), has(f"{sec.USER}$", left),
-        has("^-----BEGIN", value), has(r"^[\[({<$%]|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+|\w\(", value),
+        has("^-----BEGIN [A-Z0-9 ]{0,40}PRIVATE", value), has(r"^[\[({<$%]|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+|\w\(", value),
     ]
 
 

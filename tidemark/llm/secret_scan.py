@@ -37,11 +37,20 @@ KEY_BLOCK = (
     rf"-----BEGIN (?:[A-Z0-9]{{2,12}} )?PRIVATE KEY(?: BLOCK)?-----(?:{_GAP}(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*+)*+"
     rf"(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)*+(?:{_GAP}[A-Za-z0-9+/=]*+{_GAP}-----END [A-Z0-9 ]{{0,30}}-----)?+"
 )
+#: What is published and looks like one: certificates, public keys, also on one line.
+PUBLIC_BLOCK = (
+    rf"-----BEGIN (?:[A-Z0-9]{{2,12}} ){{0,3}}(?:CERTIFICATE|PUBLIC KEY|CERTIFICATE REQUEST)(?: BLOCK)?-----(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)*+"
+    rf"(?:{_GAP}[A-Za-z0-9+/=]*+{_GAP}-----END [A-Z0-9 ]{{0,30}}-----)?+"
+)
+#: Names that say what an assigned value is.
+NAMED = "token|secret|pass|pwd|api.?key|access.?key|auth|bearer|credential|private"
 #: A URL up to its password.
 USER = r"""://[^\s:/@"']{0,40}:"""
 CANDIDATE = (
-    rf"{KEY_BLOCK}|"
-    r"(?<=[=:] ?)(?<=(?i:token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private)[A-Za-z0-9_.-]{0,16}[\"']? ?[=:] ?)"
+    rf"{KEY_BLOCK}|{PUBLIC_BLOCK}|"
+    rf"""(?<=>)(?<=<[A-Za-z0-9_:.-]{{0,16}}(?i:{NAMED})[A-Za-z0-9_.-]{{0,16}}>)[^\s<>"']{{8,}}+(?=</)|"""
+    rf"""(?<=is:? )(?<=(?i:pass(?:word|phrase|code)?|secret|token) (?:\w{{1,8}} )?is:? )(?=[^\s"']*[^A-Za-z\s"'.,;:!?)])[^\s"']{{8,}}(?<![.,;:!?)\]}}>])|"""
+    rf"(?<=[=:] ?)(?<=(?i:{NAMED})[A-Za-z0-9_.-]{{0,16}}[\"']? ?[=:] ?)"
     r"""(?![A-Za-z][A-Za-z0-9+.-]*+://)[^\s"']{8,}(?<![.,;:!?)\]}>])"""
     r"""|(?<=[psd][ =])(?<=\s-{1,2}p(?:ass(?:word|wd)?)?[ =])(?!-)[^\s"'=]{8,}"""
     rf"""|(?<=:)(?<={USER})[^\s/"']+(?=@)"""
@@ -64,8 +73,10 @@ WORDS = (
     "table target template test text time title token type update upload user utils value version view width word write your replace with key"
 )
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch"
-SECRET_WORDS = r"(?i)token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private|signature|\bsig=|hooks?[./]|\s-p $"
-PLAIN_WORDS = r"(?i)base64,|integrity|commit|sha\d|md5|checksum|digest|hash|uuid|guid|isbn|phone|tel|card|order|invoice|ticket|revision|rev\b|blob\s|tree|build|etag|trace|span|class=|style"
+SECRET_WORDS = r"(?i)token|secret|pass(?:[wp]|code)|(?<![a-z])pass(?:\b|_|[^a-z])|pwd|api.?key|access.?key|auth|bearer|credential|private|signature|\bsig=|hooks?[./]|\s-p $"
+PLAIN_WORDS = r"(?i)base64,|integrity|commit|sha\d|md5|checksum|digest|hash|uuid|guid|isbn|phone|tel|card|order|invoice|ticket|revision|rev\b|blob\s|tree|build|etag|trace|span|class=|style|ssh-|ecdsa-"
+#: Values that say themselves that they are published.
+PLAIN_VALUES = r"^(?:sha|md)\d+[-:_]|^data:[a-z]+/|^AAAA[A-Z]3NzaC|^-----BEGIN (?![A-Z0-9 ]{0,40}PRIVATE)"
 FEATURES = (
     "length", "transitions", "digits", "distinct", "hex", "letter_pairs", "dictionary", "path", "secret_word", "assigned",
     "plain_word", "quoted", "repeat_char", "prefix", "url_password", "key_block", "code",
@@ -89,13 +100,13 @@ def features(value: Column, left: Column, right: Column) -> Column:
         1.0 - F.length(known) / size,
         flag(F.concat(left, value).rlike(r"(?i)(?:://|www\.|/)[^\s\"']*$") & ~left.rlike(r"[=:]\s?[\"']?$")),
         flag(left.rlike(SECRET_WORDS)),
-        flag(left.rlike(r"[=:]\s?[\"']?$|(?i)bearer $|\s-p $")),
-        flag(left.rlike(PLAIN_WORDS) | right.rlike(PLAIN_WORDS) | value.rlike(r"^(?:sha|md)\d+[-:_]")),
+        flag(left.rlike(r"[=:>]\s?[\"']?$|(?i)bearer $|\s-p $|(?i)\bis:? $")),
+        flag(left.rlike(PLAIN_WORDS) | right.rlike(PLAIN_WORDS) | value.rlike(PLAIN_VALUES)),
         flag(left.rlike("[\"']$")),
         flag(value.rlike(r"(?i)(.)\1{4}|0123|1234|abcd")),
         flag(value.rlike(f"^{PREFIXED}")),
         flag(left.rlike(f"{USER}$")),
-        flag(value.rlike("^-----BEGIN")),
+        flag(value.rlike("^-----BEGIN [A-Z0-9 ]{0,40}PRIVATE")),
         flag(value.rlike(r"^[\[({<$%]|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+|\w\(")),
     )
 
@@ -140,7 +151,22 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     plain_text = pick("pt", "required", "everything", "available", "following", "necessary", "something", "mandatory", "undefined", "optional", "generated", "forgotten", "therefore")
     reference = pick("rf", "settings.", "config.", "os.environ.", "self.", "process.env.", "${", "<your_", "{{")
     reference = F.concat(reference, pick("r1", "get_token()", "DB_PASSWORD", "api_key", "secret_key", "password", "access_token", "token_value"))
+    strong = F.concat(F.translate(part(3, 6), "aeiou", "!#@7$"), number("st", 10, 99).cast("string"), part(20, 5))
+    public = F.concat(F.lit("-----BEGIN "), pick("pb", "CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST"), F.lit("-----\n"), F.repeat(F.concat(mixed, F.lit("\n")), number("bl", 1, 9)), F.lit("-----END CERTIFICATE-----"))
+    short_name = pick("sm", "smtp_pass", "pass", "DB_PASS", "ftp_pass", "user.pass", "redis_pass", "admin-pass", "passphrase", "keystore_pass")
+    element = pick("xe", "password", "Password", "db-password", "apiKey", "secret", "pass", "authToken", "client_secret")
+    secret_value = F.when(number("sv", 0, 2) == 0, human).when(number("sv", 0, 2) == 1, strong).otherwise(F.substring(plain, F.lit(1), number("n", 9, 30)))
     shapes = [
+        (1.0, secret_value, F.concat(pick("pr", "", "and the ", "  ", "export "), short_name, join), empty),
+        (1.0, secret_value, F.concat(pick("pr", "", "and the ", "  ", "export "), short_name, join, quote), quote),
+        (1.0, secret_value, F.concat(pick("xp", "", "<db><user>u</user>", "    "), F.lit("<"), element, F.lit(">")), F.concat(F.lit("</"), element, F.lit(">"))),
+        (1.0, secret_value, F.concat(pick("pi", "the ", "my ", "its ", "The vpn "), pick("pj", "password", "passphrase", "passcode", "token", "secret"), pick("pk2", " is ", " is: ", " now is ")), pick("pl", "", " for now", " on staging")),
+        (0.0, F.concat(pick("du", "data:image/png;base64,", "data:image/svg+xml;base64,", "data:font/woff2;base64,", "data:application/pdf;base64,"), mixed, mixed), F.concat(pick("dv", '<img src="', "<a href='", 'url("', '"icon": "', 'src="')), pick("dw", '"', "'", '" alt="x"')),
+        (0.0, F.concat(pick("sk2", "AAAAB3NzaC1yc2EAAAADAQABAAABgQC", "AAAAC3NzaC1lZDI1NTE5AAAAI", "AAAAE2VjZHNhLXNoYTItbmlzdHAyNTYAAAAI"), mixed, mixed), pick("sl2", "ssh-rsa ", "ssh-ed25519 ", "ecdsa-sha2-nistp256 ", "key: ssh-rsa "), pick("sm2", " me@host", " deploy", "", "= root@box")),
+        (0.0, public, lead("kl"), empty),
+        (0.0, plain_text, F.concat(pick("pi", "the ", "my ", "its ", "The vpn "), pick("pj", "password", "passphrase", "passcode", "token", "secret"), F.lit(" is ")), empty),
+        (0.0, F.concat(pick("w0", *WORDS.split()), pick("xo2", "-", "_", ""), pick("w1", *WORDS.split()), number("y", 1, 9).cast("string")), F.concat(F.lit("<"), pick("xn", "name", "title", "passenger", "compass", "path", "class"), F.lit(">")), F.lit("</")),
+        (0.0, F.concat(pick("w0", *WORDS.split()), pick("xo2", "-", "_", ""), pick("w1", *WORDS.split()), pick("w2", *WORDS.split())), F.concat(pick("pg", "passenger", "passing", "compass", "bypass", "passport", "pass_count", "boarding pass", "day pass", "mountain pass"), join), empty),
         (1.0, hexes, F.concat(prose, name, join, quote), quote),
         (1.0, F.substring(plain, F.lit(1), number("n", 20, 43)), F.concat(prose, name, join, quote), quote),
         (1.0, F.substring(plain, F.lit(1), number("n", 20, 43)), F.concat(name, join), empty),
@@ -172,6 +198,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (0.0, F.concat(pick("ig", "sha512-", "sha256-", "sha384-"), mixed, F.substring(mixed, 1, 20), F.lit("==")), pick("il", '"integrity": "', "integrity ", "integrity='"), pick("ie", '"', "", "'")),
         (0.0, F.concat(pick("gv", "os.getenv(", "System.getenv(", "getpass.getpass(", "vault.read(", "env(", "config.get("), empty), F.concat(pick("pr", "", "and the ", "export "), secret_name, join), pick("gq", "'", '"')),
         (1.0, human, F.concat(pick("db", "", "DATABASE_URL=", "at ", "url: "), site), F.lit("@db.example/main")),
+        (1.0, F.substring(plain, F.lit(1), number("n", 9, 22)), F.concat(pick("db", "", "DATABASE_URL=", "at ", "url: "), site), pick("ds", "@db.example:5432/main", "@cache:6379", "@host.example/x")),
         (0.0, plain_text, F.concat(prose, secret_name, pick("j2", ": ", "=", " = ", ":")), pick("e2", "", " by the", ".")),
         (0.0, reference, F.concat(pick("pr", "", "and the ", "export "), secret_name, join), pick("e3", "", ",", ")")),
         (0.0, pick("up", "${DB_PASSWORD}", "<password>", "{password}", "PASSWORD", "password", "your_password"), F.concat(pick("db", "", "DATABASE_URL=", "at ", "url: "), site), F.lit("@db.example/main")),
