@@ -118,6 +118,10 @@ def test_chunks_keep_bounds_overlap_and_text():
     flat = "".join(chunks.units(" ".join(text.split(" "))))
     assert "".join(flat.split()) == "".join(text.split())
     assert all(b.startswith(a[-100:].strip()[:20]) or a[-150:].strip()[:10] in b for a, b in zip(got, got[1:]))
+    long = "Some words here. " * 600_000
+    first = chunks._cut(__import__("pyarrow").array([long, None, "x"]), 1000, 150)
+    sizes = [sum(len(c) for _, _, c in part) for part in first]
+    assert len(sizes) > 2 and max(sizes) <= chunks.SENT + 1150  # they leave in parts
     assert chunks.chunk_text(None) == [] and chunks.chunk_text(" \n ") == [] and chunks.chunk_text("short") == ["short"]
 
 
