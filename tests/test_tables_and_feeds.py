@@ -174,3 +174,28 @@ def test_a_feed_that_breaks_off_and_is_started_again(spark, tmp_path):
     assert len(got) == len(set(got)) == 60 and server.connections > 5
     left = list((tmp_path / "log").glob("*.jsonl"))
     assert len(left) <= 2  # segments of committed batches are gone
+
+
+def test_an_outbox_shows_whole_batches_once(spark, tmp_path):
+    from tidemark.sources import outbox
+
+    for part in range(3):
+        spark.range(part * 10, part * 10 + 10).selectExpr("id", "concat('é', id) AS name").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema("id long, name string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").repartition(3)
+    where = f"file://{tmp_path}/out"
+    assert outbox.read_outbox(spark, where, "id long, name string").count() == 0
+    outbox.stream_to_outbox(stream(), where, f"{tmp_path}/check").awaitTermination()
+    got = rows(outbox.read_outbox(spark, where, "id long, name string"))
+    assert got == [(i, f"é{i}") for i in range(30)] and len(list((tmp_path / "out" / "batches").glob("*.json"))) == 3
+    # a batch whose publishing was lost is written again: its files from before are in no list
+    (tmp_path / "check" / "commits" / "2").unlink()
+    (tmp_path / "check" / "commits" / ".2.crc").unlink(missing_ok=True)
+    (tmp_path / "out" / "batches" / f"{2:012d}.json").unlink()
+    outbox.stream_to_outbox(stream(), where, f"{tmp_path}/check").awaitTermination()
+    assert rows(outbox.read_outbox(spark, where, "id long, name string")) == got
+    writer = outbox.OutboxWriter({"path": where})
+    made = writer.write(iter([]))
+    assert made.rows == 0 and made.path is None
+    part = writer.write(iter([__import__("pyspark").sql.Row(id=1, name="x")]))
+    writer.abort([part, None], 9)
+    assert not (tmp_path / "out" / part.path).exists()
