@@ -49,7 +49,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each secret in a text is replaced by a mark; n_chars follows. No document goes."""
+    """Each secret in a text is replaced by a mark; n_chars follows. No document goes.
+
+    Null and empty texts, texts of any length, repeated rows and null ids are scanned like any other
+    (a null text stays null); an empty table gives an empty one; columns besides those of documents go.
+    """
     found = secret_scan.scan(docs, secret_scan.train(spark), keep=("lang", "source", "n_chars"))
     changed = F.size("findings") > 0
     n_chars = F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))
@@ -57,7 +61,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, whole; what the mix doesn't take goes."""
+    """Each document as often as the mix takes it, whole; what the mix doesn't take goes.
+
+    A null or empty text has no words, so no mix takes it. Rows that repeat id and text are dealt out
+    alike, null ids by their text, a null source is one of its own (the last); an empty table gives an empty one.
+    """
     mixed = mixing.mix_sources(docs, keep=("text", "lang", "source", "n_chars"), whole=True)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
     copies = F.explode(F.sequence(F.lit(1), times))
@@ -65,7 +73,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, with a digest of what they decode to."""
+    """Piece ids of each document, with a digest of what they decode to.
+
+    A null text counts as null in the digest, an empty one has no ids. Texts of any length are encoded
+    whole, repeated rows and null ids like any other; an empty table gives an empty one.
+    """
     return pieces.digests(pieces.encode_texts(docs))
 
 
