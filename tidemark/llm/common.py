@@ -28,8 +28,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{scratch_root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A new path below the application's own part of the shared folder."""
+    return f"{scratch_root(spark)}/tidemark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
