@@ -10,8 +10,9 @@ from tidemark.operators import candles as C
 from tidemark.operators import features as X
 from tidemark.operators import joins as J
 from tidemark.plans.base import HOURLY, TICKS, W, candles_cte, ewm_cte, full, lag, query, r, rounded, z
-from tidemark.sources import files, sinks
-from tidemark.sources.tables import agg_trades, ticks
+from tidemark.sources import files, scratch, sinks
+from tidemark.sources.snapshots import SnapshotTable
+from tidemark.sources.tables import agg_trades, table, ticks
 
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:
@@ -430,6 +431,32 @@ def incremental_append(spark: SparkSession, d: str) -> DataFrame:
     return sinks.new_rows(t.drop("quantity"), there, ["symbol", "open_time"], ["event_id"])
 
 
+_HOUR = "t // 3600000 * 3600000 AS open_time"
+
+
+@query(
+    f"""WITH {TICKS}, x AS (SELECT symbol, {_HOUR}, max(event_id) AS event_id FROM ticks WHERE quantity <= 2 GROUP BY ALL), i AS (SELECT symbol, {_HOUR}, min(event_id) AS event_id FROM ticks GROUP BY ALL)
+SELECT symbol, open_time, event_id FROM x UNION ALL SELECT i.symbol, i.open_time, i.event_id FROM i ANTI JOIN x ON x.symbol = i.symbol AND x.open_time = i.open_time"""
+)
+def snapshot_append(spark: SparkSession, d: str) -> DataFrame:
+    """A table with snapshots into which rows were inserted whose keys it had in part: the first write of a key stays."""
+    t = ticks(spark, d).select("symbol", C.floor_ms(F.unix_millis("time"), C.HOUR_MS).alias("open_time"), "event_id", "quantity")
+    stored = SnapshotTable(spark, scratch.path(spark, "snapshots"), ["open_time", "symbol"])
+    stored.insert_or_ignore(t.filter("quantity <= 2").groupBy("symbol", "open_time").agg(F.max("event_id").alias("event_id")), ["event_id"])
+    stored.insert_or_ignore(t.drop("quantity"), ["event_id"])
+    return stored.read()
+
+
+@query("SELECT vec_id, CASE WHEN label = 3 THEN 30 ELSE label END AS label FROM embeddings")
+def snapshot_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """A table of vectors by id, in buckets, after an upsert of those with one label."""
+    v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    stored = SnapshotTable(spark, scratch.path(spark, "snapshots"), ["vec_id"], buckets=8)
+    stored.insert_or_ignore(v, ["label"])
+    stored.upsert(v.filter("label = 3").withColumn("label", F.lit(30)), ["label"])
+    return stored.read().select("vec_id", "label")
+
+
 def klines(spark: SparkSession, d: str) -> DataFrame:
     """Candles by symbol with the share that takers bought."""
     t = ticks(spark, d)
