@@ -99,3 +99,18 @@ def test_no_pair_is_a_row(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert found.count() <= 500 * 4 * v.rdd.getNumPartitions()
+
+
+def test_queries_build_the_index_anew_if_it_is_gone_or_old(spark, docs, tmp_path):
+    from tidemark.plans import documents
+    from tidemark.sources import scratch
+
+    d = docs.limit(50).selectExpr("id AS doc_id", "text")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    first = documents._index(spark, str(tmp_path))
+    assert documents._index(spark, str(tmp_path)) == first and first.n_docs == 50
+    docs.limit(70).selectExpr("id AS doc_id", "text").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    second = documents._index(spark, str(tmp_path))
+    assert second.n_docs == 70 and second.where != first.where
+    scratch.clear(spark)
+    assert documents._index(spark, str(tmp_path)).where != second.where

@@ -33,13 +33,16 @@ sc AS (SELECT query_id, doc_id AS id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.
 sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {N})"""
 
 
-_INDEXES: dict[tuple[str, str], sparse_index.SparseIndex] = {}
+_INDEXES: dict[tuple, sparse_index.SparseIndex] = {}
 
 
 def _index(spark: SparkSession, d: str) -> sparse_index.SparseIndex:
-    """The stored index of all documents, built by the first query of the application that asks for this folder."""
-    key = spark.sparkContext.applicationId, d
-    if key not in _INDEXES:
+    """The stored index of all documents, built by the first query of the application that asks for these files.
+
+    It is built anew if it has been deleted, or if the documents have changed since.
+    """
+    key = spark.sparkContext.applicationId, d, scratch.state(spark, f"{d}/documents.parquet")
+    if key not in _INDEXES or not scratch.exists(spark, f"{_INDEXES[key].where}/totals"):
         docs = spread(table(spark, d, "documents").select("doc_id", "text"))
         _INDEXES[key] = sparse_index.build(docs, scratch.path(spark, "index"), "doc_id", "text")
     return _INDEXES[key]

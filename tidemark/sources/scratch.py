@@ -36,6 +36,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def _listed(spark: SparkSession, where: str) -> list:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return list(fs.listStatus(p)) if fs.exists(p) else []
+
+
+def state(spark: SparkSession, where: str) -> tuple:
+    """What tells whether the files of a table have changed: names, sizes and times."""
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in _listed(spark, where)))
+
+
+def exists(spark: SparkSession, where: str) -> bool:
+    return bool(_listed(spark, where))
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all that this application has stored there; for the end of a job."""
     own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(spark))
