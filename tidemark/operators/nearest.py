@@ -21,6 +21,13 @@ from pyspark.sql import functions as F
 BLOCK, COMPONENTS, AT_ONCE, DIGITS = 20_000, 8 << 20, 1 << 22, 6
 
 
+def half_away(x: np.ndarray, digits: int) -> np.ndarray:
+    """`x` rounded as SQL does: halves go away from zero, where numpy takes the even neighbour."""
+    scaled = np.abs(x) * 10.0**digits
+    whole = np.floor(scaled)
+    return np.copysign((whole + (scaled - whole >= 0.5)) / 10.0**digits, x)
+
+
 def matrices(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, unit vectors) for each length of vectors; without null ones and those that have no direction."""
     at = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
@@ -67,8 +74,15 @@ class Heaps:
         self.query, self.value, self.id = (x[place < self.n] for x in (query, value, own))
         self.fresh = []
 
+    def rows(self, numbers: np.ndarray, kind: pa.DataType, value: str) -> Iterator[pa.RecordBatch]:
+        """(number, id, value) of all that is kept; a query's number is that at its place in `numbers`."""
+        for at in range(0, len(self.query), 100_000):
+            part = slice(at, at + 100_000)
+            own = pa.array(self.id[part].tolist(), pa.string()).cast(kind) if self.id.dtype.kind == "U" else pa.array(self.id[part]).cast(kind)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[self.query[part]]), own, pa.array(self.value[part])], names=["number", "id", value])
+
 
-def _ids(column: pa.Array) -> np.ndarray:
+def ids_of(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=str) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.to_numpy(zero_copy_only=False)
 
 
@@ -79,7 +93,7 @@ def _task(shared, n: int):
         kind = None
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            kind, ids = batch.column(0).type, _ids(batch.column(0))
+            kind, ids = batch.column(0).type, ids_of(batch.column(0))
             for rows, x in matrices(batch.column(1)):
                 if x.shape[1] not in groups:
                     continue
@@ -89,10 +103,7 @@ def _task(shared, n: int):
                     heaps[x.shape[1]].add(np.round(q @ x[at : at + step].T, DIGITS), ids[rows[at : at + step]])
         for size, h in heaps.items():
             h.settle()
-            for at in range(0, len(h.query), 100_000):
-                part = slice(at, at + 100_000)
-                own = pa.array(h.id[part].tolist(), pa.string()).cast(kind) if h.id.dtype.kind == "U" else pa.array(h.id[part]).cast(kind)
-                yield pa.RecordBatch.from_arrays([pa.array(groups[size][0][h.query[part]]), own, pa.array(h.value[part])], names=["number", "id", "sim"])
+            yield from h.rows(groups[size][0], kind, "sim")
 
     return run
 
