@@ -3,10 +3,12 @@
 import glob
 import random
 
+import duckdb
+import numpy as np
 import oracle
 import pytest
 
-from tidemark.operators import sparse_scan
+from tidemark.operators import nearest, sparse_scan
 from tidemark.operators import retrieval as R
 from tidemark.plans import catalog
 from tidemark.sources import scratch
@@ -56,3 +58,18 @@ def test_no_posting_is_a_row(spark, docs, tmp_path):
     found = sparse_scan.search(docs.limit(30).withColumnRenamed("id", "query_id"), docs, stats, 5)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1 and "Generate" not in plan
+
+
+def test_hits_are_searched_for_once(spark):
+    for name in ("source_cards", "trust_rerank"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan, name
+
+
+def test_blends_and_scores_halve_as_sql_does(spark):
+    hits = spark.range(0, 1_000_000, 37).selectExpr("id", "id / 1e6D AS sim")
+    got = [r["combined"] for r in R.trusted(hits, spark.range(0, 1_000_000, 37).selectExpr("id", "3 AS trust_tier")).orderBy("id").collect()]
+    sql = "SELECT round(0.75::DOUBLE * (k / 1e6::DOUBLE) + 0.25::DOUBLE * 3 / 3.0::DOUBLE, 6) FROM range(0, 1000000, 37) t(k) ORDER BY k"
+    assert got == [r[0] for r in duckdb.sql(sql).fetchall()]
+    x = [294.20255, 103.40775, 0.0078125, -0.0078125, 1e-9]
+    assert nearest.half_away(np.array(x), 4).tolist() == [duckdb.execute("SELECT round(?::DOUBLE, 4)", [v]).fetchone()[0] for v in x]
