@@ -2,10 +2,13 @@
 
 import glob
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import nearest, sparse_scan
@@ -73,3 +76,15 @@ def test_blends_and_scores_halve_as_sql_does(spark):
     assert got == [r[0] for r in duckdb.sql(sql).fetchall()]
     x = [294.20255, 103.40775, 0.0078125, -0.0078125, 1e-9]
     assert nearest.half_away(np.array(x), 4).tolist() == [duckdb.execute("SELECT round(?::DOUBLE, 4)", [v]).fetchone()[0] for v in x]
+
+
+def test_a_task_of_the_dense_search_holds_little_beside_its_queries_and_batch():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(3000, 16)), rng.normal(size=(6000, 16))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int64()), pa.array(x.tolist())], names=["id", "v_"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in nearest._task(SimpleNamespace(value={16: (np.arange(len(q)), q)}), 20)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 6000 * 20 and peak < 100e6, peak

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Queries of a block and their components at most, similarities that are computed at once, and decimals that count.
-BLOCK, COMPONENTS, AT_ONCE, DIGITS = 20_000, 8 << 20, 1 << 22, 6
+BLOCK, COMPONENTS, AT_ONCE, DIGITS = 20_000, 8 << 20, 1 << 19, 6
 
 
 def half_away(x: np.ndarray, digits: int) -> np.ndarray:
@@ -100,7 +100,7 @@ def _task(shared, n: int):
                 q = groups[x.shape[1]][1]
                 step = max(1, AT_ONCE // len(q))
                 for at in range(0, len(rows), step):
-                    heaps[x.shape[1]].add(np.round(q @ x[at : at + step].T, DIGITS), ids[rows[at : at + step]])
+                    heaps[x.shape[1]].add(half_away(q @ x[at : at + step].T, DIGITS), ids[rows[at : at + step]])
         for size, h in heaps.items():
             h.settle()
             yield from h.rows(groups[size][0], kind, "sim")
